@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from inkveil.llm import token_store
+from inkveil.llm import simhash, token_store
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -24,8 +23,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(spark, path, vocab)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, links of at most 2 bits."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, tau=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store,)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
