@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import simhash, token_store
+from inkveil.llm import embedding_dedup, simhash, token_store
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -28,9 +28,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, tau=2)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label with a cosine of at least 0.98."""
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embedding_dedup": embedding_dedup.ORACLE_SQL}
