@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import embedding_dedup, simhash, token_store
+from inkveil.llm import embedding_dedup, simhash, substring_dedup, token_store
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -33,9 +33,14 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-word windows of documents before it."""
+    return substring_dedup.substring_report(read_table(spark, sf_dir, "documents"), 50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_dedup": embedding_dedup.ORACLE_SQL}
+    return {"op5_embedding_dedup": embedding_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}
