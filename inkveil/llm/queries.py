@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import embedding_dedup, simhash, substring_dedup, token_store
+from inkveil.llm import bpe, embedding_dedup, simhash, substring_dedup, token_store
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -38,8 +38,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_report(read_table(spark, sf_dir, "documents"), 50)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the text that they decode to."""
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
