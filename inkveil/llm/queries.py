@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, embedding_dedup, simhash, substring_dedup, token_store
+from inkveil.llm import bpe, embedding_dedup, simhash, substring_dedup, token_store, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -43,8 +43,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.judged(read_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
