@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, embedding_dedup, simhash, substring_dedup, token_store, url_filter
+from inkveil.llm import bpe, embedding_dedup, kd_shards, simhash, substring_dedup, token_store, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -48,8 +48,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of 40, and the slot in it, of every document."""
+    return kd_shards.sharded(read_table(spark, sf_dir, "documents"), 40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
