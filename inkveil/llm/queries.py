@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, embedding_dedup, kd_shards, simhash, substring_dedup, token_store, url_filter
+from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, simhash, substring_dedup, token_store, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -53,8 +53,13 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.sharded(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return multiset_hash.compared(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, op4_multiset_hash)}
 
 
 def oracle_sql() -> dict[str, str]:
