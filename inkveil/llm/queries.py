@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, simhash, substring_dedup, token_store, url_filter
+from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, simhash, substring_dedup, token_store, toxicity, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -58,8 +58,14 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compared(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of two thirds of the doc_ids."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, op4_multiset_hash)}
+    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, op4_multiset_hash, op2_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
