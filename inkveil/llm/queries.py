@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, simhash, substring_dedup, token_store, toxicity, url_filter
+import corpus_pipeline
+from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, packing, simhash, substring_dedup, token_store, toxicity, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -64,8 +65,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 words, no two of a source or cluster in one."""
+    return packing.packed(packing.document_items(read_table(spark, sf_dir, "documents")), 1024)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline: toxicity, near-duplicates, repeated passages, packing."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_simhash, op5_embedding_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, op4_multiset_hash, op2_toxicity)}
+    own = (op1_token_store, op2_toxicity, op3_simhash, op4_multiset_hash, op5_embedding_dedup, op6_best_fit, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

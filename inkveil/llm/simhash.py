@@ -8,19 +8,21 @@ t_i are allocated by dynamic programming on the numbers of candidates that they
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.buckets import BLOCK_ROWS, compare, hot_keys, in_blocks
+from inkveil.llm.buckets import compare, hot_keys, in_blocks
 from inkveil.llm.common import text_of, written
 from inkveil.llm.components import connected_components
 
 SEED = 42
+_LAST = (1 << 63) - 1
 #: Fingerprints of more than 64 bits take further 64-bit lanes from further seeds.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -48,21 +50,21 @@ def fingerprint(text: str, words: int, lanes: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp binary, word long) of every whole text; null texts count as empty.
+    """(doc_id, th, fp binary, word long) of every whole text; null texts count as empty.
 
-    `word` is the first lane's 64 bits as a signed number.
+    `th` is a hash of the text, `word` the first lane's 64 bits as a signed number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = [fingerprint(t, words, lanes) for t in part.column(1).to_pylist()]
+                own = [fingerprint(t, words, lanes) for t in part.column(2).to_pylist()]
                 first = np.frombuffer(b"".join(x[:8] for x in own), "<i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary()), pa.array(first)], ["doc_id", "fp", "word"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary()), pa.array(first)], ["doc_id", "th", "fp", "word"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary, word long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp binary, word long")
 
 
 def bit_moments(distinct: DataFrame, n_bits: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -246,3 +248,79 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
     names = named.join(names, "component").select("word", "component_id")
     hexed = F.lower(F.lpad(F.hex("word"), 16, "0"))
     return rows.join(names, "word").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of six lanes tell similarities near 0.8 apart well enough, where 64 bits don't.
+WIDE_LANES = 6
+#: Odds, at most, that two fingerprints just similar enough agree on none of the chosen groups.
+MISS = 0.02
+#: Rows that a bucket of a wide fingerprint's group should hold on average.
+BUCKET_ROWS = 64
+
+
+def distance_at(similarity: float, n_bits: int) -> float:
+    """Differing bits to expect of two equally large shingle sets of that Jaccard similarity."""
+    return n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_groups(distinct: DataFrame, n_bits: int, tau: int) -> list[list[int]]:
+    """Groups of bits on which pairs are to agree, for thresholds too large to be pigeonholed.
+
+    Of the disjoint groups of correlated bits, those with the fewest candidates get the threshold
+    0 and the others none, until a pair of `tau` differing bits is missed at odds of MISS; where
+    the disjoint groups don't do, random ones are added.
+    """
+    n, single, both = bit_moments(distinct, n_bits)
+    width = min(30, max(8, round(math.log2(max(n / BUCKET_ROWS, 1)))))
+    need = math.ceil(math.log(MISS) / math.log1p(-((1 - tau / n_bits) ** width)))
+    groups = correlated_groups(n, single, both, n_bits // width)
+    p = single / max(n, 1)
+    same = np.log(np.maximum(1 - 2 * p * (1 - p), 1e-9))
+    groups.sort(key=lambda bits: same[bits].sum())
+    rng = np.random.default_rng(SEED)
+    while len(groups) < need:
+        groups.append(sorted(rng.choice(n_bits, width, replace=False).tolist()))
+    return groups[:need]
+
+
+def wide_links(distinct: DataFrame, n_bits: int, tau: int) -> DataFrame:
+    """Edges (a, b) between ids of fingerprints (id, fp) that differ in at most `tau` bits."""
+    groups = wide_groups(distinct, n_bits, tau)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, n_bits // 8)
+                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                keys = np.stack([bits[:, own] @ (1 << np.arange(len(own))) for own in groups], 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "payload", "keys"])
+
+    rows = distinct.select("id", "fp").mapInArrow(run, "id long, payload binary, keys array<long>")
+    rows = rows.select("id", "payload", F.posexplode("keys").alias("tag", "key"))
+    return compare(in_blocks(rows), spanning_links(tau), n_bits // 8)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDE_LANES) -> DataFrame:
+    """The rows of `docs`, one of each group of near-duplicates: the smallest doc_id's.
+
+    Two texts are near-duplicates if their fingerprints differ in no more bits than texts of that
+    similarity do, give or take one standard deviation. Equal texts always are; so are all texts
+    without words. A null doc_id comes last; rows that repeat a doc_id come in the order of their
+    texts' hashes.
+    """
+    n_bits = 64 * lanes
+    far = distance_at(similarity, n_bits)
+    tau = round(far + math.sqrt(far * (1 - far / n_bits)))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    rows = written(fingerprints(docs, words, lanes).drop("word"), "fps")
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    found = connected_components(wide_links(distinct, n_bits, tau))
+    named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
+    keyed = docs.withColumns({"_row_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_row_th": F.xxhash64(text_of(docs))})
+    stay = stay.select(F.coalesce("stay_id", F.lit(_LAST)).alias("_row_id"), F.col("stay_th").alias("_row_th"))
+    once = F.row_number().over(Window.partitionBy("_row_id", "_row_th").orderBy(F.lit(1)))
+    kept = keyed.join(stay, ["_row_id", "_row_th"], "left_semi").withColumn("_row_no", once).where("_row_no = 1")
+    return kept.select(*docs.columns)

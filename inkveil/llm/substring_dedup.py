@@ -170,6 +170,22 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     return marked.select("doc_id", "ord", "th", "n_words", "sha", "gone"), changed
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` without repeated windows; a text that keeps no word leaves its row out.
+
+    A text that loses words becomes its other words, joined by one space; other texts stay as
+    they are. n_chars, where there is such a column, follows the text.
+    """
+    rows, changed = removals(docs, window)
+    gone = rows.where("gone").select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.lit(True).alias("_gone")).distinct()
+    cuts = changed.select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
+    keyed = docs.withColumns({"_ord": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_th": F.xxhash64(text_of(docs))})
+    out = keyed.join(cuts, ["_ord", "_th"], "left").join(gone, ["_ord", "_th"], "left").where("_gone is null and (_kept is null or _kept <> '')")
+    text = F.coalesce("_kept", F.col("text"))
+    columns = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(dict(docs.dtypes)["n_chars"]).alias("n_chars")} if "n_chars" in docs.columns else {})
+    return out.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+
+
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 

@@ -322,3 +322,18 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     out = rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def accepted(docs: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` whose score is below `threshold`, with all their columns, in place."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(field)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                score, _ = score_texts(field, known, [str(t) if t is not None else "" for t in part.column(text).to_pylist()])
+                yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
