@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _S = f"[{WS}]"
 SPAN = "struct<s:int,e:int,value:string>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once for a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, f"^{_S}+|{_S}+$", "")
 
@@ -31,9 +38,8 @@ def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     `group` 1 gives the captured value instead, which must end the match.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
-    value = F.regexp_extract_all(text, regex, F.lit(1)) if group else whole
-    rows = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(gaps, 1, F.size(whole)).alias("g"))
+    whole = F.regexp_extract_all(text, regex, F.lit(0))
+    value = F.regexp_extract_all(text, regex, F.lit(1)) if group else F.lit(None)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -41,7 +47,12 @@ def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
         span = F.struct((end - F.length(x["v"])).alias("s"), end.alias("e"), x["v"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def spans(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, regex, -1), 1, F.size(hits["m"]))
+        rows = F.arrays_zip(hits["m"].alias("m"), (hits["v"] if group else hits["m"]).alias("v"), gaps.alias("g"))
+        return F.when(F.size(hits["m"]) > 0, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return let(F.struct(whole.alias("m"), value.alias("v")), spans)
 
 
 def word_pattern(value: Column) -> Column:
@@ -84,11 +95,14 @@ def clean_for_model(text: Column) -> Column:
 
 def chunk_words(text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
     """Overlapping chunks of `size` words; the last one is the first that reaches the end."""
-    words = words_of(text)
     step = size - overlap
-    last = F.greatest(F.ceil((F.size(words) - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
-    return F.when(F.size(words) > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    def chunks(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - size) / F.lit(float(step))), F.lit(0)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
+        return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(words_of(text), chunks)
 
 
 def page_list(pages: Column) -> Column:
