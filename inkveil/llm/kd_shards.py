@@ -128,12 +128,11 @@ def build_tree(nodes: DataFrame, shards: int, target: float) -> DataFrame:
             a, b = 2 * n + 1, 2 * n + 2
             ids[n] = (a, b)
             grown[a], grown[b] = (first, m // 2), (first + m // 2, m - m // 2)
-        right = F.col("key") >= _by_node(cuts)
-        moved = state.withColumn("key", _key(dims))
-        to = F.col("node")
-        state = moved.withColumn("node", F.when(F.col("node").isin(list(ids)), F.col("node") * 2 + 1 + right.cast("int")).otherwise(to)).drop("key")
-        state = written(state, "nodes")
         open_nodes = grown
+        if ids:
+            right = F.col("key") >= _by_node(cuts)
+            moved = state.withColumn("key", _key(dims)).withColumn("node", F.when(F.col("node").isin(list(ids)), F.col("node") * 2 + 1 + right.cast("int")).otherwise(F.col("node")))
+            state = written(moved.drop("key"), "nodes")
     shard = F.element_at(F.create_map(*[x for n, (first, _) in sorted(open_nodes.items()) for x in (F.lit(n), F.lit(first))]), F.col("node"))
     return state.select("g1", "g2", "part", shard.cast("int").alias("shard"))
 

@@ -319,8 +319,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     found = connected_components(wide_links(distinct, n_bits, tau))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
-    keyed = docs.withColumns({"_row_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_row_th": F.xxhash64(text_of(docs))})
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_row_id"), F.xxhash64(text_of(docs)).alias("_row_th"))
     stay = stay.select(F.coalesce("stay_id", F.lit(_LAST)).alias("_row_id"), F.col("stay_th").alias("_row_th"))
     once = F.row_number().over(Window.partitionBy("_row_id", "_row_th").orderBy(F.lit(1)))
     kept = keyed.join(stay, ["_row_id", "_row_th"], "left_semi").withColumn("_row_no", once).where("_row_no = 1")
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")

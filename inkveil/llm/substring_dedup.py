@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import text_of, written
 
 WINDOW = 50
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Words remembered with their hashes by each Python worker; beyond it the memory starts anew.
 MEMO_WORDS = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -179,14 +180,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows, changed = removals(docs, window)
     gone = rows.where("gone").select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.lit(True).alias("_gone")).distinct()
     cuts = changed.select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumns({"_ord": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_th": F.xxhash64(text_of(docs))})
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_ord"), F.xxhash64(text_of(docs)).alias("_th"))
     out = keyed.join(cuts, ["_ord", "_th"], "left").join(gone, ["_ord", "_th"], "left").where("_gone is null and (_kept is null or _kept <> '')")
-    text = F.coalesce("_kept", F.col("text"))
-    columns = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(dict(docs.dtypes)["n_chars"]).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return out.select(*[columns.get(c, F.col(c)) for c in docs.columns])
-
-
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+    own = {"text": F.coalesce("_kept", F.col("_row.text"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("_kept").isNull(), F.col("_row.n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
