@@ -1,10 +1,10 @@
 """Operator 4: a homomorphic multiset hash of a text's paragraphs.
 
 Each paragraph (line) has a wide vector: two 64-bit hashes of the whole paragraph as four lanes,
-and 64 lanes that count, over the paragraph's pieces of PIECE words, the set bits of the pieces'
-hashes. A text's fingerprint is the sum of its paragraphs' vectors, each lane modulo a power of
-two. So the order of paragraphs doesn't matter, and adding or removing one adds or subtracts its
-vector. The counting lanes of two fingerprints estimate how many pieces the texts don't share.
+and 128 lanes that add, over the paragraph's pieces of PIECE words, 1 for each set bit of two
+hashes of the piece and take away 1 for each other bit. A text's fingerprint is the sum of its
+paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs doesn't matter,
+and adding or removing one adds or subtracts its vector. The signed lanes of two fingerprints estimate how alike the texts' multisets of pieces are.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import shuffle_partitions, text_of, written
 
-PIECE = 3
-#: Two counters share a long while summing: bits k and k + 32 of the pieces' hashes.
-_LANES = [f"l{k}" for k in range(32)]
+PIECE = 2
+#: Two counters share a long while summing: bits k and k + 32 of a piece's hash, or of its rehash.
+_LANES = [f"l{k}" for k in range(64)]
 _SUMS = ["a0", "a1", "b0", "b1", "paragraphs", "pieces", *_LANES]
 _PAIR = (1 << 32) | 1
 
@@ -36,42 +36,40 @@ def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     rows = texts.select(*keys, F.expr("size(filter(split(text, '\\n'), x -> x <> ''))").alias("lines"), F.expr(element_hashes("text")).alias("hashes"))
     rows = rows.select(*keys, "lines", F.posexplode_outer("hashes").alias("at", "h"))
+    rows = rows.withColumn("h2", F.xxhash64("h"))
     first, second, piece = F.col("at") < F.col("lines"), (F.col("at") >= F.col("lines")) & (F.col("at") < 2 * F.col("lines")), F.col("at") >= 2 * F.col("lines")
     low, high = F.col("h").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("h", 32)
     zero = F.lit(0).cast("long")
     sums = [F.sum(F.when(first, low).otherwise(zero)), F.sum(F.when(first, high).otherwise(zero)), F.sum(F.when(second, low).otherwise(zero)), F.sum(F.when(second, high).otherwise(zero))]
     sums += [F.sum(F.when(first, 1).otherwise(0)), F.sum(F.when(piece, 1).otherwise(0))]
-    sums += [F.sum(F.when(piece, F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_PAIR))).otherwise(zero)) for k in range(32)]
+    sums += [F.sum(F.when(piece, F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_PAIR))).otherwise(zero)) for h in ("h", "h2") for k in range(32)]
     return rows.groupBy(*keys).agg(*[s.alias(name) for s, name in zip(sums, _SUMS)])
 
 
 def packed(columns: dict[str, str]) -> Column:
-    """The lanes as one array of longs: 4 of 32 bits, the two counts, then 64 of 16 bits."""
+    """The lanes as one array of longs: 4 of 32 bits, the two counts, then 128 of 16 bits."""
     c = lambda name: F.col(columns.get(name, name))
     out = [F.pmod(c(x), F.lit(1 << 32)) for x in ("a0", "a1", "b0", "b1", "paragraphs", "pieces")]
-    out += [c(x).bitwiseAND(F.lit(0xFFFF)) for x in _LANES] + [F.shiftrightunsigned(c(x), 32).bitwiseAND(F.lit(0xFFFF)) for x in _LANES]
+    counts = [c(x).bitwiseAND(F.lit((1 << 32) - 1)) for x in _LANES] + [F.shiftrightunsigned(c(x), 32) for x in _LANES]
+    out += [F.pmod(2 * n - c("pieces"), F.lit(1 << 16)) for n in counts]
     return F.array(*out)
 
 
 def as_text(lanes: str) -> Column:
-    """Six lanes as 8 hex digits each, then 64 as 4 each: equal just where all lanes are."""
+    """Six lanes as 8 hex digits each, then 128 as 4 each: equal just where all lanes are."""
     wide = F.transform(F.slice(lanes, 1, 6), lambda x: F.lpad(F.hex(x), 8, "0"))
-    narrow = F.transform(F.slice(lanes, 7, 64), lambda x: F.lpad(F.hex(x), 4, "0"))
+    narrow = F.transform(F.slice(lanes, 7, 128), lambda x: F.lpad(F.hex(x), 4, "0"))
     return F.lower(F.concat(F.array_join(wide, ""), F.array_join(narrow, "")))
 
 
 def likeness(a: str, b: str) -> Column:
-    """1 less the share of pieces that the texts don't share, as their fingerprints estimate it.
-
-    Each counting lane's difference, less half the difference of the numbers of pieces, is a sum of
-    as many random signs as there are pieces in one text only; their mean square counts them.
-    """
-    apart = f"cast(pmod({{x}} - {{y}} + 32768, 65536) - 32768 as double)"
-    more = f"cast(pmod({a}[5] - {b}[5] + 2147483648, 4294967296) - 2147483648 as double)"
-    each = f"zip_with(slice({a}, 7, 64), slice({b}, 7, 64), (x, y) -> pow(2 * {apart.format(x='x', y='y')} - {more}, 2))"
-    only_one = f"aggregate({each}, cast(0 as double), (acc, z) -> acc + z) / 64"
-    total = f"cast({a}[5] + {b}[5] as double)"
-    return F.expr(f"case when {a} = {b} then 1.0D when {total} = 0 then 0.0D else greatest(0.0D, 1 - ({only_one}) / ({total})) end")
+    """Twice what the texts' multisets of pieces share by what they hold, as estimated: the product
+    of the signed lanes by the mean of their squares; 0 where that is negative."""
+    signed = lambda x: f"cast(if({x} >= 32768, {x} - 65536, {x}) as double)"
+    both = f"arrays_zip(slice({a}, 7, 128), slice({b}, 7, 128))"
+    pairs = f"transform({both}, z -> named_struct('x', {signed("z['0']")}, 'y', {signed("z['1']")}))"
+    sums = f"aggregate({pairs}, named_struct('p', 0D, 'q', 0D), (acc, z) -> named_struct('p', acc.p + 2 * z.x * z.y, 'q', acc.q + z.x * z.x + z.y * z.y), acc -> if(acc.q > 0, greatest(0D, acc.p / acc.q), 0D))"
+    return F.expr(f"case when {a} = {b} then 1D else least(1D, {sums}) end")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
