@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
-def hot_keys(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(tag, key, blocks) of the buckets with more than `block_rows` rows."""
-    sizes = rows.groupBy("tag", "key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    return sizes.select("tag", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+def hot_keys(rows: DataFrame) -> DataFrame:
+    """(tag, key, blocks) of the buckets with more than BLOCK_ROWS rows."""
+    sizes = rows.groupBy("tag", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    return sizes.select("tag", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
 
 
-def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(rows: DataFrame) -> DataFrame:
     """Adds `own` (the row's block) and the pair of blocks (`low`, `high`) that it is dealt to."""
-    hot = hot_keys(rows, block_rows)
+    hot = hot_keys(rows)
     dealt = rows.join(hot, ["tag", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -177,7 +177,9 @@ def test_components_of_paths_and_stars(spark):
     assert set(got.values()) == {100, 500} and all(got[k] == 100 for k in range(100, 161)) and all(got[k] == 500 for k in range(500, 560))
 
 
-def test_vectors_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [4096, 8])
+def test_vectors_against_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr("inkveil.llm.buckets.BLOCK_ROWS", block)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
     v = np.concatenate([base, base + 0.1 * rng.standard_normal((30, 16)), base[:5], np.repeat(base[:1], 40, 0) + 0.02 * rng.standard_normal((40, 16))]).astype(np.float32)
@@ -189,11 +191,8 @@ def test_vectors_against_all_pairs(spark):
     np.fill_diagonal(near, False)
     root = components(len(v), np.argwhere(near).tolist())
     rows = spark.createDataFrame([(k, x.tolist(), labels[k]) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
-    for block in (4096, 8):
-        embedding_dedup.in_blocks.__defaults__ = (block,)
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(rows).collect()}
-        embedding_dedup.in_blocks.__defaults__ = (4096,)
-        assert got == {k: (int(near[k].sum()), root[k]) for k in range(len(v))}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(rows).collect()}
+    assert got == {k: (int(near[k].sum()), root[k]) for k in range(len(v))}
 
 
 @pytest.mark.parametrize("name", ["op5_embedding_dedup", "op7_substring_dedup"])
