@@ -25,21 +25,22 @@ def spread_surnames(entities: DataFrame) -> DataFrame:
     """Adds the surname of every person of two or more words that isn't an entity yet.
 
     entities: doc_id, type, value, value_key, page, approved, ord. The new rows follow the others,
-    and are like the first person of that surname.
+    and are like the first person of that surname. Each entity yields itself and at most one
+    surname; two windows over those rows settle the rest, so the entities are computed once.
     """
     words = F.filter(words_of(F.regexp_replace("value", ",", " ")), lambda w: ~F.regexp_like(w, F.lit(fixed.NAME_SUFFIXES)))
     # A trailing comma leaves an empty last word, and no surname.
     open_end = F.regexp_like("value", F.lit(r"[,\s]$"))
-    last = F.regexp_replace(F.try_element_at(words, F.lit(-1)), r"[^\p{L}'’-]", "")
-    people = entities.where((F.col("type") == "Person") & ~open_end).withColumn("surname", F.when(F.size(words) >= 2, last))
-    people = people.where((F.length("surname") >= 3) & F.regexp_like("surname", F.lit(r"^\p{Lu}")))
-    people = people.withColumn("surname_key", value_key(F.col("surname")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "surname_key").orderBy("ord"))
-    new = people.withColumn("_n", first).where("_n = 1").drop("_n")
-    known = entities.select("doc_id", F.col("value_key").alias("surname_key"))
-    new = new.join(known, ["doc_id", "surname_key"], "left_anti")
-    top = entities.groupBy("doc_id").agg(F.max("ord").alias("top"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    new = new.withColumn("_p", place).join(top, "doc_id").withColumn("ord", (F.col("top") + F.col("_p")).cast("long"))
-    new = new.withColumn("value", F.col("surname")).withColumn("value_key", F.col("surname_key"))
-    return entities.unionByName(new.select(*entities.columns))
+    last = F.when((F.col("type") == "Person") & ~open_end & (F.size(words) >= 2), F.regexp_replace(F.try_element_at(words, F.lit(-1)), r"[^\p{L}'’-]", ""))
+    surname = F.when((F.length(last) >= 3) & F.regexp_like(last, F.lit(r"^\p{Lu}")), last)
+    own = F.struct(F.lit(0).alias("new"), F.col("value").alias("value"), F.col("value_key").alias("key"))
+    added = F.struct(F.lit(1).alias("new"), surname.alias("value"), value_key(surname).alias("key"))
+    rows = entities.withColumn("_x", F.explode(F.filter(F.array(own, added), lambda x: x["value"].isNotNull() | (x["new"] == 0))))
+    rows = rows.withColumns({"_new": F.col("_x.new"), "value": F.col("_x.value"), "value_key": F.col("_x.key")})
+    place = F.row_number().over(Window.partitionBy("doc_id", "value_key").orderBy("_new", "ord"))
+    rows = rows.withColumn("_place", place).where("_new = 0 or _place = 1")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_new", "ord")).cast("long")
+    before = F.sum(1 - F.col("_new")).over(Window.partitionBy("doc_id"))
+    top = F.max(F.when(F.col("_new") == 0, F.col("ord"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("ord", F.when(F.col("_new") == 0, F.col("ord")).otherwise(top + order - before).cast("long"))
+    return rows.select(*entities.columns)

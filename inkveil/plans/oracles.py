@@ -135,6 +135,22 @@ def _chunks(pages: str, size: int, overlap: int) -> str:
 FROM (SELECT doc_id, page, {_words("coalesce(text, '')")} AS ws FROM ({pages}) p) x, unnest(range(0, 1 + CAST(greatest(ceil((len(ws) - {size}) / {step}.0), 0) AS BIGINT))) t(k) WHERE len(ws) > 0"""
 
 
+def _stitched(text: str, pattern: str, change, i: str) -> str:
+    """Every match of the pattern in the text changed, the gaps between them as they are."""
+    hits, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    return f"array_to_string(list_transform(range(1, len({gaps}) + 1), lambda {i}: {gaps}[{i}] || coalesce({change(f'{hits}[{i}]')}, '')), '')"
+
+
+def _cleaned(text: str) -> str:
+    line = "line"
+    for pattern in (r"https?://[^{WS}]+", r"{B}\d{1,2}/\d{1,2}/\d{2,4}{S}+\d{1,2}:\d{2}:\d{2}{E}", r"{B}L\d{6,}-\d+{E}", r"#{S}*[^{WS}]+"):
+        line = f"regexp_replace({line}, '{spelled(pattern, RE2)}', '', 'g')"
+    run, word = _q(spelled(r"{B}[A-Z][A-Z'’-]+(?:{S}+[A-Z][A-Z'’.-]*)+{E}", RE2)), _q(r"[A-Z][A-Z'’-]*")
+    titled = _stitched("bare", run, lambda r: _stitched(r, word, lambda w: f"(substr({w}, 1, 1) || lower(substr({w}, 2)))", "k"), "i")
+    return f"""SELECT doc_id, 1 AS page, coalesce(string_agg(done, chr(10) ORDER BY n) FILTER (WHERE regexp_matches(done, '[a-zA-Z]{{2,}}')), '') AS cleaned FROM (
+  SELECT doc_id, n, {titled} AS done FROM (SELECT doc_id, n, {line} AS bare FROM (SELECT doc_id, unnest(string_split(coalesce({text}, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce({text}, ''), chr(10)), 1) AS n FROM documents) a) b) c GROUP BY doc_id"""
+
+
 _AREA = "greatest(least(x1, 612.0) - greatest(x0, 0.0), 0.0) * greatest(least(y1, 792.0) - greatest(y0, 0.0), 0.0) / (612.0 * 792.0)"
 _IMAGE_STATS = f"""istats AS (
   SELECT p.doc_id, p.page, CAST(len(regexp_extract_all(p.text, '[\\p{{L}}\\p{{N}}]')) AS BIGINT) AS char_count, least(coalesce(a.area, 0.0), 1.0) AS image_coverage, coalesce(a.largest, 0.0) AS largest
@@ -232,6 +248,7 @@ walk AS (
 rws AS (SELECT doc_id, page, a, string_agg(text, ' ' ORDER BY x, ord) AS t FROM walk GROUP BY doc_id, page, a)
 SELECT doc_id, page, string_agg(t, chr(10) ORDER BY a) AS text FROM rws GROUP BY doc_id, page""",
         "chunked_documents": _chunks(DOCS, 200, 30),
+        "cleaned_documents": _cleaned("text"),
         "value_keys": f"SELECT doc_id, sha256({_key('text')}) AS key FROM documents",
         "conversation_chunks": _chunks("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations", 50, 10),
         "conversation_stats": _stats("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations"),
