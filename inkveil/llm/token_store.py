@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkveil.llm.bpe import byte_characters
 from inkveil.llm.common import shuffle_partitions, text_of, written
 
 #: Tokens between two bit-offset checkpoints, and the tokens after which a block is closed.
@@ -27,7 +29,7 @@ BLOCK_TOKENS = 1 << 17
 #: No code is longer, so that one table of 2**MAX_BITS entries decodes every id.
 MAX_BITS = 16
 #: Words remembered with their ids by each Python worker; beyond it half of them go.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 
 _BLOCKS = (
     "part int, block int, first_token long, n_tokens long, doc_ids array<long>, counts array<int>, "
@@ -53,11 +55,11 @@ def split_words(text: str) -> list[bytes]:
 
 
 class WordMemo(dict):
-    """Ids of words, as bytes, from the tokenizers library.
+    """Ids of words, as bytes, from the tokenizers library; a new word is encoded once.
 
-    `fill` has the library encode the words that are new. Words of a-z alone are what its
-    normalizer and pre-tokenizer leave unchanged, so they go to its model at once. Full memory
-    becomes the older half, from which words in use come back, so that memory stays bounded.
+    Words of letters below U+0300, in lower case, are one pre-token that the normalizer leaves as
+    it is, so their bytes go to the library's model at once. Full memory becomes the older half,
+    from which words in use come back, so that memory stays bounded.
     """
 
     def __init__(self, tokenizer_path: str, dtype: str):
@@ -69,28 +71,26 @@ class WordMemo(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.dtype = dtype
+        self.code = "H" if dtype == "<u2" else "I"
         self.older: dict[bytes, bytes] = {}
-
-    def fill(self, words: set[bytes]) -> None:
+        self.shown = {b: c for c, b in byte_characters().items()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            text = word.decode().lower()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0300"):
+                ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode())))]
+            else:
+                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            value = array(self.code, ids).tobytes()
+        self[word] = value
+        return value
+
+    def bounded(self) -> None:
         if len(self) > MEMO_WORDS:
             self.older = dict(self)
             self.clear()
-        other = []
-        for w in words:
-            if w not in self:
-                known = self.older.get(w)
-                if known is not None:
-                    self[w] = known
-                elif w.isalpha() and w.islower():
-                    self[w] = np.array([t.id for t in self.model.tokenize(w.decode())], self.dtype).tobytes()
-                else:
-                    other.append(w)
-        for k in range(0, len(other), 4096):
-            part = other[k : k + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, encoded):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int) -> DataFrame:
@@ -106,9 +106,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_si
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [split_words(t) for t in part.column(1).to_pylist()]
-                memo.fill(set().union(*texts))
-                ids = [b"".join(map(memo.__getitem__, words)) + end for words in texts]
+                memo.bounded()
+                ids = [b"".join(map(memo.__getitem__, split_words(t))) + end for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
@@ -122,8 +121,8 @@ def token_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocab_size)
+            for at in range(0, batch.num_rows, 512):
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), dtype), minlength=vocab_size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
@@ -262,7 +261,7 @@ def read_store(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
     """One row per document: doc_id, start (ids of all documents before it), ids (little-endian
     unsigned 32-bit integers). Blocks are decoded independently of each other."""
     lengths = np.zeros(vocab_size, np.uint8)
-    for row in spark.read.parquet(f"{path}/codebook").collect():
+    for row in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect():
         lengths[row["id"]] = row["bits"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +277,7 @@ def read_store(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
                     own = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends[cut].tolist(), counts[cut].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][cut], pa.int64()), pa.array(starts[cut], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     #: One row per written file: no more than the partitions of the write.
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
