@@ -29,6 +29,8 @@ MEMO_WORDS = 250_000
 _WS = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokenizer's pattern (fixed value), with its white space spelt out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+#: White space in a row, or other than blanks and line ends.
+_ODD = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 _RUNS = {"letters": r"\p{L}*", "numbers": r"\p{N}*", "other": rf"[^{_WS}\p{{L}}\p{{N}}]*", "space": rf"[{_WS}]*"}
 
 
@@ -41,21 +43,34 @@ def byte_characters() -> dict[str, int]:
     return out
 
 
+def _read(path: str) -> tuple[dict, dict[str, int], dict[str, int]]:
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    return data, byte_characters(), data["model"]["vocab"]
+
+
+def _specials(data: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in data["added_tokens"]}
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for."""
+    data, by_char, vocab = _read(path)
+    specials = _specials(data)
+    out = [b""] * (max([*vocab.values(), *specials.values()]) + 1)
+    for token, k in vocab.items():
+        out[k] = bytes(by_char[c] for c in token) if all(c in by_char for c in token) else token.encode()
+    for token, k in specials.items():
+        out[k] = token.encode()
+    return out
+
+
 class Vocabulary:
     """Bytes of every id, the ids of single bytes, ranked merges, special texts, the lookahead."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        by_char = byte_characters()
-        vocab = data["model"]["vocab"]
-        self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
-        size = max([*vocab.values(), *self.specials.values()]) + 1
-        self.bytes = [b""] * size
-        for token, k in vocab.items():
-            self.bytes[k] = bytes(by_char[c] for c in token) if all(c in by_char for c in token) else token.encode()
-        for token, k in self.specials.items():
-            self.bytes[k] = token.encode()
+        data, by_char, vocab = _read(path)
+        self.specials, self.bytes = _specials(data), token_bytes(path)
         self.byte_ids = [0] * 256
         for char, b in by_char.items():
             self.byte_ids[b] = vocab[char]
@@ -63,6 +78,8 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[left], vocab[right]] = rank, vocab[left + right]
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made, self.none = [made for _, made in self.merges.values()], len(self.merges)
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -86,19 +103,19 @@ class Vocabulary:
     def merge(self, raw: bytes) -> list[int]:
         """The tokens of a short run of bytes: the merge of least rank first, leftmost first."""
         ids = [self.byte_ids[b] for b in raw]
-        merges, none = self.merges, (1 << 30, 0)
-        found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
+        ranks, none = self.ranks, self.none
+        found = [ranks.get(pair, none) for pair in zip(ids, ids[1:])]
         while found:
             best = min(found)
-            if best is none or best[0] == none[0]:
+            if best == none:
                 break
             k = found.index(best)
-            ids[k : k + 2] = [best[1]]
+            ids[k : k + 2] = (self.made[best],)
             del found[k]
             if k < len(found):
-                found[k] = merges.get((ids[k], ids[k + 1]), none)
+                found[k] = ranks.get((ids[k], ids[k + 1]), none)
             if k:
-                found[k - 1] = merges.get((ids[k - 1], ids[k]), none)
+                found[k - 1] = ranks.get((ids[k - 1], ids[k]), none)
         return ids
 
     def merge_window(self, raw: bytes) -> list[int]:
@@ -175,8 +192,6 @@ class Encoder:
         self.v = vocabulary
         self.pattern = regex.compile(PATTERN)
         self.space = regex.compile(rf"[{_WS}]")
-        #: Two white-space characters in a row, or one that isn't a blank or line end.
-        self.odd = regex.compile(rf"[{_WS}]{{2}}|(?![ \n])[{_WS}]")
         self.runs = {k: regex.compile(p) for k, p in _RUNS.items()}
         self.hold = max([1, *(len(x) for x in self.v.specials)])
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.v.specials, key=len, reverse=True)) + ")") if self.v.specials else None
@@ -201,7 +216,7 @@ class Encoder:
         No pre-token goes on over a single blank or line end between other characters, so the
         text is cut there and each piece is looked up.
         """
-        if self.odd.search(text) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
             return self._piece(text)
         for memo in (self.tokens, self.first, self.later):
             memo.bounded()
@@ -303,8 +318,8 @@ class Decoder:
     """Ids in, text out. An incomplete character waits for its next byte; bytes that can't be
     text come out as U+FFFD, as does what is incomplete at the end."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.bytes = vocabulary.bytes
+    def __init__(self, bytes_of: list[bytes]):
+        self.bytes = bytes_of
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
@@ -339,7 +354,7 @@ def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, text) of every row (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Vocabulary(tokenizer_path))
+        decoder = Decoder(token_bytes(tokenizer_path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -353,10 +368,14 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of `docs`."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(token_bytes(tokenizer_path))
         for batch in batches:
-            ids, text = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = part.column(1).to_pylist()
+                text = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(text)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = decode_documents(encode_documents(docs, tokenizer_path), tokenizer_path)
+    rows = encode_documents(docs, tokenizer_path)
     return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
