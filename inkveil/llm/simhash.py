@@ -250,73 +250,152 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2) -> DataFrame:
     return rows.join(names, "word").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of six lanes tell similarities near 0.8 apart well enough, where 64 bits don't.
-WIDE_LANES = 6
-#: Odds, at most, that two fingerprints just similar enough agree on none of the chosen groups.
-MISS = 0.02
-#: Rows that a bucket of a wide fingerprint's group should hold on average.
-BUCKET_ROWS = 64
-
+#: Values of a sketch that make one key: texts agree on a key at odds of their similarity ** BAND.
+BAND = 5
+#: Odds, at most, that two texts just similar enough share no key.
+MISS = 1e-8
+#: Pairs whose estimate is further below the similarity than so many standard deviations are let go.
+DEVIATIONS = 5.5
+#: Pairs of texts that a cell of the exact comparison should hold on average.
+CELL_PAIRS = 2048
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes, of the words that fingerprint() takes."""
+    w = text.encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    shingles = {b" ".join(w)} if len(w) <= words else set(map(b" ".join, zip(*(w[k:] for k in range(words)))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
 
-def distance_at(similarity: float, n_bits: int) -> float:
-    """Differing bits to expect of two equally large shingle sets of that Jaccard similarity."""
-    return n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
+def bands_for(similarity: float) -> int:
+    """Keys that a sketch needs so that texts of that similarity are missed at odds of MISS."""
+    if similarity >= 1:
+        return 1
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND))))
 
-def wide_groups(distinct: DataFrame, n_bits: int, tau: int) -> list[list[int]]:
-    """Groups of bits on which pairs are to agree, for thresholds too large to be pigeonholed.
 
-    Of the disjoint groups of correlated bits, those with the fewest candidates get the threshold
-    0 and the others none, until a pair of `tau` differing bits is missed at odds of MISS; where
-    the disjoint groups don't do, random ones are added.
-    """
-    n, single, both = bit_moments(distinct, n_bits)
-    width = min(30, max(8, round(math.log2(max(n / BUCKET_ROWS, 1)))))
-    need = math.ceil(math.log(MISS) / math.log1p(-((1 - tau / n_bits) ** width)))
-    groups = correlated_groups(n, single, both, n_bits // width)
-    p = single / max(n, 1)
-    same = np.log(np.maximum(1 - 2 * p * (1 - p), 1e-9))
-    groups.sort(key=lambda bits: same[bits].sum())
+def sketch(own: np.ndarray, bands: int) -> np.ndarray:
+    """The least value of the shingles under each of bands * BAND hash functions."""
     rng = np.random.default_rng(SEED)
-    while len(groups) < need:
-        groups.append(sorted(rng.choice(n_bits, width, replace=False).tolist()))
-    return groups[:need]
+    first, second = (rng.integers(0, 1 << 31, (bands * BAND, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+    least = np.full(bands * BAND, 0xFFFFFFFF, np.uint32)
+    low, high = own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, (low[at : at + 1024] * first + high[at : at + 1024] * second).min(1))
+    return least
 
 
-def wide_links(distinct: DataFrame, n_bits: int, tau: int) -> DataFrame:
-    """Edges (a, b) between ids of fingerprints (id, fp) that differ in at most `tau` bits."""
-    groups = wide_groups(distinct, n_bits, tau)
+def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
+    """(row, doc_id, th, fp, keys, sketch, shingles) of every text; null texts count as empty.
+
+    `fp` is a 128-bit hash of the set of shingles, `sketch` a byte of each of the sketch's values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, n_bits // 8)
-                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-                keys = np.stack([bits[:, own] @ (1 << np.arange(len(own))) for own in groups], 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "payload", "keys"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
+                least = [sketch(x, bands) for x in sets]
+                keys = [[xxhash.xxh64_intdigest(x[k * BAND : k * BAND + BAND].tobytes(), k) - (1 << 63) for k in range(bands)] if len(own) else [] for x, own in zip(least, sets)]
+                own = [x.tobytes() for x in sets]
+                columns = [part.column(0), part.column(1), part.column(2), pa.array([xxhash.xxh128_digest(x) for x in own], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(own, pa.binary())], ["row", "doc_id", "th", "fp", "keys", "sketch", "shingles"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, th long, fp binary, keys array<long>, sketch binary, shingles binary")
 
-    rows = distinct.select("id", "fp").mapInArrow(run, "id long, payload binary, keys array<long>")
-    rows = rows.select("id", "payload", F.posexplode("keys").alias("tag", "key"))
-    return compare(in_blocks(rows), spanning_links(tau), n_bits // 8)
 
+def similar_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, shingles) have a Jaccard similarity of at least `similarity`.
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDE_LANES) -> DataFrame:
+    Pairs are dealt to a square of cells by their ends, so that a cell gets each set just once
+    however many pairs of it there are.
+    """
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    side = max(16, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
+    dealt = pairs.withColumn("x", F.pmod(F.xxhash64("a"), F.lit(side)).cast("int")).withColumn("y", F.pmod(F.xxhash64("b"), F.lit(side)).cast("int"))
+    ends = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = ends.join(sets, "id").select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), "id", "shingles")
+
+    def run(own: pa.Table, held: pa.Table) -> pa.Table:
+        found = {k: np.frombuffer(v, np.uint64) for k, v in zip(held.column("id").to_pylist(), held.column("shingles").to_pylist())}
+        out = []
+        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
+            x, y = found[a], found[b]
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1:
+                continue
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            if shared / (len(both) - shared) >= similarity:
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.groupBy("x", "y").cogroup(needed.groupBy("to_x", "to_y")).applyInArrow(run, "a long, b long")
+
+
+def estimated_pairs(least: int):
+    """Within a pair of blocks, the pairs of two components that share `least` bytes of sketches."""
+
+    def links(tag: int, ids: np.ndarray, own: np.ndarray, payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        component = np.ascontiguousarray(payload[:, :8]).view(">i8").reshape(-1)
+        values, sizes = np.unique(component, return_counts=True)
+        open_, a, b = np.ones(len(ids), bool), [ids[:0]], [ids[:0]]
+        for k in np.flatnonzero(component != values[sizes.argmax()]):
+            open_[k] = False
+            other = np.flatnonzero(open_ & (component != component[k]))
+            near = other[np.count_nonzero(payload[other, 8:] == payload[k, 8:], axis=1) >= least]
+            a.append(np.full(len(near), ids[k]))
+            b.append(ids[near])
+        return np.concatenate(a), np.concatenate(b)
+
+    return links
+
+
+def similar_links(distinct: DataFrame, sets: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """Edges (a, b) that connect the same ids as all pairs of at least that similarity do.
+
+    distinct: id, keys, sketch. Texts that share a key are candidates. First each is held against
+    the text of its bucket that most others share buckets with, so that a large group is linked by
+    few pairs; then all pairs of a bucket that are not connected yet are compared. Every edge is
+    decided by the exact similarity.
+    """
+    keyed = distinct.select("id", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(keyed.join(sizes, "key"), "members")
+    fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
+    tops = members.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).alias("top")).select("key", F.col("top.id").alias("b"))
+    stars = members.join(tops, "key").select(F.col("id").alias("a"), "b").where("a <> b")
+    links = written(similar_enough(stars, sets, similarity), "links")
+    labelled = members.join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    payload = F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "sketch")
+    rows = labelled.join(mixed, "key").join(distinct.select("id", "sketch"), "id").select(F.lit(0).alias("tag"), "key", "id", payload.alias("payload"))
+    values = bands * BAND
+    least = math.floor(values * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / values)))
+    pairs = compare(in_blocks(rows), estimated_pairs(least), 8 + values)
+    return links.unionByName(similar_enough(pairs, sets, similarity))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, one of each group of near-duplicates: the smallest doc_id's.
 
-    Two texts are near-duplicates if their fingerprints differ in no more bits than texts of that
-    similarity do, give or take one standard deviation. Equal texts always are; so are all texts
-    without words. A null doc_id comes last; rows that repeat a doc_id come in the order of their
-    texts' hashes.
+    Two texts are near-duplicates if the Jaccard similarity of their distinct shingles is
+    `similarity` or more, and groups are what such pairs connect. Equal texts always are; so are
+    all texts without words. A null doc_id comes last; rows that repeat a doc_id come in the order
+    of their texts' hashes.
     """
-    n_bits = 64 * lanes
-    far = distance_at(similarity, n_bits)
-    tau = round(far + math.sqrt(far * (1 - far / n_bits)))
+    bands = bands_for(similarity)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    rows = written(fingerprints(docs, words, lanes).drop("word"), "fps")
-    distinct = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    found = connected_components(wide_links(distinct, n_bits, tau))
+    rows = written(sketches(docs, words, bands), "sketches")
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("first"), F.min("row").alias("id"))
+    distinct = written(distinct, "distinct")
+    sketched = rows.select(F.col("row").alias("id"), "keys", "sketch").join(distinct.select("id"), "id", "left_semi")
+    sets = rows.select(F.col("row").alias("id"), "shingles")
+    found = connected_components(similar_links(sketched, sets, similarity, bands))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_row_id"), F.xxhash64(text_of(docs)).alias("_row_th"))
