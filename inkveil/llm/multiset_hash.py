@@ -1,8 +1,8 @@
 """Operator 4: a homomorphic multiset hash of a text's paragraphs.
 
 Each paragraph (line) has a wide vector: two 64-bit hashes of the whole paragraph as four lanes,
-and 128 lanes that add, over the paragraph's pieces of PIECE words, 1 for each set bit of two
-hashes of the piece and take away 1 for each other bit. A text's fingerprint is the sum of its
+and 128 lanes that add, over the paragraph's pieces (every PIECE words in a row), 1 for each set bit
+of two hashes of the piece and take away 1 for each other bit. A text's fingerprint is the sum of its
 paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs doesn't matter,
 and adding or removing one adds or subtracts its vector. The signed lanes of two fingerprints estimate how alike the texts' multisets of pieces are.
 """
@@ -24,7 +24,10 @@ _PAIR = (1 << 32) | 1
 def element_hashes(text: str) -> str:
     """SQL for the hashes of column `text`: paragraphs, the same salted, then pieces."""
     lines = f"filter(split({text}, '\\n'), x -> x <> '')"
-    pieces = rf"regexp_extract_all({text}, '\\S+(?:[^\\S\\n]+\\S+){{0,{PIECE - 1}}}', 0)"
+    #: A line of at most PIECE words is one piece; a longer one has a piece for each start.
+    starts = f"sequence(1, greatest(size(w) - {PIECE - 1}, 1))"
+    words = rf"filter(transform(split({text}, '\\n'), x -> regexp_extract_all(x, '\\S+', 0)), w -> size(w) > 0)"
+    pieces = f"flatten(transform({words}, w -> transform({starts}, k -> array_join(slice(w, k, {PIECE}), ' '))))"
     return f"concat(transform({lines}, x -> xxhash64(x)), transform({lines}, x -> xxhash64('paragraph', x)), transform({pieces}, x -> xxhash64(x)))"
 
 
