@@ -3,7 +3,7 @@
 Each paragraph (line) has a wide vector: two 64-bit hashes of the whole paragraph as four lanes,
 and 128 lanes that add, over the paragraph's pieces (every PIECE words in a row), 1 for each set bit
 of two hashes of the piece and take away 1 for each other bit. A text's fingerprint is the sum of its
-paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs doesn't matter,
+paragraphs' vectors, each lane modulo 2^32. So the order of paragraphs doesn't matter,
 and adding or removing one adds or subtracts its vector. The signed lanes of two fingerprints estimate how alike the texts' multisets of pieces are.
 """
 
@@ -50,25 +50,23 @@ def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def packed(columns: dict[str, str]) -> Column:
-    """The lanes as one array of longs: 4 of 32 bits, the two counts, then 128 of 16 bits."""
+    """The lanes as one array of longs: 4 sums, the two counts, then 128 signed ones, each modulo 2^32."""
     c = lambda name: F.col(columns.get(name, name))
     out = [F.pmod(c(x), F.lit(1 << 32)) for x in ("a0", "a1", "b0", "b1", "paragraphs", "pieces")]
     counts = [c(x).bitwiseAND(F.lit((1 << 32) - 1)) for x in _LANES] + [F.shiftrightunsigned(c(x), 32) for x in _LANES]
-    out += [F.pmod(2 * n - c("pieces"), F.lit(1 << 16)) for n in counts]
+    out += [F.pmod(2 * n - c("pieces"), F.lit(1 << 32)) for n in counts]
     return F.array(*out)
 
 
 def as_text(lanes: str) -> Column:
-    """Six lanes as 8 hex digits each, then 128 as 4 each: equal just where all lanes are."""
-    wide = F.transform(F.slice(lanes, 1, 6), lambda x: F.lpad(F.hex(x), 8, "0"))
-    narrow = F.transform(F.slice(lanes, 7, 128), lambda x: F.lpad(F.hex(x), 4, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(narrow, "")))
+    """The 134 lanes as 8 hex digits each: equal just where all lanes are."""
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: str, b: str) -> Column:
     """Twice what the texts' multisets of pieces share by what they hold, as estimated: the product
     of the signed lanes by the mean of their squares; 0 where that is negative."""
-    signed = lambda x: f"cast(if({x} >= 32768, {x} - 65536, {x}) as double)"
+    signed = lambda x: f"cast(if({x} >= 2147483648, {x} - 4294967296, {x}) as double)"
     both = f"arrays_zip(slice({a}, 7, 128), slice({b}, 7, 128))"
     pairs = f"transform({both}, z -> named_struct('x', {signed("z['0']")}, 'y', {signed("z['1']")}))"
     sums = f"aggregate({pairs}, named_struct('p', 0D, 'q', 0D), (acc, z) -> named_struct('p', acc.p + 2 * z.x * z.y, 'q', acc.q + z.x * z.x + z.y * z.y), acc -> if(acc.q > 0, greatest(0D, acc.p / acc.q), 0D))"
@@ -113,12 +111,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def inserted(lanes: str, more: str) -> Column:
     """The lanes after adding a paragraph's (or a text's) own lanes."""
-    return F.expr(f"transform({lanes}, (x, k) -> pmod(x + {more}[k], if(k < 6, 4294967296L, 65536L)))")
+    return F.expr(f"transform({lanes}, (x, k) -> pmod(x + {more}[k], 4294967296L))")
 
 
 def deleted(lanes: str, less: str) -> Column:
     """The lanes after taking a paragraph's (or a text's) own lanes away."""
-    return F.expr(f"transform({lanes}, (x, k) -> pmod(x - {less}[k], if(k < 6, 4294967296L, 65536L)))")
+    return F.expr(f"transform({lanes}, (x, k) -> pmod(x - {less}[k], 4294967296L))")
 
 
 def compared(docs: DataFrame) -> DataFrame:

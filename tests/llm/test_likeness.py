@@ -13,3 +13,8 @@ def test_a_word_put_in_front_of_a_line_changes_little(spark):
     got = likeness(spark, text, "new " + text)
     print("likeness", got)
     assert got > 0.95
+
+
+def test_a_piece_repeated_very_often_does_not_wrap(spark):
+    got = likeness(spark, "a b\n" * 50000, "a b\n" * 25000)
+    assert abs(got - 0.8) < 1e-6
