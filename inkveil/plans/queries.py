@@ -14,9 +14,8 @@ from inkveil.operators import detectors, entities, evaluate, hidden, layout, loc
 from inkveil.plans import derived, pipeline
 from inkveil.sources import pages as sources
 
-#: The detectors that find anything in the given texts.
+#: The types looked for in HTML pages.
 TEXT_TYPES = ["Email", "IP Address", "Credit Card", "Phone"]
-TEXT_DETECTORS = [p for p in detectors.DETECTORS if p.type in TEXT_TYPES or p.type is None]
 
 
 def _sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
@@ -83,11 +82,11 @@ def note_entities(spark, folder):
 
 
 def claimed_entities(spark, folder):
-    return detectors.pattern_entities(sources.document_pages(spark, folder), TEXT_DETECTORS)
+    return detectors.pattern_entities(sources.document_pages(spark, folder))
 
 
 def _source_entities(spark, folder):
-    return pipeline.detect(sources.source_pages(spark, folder), patterns=TEXT_DETECTORS)
+    return pipeline.detect(sources.source_pages(spark, folder))
 
 
 def first_seen_entities(spark, folder):
@@ -120,7 +119,7 @@ def category_rollup(spark, folder):
 
 def _document_spans(spark, folder):
     pages = sources.document_pages(spark, folder)
-    return redact.span_union(locate.locate(pipeline.detect(pages, patterns=TEXT_DETECTORS), pages))
+    return redact.span_union(locate.locate(pipeline.detect(pages), pages))
 
 
 def redaction_spans(spark, folder):
@@ -316,7 +315,7 @@ def _expected(spark, folder):
 
 def evaluated_documents(spark, folder):
     pages = sources.document_pages(spark, folder)
-    found = pipeline.detect(pages, patterns=TEXT_DETECTORS)
+    found = pipeline.detect(pages)
     done = pipeline.redact(pages, found).select("doc_id", "page", F.col("redacted_text").alias("text"))
     return evaluate.evaluate_documents(_expected(spark, folder), found.where("approved"), pages, done)
 
