@@ -26,7 +26,8 @@ from inkveil.llm.common import shuffle_partitions, text_of, written
 #: Tokens between two bit-offset checkpoints, and the tokens after which a block is closed.
 STEP = 128
 BLOCK_TOKENS = 1 << 17
-#: No code is longer, so that one table of 2**MAX_BITS entries decodes every id.
+#: No code is longer, so that one table of 2**MAX_BITS entries decodes every id; only where more
+#: ids than that are used are codes as many bits longer as it takes to tell them apart.
 MAX_BITS = 16
 #: Words remembered with their ids by each Python worker; beyond it half of them go.
 MEMO_WORDS = 400_000
@@ -37,20 +38,19 @@ _BLOCKS = (
 )
 
 
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: Letters and then ASCII marks other than the apostrophe: two pre-tokens, whatever they are.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _BELOW_0300 = bytes(range(0xCC))
 
 
-def split_words(text: str) -> list[bytes]:
-    """The text cut at ASCII white space, over which the pre-tokenizer never joins characters.
+def split_words(raw: bytes) -> list[bytes]:
+    """A text's UTF-8 bytes cut at ASCII white space, over which no pre-token goes on.
 
     Where no character can combine with another (all are below U+0300) and no special token can
-    arise, lower case and a cut before the mark that ends a word leave the ids as they are, and
-    leave fewer words to tell apart.
+    arise, lower case leaves the ids as they are, and leaves fewer words to tell apart.
     """
-    raw = text.encode()
     if b"<|" not in raw and not raw.translate(None, _BELOW_0300):
-        raw = _STOP.sub(rb" \1", raw.lower())
+        raw = raw.lower()
     return raw.split()
 
 
@@ -58,8 +58,9 @@ class WordMemo(dict):
     """Ids of words, as bytes, from the tokenizers library; a new word is encoded once.
 
     Words of letters below U+0300, in lower case, are one pre-token that the normalizer leaves as
-    it is, so their bytes go to the library's model at once. Full memory becomes the older half,
-    from which words in use come back, so that memory stays bounded.
+    it is, so their bytes go to the library's model at once; so do a word and the marks after it,
+    each by itself. Full memory becomes the older half, from which words in use come back, so that
+    memory stays bounded.
     """
 
     def __init__(self, tokenizer_path: str, dtype: str):
@@ -74,19 +75,33 @@ class WordMemo(dict):
         self.code = "H" if dtype == "<u2" else "I"
         self.older: dict[bytes, bytes] = {}
         self.shown = {b: c for c, b in byte_characters().items()}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         value = self.older.get(word)
         if value is None:
-            text = word.decode().lower()
-            if text.isalpha() and (text.isascii() or max(text) < "\u0300"):
-                ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode())))]
-            else:
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            value = array(self.code, ids).tobytes()
+            value = self._encode(word.decode().lower(), word)
         self[word] = value
         return value
 
+    def _model(self, token: str) -> bytes:
+        if not token.isascii():
+            token = token.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(token)]).tobytes()
+
+    def _encode(self, text: str, word: bytes) -> bytes:
+        if text.isascii() or max(text) < "\u0300":
+            if text.isalpha():
+                return self._model(text)
+            if found := _MARKED.fullmatch(text):
+                letters, marks = found.groups()
+                if marks not in self.marks:
+                    if len(self.marks) > MEMO_WORDS:
+                        self.marks.clear()
+                    self.marks[marks] = self._model(marks)
+                return self[letters.encode()] + self.marks[marks]
+        return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
     def bounded(self) -> None:
         if len(self) > MEMO_WORDS:
             self.older = dict(self)
@@ -110,7 +125,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_si
                 ids = [b"".join(map(memo.__getitem__, split_words(t))) + end for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
@@ -134,14 +149,16 @@ def token_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most `limit` bits (package-merge); 0 for ids that don't occur."""
+    """Optimal code lengths of at most `limit` bits (package-merge); 0 for ids that don't occur.
+
+    Where more than 2**limit ids occur, the limit is the least that they fit in.
+    """
     used = np.flatnonzero(counts)
+    limit = max(limit, (len(used) - 1).bit_length())
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids don't fit codes of {limit} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.float64)
     level, is_leaf = leaves, [np.ones(len(leaves), bool)]

@@ -74,10 +74,10 @@ def test_code_lengths_are_optimal_without_a_limit():
 def test_words_apart_are_encoded_as_whole_texts():
     memo = token_store.WordMemo(public_tokenizers.path("word_bpe_49k.json"), "<u2")
     rng = random.Random(3)
-    parts = [*"abCDzÉéßİıſKÅ 's't . , \n\t!?…12٣ ́̊W\x1c\x85\xa0漢🙂", "<|endoftext|>", "<|STARTOFTEXT|>", "'s.", "it's. ", "a.. ", "\r\n"]
+    parts = [*"abCDzÉéßİıſKÅ 's't . , \n\t!?…12٣ ́̊W\x1c\x85\xa0漢🙂", "<|endoftext|>", "<|STARTOFTEXT|>", "'s.", "it's. ", "a.. ", "\r\n", "é%%% ", "ab,&&& ", "x_ ", "Ω.", "ab'. ", "ª$"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, token_store.split_words(text))), "<u2").tolist()
+        ids = np.frombuffer(b"".join(map(memo.__getitem__, token_store.split_words(text.encode()))), "<u2").tolist()
         assert ids == memo.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
