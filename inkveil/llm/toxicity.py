@@ -11,45 +11,80 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import text_of, written
 
-#: Bounds of the sample of labelled documents that the field is fitted on, by label.
+#: Bounds of the sample of labelled documents that the field is fitted on: texts, and words of all
+#: of them, of each label. A text of more than a tenth of those words isn't taken, so that it doesn't
+#: keep out all others.
 TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 2500
+TRAIN_WORDS = 1_500_000
 #: Features kept to label words with, and weights of the field.
 LEXICON = 20_000
 WEIGHTS = 1 << 17
 ROUNDS = 25
+#: Words whose marginals are worked out at once while fitting.
+FIT_WORDS = 1 << 17
 #: Words remembered with their weights by each Python worker; beyond it the memory starts anew.
 MEMO_WORDS = 250_000
 BLOCK = 64
-_EDGE = re.compile(r"^\W+|\W+$")
-
-
-def crc(kind: str, text: str) -> int:
-    return zlib.crc32(f"{kind}:{text}".encode()) % WEIGHTS
+#: Marks that don't count at the ends of a word.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u3001\u3002"
+#: Characters of a word that features are hashed from; a longer one is told by its ends and its crc.
+_LONG = 40
+#: The slot of a feature that a word doesn't have (its weight stays 0), and that of every word.
+_NONE, _BIAS = WEIGHTS, WEIGHTS + 1
+_SLOTS = WEIGHTS + 2
+_POWERS = np.cumprod(np.full(_LONG + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def stems(word: str) -> list[str]:
     """The word and its first 3, 4 and 5 letters, as features to label words with."""
-    w = _EDGE.sub("", word)
+    w = word.strip(_MARKS)
     return [f"w:{w}", *(f"{k}:{w[:k]}" for k in (3, 4, 5) if len(w) > k)] if w else []
 
 
-def own_features(word: str) -> list[int]:
-    w = _EDGE.sub("", word)
-    found = [crc("bias", "")]
-    if w:
-        found += [crc("w", w), crc("end", w[-3:])] + [crc(str(k), w[:k]) for k in (3, 4, 5) if len(w) > k]
-    return found
+def features(words: list[str]) -> np.ndarray:
+    """Slots of every word's features: the word, its last 3 letters, its first 3, 4 and 5, the one
+    that every word has; then those that it is to the word after it and to the word before it."""
+    bare = [w.strip(_MARKS) for w in words]
+    bare = [w if len(w) <= _LONG else f"{w[:20]}{zlib.crc32(w.encode()):08x}{w[-3:]}" for w in bare]
+    out = np.full((len(bare), 8), _NONE, np.int32)
+    out[:, 5] = _BIAS
+    if not bare:
+        return out
+    text = np.array(bare, dtype=f"<U{max(1, max(map(len, bare)))}")
+    codes = text.view(np.uint32).reshape(len(bare), -1).astype(np.uint64)
+    n = (codes > 0).sum(1)
+    sums = np.cumsum(codes * _POWERS[: codes.shape[1]], axis=1, dtype=np.uint64)
+    whole = sums[:, -1]
+    row = np.arange(len(bare))
+    last = sum(codes[row, np.maximum(n - 1 - k, 0)] * (n > k) * _POWERS[k] for k in range(3))
+
+    def slot(kind: int, x: np.ndarray) -> np.ndarray:
+        x = (x ^ np.uint64(kind * 0x9E3779B1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(40)).astype(np.int32) % WEIGHTS
+
+    some = n > 0
+    out[some, 0], out[some, 1] = slot(1, whole)[some], slot(2, last)[some]
+    for k in (3, 4, 5):
+        if codes.shape[1] > k:
+            longer = n > k
+            out[longer, k - 1] = slot(k, sums[:, k - 1])[longer]
+    out[:, 6], out[:, 7] = slot(6, whole), slot(7, whole)
+    return out
 
 
 @dataclass
@@ -146,82 +181,112 @@ def _fit_curve(signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], lexicon: dict[str, float]) -> Field:
     """Fits the field on bounded samples by gradient ascent with a step for each weight.
 
-    Without words, or features that tell toxic texts apart, the field scores every text alike, low.
+    Marginals are worked out for FIT_WORDS words (or one longer text) at a time, so that memory
+    follows the sample's distinct words. Without words, or features that tell toxic texts apart,
+    the field scores every text alike, low.
     """
-    words = [t.lower().split() for t in texts]
-    bounds = np.cumsum([0, *map(len, words)])
-    n = int(bounds[-1])
-    field = Field(np.zeros(WEIGHTS), np.zeros((2, 2)), np.zeros(2), np.array([-4.0, 0.0, 0.0]))
-    if not n or not lexicon:
-        return field
-    flat = [w for own in words for w in own]
     number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in flat], np.int64)
+    ids, bounds = array("i"), [0]
+    for text in texts:
+        ids.extend([number.setdefault(w, len(number)) for w in text.lower().split()])
+        bounds.append(len(ids))
+    field = Field(np.zeros(_SLOTS), np.zeros((2, 2)), np.zeros(2), np.array([-4.0, 0.0, 0.0]))
+    if not ids or not lexicon:
+        return field
+    ids, bounds = np.frombuffer(ids, np.int32), np.array(bounds)
     gain = np.array([max((lexicon.get(s, 0.0) for s in stems(w)), default=0.0) for w in number])
-    own = [own_features(w) for w in number]
-    lengths = np.array([len(x) for x in own])
-    cells, of = np.concatenate(own), np.repeat(np.arange(len(own)), lengths)
-    before, after = np.array([crc("prev", _EDGE.sub("", w)) for w in number]), np.array([crc("next", _EDGE.sub("", w)) for w in number])
-    first, last = np.zeros(n, bool), np.zeros(n, bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    truth = np.zeros(n)
-    for k, label in enumerate(labels):
-        if label and bounds[k + 1] > bounds[k]:
-            g = gain[ids[bounds[k] : bounds[k + 1]]]
-            truth[bounds[k] : bounds[k + 1]] = (g >= max(10.0, 0.3 * g.max()))
-    seen = [np.zeros(WEIGHTS), np.zeros((2, 2)), np.zeros(2)]
+    words = list(number)
+    cells = np.concatenate([features(words[k : k + 50_000]) for k in range(0, len(words), 50_000)])
+    del number, words
+    first = np.zeros(len(ids) + 1, bool)
+    first[bounds] = True
+    truth = np.zeros(len(ids), bool)
+    for k in np.flatnonzero(np.array(labels, bool) & (np.diff(bounds) > 0)):
+        g = gain[ids[bounds[k] : bounds[k + 1]]]
+        truth[bounds[k] : bounds[k + 1]] = g >= max(10.0, 0.3 * g.max())
+    parts = [0]
+    for k in range(1, len(bounds)):
+        if bounds[k] - bounds[parts[-1]] > FIT_WORDS and parts[-1] < k - 1:
+            parts.append(k - 1)
+    parts.append(len(bounds) - 1)
+    pieces = list(zip(parts, parts[1:]))
+    seen = [np.zeros(_SLOTS), np.zeros((2, 2)), np.zeros(2)]
     for _ in range(ROUNDS):
-        emission, alpha, beta, steps = _pass(field, ids, cells, of, before, after, first, last)
-        p = marginals(alpha, beta)
-        pull = truth - p
-        by_word = np.bincount(ids, pull, len(own))
-        grad = np.bincount(cells, by_word[of], WEIGHTS)
-        grad += np.bincount(before, np.bincount(ids[:-1], pull[1:] * ~first[1:], len(own)), WEIGHTS)
-        grad += np.bincount(after, np.bincount(ids[1:], pull[:-1] * ~last[:-1], len(own)), WEIGHTS)
-        inner = np.flatnonzero(~first)
-        pair = alpha[inner - 1][:, :, None] * steps[inner] * beta[inner][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        y = truth.astype(int)
-        found = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
-        begun = np.array([(1 - truth[first]).sum(), truth[first].sum()]) - np.array([(1 - p[first]).sum(), p[first].sum()])
-        for value, slope, square in zip((field.weights, field.moves, field.start), (grad - 0.01 * field.weights, found - pair.sum(0) - 0.01 * field.moves, begun - 0.01 * field.start), seen):
+        scores = word_scores(field, cells)
+        by_word = np.zeros((3, len(cells)))
+        moved, begun = np.zeros((2, 2)), np.zeros(2)
+        for a, z in pieces:
+            own, top = ids[bounds[a] : bounds[z]], first[bounds[a] : bounds[z] + 1]
+            y = truth[bounds[a] : bounds[z]].astype(int)
+            steps = field.steps(emissions(scores, own, top), top[:-1])
+            alpha, beta = forward_backward(steps)
+            p = marginals(alpha, beta)
+            pull = y - p
+            by_word[0] += np.bincount(own, pull, len(cells))
+            by_word[1] += np.bincount(own[:-1], pull[1:] * ~top[1:-1], len(cells))
+            by_word[2] += np.bincount(own[1:], pull[:-1] * ~top[1:-1], len(cells))
+            inner = np.flatnonzero(~top[:-1])
+            pair = alpha[inner - 1][:, :, None] * steps[inner] * beta[inner][:, None, :]
+            pair /= pair.sum((1, 2), keepdims=True)
+            moved += np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2) - pair.sum(0)
+            starts = pull[top[:-1]].sum()
+            begun += [-starts, starts]
+        grad = sum(np.bincount(cells[:, k], by_word[max(0, k - 5)], _SLOTS) for k in range(8))
+        grad[_NONE] = 0
+        for value, slope, square in zip((field.weights, field.moves, field.start), (grad - 0.01 * field.weights, moved - 0.01 * field.moves, begun - 0.01 * field.start), seen):
             square += slope * slope
             value += 0.7 * slope / np.sqrt(square + 1e-6)
-    _, alpha, beta, _ = _pass(field, ids, cells, of, before, after, first, last)
-    signs = document_signs(marginals(alpha, beta), bounds)
-    field.curve = _fit_curve(signs, np.array(labels, float))
+    scores = word_scores(field, cells)
+    signs = []
+    for a, z in pieces:
+        own, top = ids[bounds[a] : bounds[z]], first[bounds[a] : bounds[z] + 1]
+        odds = marginals(*forward_backward(field.steps(emissions(scores, own, top), top[:-1])))
+        signs.append(document_signs(odds, bounds[a : z + 1] - bounds[a]))
+    field.curve = _fit_curve(np.concatenate(signs), np.array(labels, float))
     return field
 
 
-def _pass(field, ids, cells, of, before, after, first, last):
-    own = np.bincount(of, field.weights[cells])
-    emission = own[ids]
-    emission[1:] += field.weights[before][ids[:-1]] * ~first[1:]
-    emission[:-1] += field.weights[after][ids[1:]] * ~last[:-1]
-    steps = field.steps(emission, first)
-    alpha, beta = forward_backward(steps)
-    return emission, alpha, beta, steps
+def word_scores(field: Field, cells: np.ndarray) -> np.ndarray:
+    """What each word (a row of slots) adds to its own score, the next word's and the last one's."""
+    w = field.weights
+    return np.stack([w[cells[:, :6]].sum(1), w[cells[:, 6]], w[cells[:, 7]]])
+
+
+def emissions(scores: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The score for toxic of each word of texts in a row. `first` has an entry more than `ids`."""
+    out = scores[0][ids]
+    out[1:] += scores[1][ids[:-1]] * ~first[1:-1]
+    out[:-1] += scores[2][ids[1:]] * ~first[1:-1]
+    return out
 
 
 class _Known(dict):
-    """The number of each word in arrays of what it adds to its own and its neighbours' scores."""
+    """The number of each word in `scores`, which `filled` brings up to date."""
 
     def __init__(self, field: Field):
         super().__init__()
         self.field = field
-        self.scores: list[tuple[float, float, float]] = []
+        self.new: list[str] = []
+        self.scores = np.zeros((3, 1 << 16))
 
     def __missing__(self, word: str) -> int:
-        w, bare = self.field.weights, _EDGE.sub("", word)
-        self.scores.append((float(w[own_features(word)].sum()), float(w[crc("prev", bare)]), float(w[crc("next", bare)])))
-        value = self[word] = len(self.scores) - 1
+        value = self[word] = len(self)
+        self.new.append(word)
         return value
 
+    def filled(self) -> np.ndarray:
+        at = len(self) - len(self.new)
+        while self.scores.shape[1] < len(self):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)], axis=1)
+        for k in range(0, len(self.new), 50_000):
+            part = self.new[k : k + 50_000]
+            self.scores[:, at + k : at + k + len(part)] = word_scores(self.field, features(part))
+        self.new.clear()
+        return self.scores
+
     def bounded(self) -> None:
         if len(self) > MEMO_WORDS:
             self.clear()
-            self.scores = []
 
 
 def score_texts(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
@@ -233,14 +298,10 @@ def score_texts(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarr
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     odds = np.zeros(n)
     if n:
-        ids = np.fromiter((k for own in words for k in map(known.__getitem__, own)), np.int64, n)
-        own, before, after = np.array(known.scores).T
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, n)
         first = np.zeros(n + 1, bool)
         first[bounds] = True
-        emission = own[ids]
-        emission[1:] += before[ids[:-1]] * ~first[1:n]
-        emission[:-1] += after[ids[1:]] * ~first[1:n]
-        odds = marginals(*forward_backward(field.steps(emission, first[:n])))
+        odds = marginals(*forward_backward(field.steps(emissions(known.filled(), ids, first), first[:n])))
         hits = np.flatnonzero(odds >= 0.5)
         for k in np.unique(np.searchsorted(bounds, hits, "right") - 1):
             places = [m.span() for m in re.finditer(r"\S+", texts[k])]
@@ -250,17 +311,26 @@ def score_texts(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarr
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of a bounded sample of the labelled documents that aren't held out.
+    """(text, toxic) of a bounded sample of the labelled texts that aren't held out.
 
-    The sample follows a hash of the doc_id. At most TRAIN_TOXIC + TRAIN_CLEAN ids are broadcast.
+    Equal texts are one, and toxic if any of their labels says so; so are rows of `labels` that
+    repeat a doc_id. Rows without a doc_id or a label don't count, nor do null texts. The sample
+    follows a hash of the text: of each label at most TRAIN_TOXIC or TRAIN_CLEAN texts, up to
+    TRAIN_WORDS words together. No text is shuffled; as many hashes as texts are broadcast.
     """
-    usable = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    order = F.xxhash64("doc_id")
-    picked = [usable.where(F.col("toxic") == k).orderBy(order).limit(most) for k, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
-    picked = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "label_id")
-    rows = docs.select(docs["doc_id"].alias("own_id"), text_of(docs).alias("text"))
-    return rows.join(F.broadcast(picked), F.col("own_id") == F.col("label_id")).select("text", "toxic").dropDuplicates(["text"])
+    usable = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    usable = usable.where(F.crc32(F.col("label_id").cast("string")) % 3 != 1)
+    text = docs["text"].cast("string")
+    rows = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"))
+    texts = rows.where(f"n <= {TRAIN_WORDS // 10}").join(usable, F.col("own_id") == F.col("label_id")).groupBy("th").agg(F.max("toxic").alias("toxic"), F.max("n").alias("n"))
+    order = [F.xxhash64("th"), F.col("th")]
+    picked = [texts.where("toxic > 0" if k else "toxic <= 0").orderBy(*order).limit(most) for k, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    #: A window over no more rows than the bounds say.
+    running = F.sum("n").over(Window.partitionBy("toxic").orderBy(*order))
+    picked = picked[0].unionByName(picked[1]).withColumn("toxic", (F.col("toxic") > 0).cast("int")).withColumn("words", running).where(f"words <= {TRAIN_WORDS}")
+    picked = written(picked.select(F.col("th").alias("picked_th"), "toxic"), "picked")
+    own = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("th"), text.alias("text")).join(F.broadcast(picked), F.col("th") == F.col("picked_th"))
+    return own.groupBy("th").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def lexicon_of(rows: DataFrame) -> dict[str, float]:
@@ -287,7 +357,7 @@ def lexicon_of(rows: DataFrame) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """The field, fitted in one task on the bounded sample; only its weights reach the driver."""
-    rows = written(training_rows(docs, labels).select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = written(training_rows(docs, labels), "labelled")
     lexicon = lexicon_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +400,17 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def accepted(docs: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` whose score is below `threshold`, with all their columns, in place."""
-    text = docs.columns.index("text")
+    """The rows of `docs` whose score is below `threshold`, with all their columns, in place.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python. Null and empty texts score as scored() says, repeated rows alike; an
+    empty table gives none.
+    """
+
+    @F.pandas_udf("double")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Known(field)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                score, _ = score_texts(field, known, [str(t) if t is not None else "" for t in part.column(text).to_pylist()])
-                yield part.filter(pa.array(score < threshold))
+        for texts in batches:
+            parts = [score_texts(field, known, texts.iloc[at : at + 256].tolist())[0] for at in range(0, len(texts), 256)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(toxic(text_of(docs)) < threshold)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -260,6 +261,38 @@ def test_toxicity_on_held_out_documents(spark):
             assert any(texts[r["doc_id"]][s["start"] : s["end"]][:5] in bad for s in r["spans"])
 
 
+def test_long_training_texts_are_fitted_in_little_memory():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words) + ("x" if k % 2 and rng.random() < 0.001 else "") for _ in range(20_000)) for k in range(40)]
+    lexicon = {f"w:{w}x": 50.0 for w in words}
+    tracemalloc.start()
+    own = toxicity.fit(texts, [k % 2 for k in range(40)], lexicon)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    scores, _ = toxicity.score_texts(own, toxicity._Known(own), texts)
+    assert all((s >= 0.5) == k % 2 for k, s in enumerate(scores))
+
+
+def test_training_sample_is_bounded_in_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 1000)
+    docs = spark.createDataFrame([(k, " ".join([f"w{k}"] * (500 if k % 7 == 0 else 30))) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    for toxic in (0, 1):
+        sizes = [len(r["text"].split()) for r in rows if r["toxic"] == toxic]
+        assert 900 < sum(sizes) <= 1000 and max(sizes) == 30
+
+
+def test_equal_texts_of_different_labels_are_toxic(spark):
+    docs = spark.createDataFrame([(0, "a b"), (2, "a b"), (3, None), (5, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (2, 1), (3, 1), (5, 0)], "doc_id long, toxic int")
+    usable = {k for k in (0, 2, 5) if zlib.crc32(str(k).encode()) % 3 != 1}
+    rows = {(r["text"], r["toxic"]) for r in toxicity.training_rows(docs, labels).collect()}
+    assert rows == {x for k, x in ((2, ("a b", 1)), (5, ("c d", 0))) if k in usable} | ({("a b", 0)} if 0 in usable and 2 not in usable else set())
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(1)
     own = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))
