@@ -108,6 +108,17 @@ class WordMemo(dict):
             self.clear()
 
 
+_MEMOS: dict[tuple[str, str], WordMemo] = {}
+
+
+def worker_memo(tokenizer_path: str, dtype: str) -> WordMemo:
+    """The memo of this Python worker, which its later tasks go on with."""
+    key = tokenizer_path, dtype
+    if key not in _MEMOS:
+        _MEMOS[key] = WordMemo(tokenizer_path, dtype)
+    return _MEMOS[key]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int) -> DataFrame:
     """(doc_id, ids binary) of every whole text; null texts count as empty; `end_id` closes each.
 
@@ -116,7 +127,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_si
     dtype = "<u2" if vocab_size <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(tokenizer_path, dtype)
+        memo = worker_memo(tokenizer_path, dtype)
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
