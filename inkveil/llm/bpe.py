@@ -201,11 +201,8 @@ class Encoder:
         self.tail, self.open, self.kind = "", Transducer(vocabulary), ""
 
     def _pretoken(self, token: str) -> bytes:
-        raw = token.encode()
-        if len(raw) <= 64:
-            return np.array(self.v.merge(raw), "<u4").tobytes()
         run = Transducer(self.v)
-        return np.array(run.push(raw) + run.close(), "<u4").tobytes()
+        return np.array(run.push(token.encode()) + run.close(), "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         return b"".join([self.tokens[x] if len(x) < 64 else self._pretoken(x) for x in self.pattern.findall(piece)])
@@ -218,8 +215,6 @@ class Encoder:
         """
         if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
             return self._piece(text)
-        for memo in (self.tokens, self.first, self.later):
-            memo.bounded()
         out = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
@@ -240,6 +235,7 @@ class Encoder:
     def feed(self, text: str) -> bytes:
         """Ids that are final after this block."""
         out, self.tail = [], self.tail + text
+        self.bounded()
         while len(self.tail) > FEED // 2:
             if self.kind:
                 out.append(self._go_on(False))
@@ -304,15 +300,19 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def close(self) -> bytes:
+        self.bounded()
         out = self._go_on(True) if self.kind else b""
         text, self.tail = self.tail, ""
         return out + self._whole(text)
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= FEED:
-            return self._whole(text)
+        """All ids of a text, fed in blocks of FEED characters."""
         return b"".join([*(self.feed(text[k : k + FEED]) for k in range(0, len(text), FEED)), self.close()])
 
+    def bounded(self) -> None:
+        for memo in (self.tokens, self.first, self.later):
+            memo.bounded()
+
 
 class Decoder:
     """Ids in, text out. An incomplete character waits for its next byte; bytes that can't be
@@ -365,7 +365,11 @@ def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of `docs`."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of `docs`.
+
+    Null and empty texts have no tokens and the digests of nothing; a null doc_id stays null. Rows
+    that repeat a doc_id or a text are rows of their own. An empty table gives no rows.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(token_bytes(tokenizer_path))

@@ -99,6 +99,39 @@ def test_transducer_equals_the_library(monkeypatch, feed, window):
         assert decoder.decode(raw) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_longer_than_a_block_at_the_shipped_constants():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, vocabulary = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    rng = random.Random(8)
+    parts = ["word ", "two  blanks ", "\tTab\n", "漢字", "<|endoftext|>", "don't ", "x" * 3000, " " * 500, "!" * 700, "12345 ", "é" * 900]
+    for size in (bpe.FEED // 2 - 1, bpe.FEED // 2 + 5, bpe.FEED, bpe.FEED + 1, 3 * bpe.FEED + 17):
+        text = ""
+        while len(text) < size:
+            text += rng.choice(parts)
+        text = text[:size]
+        ids = np.frombuffer(bpe.Encoder(vocabulary).encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+    run = " " + "z" * (2 * bpe.FEED)
+    assert np.frombuffer(bpe.Encoder(vocabulary).encode(run), "<u4").tolist() == library.encode(run, add_special_tokens=False).ids
+
+
+def test_memory_of_words_is_bounded_on_every_path(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 500)
+    encoder = bpe.Encoder(bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    for k in range(3000):
+        encoder.encode(f"w{k} a{k}")
+        encoder.encode(f"  v{k}\tb{k} ")
+    assert all(len(m) < 600 and len(m.older) < 600 for m in (encoder.tokens, encoder.first, encoder.later))
+
+
+def test_decoded_documents_are_the_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(0, "plain text"), (1, None), (2, ""), (3, "漢字 🙂 é\n")]
+    tokens = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    got = {r["doc_id"]: r["text"] for r in bpe.decode_documents(tokens, path).collect()}
+    assert got == {k: t or "" for k, t in rows}
+
+
 def test_transducer_holds_little_of_a_long_run():
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     run, most = bpe.Transducer(vocabulary), 0
@@ -111,7 +144,7 @@ def test_transducer_holds_little_of_a_long_run():
 def test_bpe_digests(spark, folder, docs):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r["doc_id"]: r for r in entry.queries()["op8_bpe"](spark, folder).collect()}
-    for d in docs[:60]:
+    for d in docs:
         ids = library.encode(d["text"], add_special_tokens=False).ids
         r = got[d["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
