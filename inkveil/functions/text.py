@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.fixed import CHUNK_WORDS, OVERLAP_WORDS, WS, spelled
+from inkveil.functions.fixed import CAPS_RUN, CAPS_WORD, CHUNK_WORDS, NOISE, OVERLAP_WORDS, WS, spelled
 
 _S = f"[{WS}]"
 SPAN = "struct<s:int,e:int,value:string>"
@@ -32,6 +32,32 @@ def value_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed(value), f"{_S}+", " "))
 
 
+#: Elements that running_sums adds up at once.
+_RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of integers that isn't empty. Sums are made in stretches of _RUN elements, so that
+    no long array is copied for every element."""
+    none = F.array().cast("array<int>")
+
+    def sums(own: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(own, start, step, lambda acc: acc["out"])
+
+    def of(own: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _RUN).cast("int")), lambda k: F.slice(own, k * _RUN + 1, F.lit(_RUN)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+
+        def step(acc: Column, part: Column) -> Column:
+            return let(sums(part, acc["at"]), lambda own: F.struct(F.element_at(own, -1).alias("at"), F.concat(acc["out"], F.array(own)).alias("out")))
+
+        return F.flatten(F.aggregate(stretches, start, step, lambda acc: acc["out"]))
+
+    return let(values, of)
+
+
 def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All matches in turn as structs (s, e, value), in code points from 0.
 
@@ -40,25 +66,35 @@ def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     value = F.regexp_extract_all(text, regex, F.lit(1)) if group else F.lit(None)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["g"]) + F.length(x["m"])
-        span = F.struct((end - F.length(x["v"])).alias("s"), end.alias("e"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(value: Column, end: Column) -> Column:
+        return F.struct((end - F.length(value)).alias("s"), end.alias("e"), value.alias("value"))
 
     def spans(hits: Column) -> Column:
         gaps = F.slice(F.split(text, regex, -1), 1, F.size(hits["m"]))
-        rows = F.arrays_zip(hits["m"].alias("m"), (hits["v"] if group else hits["m"]).alias("v"), gaps.alias("g"))
-        return F.when(F.size(hits["m"]) > 0, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+        lengths = F.zip_with(hits["m"], gaps, lambda m, g: F.length(m) + F.length(g))
+        found = F.zip_with(hits["v"] if group else hits["m"], running_sums(lengths), span)
+        return F.when(F.size(hits["m"]) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return let(F.struct(whole.alias("m"), value.alias("v")), spans)
 
 
+def quoted(words: Column) -> Column:
+    """Words as patterns that match just them."""
+    return F.transform(words, lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
+
+
+def occurrences(value: Column, text: Column) -> Column:
+    """Where the value stands in the text in its own case, overlapping places too: (s, e) structs."""
+    first, rest = F.substring(value, 1, 1), F.substring(value, 2, 1 << 30)
+    pattern = F.concat(F.element_at(quoted(F.array(first)), 1), F.lit("(?="), F.element_at(quoted(F.array(rest)), 1), F.lit(")"))
+    places = F.transform(find_spans(text, pattern), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(value)).alias("e")))
+    return F.when((F.length(value) > 0) & F.contains(text, value), places).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
 def word_pattern(value: Column) -> Column:
     """A pattern that finds the value as a whole, whatever its case and white space."""
-    quoted = F.transform(words_of(value), lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(quoted, f"{_S}+"), F.lit(r"(?![\p{L}\p{N}_])"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(quoted(words_of(value)), f"{_S}+"), F.lit(r"(?![\p{L}\p{N}_])"))
 
 
 def appears(value: Column, text: Column) -> Column:
@@ -67,26 +103,25 @@ def appears(value: Column, text: Column) -> Column:
     return F.when(F.size(words_of(value)) == 0, False).otherwise(F.contains(F.lower(text), first) & F.regexp_like(text, word_pattern(value)))
 
 
+def stitched(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of the pattern changed, and what stands between them as it is."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(gaps, F.concat(F.transform(hits, change), F.array(F.lit(""))), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    return F.array_join(pairs, "")
+
+
 def title_case_caps(line: Column) -> Column:
     """Runs of two or more words in capitals, in title case: each group of letters by itself."""
-    run = spelled(r"{B}[A-Z][A-Z'’-]+(?:{S}+[A-Z][A-Z'’.-]*)+{E}")
-    word = r"[A-Z][A-Z'’-]*"
     titled = lambda w: F.concat(F.left(w, F.lit(1)), F.lower(F.substring(w, 2, 1 << 20)))
-
-    def stitched(text: Column, pattern: str, change) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(gaps, F.concat(F.transform(hits, change), F.array(F.lit(""))), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-        return F.array_join(pairs, "")
-
-    return stitched(line, run, lambda r: stitched(r, word, titled))
+    return stitched(line, spelled(CAPS_RUN), lambda r: stitched(r, CAPS_WORD, titled))
 
 
 def clean_for_model(text: Column) -> Column:
     """The text as a tagger gets it: no links, time stamps, log ids or tags; only lines with words."""
 
     def clean(line: Column) -> Column:
-        for pattern in (r"https?://[^{WS}]+", r"{B}\d{1,2}/\d{1,2}/\d{2,4}{S}+\d{1,2}:\d{2}:\d{2}{E}", r"{B}L\d{6,}-\d+{E}", r"#{S}*[^{WS}]+"):
+        for pattern in NOISE:
             line = F.regexp_replace(line, spelled(pattern), "")
         return title_case_caps(line)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
 from inkveil.functions.fixed import spelled
-from inkveil.functions.text import find_spans, trimmed
+from inkveil.functions.text import find_spans, let, occurrences, trimmed
 
 CANDIDATE = "struct<rank:int,pat:int,type:string,s:int,e:int,value:string>"
 
@@ -60,10 +60,6 @@ def is_ssn(value: Column) -> Column:
     return ~area.isin("000", "666") & ~area.startswith("9") & (group != "00") & (serial != "0000")
 
 
-def has_digit(value: Column) -> Column:
-    return F.regexp_like(value, F.lit("[0-9]"))
-
-
 @dataclass(frozen=True)
 class Pattern:
     """One pattern of a detector: `type` None claims its span and yields nothing; `group` 1 takes
@@ -79,7 +75,7 @@ class Pattern:
 
 
 def _labelled(rank: int, pat: int, kind: str, labels: str) -> Pattern:
-    return Pattern(rank, pat, kind, fixed.LABELLED % (labels, fixed.ID_VALUE), has_digit, 1)
+    return Pattern(rank, pat, kind, fixed.LABELLED % (labels, fixed.ID_VALUE), group=1)
 
 
 DETECTORS: list[Pattern] = [
@@ -110,9 +106,9 @@ def has_birth_context(text: Column, at: Column) -> Column:
     return F.regexp_like(F.substring(text, start + 1, at - start), F.lit(spelled(fixed.BIRTH_WORDS)))
 
 
-def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS) -> Column:
-    """All valid matches of the patterns, in order of priority and then of position."""
-    return F.concat(*[_found(text, p) for p in patterns])
+def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS) -> list[Column]:
+    """All valid matches of each pattern, in order of position."""
+    return [_found(text, p) for p in patterns]
 
 
 def _found(text: Column, p: Pattern) -> Column:
@@ -126,15 +122,24 @@ def _found(text: Column, p: Pattern) -> Column:
     return F.transform(F.filter(find_spans(text, spelled(p.regex), p.group), keep), named).cast(f"array<{CANDIDATE}>")
 
 
-def claimed(candidates: Column) -> Column:
-    """The candidates that overlap none accepted before them; the first to claim a span wins."""
+def overlaps(x: Column, others: Column) -> Column:
+    return F.exists(others, lambda a: (x["s"] < a["e"]) & (x["e"] > a["s"]))
+
+
+def claimed(candidates: list[Column]) -> Column:
+    """The candidates that overlap none accepted before them; the first to claim a span wins.
+
+    `candidates` has an array for each pattern, in order of priority. Matches of one pattern never
+    overlap, so each array is held against what the patterns before it took, whole.
+    """
     none = F.array().cast(f"array<{CANDIDATE}>")
+    if not candidates:
+        return none
 
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.exists(acc, lambda a: (x["s"] < a["e"]) & (x["e"] > a["s"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
+    def step(taken: Column, own: Column) -> Column:
+        return F.when(F.size(own) == 0, taken).otherwise(F.concat(taken, F.filter(own, lambda c: ~overlaps(c, taken))))
 
-    return F.aggregate(candidates, none, step)
+    return F.aggregate(F.array(*candidates), none, step)
 
 
 def with_claims(pages: DataFrame, patterns: list[Pattern] = DETECTORS) -> DataFrame:
@@ -153,12 +158,9 @@ def matches(pages: DataFrame, kinds: list[str]) -> DataFrame:
     """(doc_id, page, type, s, e, value) of the valid matches of some detectors, unclaimed."""
     own = [p for p in DETECTORS if p.type in kinds]
     text = F.coalesce(F.col("text"), F.lit(""))
-    return pages.select("doc_id", "page", F.inline(candidates_of(text, own))).select("doc_id", "page", "type", "s", "e", "value")
+    return pages.select("doc_id", "page", F.inline(F.concat(*candidates_of(text, own)))).select("doc_id", "page", "type", "s", "e", "value")
 
 
 def is_claimed(value: Column, text: Column, claims: Column) -> Column:
     """Whether the value occurs, in its own case, and each occurrence overlaps a claim."""
-    n = F.length(value)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, n) == value)
-    covered = F.forall(starts, lambda i: F.exists(claims, lambda c: (i < c["e"]) & (i + n > c["s"])))
-    return F.contains(text, value) & covered
+    return let(occurrences(value, text), lambda found: (F.size(found) > 0) & F.forall(found, lambda x: overlaps(x, claims)))

@@ -15,13 +15,13 @@ def whole_texts(pages: DataFrame, column: str = "text") -> DataFrame:
 
 
 def evaluate_documents(expected: DataFrame, detected: DataFrame, original: DataFrame, redacted: DataFrame) -> DataFrame:
-    """One row for each document of `expected` (doc_id, value).
+    """One row for each document of `original` or `expected` (doc_id, value).
 
     Missed: expected values, repeats counted, that still stand in the redacted text as whole
     words. Detected: distinct approved values (doc_id, value) that stand in the original. A false
     positive neither holds nor is held by any expected value.
     """
-    want = expected.select("doc_id", value_key(F.col("value")).alias("v"))
+    want = expected.where("value is not null").select("doc_id", value_key(F.col("value")).alias("v"))
     after = want.join(whole_texts(redacted), "doc_id", "left").withColumn("missed", appears(F.col("v"), F.coalesce("whole", F.lit(""))))
     catch = after.groupBy("doc_id").agg(F.count("*").alias("n_expected"), F.count_if("missed").alias("n_missed"))
     found = detected.select("doc_id", value_key(F.col("value")).alias("d")).distinct().join(whole_texts(original), "doc_id").where(appears(F.col("d"), F.col("whole"))).select("doc_id", "d")
@@ -29,7 +29,8 @@ def evaluate_documents(expected: DataFrame, detected: DataFrame, original: DataF
     wrong = found.alias("f").join(want.alias("w"), (F.col("f.doc_id") == F.col("w.doc_id")) & near, "left_anti")
     n_found = found.groupBy("doc_id").agg(F.count("*").alias("n_detected"))
     n_wrong = wrong.groupBy("doc_id").agg(F.count("*").alias("n_false"))
-    rows = catch.join(n_found, "doc_id", "left").join(n_wrong, "doc_id", "left").fillna(0, ["n_detected", "n_false"])
+    every = original.select("doc_id").unionByName(expected.select("doc_id")).distinct()
+    rows = every.join(catch, "doc_id", "left").join(n_found, "doc_id", "left").join(n_wrong, "doc_id", "left").fillna(0, ["n_expected", "n_missed", "n_detected", "n_false"])
     return rows.select("doc_id", "n_expected", "n_missed", _ratio(F.col("n_expected") - F.col("n_missed"), F.col("n_expected")).alias("catch_rate"), "n_detected", "n_false", _ratio(F.col("n_false"), F.col("n_detected")).alias("false_positive_rate"))
 
 
@@ -45,7 +46,9 @@ def evaluate_corpus(documents: DataFrame) -> DataFrame:
 
 
 def run_flags(replies: DataFrame) -> DataFrame:
-    """(doc_id, pages, incomplete, failed) of assembled replies: pages that didn't stop by
-    themselves, and whether any page ended in an error."""
+    """(doc_id, pages, incomplete, failed, model_used, fell_back) of assembled replies: pages that
+    didn't stop by themselves, whether any page ended in an error, whether the model said anything,
+    and whether the document has to fall back, as it said nothing and failed."""
     stopped = F.coalesce(F.col("stop_reason") == "stop", F.lit(False))
-    return replies.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(~stopped).alias("incomplete"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    own = replies.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(~stopped).alias("incomplete"), F.bool_or(F.col("error").isNotNull()).alias("failed"), F.bool_or(F.coalesce("content", F.lit("")) != "").alias("model_used"))
+    return own.withColumn("fell_back", F.col("failed") & ~F.col("model_used"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HREF = r'(?i)<a\s[^>]*?href="([^"]*)"'
+from inkveil.functions.text import stitched
+
+#: A link's address stands between double or single quotes.
+HREF = r"""(?i)<a\s[^>]*?href=("[^"]*"|'[^']*')"""
+ANCHOR = r"""(?is)<a\s[^>]*?href=("[^"]*"|'[^']*')[^>]*>(.*?)</a>"""
 #: What a reader doesn't see but a parser does, in the order in which it is reported.
 HIDDEN = [
     ("metadata", r"(?is)<meta\b[^>]*>"),
@@ -21,9 +25,13 @@ def is_external(url: Column) -> Column:
     return F.regexp_like(url, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:"))
 
 
+def _bare(quoted: Column) -> Column:
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
 def link_inventory(pages: DataFrame) -> DataFrame:
     """(doc_id, url, is_external, pages, count, first_page, first_pos) of every link in `html`."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1))
+    links = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1)), _bare)
     rows = pages.select("doc_id", "page", F.posexplode(links).alias("pos", "url"))
     first = F.min(F.struct("page", "pos"))
     own = rows.groupBy("doc_id", "url").agg(F.sort_array(F.collect_set("page")).alias("pages"), F.count("*").alias("count"), first.alias("f"))
@@ -42,9 +50,24 @@ def removal_report(html: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def unlink(html: Column) -> Column:
-    """External links become their text; links within the document stay."""
-    return F.regexp_replace(html, r'(?is)<a\s[^>]*?href="[a-z][a-z0-9+.-]*:[^"]*"[^>]*>(.*?)</a>', "$1")
+def unlink(html: Column, keep: Column | None = None) -> Column:
+    """External links become their text; links within the document stay, and so do those whose
+    address is in `keep`, an array (null or absent: none)."""
+
+    def change(anchor: Column) -> Column:
+        url = _bare(F.regexp_extract(anchor, ANCHOR, 1))
+        goes = is_external(url) if keep is None else is_external(url) & ~F.array_contains(F.coalesce(keep, F.array().cast("array<string>")), url)
+        return F.when(goes, F.regexp_extract(anchor, ANCHOR, 2)).otherwise(anchor)
+
+    return stitched(html, ANCHOR, change)
+
+
+def unlinked(pages: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """pages (doc_id, html) without external links, but for those in `keep` (doc_id, url)."""
+    if keep is None:
+        return pages.withColumn("html", unlink(F.col("html")))
+    own = keep.groupBy("doc_id").agg(F.collect_set("url").alias("_keep"))
+    return pages.join(own, "doc_id", "left").withColumn("html", unlink(F.col("html"), F.col("_keep"))).select(*pages.columns)
 
 
 def unlink_all_but(pages: DataFrame, keep: DataFrame | None = None) -> DataFrame:

@@ -31,19 +31,30 @@ def letters_and_digits(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]")).cast("long")
 
 
-def page_stats(pages: DataFrame, images: DataFrame | None = None, width: float = 612, height: float = 792) -> DataFrame:
+def _bounded(images: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """images with the page's bounds px0, py0, px1, py1: given (doc_id, page, x0, y0, x1, y1) or,
+    where a page has none, those of a letter page."""
+    letter = dict(zip(("px0", "py0", "px1", "py1"), (0.0, 0.0, *fixed.LETTER_PAGE)))
+    if bounds is None:
+        return images.withColumns({k: F.lit(v) for k, v in letter.items()})
+    own = bounds.select("doc_id", "page", *[F.col(k[1:]).cast("double").alias(k) for k in letter])
+    return images.join(own, ["doc_id", "page"], "left").fillna(letter)
+
+
+def page_stats(pages: DataFrame, images: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, char_count, image_coverage, has_text, scanned) of every page.
 
-    images: doc_id, page, x0, y0, x1, y1; clipped to the page. Scanned pages have text over an
-    image that covers nine tenths.
+    images: doc_id, page, x0, y0, x1, y1; clipped to the page's bounds (the same columns; a letter
+    page where there are none). Scanned pages have text over an image that covers nine tenths.
     """
     rows = pages.select("doc_id", "page", letters_and_digits(F.col("text")).alias("char_count"))
     if images is None:
         rows = rows.withColumn("area", F.lit(0.0)).withColumn("largest", F.lit(0.0))
     else:
-        wide = F.greatest(F.least("x1", F.lit(width)) - F.greatest("x0", F.lit(0.0)), F.lit(0.0))
-        high = F.greatest(F.least("y1", F.lit(height)) - F.greatest("y0", F.lit(0.0)), F.lit(0.0))
-        area = images.withColumn("share", wide * high / (width * height)).groupBy("doc_id", "page").agg(F.sum("share").alias("area"), F.max("share").alias("largest"))
+        wide = F.greatest(F.least("x1", "px1") - F.greatest("x0", "px0"), F.lit(0.0))
+        high = F.greatest(F.least("y1", "py1") - F.greatest("y0", "py0"), F.lit(0.0))
+        whole = (F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0"))
+        area = _bounded(images, bounds).withColumn("share", F.when(whole > 0, wide * high / whole).otherwise(0.0)).groupBy("doc_id", "page").agg(F.sum("share").alias("area"), F.max("share").alias("largest"))
         rows = rows.join(area, ["doc_id", "page"], "left").fillna(0.0, ["area", "largest"])
     has = F.col("char_count") >= fixed.MIN_PAGE_CHARS
     return rows.select("doc_id", "page", "char_count", F.least("area", F.lit(1.0)).alias("image_coverage"), has.alias("has_text"), (has & (F.col("largest") >= fixed.FULL_PAGE)).alias("scanned"))
@@ -66,14 +77,15 @@ def scanned_pages(stats: DataFrame) -> DataFrame:
     return _listed(stats, F.col("scanned"))
 
 
-def image_inventory(images: DataFrame, pages: DataFrame, width: float = 612, height: float = 792) -> DataFrame:
+def image_inventory(images: DataFrame, pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, idx, id, full_page, big, covers, text_layer) of the images worth a review.
 
     A page with an image that covers it under a text layer lists none; other pages list big ones.
     """
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     layer = pages.select("doc_id", "page", (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) >= fixed.MIN_PAGE_CHARS).alias("text_layer"))
-    rows = images.withColumn("big", F.greatest(w, h) >= fixed.BIG_IMAGE).withColumn("covers", w * h / (width * height) >= fixed.FULL_PAGE)
+    whole = (F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0"))
+    rows = _bounded(images, bounds).withColumn("big", F.greatest(w, h) >= fixed.BIG_IMAGE).withColumn("covers", (whole > 0) & (w * h >= fixed.FULL_PAGE * whole))
     rows = rows.join(layer, ["doc_id", "page"], "left").withColumn("text_layer", F.coalesce("text_layer", F.lit(False)))
     hidden = F.bool_or(F.col("covers") & F.col("text_layer")).over(Window.partitionBy("doc_id", "page"))
     rows = rows.withColumn("hidden", hidden).where("big and not hidden")

@@ -8,14 +8,32 @@ from pyspark.sql import functions as F
 from inkveil.functions.text import find_spans, word_pattern, words_of
 
 
-def locate(values: DataFrame, pages: DataFrame) -> DataFrame:
+_RUN = r"[\p{L}\p{N}_]+"
+
+
+def _plain(text):
+    return F.lower(F.upper(text))
+
+
+def locate(values: DataFrame, pages: DataFrame, by_word: bool = False) -> DataFrame:
     """(doc_id, value, page, spans, n) of each value (doc_id, value) on each page that has it.
 
-    Values of a document are distinct before the join; its pages are read once. A page is searched
-    for a value only if it holds the value's first word in any case.
+    Values of a document are distinct before the join. A page is searched for a value only if it
+    holds the value's first word in any case. `by_word` is for documents of many pages: values then
+    meet the distinct words of pages first, as ids, and only pages that hold a value's first word
+    are paired with it; else each page of a document is paired with each of its values.
     """
     own = values.select("doc_id", "value").distinct().withColumn("first", F.lower(F.try_element_at(words_of(F.col("value")), F.lit(1)))).where("first is not null")
-    both = own.join(pages.select("doc_id", "page", "text"), "doc_id").where(F.contains(F.lower("text"), F.col("first")))
+    texts = pages.select("doc_id", "page", "text")
+    if by_word:
+        # A whole match holds the value's first run of letters and digits as a whole run.
+        own = own.withColumn("word", _plain(F.regexp_substr("value", F.lit(_RUN))))
+        found = F.array_distinct(F.concat(F.regexp_extract_all(_plain(F.coalesce("text", F.lit(""))), F.lit(_RUN), F.lit(0)), F.array(F.lit(""))))
+        words = texts.select("doc_id", "page", F.explode(found).alias("word"))
+        pairs = own.withColumn("word", F.coalesce("word", F.lit(""))).join(words, ["doc_id", "word"]).select("doc_id", "page", "value").distinct()
+        both = pairs.join(texts, ["doc_id", "page"])
+    else:
+        both = own.join(texts, "doc_id").where(F.contains(F.lower("text"), F.col("first")))
     found = both.withColumn("spans", find_spans(F.col("text"), word_pattern(F.col("value"))))
     return found.where(F.size("spans") > 0).select("doc_id", "value", "page", "spans", F.size("spans").cast("long").alias("n"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
-from inkveil.functions.text import appears, trimmed, words_of
+from inkveil.functions.text import appears, occurrences, quoted, trimmed, words_of
 from inkveil.operators.detectors import has_birth_context, is_claimed
 
 _W = r"[\p{L}\p{N}]"
@@ -19,18 +19,28 @@ def group_tokens(tokens: DataFrame) -> DataFrame:
     """Merges tagged tokens (doc_id, page, chunk, idx, tag, score, piece) into entities.
 
     A token joins the group before it if that is open, has the same tag, ends at the index before,
-    and the token doesn't begin one (B) or stand alone (S). E and S close a group. Pieces that
-    start with ## join without a blank; the score is the mean.
+    and the token doesn't begin one (B) or stand alone (S). S closes its group at once; E closes a
+    group that it joins, and leaves one open that it begins. Pieces that start with ## join
+    without a blank; the score is the mean.
     """
     prefixed = F.substring("tag", 2, 1) == "-"
     rows = tokens.withColumn("prefix", F.when(prefixed, F.substring("tag", 1, 1)).otherwise("I")).withColumn("name", F.when(prefixed, F.substring("tag", 3, 1 << 20)).otherwise(F.col("tag")))
-    chunk = Window.partitionBy("doc_id", "page", "chunk").orderBy("idx")
+    keys = ["doc_id", "page", "chunk"]
+    chunk = Window.partitionBy(*keys).orderBy("idx")
+    so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = lambda c: F.lag(c).over(chunk)
     rows = rows.withColumns({"p_name": before("name"), "p_idx": before("idx"), "p_prefix": before("prefix")})
-    joins = (F.col("p_name") == F.col("name")) & ~F.col("prefix").isin("B", "S") & (F.col("idx") == F.col("p_idx") + 1) & ~F.col("p_prefix").isin("E", "S")
-    rows = rows.withColumn("begins", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    # A group that E closed stays closed: an I after it begins another group, which is open.
-    rows = rows.withColumn("grp", F.sum("begins").over(chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fits = (F.col("p_name") == F.col("name")) & ~F.col("prefix").isin("B", "S") & (F.col("idx") == F.col("p_idx") + 1)
+    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    # Of E tokens in a row, one that joins closes the group, so the next begins one, and so on.
+    rows = rows.withColumn("run", F.sum((~(F.col("fits") & (F.col("prefix") == "E") & (F.col("p_prefix") == "E"))).cast("int")).over(so_far))
+    run = Window.partitionBy(*keys, "run").orderBy("idx")
+    first = F.first(F.col("fits") & (F.col("p_prefix") != "S")).over(run)
+    odd = (F.row_number().over(run) - 1) % 2 == 1
+    rows = rows.withColumn("end_joins", (F.col("prefix") == "E") & (first != odd))
+    rows = rows.withColumn("p_open", F.lag((F.col("prefix") != "S") & ~F.col("end_joins")).over(chunk))
+    joins = F.when(F.col("prefix") == "E", F.col("end_joins")).otherwise(F.col("fits") & F.col("p_open"))
+    rows = rows.withColumn("grp", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(so_far))
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("idx", "piece"))), lambda x: x["piece"])
     own = rows.groupBy("doc_id", "page", "chunk", "grp").agg(F.first("name").alias("tag"), F.avg("score").alias("score"), pieces.alias("pieces"))
     word = F.regexp_replace(F.array_join("pieces", " "), " ##", "")
@@ -42,6 +52,11 @@ def map_label(tag: Column) -> Column:
     return F.coalesce(F.try_element_at(known, tag), tag)
 
 
+def min_scores_of(name: str | None) -> dict[str, float]:
+    """The least scores that a known tagger sets instead of the common ones; none for others."""
+    return fixed.MODEL_MIN_SCORES.get(name, {})
+
+
 def min_score(kind: Column, overrides: dict[str, float] | None = None) -> Column:
     limits = fixed.MIN_SCORES | {"default": fixed.DEFAULT_MIN_SCORE} | (overrides or {})
     default = limits.pop("default")
@@ -51,11 +66,10 @@ def min_score(kind: Column, overrides: dict[str, float] | None = None) -> Column
 
 def snap_to_words(word: Column, text: Column) -> Column:
     """The word as the page has it: as whole words, then in any case, then grown to word edges."""
-    quoted = F.transform(words_of(word), lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    body = F.array_join(quoted, r"\s*")
+    body = F.array_join(quoted(words_of(word)), r"\s*")
     whole = F.concat(F.lit(rf"(?<!{_W})"), body, F.lit(rf"(?!{_W})"))
     tries = [F.regexp_substr(text, whole), F.regexp_substr(text, F.concat(F.lit("(?iu)"), whole)), F.regexp_substr(text, F.concat(F.lit(f"(?iu){_W}*?"), body, F.lit(f"{_W}*")))]
-    return F.when(F.size(quoted) == 0, F.lit("")).otherwise(F.coalesce(*tries, trimmed(word)))
+    return F.when(F.size(words_of(word)) == 0, F.lit("")).otherwise(F.coalesce(*tries, trimmed(word)))
 
 
 def clean_person(value: Column) -> Column:
@@ -88,9 +102,8 @@ def filter_entities(found: DataFrame, pages: DataFrame, overrides: dict[str, flo
 
 
 def is_birth_date(value: Column, text: Column) -> Column:
-    n = F.length(value)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, n) == value)
-    return F.exists(starts, lambda i: has_birth_context(text, i))
+    """Whether one of the value's occurrences has a birth word before it."""
+    return F.exists(occurrences(value, text), lambda x: has_birth_context(text, x["s"]))
 
 
 REPLY_LINE = "message struct<content:string>, done boolean, done_reason string, error string"
@@ -145,20 +158,22 @@ def dedupe_reply(entities: DataFrame) -> DataFrame:
 
 def with_reasons(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """entities plus `reason`: why a chat model's entity is rejected, null if it stands."""
-    orgs = F.collect_list(F.when(F.col("type") == "Organization", F.lower("value"))).over(Window.partitionBy("doc_id", "page"))
-    rows = entities.withColumn("orgs", orgs).join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    orgs = entities.where("type = 'Organization'").groupBy("doc_id", "page").agg(F.collect_set(F.lower("value")).alias("orgs"))
+    rows = entities.join(orgs, ["doc_id", "page"], "left").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    rows = rows.withColumn("orgs", F.coalesce("orgs", F.array().cast("array<string>")))
+    too_long, absent, no_letters, small, long_person, short_person, digits, part = fixed.REASONS
     value, words = F.col("value"), F.size(words_of(F.col("value")))
     person = F.col("type") == "Person"
     reason = (
-        F.when((words > fixed.MAX_REPLY_WORDS) | (F.length("value") > fixed.MAX_REPLY_CHARS), "too long")
-        .when(~appears(value, F.col("text")), "not found in page text")
+        F.when((words > fixed.MAX_REPLY_WORDS) | (F.length("value") > fixed.MAX_REPLY_CHARS), too_long)
+        .when(~appears(value, F.col("text")), absent)
         .when(F.col("type") == "Miscellaneous", F.lit(None))
-        .when(~F.regexp_like(value, F.lit(r"\p{L}")), "no letters")
-        .when(value == F.lower(value), "all lowercase")
-        .when(person & (words > 4), "person longer than 4 words")
-        .when(person & (words == 1) & (F.length("value") < 3), "single-word person too short")
-        .when(person & F.regexp_like(value, F.lit(r"\d")), "person contains digits")
-        .when(person & F.exists("orgs", lambda o: F.contains(o, F.lower("value"))), "part of an organization name")
+        .when(~F.regexp_like(value, F.lit(r"\p{L}")), no_letters)
+        .when(value == F.lower(value), small)
+        .when(person & (words > 4), long_person)
+        .when(person & (words == 1) & (F.length("value") < 3), short_person)
+        .when(person & F.regexp_like(value, F.lit(r"\d")), digits)
+        .when(person & F.exists("orgs", lambda o: F.contains(o, F.lower("value"))), part)
     )
     return rows.withColumn("reason", reason).drop("orgs", "text")
 
@@ -171,11 +186,12 @@ def approve_reply(entities: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def instruction_hits(replies: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, pos, value) of a reply that is a list of strings, 2 to 120 characters and 15
+    """(doc_id, page, pos, value) of the strings of a reply that is a list, 2 to 120 characters and 15
     words at most, that stand in the page; blank and over-long pages are passed over."""
-    rows = replies.select("doc_id", "page", F.posexplode(F.from_json("content", "array<string>")).alias("pos", "value")).withColumn("value", trimmed(F.col("value")))
+    rows = replies.select("doc_id", "page", F.posexplode(F.from_json("content", "array<variant>")).alias("pos", "v"))
+    rows = rows.where(F.schema_of_variant("v") == "STRING").select("doc_id", "page", "pos", trimmed(F.col("v").cast("string")).alias("value"))
     own = pages.where((F.trim("text") != "") & (F.length("text") <= fixed.MAX_PAGE_CHARS)).select("doc_id", "page", "text")
-    rows = rows.where(F.length("value").between(2, 120) & (F.size(words_of(F.col("value"))) <= 15))
+    rows = rows.where(F.length("value").between(2, fixed.MAX_INSTRUCTION_CHARS) & (F.size(words_of(F.col("value"))) <= fixed.MAX_INSTRUCTION_WORDS))
     return rows.join(own, ["doc_id", "page"]).where(appears(F.col("value"), F.col("text"))).drop("text")
 
 

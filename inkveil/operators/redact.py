@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.text import let
+
 BLOCK = "█"
 
 
@@ -18,6 +20,35 @@ def span_union(matches: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
+#: Characters of a text that are put together at once, so that no long text is walked from its start
+#: for every span.
+_STRETCH = 4096
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text without its spans, an array of (s, e) in order that don't overlap."""
+
+    def hidden(x: Column, at: Column, low: Column) -> Column:
+        if mask == "block":
+            return F.repeat(F.lit(BLOCK), F.least(x["e"] - low, F.lit(_STRETCH)) - at)
+        return F.lit("") if mask == "drop" else F.when(x["s"] >= low, F.lit(mask)).otherwise("")
+
+    def stretch(k: Column) -> Column:
+        low = k * _STRETCH
+        part = F.substring(text, low + 1, F.lit(_STRETCH))
+
+        def put(own: Column) -> Column:
+            ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda x: F.least(x["e"] - low, F.lit(_STRETCH))))
+            start = lambda x: F.greatest(x["s"] - low, F.lit(0))
+            pieces = F.zip_with(own, F.slice(ends, F.lit(1), F.size(own)), lambda x, at: F.concat(F.substring(part, at + 1, start(x) - at), hidden(x, start(x), low)))
+            return F.concat(F.array_join(pieces, ""), F.substring(part, F.element_at(ends, -1) + 1, F.lit(_STRETCH)))
+
+        return let(F.filter(spans, lambda x: (x["s"] < low + _STRETCH) & (x["e"] > low)), put)
+
+    last = F.greatest(F.ceil(F.length(text) / F.lit(float(_STRETCH))) - 1, F.lit(0)).cast("int")
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), last), stretch), ""))
+
+
 def redact_text(pages: DataFrame, spans: DataFrame, mask: str = "block") -> DataFrame:
     """pages (doc_id, page, text) plus n_redacted and redacted_text. Pages without spans stay.
 
@@ -26,12 +57,5 @@ def redact_text(pages: DataFrame, spans: DataFrame, mask: str = "block") -> Data
     own = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        hidden = F.repeat(F.lit(BLOCK), x["e"] - x["s"]) if mask == "block" else F.lit("" if mask == "drop" else mask)
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), hidden).alias("out"))
-
     rows = pages.join(own, ["doc_id", "page"], "left").withColumn("spans", F.coalesce("spans", none))
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn("n_redacted", F.size("spans")).withColumn("redacted_text", done).drop("spans")
+    return rows.withColumn("n_redacted", F.size("spans")).withColumn("redacted_text", masked(text, F.col("spans"), mask)).drop("spans")

@@ -46,7 +46,7 @@ def category_rollup(groups: DataFrame) -> DataFrame:
 
 
 def apply_decisions(entities: DataFrame, decisions: DataFrame) -> DataFrame:
-    """`approved` as decided (doc_id, value_key, approved); the last in hash order if repeated."""
+    """`approved` as decided (doc_id, value_key, approved); of repeated decisions all must approve."""
     own = decisions.groupBy("doc_id", "value_key").agg(F.bool_and("approved").alias("decided"))
     rows = entities.join(own, ["doc_id", "value_key"], "left")
     return rows.withColumn("approved", F.coalesce("decided", "approved")).select(*entities.columns)
@@ -89,6 +89,27 @@ def classify_hits(entities: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.select("doc_id", "value_key", "value", action.alias("action"))
 
 
+def merge_hits(entities: DataFrame, hits: DataFrame) -> DataFrame:
+    """entities with the hits (doc_id, page, value) of an instruction: values that are entities are
+    approved, others are added as Custom with source `ai`, each on its first page."""
+    own = hits.withColumn("value_key", value_key(F.col("value"))).groupBy("doc_id", "value_key").agg(F.min_by("value", F.struct("page", "value")).alias("value"), F.min("page").alias("page"))
+    known = own.select("doc_id", "value_key", F.lit(True).alias("again"))
+    listed = entities.join(known, ["doc_id", "value_key"], "left").withColumn("approved", F.coalesce("again", "approved")).select(*entities.columns)
+    top = entities.groupBy("doc_id").agg(F.max("ord").alias("top"))
+    new = own.join(entities.select("doc_id", "value_key"), ["doc_id", "value_key"], "left_anti").join(top, "doc_id", "left")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "value_key"))
+    new = new.withColumns({"ord": (F.coalesce("top", F.lit(0)) + place).cast("long"), "type": F.lit("Custom"), "approved": F.lit(True), "source": F.lit("ai")})
+    kinds = dict(entities.dtypes)
+    new = new.withColumns({c: F.lit(None).cast(kinds[c]) for c in entities.columns if c not in new.columns})
+    return listed.unionByName(new.select(*[F.col(c).cast(kinds[c]).alias(c) for c in entities.columns]))
+
+
+def changed_by_hits(entities: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, changes): how many values merge_hits() approves or adds."""
+    own = classify_hits(entities, hits).groupBy("doc_id").agg(F.count_if(F.col("action") != "skip").alias("changes"))
+    return own
+
+
 def unapplied_changes(old: DataFrame, new: DataFrame, old_ids: DataFrame, new_ids: DataFrame) -> DataFrame:
     """(doc_id, changed): entities (doc_id, ord, value, approved) compared place by place, and the
     selected images or kept links (doc_id, id) compared as sets."""

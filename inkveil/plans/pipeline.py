@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.text import trimmed
 from inkveil.operators.detectors import DETECTORS, Pattern, pattern_entities, with_claims
 from inkveil.operators.entities import first_seen, spread_surnames
+from inkveil.operators.layout import remove_image_pages
 from inkveil.operators.locate import locate
-from inkveil.operators.model import filter_entities
-from inkveil.operators.redact import redact_text, span_union
+from inkveil.operators.model import approve_reply, assemble_replies, dedupe_reply, filter_entities, map_label, reply_entities, with_reasons
+from inkveil.operators.redact import masked, redact_text, span_union
+from inkveil.operators.review import add_custom, apply_decisions, group_entities, merge_hits
 
 ORDER = ["page", "src", "rank", "pat", "s"]
 COLUMNS = ["doc_id", "type", "value", "value_key", "page", "approved", "source", "ord"]
@@ -33,6 +36,44 @@ def detect(pages: DataFrame, model_entities: DataFrame | None = None, patterns:
     return spread_surnames(rows) if surnames else rows
 
 
+def detect_chat(pages: DataFrame, replies: DataFrame, patterns: list[Pattern] | None = None, surnames: bool = True) -> DataFrame:
+    """Entities of every document: patterns first, then what a chat model replied to each page.
+
+    replies: streamed lines (doc_id, page, seq, line). They are put together, their objects
+    salvaged up to a repeat loop, rejected for the first reason that applies, named by type and
+    left out where a pattern has claimed them. Miscellaneous ones aren't approved.
+    """
+    patterns = DETECTORS if patterns is None else patterns
+    claimed = with_claims(pages.select("doc_id", "page", "text"), patterns)
+    found = claimed.select("doc_id", "page", F.inline("claims")).where("type is not null")
+    found = found.select("doc_id", "page", "type", trimmed(F.col("value")).alias("value"), F.lit(True).alias("approved"), F.lit(0).alias("src"), "rank", "pat", "s")
+    listed = with_reasons(dedupe_reply(reply_entities(assemble_replies(replies))), pages).where("reason is null")
+    own = approve_reply(listed.withColumn("type", map_label(F.col("type"))), claimed)
+    own = own.select("doc_id", "page", "type", "value", "approved", F.lit(1).alias("src"), F.col("pos").alias("rank"), F.lit(0).alias("pat"), F.lit(0).alias("s"))
+    rows = first_seen(found.unionByName(own), ORDER).withColumn("source", F.lit(None).cast("string")).select(*COLUMNS)
+    return spread_surnames(rows) if surnames else rows
+
+
+def reviewed(pages: DataFrame, entities: DataFrame, decisions: DataFrame | None = None, custom: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """The entities after a review: decisions (doc_id, value_key, approved), then custom values
+    (doc_id, value) that stand in the pages, then the hits (doc_id, page, value) of an instruction."""
+    if decisions is not None:
+        entities = apply_decisions(entities, decisions)
+    if custom is not None:
+        entities = add_custom(entities, custom, locate(custom, pages))
+    return entities if hits is None else merge_hits(entities, hits)
+
+
+def rerun(pages: DataFrame, entities: DataFrame, mask: str = "block", images: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The original pages redacted anew by what a review left approved, without the pages whose
+    selected images fill them. images: the inventory, and the selected (doc_id, id)."""
+    groups = group_entities(entities).where("approved")
+    if images is not None:
+        kept = remove_image_pages(pages, *images).where("kept").select("doc_id", "page")
+        return redact(pages, groups, mask).join(kept, ["doc_id", "page"], "left_semi")
+    return redact(pages, groups, mask)
+
+
 def redact(pages: DataFrame, entities: DataFrame, mask: str = "block") -> DataFrame:
     """pages with n_redacted and redacted_text: every approved value, wherever it stands."""
     return redact_text(pages, span_union(locate(entities.where("approved"), pages)), mask)
@@ -40,16 +81,6 @@ def redact(pages: DataFrame, entities: DataFrame, mask: str = "block") -> DataFr
 
 def redact_known(pages: DataFrame, patterns: list[Pattern] | None = None, mask: str = "block") -> DataFrame:
     """Redacts each page's own pattern matches. Works row by row, on streams too."""
-    from inkveil.operators.redact import BLOCK
-
     claims = with_claims(pages, DETECTORS if patterns is None else patterns)
     spans = F.array_sort(F.transform(F.filter("claims", lambda c: c["type"].isNotNull()), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        hidden = F.repeat(F.lit(BLOCK), x["e"] - x["s"]) if mask == "block" else F.lit("" if mask == "drop" else mask)
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), hidden).alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return claims.withColumn("redacted_text", done).drop("claims")
+    return claims.withColumn("redacted_text", masked(F.coalesce(F.col("text"), F.lit("")), spans, mask)).drop("claims")

@@ -100,7 +100,7 @@ def surnames(spark, folder):
 
 
 def match_summary(spark, folder):
-    found = locate.locate(_source_entities(spark, folder), sources.source_pages(spark, folder))
+    found = locate.locate(_source_entities(spark, folder), sources.source_pages(spark, folder), by_word=True)
     return locate.match_summary(found)
 
 
@@ -219,7 +219,7 @@ def grouped_tokens(spark, folder):
 def tagged_entities(spark, folder):
     """A tagger's entities (the people of the notes) through all filters and pattern claims."""
     pages = detectors.with_claims(_notes(spark, folder))
-    found = _sql(spark, folder, derived.PEOPLE).select("doc_id", "page", F.lit(0).alias("chunk"), F.lit(1).alias("grp"), F.lit("PERSON").alias("tag"), F.regexp_replace("value", ", Jr.$| MD$", "").alias("word"), (0.4 + F.col("ord") % 6 / 10).alias("score"))
+    found = _sql(spark, folder, derived.PEOPLE).select("doc_id", "page", F.lit(0).alias("chunk"), F.lit(1).alias("grp"), F.lit("PERSON").alias("tag"), F.regexp_replace("value", ", Jr.$| MD$", "").alias("word"), ((40 + F.col("ord") % 6 * 10) / 100).alias("score"))
     return model.filter_entities(found, pages).select("doc_id", "page", "type", "value")
 
 
@@ -228,13 +228,17 @@ def reply_entities(spark, folder):
     return model.reply_entities(rows)
 
 
-def assembled_replies(spark, folder):
-    """Replies cut into streamed lines, some with an error, put together again."""
+def _reply_lines(spark, folder):
     rows = _sql(spark, folder, derived.REPLIES)
     line = lambda text, done, error: F.to_json(F.struct(F.struct(text.alias("content")).alias("message"), done.alias("done"), F.when(done, "stop").alias("done_reason"), error.alias("error")))
     none = F.lit(None).cast("string")
     lines = F.array(F.struct(F.lit(0).alias("seq"), line(F.col("head"), F.lit(False), none).alias("line")), F.struct(F.lit(1).alias("seq"), line(F.lit(""), F.lit(False), F.when(F.col("k") % 3 == 0, "lost")).alias("line")), F.struct(F.lit(2).alias("seq"), line(F.col("tail"), F.lit(True), none).alias("line")))
-    return model.assemble_replies(rows.select("doc_id", "page", F.inline(lines)))
+    return rows.select("doc_id", "page", F.inline(lines))
+
+
+def assembled_replies(spark, folder):
+    """Replies cut into streamed lines, some with an error, put together again."""
+    return model.assemble_replies(_reply_lines(spark, folder))
 
 
 def run_flags(spark, folder):
@@ -250,15 +254,18 @@ def deduped_reply(spark, folder):
 
 
 def reply_reasons(spark, folder):
-    notes = _notes(spark, folder).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    rows = model.with_reasons(_sql(spark, folder, derived.LISTED), notes.withColumn("page", F.lit(1)))
+    notes = _notes(spark, folder).withColumn("page", F.floor((F.col("page") - 1) / 500).cast("int") + 1)
+    notes = notes.groupBy("doc_id", "page").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+    rows = model.with_reasons(_sql(spark, folder, derived.LISTED), notes)
     return rows.select("doc_id", "page", "pos", "type", "value", "reason")
 
 
 def model_thresholds(spark, folder):
-    """Types and least scores of all tags that the tokens hold."""
+    """Types and, for two known taggers and any other, least scores of all tags of the tokens."""
     rows = _sql(spark, folder, derived.TOKENS).select(F.regexp_replace("tag", "^[A-Z]-", "").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    return rows.withColumn("type", model.map_label(F.col("tag"))).withColumn("min_score", model.min_score(F.col("type")))
+    rows = rows.withColumn("type", model.map_label(F.col("tag")))
+    limits = [F.struct(F.lit(name).alias("model"), model.min_score(F.col("type"), model.min_scores_of(name)).alias("min_score")) for name in ("accurate", "small", "other")]
+    return rows.select("tag", "n", "type", F.inline(F.array(*limits)))
 
 
 def decided_entities(spark, folder):
@@ -275,7 +282,7 @@ def _custom(spark, folder):
 
 def custom_entities(spark, folder):
     rows, custom = _source_entities(spark, folder), _custom(spark, folder)
-    found = locate.locate(custom, sources.source_pages(spark, folder))
+    found = locate.locate(custom, sources.source_pages(spark, folder), by_word=True)
     return review.add_custom(rows, custom, found).where("type = 'Custom'").select("doc_id", "type", "value", "page", "approved")
 
 
@@ -301,15 +308,14 @@ def kept_links(spark, folder):
 
 def reviewable_documents(spark, folder):
     pages = sources.html_pages(spark, folder)
-    images = _sql(spark, folder, derived.IMAGES).select("doc_id").distinct()
-    return hidden.reviewable(pages, images, hidden.link_inventory(pages))
+    return hidden.reviewable(pages, image_inventory(spark, folder), hidden.link_inventory(pages))
 
 
 def _expected(spark, folder):
-    """What should have been found: all e-mail addresses, and every tenth document's first word."""
+    """What should have been found: all e-mail addresses, and every document's first word."""
     docs = sources.table(spark, folder, "documents")
     mails = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0))).alias("value"))
-    words = docs.where("doc_id % 10 = 0").select("doc_id", F.regexp_extract("text", "[A-Za-z]{2,}", 0).alias("value")).where("value <> ''")
+    words = docs.select("doc_id", F.regexp_extract("text", "[A-Za-z]{2,}", 0).alias("value")).where("value <> ''")
     return mails.unionByName(words)
 
 
@@ -324,6 +330,86 @@ def evaluated_corpus(spark, folder):
     return evaluate.evaluate_corpus(evaluated_documents(spark, folder))
 
 
+def bounded_page_stats(spark, folder):
+    """Image coverage where every other page has bounds of its own."""
+    pages, images = _sql(spark, folder, derived.IMAGE_PAGES), _sql(spark, folder, derived.IMAGES)
+    return layout.page_stats(pages, images, _sql(spark, folder, derived.BOUNDS)).withColumn("image_coverage", F.round("image_coverage", 9))
+
+
+def unlinked_pages(spark, folder):
+    """Pages without external links; pages of even number keep theirs."""
+    pages = sources.html_pages(spark, folder)
+    keep = hidden.link_inventory(pages).where("doc_id % 2 = 0").select("doc_id", "url")
+    return hidden.unlinked(pages, keep).select("doc_id", "html")
+
+
+def instruction_hits(spark, folder):
+    return model.instruction_hits(_sql(spark, folder, derived.FOUND), _notes(spark, folder))
+
+
+def _note_groups(spark, folder):
+    return pipeline.detect(_notes(spark, folder), surnames=False).withColumn("approved", F.length("value") % 2 == 0)
+
+
+def merged_hits(spark, folder):
+    """The notes' entities after an instruction's hits were merged into them."""
+    rows = review.merge_hits(_note_groups(spark, folder), instruction_hits(spark, folder))
+    return rows.select("doc_id", "value_key", "type", "source", "approved")
+
+
+def changed_by_hits(spark, folder):
+    return review.changed_by_hits(_note_groups(spark, folder), instruction_hits(spark, folder))
+
+
+def rerun_notes(spark, folder):
+    """The notes redacted anew by what is approved after a review with an instruction's hits."""
+    notes = _notes(spark, folder)
+    rows = pipeline.reviewed(notes, _note_groups(spark, folder).where("false"), hits=instruction_hits(spark, folder))
+    return pipeline.rerun(notes, rows).select("doc_id", "page", "n_redacted", "redacted_text")
+
+
+def claimed_values(spark, folder):
+    """Whether all places of a number in a note are claimed by its patterns."""
+    value = F.expr("CASE page % 3 WHEN 0 THEN '2020' WHEN 1 THEN cast(89999 + page as string) ELSE '12' END")
+    rows = detectors.with_claims(_notes(spark, folder)).withColumn("value", value)
+    return rows.select("doc_id", "page", "value", detectors.is_claimed(F.col("value"), F.col("text"), F.col("claims")).alias("claimed"))
+
+
+def snapped_words(spark, folder):
+    """A tagger's words, with blanks, capitals or ends that the notes don't have, as the notes have them."""
+    rows = _sql(spark, folder, derived.NAMES).join(_notes(spark, folder), ["doc_id", "page"])
+    word = F.expr("CASE k % 4 WHEN 0 THEN replace(person, ' ', '  ') WHEN 1 THEN upper(person) WHEN 2 THEN substring(person, 2, length(person) - 2) ELSE ' Nobody Here ' END")
+    return rows.select("doc_id", "page", model.snap_to_words(word, F.col("text")).alias("word"))
+
+
+def cleaned_people(spark, folder):
+    value = F.expr("CASE k % 3 WHEN 0 THEN concat(person, ' of the') WHEN 1 THEN concat('Bo\n', person) ELSE 'Ann\nLee' END")
+    return _sql(spark, folder, derived.NAMES).select("doc_id", "page", model.clean_person(value).alias("value"))
+
+
+def chat_entities(spark, folder):
+    """Patterns and a chat model's streamed replies as one dataflow."""
+    return pipeline.detect_chat(_sql(spark, folder, derived.CARDS), _reply_lines(spark, folder)).select("doc_id", "type", "value", "page", "approved", "ord")
+
+
+def _capitals():
+    return lambda texts: [[{"idx": k, "tag": "B-WORD", "score": 1.0, "piece": w} for k, w in enumerate(t.split(" ")) if "A" <= w[:1] <= "Z"] for t in texts]
+
+
+def scored_chunks(spark, folder):
+    """A caller's model on all chunks of the conversations: it tags words with a capital."""
+    chunks = conversation_chunks(spark, folder).withColumnRenamed("chunk_text", "text")
+    return model.score_chunks(chunks, _capitals).select("doc_id", "page", "chunk", "idx", "tag", "piece")
+
+
+def fallback_entities(spark, folder):
+    """A chat model's entities where no page failed, else what the patterns find."""
+    replies = assembled_replies(spark, folder)
+    first = model.reply_entities(replies).select("doc_id", "type", "value")
+    second = detectors.pattern_entities(_sql(spark, folder, derived.CARDS)).select("doc_id", "type", "value")
+    return model.fallback(first, second, evaluate.run_flags(replies).where("not failed"))
+
+
 _ALL = [
     detect_email, detect_ip, detect_card, detect_phone, detect_ssn, detect_iban, detect_birth, detect_labelled_ids, detect_titled, detect_ipv6, note_entities,
     claimed_entities, first_seen_entities, surnames, match_summary, group_entities, review_list, category_rollup, redaction_spans, redacted_documents,
@@ -331,6 +417,8 @@ _ALL = [
     cleaned_documents, value_keys, conversation_chunks, conversation_stats, link_inventory, removal_reports, stripped_pages, html_pii, grouped_tokens,
     tagged_entities, reply_entities, assembled_replies, run_flags, repeat_loops, deduped_reply, reply_reasons, model_thresholds, decided_entities,
     custom_entities, classified_hits, unapplied_changes, kept_links, reviewable_documents, evaluated_documents, evaluated_corpus,
+    bounded_page_stats, unlinked_pages, instruction_hits, merged_hits, changed_by_hits, rerun_notes, claimed_values, snapped_words, cleaned_people, chat_entities,
+    scored_chunks, fallback_entities,
 ]
 
 

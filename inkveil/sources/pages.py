@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,9 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every source as one document, its documents in order as its pages."""
-    order = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, folder, "documents").select(F.col("source").alias("doc_id"), order.alias("page"), "text")
+    """Every source as one document, its documents as pages that keep their doc_id as number, so
+    that no row has to be counted or moved."""
+    return table(spark, folder, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
 
 
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,9 +41,10 @@ def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, value, type) from JSON files {source, pii: [{value, type}]}."""
+    """(doc_id, value, type) from JSON files {source, pii: [{value, type}]}; a file without values
+    gives one row with null ones, so that its document isn't lost."""
     rows = spark.read.schema("source string, pii array<struct<value:string,type:string>>").json(path, multiLine=True)
-    return rows.select(F.col("source").alias("doc_id"), F.inline("pii")).select("doc_id", "value", "type")
+    return rows.select(F.col("source").alias("doc_id"), F.inline_outer("pii")).select("doc_id", "value", "type")
 
 
 def write_redacted(redacted: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -51,6 +52,14 @@ def write_redacted(redacted: DataFrame, path: str, by: list[str] | None = None)
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
-def write_report(report: DataFrame, path: str, **run: str) -> None:
-    """The report as JSON lines, with the run's data in columns of their own."""
-    report.withColumns({k: F.lit(v) for k, v in run.items()}).write.mode("overwrite").json(path)
+def write_report(report: DataFrame, path: str, run_id: str, **run: str) -> None:
+    """The report as JSON lines with the run's data in columns of their own: under `runs/run=...`
+    for good (the same run_id again replaces that run), and under `latest` until the next run."""
+    rows = report.withColumns({k: F.lit(v) for k, v in run.items()})
+    rows.write.mode("overwrite").json(f"{path}/runs/run={run_id}")
+    report.sparkSession.read.schema(rows.schema).json(f"{path}/runs/run={run_id}").write.mode("overwrite").json(f"{path}/latest")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """All runs' reports, with column `run`."""
+    return spark.read.json(f"{path}/runs")

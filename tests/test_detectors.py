@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from inkveil.functions.text import find_spans, occurrences
 from inkveil.operators.detectors import is_claimed, pattern_entities, with_claims
 from inkveil.plans.pipeline import detect
 
@@ -27,6 +28,11 @@ def found(spark, text):
         ("Passport card no. AB-1234", [("Passport", "AB-1234")]),
         ("case 1:21-cr-12345-ABC", [("Case Number", "1:21-cr-12345-ABC")]),
         ("12-2020-1234567-QX", [("Case Number", "12-2020-1234567-QX")]),
+        ("Case file no. 12345", [("Case Number", "12345")]),
+        ("docket case 21-4455", [("Case Number", "21-4455")]),
+        ("application file 2020-77", [("Case Number", "2020-77")]),
+        ("serial badge 12345", [("ID Number", "12345")]),
+        ("badge serial: AB1234", [("ID Number", "AB1234")]),
         ("driver's license: D1234567", [("ID Number", "D1234567")]),
         ("Judge Mary J. O'Hara spoke", [("Person", "Mary J. O'Hara")]),
         ("éMr. Stone", [("Person", "Stone")]),
@@ -57,3 +63,10 @@ def test_claimed_needs_every_occurrence(spark):
     rows = spark.createDataFrame([("aXa",), ("aX",), ("b",)], "text string")
     claims = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e")))
     assert [r[0] for r in rows.select(is_claimed(F.lit("a"), F.col("text"), claims)).collect()] == [False, True, False]
+
+
+def test_overlapping_occurrences_and_long_pages(spark):
+    rows = spark.createDataFrame([("aaa",), ("a.a.a" + " y" * 60_000,)], "text string")
+    assert [[(x["s"], x["e"]) for x in r[0]] for r in rows.select(occurrences(F.when(F.col("text") == "aaa", "aa").otherwise("a.a"), F.col("text"))).collect()] == [[(0, 2), (1, 3)], [(0, 3), (2, 5)]]
+    many = spark.createDataFrame([("ab " * 40_000,)], "text string").select(find_spans(F.col("text"), "ab")).first()[0]
+    assert [(x["s"], x["e"]) for x in many] == [(3 * k, 3 * k + 2) for k in range(40_000)]

@@ -1,10 +1,11 @@
+import time
 from datetime import datetime
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkveil.operators import entities, evaluate, layout, locate, model, redact, review
+from inkveil.operators import entities, evaluate, hidden, layout, locate, model, redact, review
 from inkveil.plans import pipeline
 from inkveil.sources import pages as sources
 from inkveil.streaming import pages as streams
@@ -52,10 +53,10 @@ def test_redacted_text_holds_no_value(spark, text, values):
 
 
 def test_tokens_merge(spark):
-    tags = [(1, "B-PER", "Ja"), (2, "I-PER", "##ne"), (3, "I-LOC", "Rome"), (5, "I-LOC", "gap"), (6, "S-PER", "Bo"), (7, "I-PER", "Al"), (8, "E-PER", "Li"), (9, "I-PER", "no"), (10, "PER", "ok")]
+    tags = [(1, "B-PER", "Ja"), (2, "I-PER", "##ne"), (3, "I-LOC", "Rome"), (5, "I-LOC", "gap"), (6, "S-PER", "Bo"), (7, "I-PER", "Al"), (8, "E-PER", "Li"), (9, "I-PER", "no"), (10, "PER", "ok"), (20, "E-PER", "Ann"), (21, "I-PER", "Lee"), (30, "E-PER", "a"), (31, "E-PER", "b"), (32, "E-PER", "c")]
     rows = spark.createDataFrame([("d", 1, 1, i, t, 0.5, p) for i, t, p in tags], "doc_id string, page int, chunk int, idx int, tag string, score double, piece string")
     out = model.group_tokens(rows).orderBy("grp").collect()
-    assert [(r["tag"], r["word"]) for r in out] == [("PER", "Ja##ne".replace("##", "")), ("LOC", "Rome"), ("LOC", "gap"), ("PER", "Bo"), ("PER", "Al Li"), ("PER", "no ok")]
+    assert [(r["tag"], r["word"]) for r in out] == [("PER", "Ja##ne".replace("##", "")), ("LOC", "Rome"), ("LOC", "gap"), ("PER", "Bo"), ("PER", "Al Li"), ("PER", "no ok"), ("PER", "Ann Lee"), ("PER", "a b"), ("PER", "c")]
 
 
 def test_tagger_filters(spark):
@@ -166,8 +167,12 @@ def test_readers_and_writers(spark, tmp_path):
     pages = pages_of(spark, ("d", 1, "x"))
     sources.write_redacted(pages, str(tmp_path / "out"), ["doc_id"])
     assert sources.read_pages(spark, str(tmp_path / "out"), schema="page int, text string, doc_id string").count() == 1
-    sources.write_report(pages, str(tmp_path / "report"), model="none")
-    assert spark.read.json(str(tmp_path / "report")).first()["model"] == "none"
+    (tmp_path / "none.json").write_text('{"source": "b", "pii": []}')
+    assert sources.read_expected(spark, str(tmp_path / "none.json")).collect()[0].asDict() == {"doc_id": "b", "value": None, "type": None}
+    for run in ("r1", "r2"):
+        sources.write_report(pages, str(tmp_path / "report"), run, model=f"m{run}")
+    assert spark.read.json(str(tmp_path / "report/latest")).first()["model"] == "mr2"
+    assert {(r["run"], r["model"]) for r in sources.read_reports(spark, str(tmp_path / "report")).collect()} == {("r1", "mr1"), ("r2", "mr2")}
 
 
 def test_model_runs_once_for_each_task(spark):
@@ -183,3 +188,65 @@ def test_fallback_by_document(spark):
     second = spark.createDataFrame([("a", 2), ("b", 2)], "doc_id string, x int")
     out = model.fallback(first, second, first.where("doc_id = 'a'").select("doc_id"))
     assert {r["doc_id"]: r["x"] for r in out.collect()} == {"a": 1, "b": 2}
+
+
+def test_rejected_replies_say_why(spark):
+    cases = [("Person", "x" * 61, "too long"), ("Person", "absent", "not found in page text"), ("Miscellaneous", "here", None), ("Person", "12-3", "no letters"), ("Place", "here", "all lowercase"), ("Person", "Ann Bo Cy Di Ed", "person longer than 4 words"), ("Person", "Al", "single-word person too short"), ("Person", "Ann 2", "person contains digits"), ("Person", "Acme", "part of an organization name"), ("Organization", "Acme Corp", None), ("Person", "Ann", None)]
+    text = " ; ".join(v for _, v, r in cases if r not in ("too long", "not found in page text"))
+    rows = spark.createDataFrame([("d", 1, k, t, v) for k, (t, v, _) in enumerate(cases)], "doc_id string, page int, pos int, type string, value string")
+    got = {r["pos"]: r["reason"] for r in model.with_reasons(rows, pages_of(spark, ("d", 1, text))).collect()}
+    assert got == {k: r for k, (_, _, r) in enumerate(cases)}
+
+
+def test_instruction_keeps_strings_only(spark):
+    replies = spark.createDataFrame([("d", 1, '["Ann Lee", 5, " Bo ", {"a": 1}, "x", "absent", null]'), ("d", 2, '"Ann"'), ("d", 3, "oops"), ("d", 4, '["Ann"]')], "doc_id string, page int, content string")
+    pages = pages_of(spark, ("d", 1, "ann  lee met Bo 5"), ("d", 2, "Ann"), ("d", 3, "Ann"), ("d", 4, " "))
+    assert [(r["page"], r["pos"], r["value"]) for r in model.instruction_hits(replies, pages).orderBy("pos").collect()] == [(1, 0, "Ann Lee"), (1, 2, "Bo")]
+
+
+def test_review_is_merged_and_run_again(spark):
+    pages = pages_of(spark, ("d", 1, "x@y.com met Ann and Bob Ray"), ("d", 2, "ann again"))
+    own = pipeline.detect(pages)
+    no = spark.createDataFrame([("d", "x@y.com", False)], "doc_id string, value_key string, approved boolean")
+    custom = spark.createDataFrame([("d", "Bob Ray"), ("d", "nobody")], "doc_id string, value string")
+    hits = spark.createDataFrame([("d", 2, "ann"), ("d", 1, "Ann")], "doc_id string, page int, value string")
+    rows = pipeline.reviewed(pages, own, no, custom, hits)
+    assert {(r["value"], r["type"], r["source"], r["page"], r["approved"]) for r in rows.collect()} == {("x@y.com", "Email", None, 1, False), ("Bob Ray", "Custom", None, 1, True), ("Ann", "Custom", "ai", 1, True)}
+    out = {r["page"]: r["redacted_text"] for r in pipeline.rerun(pages, rows, "-").collect()}
+    assert out == {1: "x@y.com met - and -", 2: "- again"}
+    inventory = spark.createDataFrame([("d", 2, 0, "2:0", True)], "doc_id string, page int, idx int, id string, full_page boolean")
+    assert [r["page"] for r in pipeline.rerun(pages, rows, images=(inventory, inventory.select("doc_id", "id"))).collect()] == [1]
+
+
+def test_links_go_but_for_those_kept(spark):
+    html = """<a class=x href="https://a.b/c">A</a> <a href='mailto:q@r'>B</a> <a href="#top">C</a>"""
+    pages = spark.createDataFrame([(1, html), (2, html), (3, None)], "doc_id long, html string")
+    keep = spark.createDataFrame([(1, "mailto:q@r")], "doc_id long, url string")
+    got = {r["doc_id"]: r["html"] for r in hidden.unlinked(pages, keep).collect()}
+    assert got == {1: """A <a href='mailto:q@r'>B</a> <a href="#top">C</a>""", 2: """A B <a href="#top">C</a>""", 3: None}
+    assert hidden.unlinked(pages).where("doc_id = 1").first()["html"] == got[2]
+
+
+def test_changed_values_are_unapplied(spark):
+    ids = spark.createDataFrame([("d", "1:0")], "doc_id string, id string")
+    rows = spark.createDataFrame([("d", "Person", "Ann", "ann", 1, True, None, 1)], ENTITY)
+    assert review.unapplied_changes(rows, rows.withColumn("value", F.lit("Anne")), ids, ids).first()["changed"] is True
+
+
+def test_values_meet_pages_by_their_first_word(spark):
+    pages = pages_of(spark, *[("d", k, t) for k, t in enumerate(["Ann Lee and ANN  LEE", "(555) 1 or annlee", "*** x", None, "élan, Élan"])])
+    values = spark.createDataFrame([("d", v) for v in ("ann lee", "(555) 1", "***", "élan", " ", "x")], "doc_id string, value string")
+    rows = lambda by: sorted((r["value"], r["page"], r["n"]) for r in locate.locate(values, pages, by).collect())
+    assert rows(True) == rows(False) == [("(555) 1", 1, 1), ("***", 2, 1), ("ann lee", 0, 2), ("x", 2, 1), ("élan", 4, 2)]
+
+
+def test_a_very_long_page(spark):
+    text = ("mail a.b@example.com, call (212) 555-0123 at 10.0.0.1; " + "word " * 40) * 2000
+    assert len(text) > 500_000
+    pages = pages_of(spark, ("d", 1, text))
+    began = time.time()
+    rows = pipeline.detect(pages)
+    done = pipeline.redact(pages, rows).first()
+    assert {r["type"] for r in rows.collect()} == {"Email", "Phone", "IP Address"} and done["n_redacted"] == 6000
+    assert done["redacted_text"].count("█") == 2000 * (15 + 14 + 8) and len(done["redacted_text"]) == len(text)
+    assert time.time() - began < 240
