@@ -3,7 +3,8 @@
 A window can repeat only if its half-length windows do. So the half-length windows come first, and
 of those only the ones that winnowing selects: the smallest hash of each full window, which equal
 windows select alike. Those that occur in two documents are extended to the full length, and the
-full windows that repeat decide. Longer windows hold only full windows that are decided already,
+full windows that repeat decide. Windows that very many documents share are counted before they are
+shuffled, and dealt to many tasks. Longer windows hold only full windows that are decided already,
 so the doubling ends there.
 """
 
@@ -25,6 +26,12 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Words remembered with their hashes by each Python worker; beyond it the memory starts anew.
 MEMO_WORDS = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A half window is hot if it makes up more than this share of all selected ones, and more than so
+#: many rows. So there are at most 1 / HOT_SHARE hot ones.
+HOT_SHARE = 0.001
+HOT_LEAST = 1000
+#: Parts that the rows of a hot window are dealt to.
+SALTS = 64
 #: A null doc_id comes after all others.
 _LAST = (1 << 63) - 1
 
@@ -105,8 +112,13 @@ def scanned(docs: DataFrame, window: int, half: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id long, ord long, th long, n_words long, sha string, hashes array<long>, starts array<int>")
 
 
-def full_windows(pending: DataFrame, window: int, half: int) -> DataFrame:
-    """(h1, h2, ord, th, start) of each full window that holds a repeated half window."""
+def full_windows(pending: DataFrame, window: int, half: int, hot: list[int]) -> DataFrame:
+    """(h1, h2, ord, th, start, hot) of each full window that holds a repeated half window.
+
+    `hot` marks windows whose own smallest half window is one of the given hashes, at most
+    1 / HOT_SHARE of them: equal windows are marked alike.
+    """
+    crowded = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -116,10 +128,11 @@ def full_windows(pending: DataFrame, window: int, half: int) -> DataFrame:
                 starts = covered_starts(np.array(positions, np.int64), len(words), window, half)
                 hashed = memo.of(words)
                 h1, h2 = (window_hashes(hashed, window, base)[starts] for base in _BASES)
-                columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), order, np.int64)), pa.array(np.full(len(starts), th, np.int64)), pa.array(starts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ord", "th", "start"])
+                least = np.lib.stride_tricks.sliding_window_view(window_hashes(hashed, half), window - half + 1)[starts].min(1)
+                columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), order, np.int64)), pa.array(np.full(len(starts), th, np.int64)), pa.array(starts.astype(np.int32)), pa.array(np.isin(least.view(np.int64), crowded))]
+                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ord", "th", "start", "hot"])
 
-    return pending.select("ord", "th", "text", "positions").mapInArrow(run, "h1 long, h2 int, ord long, th long, start int")
+    return pending.select("ord", "th", "text", "positions").mapInArrow(run, "h1 long, h2 int, ord long, th long, start int, hot boolean")
 
 
 def cut(texts: DataFrame, window: int) -> DataFrame:
@@ -160,12 +173,24 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     marked = rows.join(copies, "sha", "left").withColumn("gone", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
     single = marked.where("not gone and size(hashes) > 0")
     halves = single.select("ord", "th", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("ord", "th", F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"))
-    repeated = halves.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("h")
-    positions = halves.join(repeated, "h").groupBy("ord", "th").agg(F.collect_list("start").alias("positions"))
+    repeated = halves.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n")).where("first < last")
+    repeated = written(repeated.select("h", "n"), "repeated")
+    total = single.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    crowded = repeated.where(F.col("n") > max(HOT_LEAST, HOT_SHARE * total)).select("h")
+    # The few hot half windows meet their rows without moving them; all others by a shuffle.
+    few = halves.join(F.broadcast(crowded.withColumn("hot", F.lit(True))), "h", "left")
+    found = few.where("hot").select("ord", "th", "start").unionByName(few.where("hot is null").drop("hot").join(repeated.select("h"), "h").select("ord", "th", "start"))
+    positions = found.groupBy("ord", "th").agg(F.collect_list("start").alias("positions"))
     texts = _rows(docs).select("ord", "th", "text")
     pending = written(texts.join(positions, ["ord", "th"]), "pending")
+    windows = full_windows(pending, window, half, [r["h"] for r in crowded.collect()])
     first = F.min("ord").over(Window.partitionBy("h1", "h2").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    covered = full_windows(pending, window, half).withColumn("first", first).where("ord > first")
+    covered = windows.where("not hot").withColumn("first", first).where("ord > first").select("ord", "th", "start")
+    hot = windows.where("hot")
+    firsts = hot.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    firsts = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = hot.withColumn("salt", F.pmod(F.xxhash64("ord", "th"), F.lit(SALTS)).cast("int"))
+    covered = covered.unionByName(dealt.join(firsts, ["h1", "h2", "salt"]).where("ord > first").select("ord", "th", "start"))
     starts = covered.groupBy("ord", "th").agg(F.collect_list("start").alias("starts"))
     changed = cut(pending.select("ord", "th", "text").join(starts, ["ord", "th"]).dropDuplicates(["ord", "th"]), window)
     return marked.select("doc_id", "ord", "th", "n_words", "sha", "gone"), changed
@@ -175,7 +200,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` without repeated windows; a text that keeps no word leaves its row out.
 
     A text that loses words becomes its other words, joined by one space; other texts stay as
-    they are. n_chars, where there is such a column, follows the text.
+    they are. n_chars, where there is such a column, follows the text. Null and empty texts stay as
+    they are; a null doc_id counts as larger than all others, rows that repeat a doc_id remove
+    nothing from each other, and an empty table gives no rows.
     """
     rows, changed = removals(docs, window)
     gone = rows.where("gone").select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.lit(True).alias("_gone")).distinct()

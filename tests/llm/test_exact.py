@@ -240,6 +240,39 @@ def test_against_sql(spark, folder, name):
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(rel.fetchall())
 
 
+@pytest.mark.parametrize("least", [0, 1000])
+def test_hot_passages_against_brute_force(spark, least, monkeypatch):
+    """A passage that most documents share, others that few do, copies and partial overlaps."""
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.02)
+    rng = random.Random(12)
+    shared = [f"s{k}" for k in range(70)]
+    other = [f"o{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        text = [f"u{k}_{j}" for j in range(rng.randint(0, 60))]
+        if k % 3:
+            at = rng.randint(0, len(text))
+            text[at:at] = shared[rng.randint(0, 12) :]
+        if k % 10 == 1:
+            text += other
+        rows.append((k, " ".join(text)))
+    rows += [(100, rows[7][1]), (101, rows[7][1])]
+    seen, expected = {}, {}
+    words = {k: t.split() for k, t in rows}
+    for k, w in words.items():
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), k)
+    for k, w in words.items():
+        gone = {i + j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] < k for j in range(50)}
+        expected[k] = (len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_report(docs).collect()}
+    assert got == expected and sum(n > 0 for n, _ in got.values()) > 35
+    kept = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert all((k in kept) == bool(not words[k] or expected[k][0] < len(words[k])) for k in words)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(2, 9))
 def test_window_selection_is_shared(words, span):
