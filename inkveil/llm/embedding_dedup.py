@@ -1,4 +1,9 @@
-"""Operator 5: near-duplicate vectors by random hyperplanes, exact cosine and components."""
+"""Operator 5: near-duplicate vectors by random hyperplanes, exact cosine and components.
+
+Each table of hyperplanes deals ids and short sign sketches to its buckets. Only vectors that have
+a possible partner in a bucket are dealt there themselves; pairs are then decided exactly. A block
+of a bucket gives the links' number for each vector and a forest that spans them, never all pairs.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,10 @@ from inkveil.llm.components import connected_components
 SEED = 7
 #: Chance, at most, that a pair of exactly the least similarity shares a bucket in no table.
 MISS = 1e-8
+#: Signs in a sketch, and the standard deviations that a pair at the least similarity may differ
+#: above what is expected and still be compared exactly.
+SKETCH = 128
+DEVIATIONS = 6.0
 #: Vectors of one label that a bucket should hold on average.
 BUCKET_ROWS = 32
 
@@ -41,74 +50,117 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct, member
 
 
-def hashed(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for each class and table: tag (table), key, id (cls) and payload: the class's
-    buckets in all tables as 4-byte integers, then its vector as 8-byte floats."""
+def _signs(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return v @ planes >= 0
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def hashed(distinct: DataFrame, dims: int, bits: int, tables: int) -> DataFrame:
+    """(id, label, n, buckets, signatures, sketch, vector) of each class: its bucket in every table, as
+    bytes and as an array, the signs of SKETCH further hyperplanes, and the vector as bytes."""
     seed = SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes = np.random.default_rng([seed, dims]).standard_normal((dims, tables * bits + SKETCH))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [np.array(x, np.float64) for x in part.column(2).to_pylist()]
-                sizes = {len(x) for x in rows}
-                for size in sorted(sizes):
-                    own = [k for k, x in enumerate(rows) if len(x) == size]
-                    if size not in planes:
-                        planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * bits))
-                    v = np.stack([rows[k] for k in own])
-                    v = v / np.abs(v).max(1, keepdims=True)
-                    v = v / np.sqrt((v * v).sum(1, keepdims=True))
-                    signs = (v @ planes[size] >= 0).reshape(len(own), tables, bits)
-                    signatures = (signs << np.arange(bits)).sum(2).astype("<i4")
-                    payload = [s.tobytes() + x.tobytes() for s, x in zip(signatures, v.astype("<f8"))]
-                    columns = [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array([size] * len(own), pa.int32()), pa.array(signatures.tolist(), pa.list_(pa.int32())), pa.array(payload, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "label", "dims", "signatures", "payload"])
-
-    rows = distinct.select("cls", "label", "embedding").mapInArrow(run, "id long, label long, dims int, signatures array<int>, payload binary")
-    rows = rows.select("id", "label", "dims", "payload", F.posexplode("signatures").alias("tag", "signature"))
-    return rows.select("tag", F.xxhash64("label", "signature").alias("key"), "id", "payload", "label", "dims")
-
-
-def close_pairs(tables: int, least: float):
-    """All pairs of cosine >= `least` of a pair of blocks, each in the first table it shares."""
+                plain = np.array(part.column(3).to_pylist(), "<f4").reshape(part.num_rows, dims)
+                v = _unit(plain.astype(np.float64))
+                signs = _signs(v, planes)
+                signatures = (signs[:, : tables * bits].reshape(len(v), tables, bits) << np.arange(bits)).sum(2).astype("<i4")
+                sketches = np.packbits(signs[:, tables * bits :], axis=1)
+                columns = [part.column(k) for k in range(3)] + [pa.array([x.tobytes() for x in signatures], pa.binary()), pa.array(signatures.tolist(), pa.list_(pa.int32())), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array([x.tobytes() for x in plain], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "label", "n", "buckets", "signatures", "sketch", "vector"])
+
+    rows = distinct.select("cls", "label", "n", "embedding")
+    return rows.mapInArrow(run, "id long, label long, n long, buckets binary, signatures array<int>, sketch binary, vector binary")
+
+
+def possible_partners(limit: int):
+    """Of a pair of blocks, (id, tag) of those with another id at most `limit` signs apart."""
+
+    def links(tag: int, ids: np.ndarray, own: np.ndarray, payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.ascontiguousarray(payload).view(np.uint64)
+        some = np.zeros(len(ids), bool)
+        for at in range(0, len(ids), 512):
+            part = words[at : at + 512]
+            apart = sum(np.bitwise_count(part[:, None, k] ^ words[None, :, k]).astype(np.int16) for k in range(words.shape[1]))
+            near = apart <= limit
+            near[np.arange(len(part)), at + np.arange(len(part))] = False
+            some |= near.any(0)
+        return ids[some], np.full(int(some.sum()), tag, np.int64)
+
+    return links
+
+
+def close_links(tables: int, least: float):
+    """Of a pair of blocks, what the pairs of cosine >= `least` come to, each in the first table
+    that it shares: edges (a, b) that span them, and (a, -m) for the m vectors that a links with."""
 
     def links(tag: int, ids: np.ndarray, own: np.ndarray, payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         payload = np.ascontiguousarray(payload)
-        labels = np.ascontiguousarray(payload[:, :8]).view("<i8")[:, 0]
-        signatures = np.ascontiguousarray(payload[:, 8 : 8 + 4 * tables]).view("<i4")
-        v = np.ascontiguousarray(payload[:, 8 + 4 * tables :]).view("<f8")
-        mixed = own.min() != own.max()
-        out_a, out_b = [], []
-        for at in range(0, len(ids), 1024):
-            near = v[at : at + 1024] @ v.T >= least
-            a, b = np.nonzero(near)
-            a = a + at
+        labels, sizes = (np.ascontiguousarray(payload[:, k : k + 8]).view(">i8")[:, 0] for k in (0, 8))
+        buckets = np.ascontiguousarray(payload[:, 16 : 16 + 4 * tables]).view("<i4")
+        v = _unit(np.ascontiguousarray(payload[:, 16 + 4 * tables :]).view("<f4").astype(np.float64))
+        mixed, order = own.min() != own.max(), np.arange(len(ids))
+        pairs, counts = np.zeros((len(ids), len(ids)), bool), np.zeros(len(ids), np.int64)
+        for at in range(0, len(ids), 512):
+            rows = slice(at, at + 512)
+            near = (v[rows] @ v.T >= least) & (order[rows, None] < order) & (labels[rows, None] == labels)
             # A bucket cut into blocks: pairs within one block come from that block's own pair.
-            keep = (a < b) & (labels[a] == labels[b]) & ((own[a] != own[b]) if mixed else True)
-            a, b = a[keep], b[keep]
-            if tag and len(a):
-                first = ~(signatures[a, :tag] == signatures[b, :tag]).any(1)
-                a, b = a[first], b[first]
-            out_a.append(ids[a])
-            out_b.append(ids[b])
-        return np.concatenate(out_a), np.concatenate(out_b)
+            if mixed:
+                near &= own[rows, None] != own
+            for k in range(tag if near.any() else 0):
+                near &= buckets[rows, None, k] != buckets[:, k]
+            pairs[rows] = near
+            counts[rows] += near @ sizes
+            counts += sizes[rows] @ near
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return ids[:0], ids[:0]
+        both = pairs[np.ix_(some, some)]
+        both |= both.T
+        a, b, left = [ids[some]], [-counts[some]], np.ones(len(some), bool)
+        for root in range(len(some)):
+            queue = [root] if left[root] else []
+            left[root] = False
+            while queue:
+                x = queue.pop()
+                found = np.flatnonzero(both[x] & left)
+                left[found] = False
+                queue += found.tolist()
+                a.append(np.full(len(found), ids[some[x]]))
+                b.append(ids[some[found]])
+        return np.concatenate(a), np.concatenate(b)
 
     return links
 
 
 def linked_classes(distinct: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of classes of one label and dimension with cosine >= `least`."""
+    """(a, b) as close_links() says, over all classes of one label and dimension."""
     shape = distinct.groupBy("label").agg(F.count("*").alias("n"), F.collect_set(F.size("embedding")).alias("dims"))
     shape = shape.select("n", F.explode("dims").alias("dims")).groupBy("dims").agg(F.max("n").alias("n"))
     out = None
+    apart = math.acos(min(1.0, least)) / math.pi
+    limit = math.ceil(SKETCH * apart + DEVIATIONS * math.sqrt(SKETCH * apart * (1 - apart)))
     # One pass for each dimension that occurs: a table of embeddings has one.
     for row in shape.collect():
         bits, tables = tables_for(row["n"], least)
-        rows = hashed(distinct.where(F.size("embedding") == row["dims"]), bits, tables)
-        rows = rows.withColumn("payload", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "payload"))
-        pairs = compare(in_blocks(rows), close_pairs(tables, least), 8 + 4 * tables + 8 * row["dims"])
+        rows = hashed(distinct.where(F.size("embedding") == row["dims"]), row["dims"], bits, tables)
+        key = F.xxhash64("label", "signature").alias("key")
+        sketched = rows.select("id", "label", "sketch", F.posexplode("signatures").alias("tag", "signature")).select("tag", key, "id", F.col("sketch").alias("payload"))
+        active = compare(in_blocks(sketched), possible_partners(limit), SKETCH // 8).distinct()
+        active = written(active.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.col("b").cast("int")).alias("tags")), "active")
+        number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+        payload = F.concat(number("label"), number("n"), "buckets", "vector")
+        own = rows.join(active, "id").select("id", "label", "signatures", payload.alias("payload"), F.explode("tags").alias("tag"))
+        own = own.select("tag", F.xxhash64("label", F.col("signatures")[F.col("tag")]).alias("key"), "id", "payload")
+        pairs = compare(in_blocks(own), close_links(tables, least), 16 + 4 * tables + 4 * row["dims"])
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else distinct.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
 
@@ -122,11 +174,10 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     """
     distinct, member = classes_of(vectors)
     member = written(member, "member")
-    pairs = written(linked_classes(distinct, least), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = written(linked_classes(distinct, least), "links")
     sizes = distinct.select("cls", "n")
-    other = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    found = connected_components(pairs)
+    other = links.where("b < 0").groupBy("a").agg(F.sum(-F.col("b")).alias("others"))
+    found = connected_components(links.where("b >= 0"))
     classes = sizes.join(other.withColumnRenamed("a", "cls"), "cls", "left").join(found.withColumnRenamed("id", "cls"), "cls", "left")
     classes = classes.select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     least_id = member.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"))
