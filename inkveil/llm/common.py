@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where none is set (tests on one machine) a temporary folder is made and set.
+    Only where none is set and all runs on one machine (tests) a temporary folder is made and set;
+    on a cluster that raises.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="inkveil-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")

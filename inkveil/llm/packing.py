@@ -66,6 +66,7 @@ def packed(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> D
     rest that is packed with the others. Null or negative lengths count as 0; every document has
     at least one piece. A null source or cluster conflicts with nothing. Items are dealt to groups
     at random by row, so that no source or cluster gathers in one task; bins are the group's own.
+    Of items of equal length the one first by doc_id, piece, source and cluster is packed first.
     """
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
     rows = items.select(items["doc_id"].cast("long").alias("doc_id"), length.alias("length"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"))
@@ -91,7 +92,10 @@ def packed(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> D
 
 def document_items(docs: DataFrame) -> DataFrame:
     """The items of documents: length is the number of words and one end mark; a cluster holds the
-    texts that are equal in lower case and with white space made single blanks."""
+    texts that are equal in lower case and with white space made single blanks.
+
+    Null and empty texts have length 1 and are one cluster; a null source, or no such column, is
+    none. Rows that repeat are items of their own; an empty table gives none."""
     text = text_of(docs)
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
