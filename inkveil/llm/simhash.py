@@ -288,7 +288,7 @@ def sketch(own: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """(row, doc_id, th, fp, keys, sketch, shingles) of every text; null texts count as empty.
+    """(doc_id, th, fp, keys, sketch) of every text; null texts count as empty.
 
     `fp` is a 128-bit hash of the set of shingles, `sketch` a byte of each of the sketch's values.
     """
@@ -297,15 +297,29 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
                 least = [sketch(x, bands) for x in sets]
                 keys = [[xxhash.xxh64_intdigest(x[k * BAND : k * BAND + BAND].tobytes(), k) - (1 << 63) for k in range(bands)] if len(own) else [] for x, own in zip(least, sets)]
-                own = [x.tobytes() for x in sets]
-                columns = [part.column(0), part.column(1), part.column(2), pa.array([xxhash.xxh128_digest(x) for x in own], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(own, pa.binary())], ["row", "doc_id", "th", "fp", "keys", "sketch", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())], ["doc_id", "th", "fp", "keys", "sketch"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, th long, fp binary, keys array<long>, sketch binary, shingles binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the texts whose hash is one of `ids`. Each text is shuffled once, however
+    many rows repeat it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["id", "shingles"])
+
+    texts = docs.select(F.xxhash64(text_of(docs)).alias("id"), text_of(docs).alias("text")).groupBy("id").agg(F.first("text").alias("text"))
+    return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
 def similar_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -355,20 +369,21 @@ def estimated_pairs(least: int):
     return links
 
 
-def similar_links(distinct: DataFrame, sets: DataFrame, similarity: float, bands: int) -> DataFrame:
+def similar_links(distinct: DataFrame, docs: DataFrame, words: int, similarity: float, bands: int) -> DataFrame:
     """Edges (a, b) that connect the same ids as all pairs of at least that similarity do.
 
-    distinct: id, keys, sketch. Texts that share a key are candidates. First each is held against
-    the text of its bucket that most others share buckets with, so that a large group is linked by
-    few pairs; then all pairs of a bucket that are not connected yet are compared. Every edge is
-    decided by the exact similarity.
+    distinct: id (the hash of a text in `docs`), keys, sketch. Texts that share a key are
+    candidates. First each is held against one text, of those that share most buckets with others,
+    so that a large group is linked by few pairs; then all pairs of a bucket that are not connected
+    yet are compared. Every edge is decided by the exact similarity.
     """
     keyed = distinct.select("id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(sizes, "key"), "members")
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
-    tops = members.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).alias("top")).select("key", F.col("top.id").alias("b"))
-    stars = members.join(tops, "key").select(F.col("id").alias("a"), "b").where("a <> b")
+    tops = members.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).alias("top"))
+    stars = members.join(tops, "key").groupBy("id").agg(F.max("top").alias("top")).select(F.col("id").alias("a"), F.col("top.id").alias("b")).where("a <> b")
+    sets = written(shingle_sets(docs, members, words), "sets")
     links = written(similar_enough(stars, sets, similarity), "links")
     labelled = members.join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -389,14 +404,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     of their texts' hashes.
     """
     bands = bands_for(similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "keys", "sketch")
     rows = written(sketches(docs, words, bands), "sketches")
-    distinct = rows.groupBy("fp").agg(F.min(order).alias("first"), F.min("row").alias("id"))
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("first")).select("first", F.col("first.th").alias("id"), F.col("first.keys").alias("keys"), F.col("first.sketch").alias("sketch"))
     distinct = written(distinct, "distinct")
-    sketched = rows.select(F.col("row").alias("id"), "keys", "sketch").join(distinct.select("id"), "id", "left_semi")
-    sets = rows.select(F.col("row").alias("id"), "shingles")
-    found = connected_components(similar_links(sketched, sets, similarity, bands))
-    named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = connected_components(similar_links(distinct, docs, words, similarity, bands))
+    named = distinct.select("id", F.struct("first.last", "first.doc_id", "first.th").alias("first")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_row_id"), F.xxhash64(text_of(docs)).alias("_row_th"))
     stay = stay.select(F.coalesce("stay_id", F.lit(_LAST)).alias("_row_id"), F.col("stay_th").alias("_row_th"))
