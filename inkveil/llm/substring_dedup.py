@@ -188,9 +188,11 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     covered = windows.where("not hot").withColumn("first", first).where("ord > first").select("ord", "th", "start")
     hot = windows.where("hot")
     firsts = hot.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
-    firsts = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = hot.withColumn("salt", F.pmod(F.xxhash64("ord", "th"), F.lit(SALTS)).cast("int"))
-    covered = covered.unionByName(dealt.join(firsts, ["h1", "h2", "salt"]).where("ord > first").select("ord", "th", "start"))
+    # A row of each hot window's first document goes to each of the parts that its rows are dealt to.
+    firsts = firsts.select("h1", "h2", F.col("first").alias("ord"), F.lit(None).cast("long").alias("th"), F.lit(-1).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = hot.select("h1", "h2", "ord", "th", "start", F.pmod(F.xxhash64("ord", "th"), F.lit(SALTS)).cast("int").alias("salt")).unionByName(firsts)
+    first = F.min("ord").over(Window.partitionBy("h1", "h2", "salt").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    covered = covered.unionByName(dealt.withColumn("first", first).where("ord > first and start >= 0").select("ord", "th", "start"))
     starts = covered.groupBy("ord", "th").agg(F.collect_list("start").alias("starts"))
     changed = cut(pending.select("ord", "th", "text").join(starts, ["ord", "th"]).dropDuplicates(["ord", "th"]), window)
     return marked.select("doc_id", "ord", "th", "n_words", "sha", "gone"), changed
