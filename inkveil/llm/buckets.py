@@ -14,23 +14,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+#: Where rows differ much in size, a block holds about so many bytes at most.
+BLOCK_BYTES = 32 << 20
 
 
-def hot_keys(rows: DataFrame) -> DataFrame:
-    """(tag, key, blocks) of the buckets with more than BLOCK_ROWS rows."""
-    sizes = rows.groupBy("tag", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    return sizes.select("tag", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+def hot_keys(rows: DataFrame, size: str | None = None) -> DataFrame:
+    """(tag, key, blocks) of the buckets with more than BLOCK_ROWS rows, or more than BLOCK_BYTES
+    by the column `size`."""
+    own = F.col(size).cast("long") if size else F.lit(0).cast("long")
+    sizes = rows.groupBy("tag", "key").agg(F.count("*").alias("n"), F.sum(own).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    return sizes.select("tag", "key", blocks.alias("blocks")).where("blocks > 1")
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, size: str | None = None) -> DataFrame:
     """Adds `own` (the row's block) and the pair of blocks (`low`, `high`) that it is dealt to."""
-    hot = hot_keys(rows)
+    hot = hot_keys(rows, size)
     dealt = rows.join(hot, ["tag", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("tag", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "payload")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the integer columns `by`, of batches sorted by them, as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in by], 1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(starts, starts[1:]):
+            if held and keys[low].tolist() != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = keys[low].tolist()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def compare(rows: DataFrame, links: Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
     """Calls `links(tag, ids, own, payload)` for each pair of blocks; returns its edges (a, b).
 

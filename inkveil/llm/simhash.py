@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.buckets import compare, hot_keys, in_blocks
+from inkveil.llm.buckets import compare, hot_keys, in_blocks, whole_groups
 from inkveil.llm.common import text_of, written
 from inkveil.llm.components import connected_components
 
@@ -338,44 +338,94 @@ def similar_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
         found = {k: np.frombuffer(v, np.uint64) for k, v in zip(held.column("id").to_pylist(), held.column("shingles").to_pylist())}
         out = []
         for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
-            x, y = found[a], found[b]
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1:
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            if shared / (len(both) - shared) >= similarity:
+            if similar(found[a], found[b], similarity):
                 out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("x", "y").cogroup(needed.groupBy("to_x", "to_y")).applyInArrow(run, "a long, b long")
 
 
-def estimated_pairs(least: int):
-    """Within a pair of blocks, the pairs of two components that share `least` bytes of sketches."""
+def open_pairs(key: int, own: np.ndarray, component: np.ndarray, keys: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Within a pair of blocks of the bucket `key`: a row, and the rows that it is still to be
+    compared with. They are of another component, share `least` bytes of sketches and have `key`
+    as the first of the keys they share, so that a pair is compared in one bucket only.
+    """
+    values, sizes = np.unique(component, return_counts=True)
+    waiting, two = np.ones(len(own), bool), own.min() != own.max()
+    for k in np.flatnonzero(component != values[sizes.argmax()]).tolist():
+        waiting[k] = False
+        other = np.flatnonzero(waiting & (component != component[k]) & ((own != own[k]) if two else True))
+        near = other[np.count_nonzero(sketch[other] == sketch[k], axis=1) >= least]
+        if len(near):
+            near = near[keys[k][np.argmax(keys[near] == keys[k], axis=1)] == key]
+        if len(near):
+            yield k, near
+
+
+def open_ids(bands: int, least: int):
+    """Edges (id, bucket) of the ids that have anything left to be compared with in a bucket.
+
+    The payload is component, bucket, keys and sketch.
+    """
 
     def links(tag: int, ids: np.ndarray, own: np.ndarray, payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        component = np.ascontiguousarray(payload[:, :8]).view(">i8").reshape(-1)
-        values, sizes = np.unique(component, return_counts=True)
-        open_, a, b = np.ones(len(ids), bool), [ids[:0]], [ids[:0]]
-        for k in np.flatnonzero(component != values[sizes.argmax()]):
-            open_[k] = False
-            other = np.flatnonzero(open_ & (component != component[k]))
-            near = other[np.count_nonzero(payload[other, 8:] == payload[k, 8:], axis=1) >= least]
-            a.append(np.full(len(near), ids[k]))
-            b.append(ids[near])
-        return np.concatenate(a), np.concatenate(b)
+        numbers = np.ascontiguousarray(payload[:, : 16 + 8 * bands]).view(">i8")
+        found, key = np.zeros(len(ids), bool), int(numbers[0, 1])
+        for k, near in open_pairs(key, own, numbers[:, 0], numbers[:, 2:], payload[:, 16 + 8 * bands :], least):
+            found[k] = found[near] = True
+        return ids[found], np.full(int(found.sum()), key)
 
     return links
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared) >= similarity
+
+
+def similar_in_buckets(rows: DataFrame, bands: int, similarity: float, least: int) -> DataFrame:
+    """Edges (a, b) that connect, with the components that rows have, what open pairs of at least
+    that similarity connect.
+
+    rows: tag, key, id, payload: component, keys, sketch, shingles. A pair of blocks gives fewer
+    edges than it has rows, and what its edges connect already isn't compared again.
+    """
+    by = ["tag", "key", "low", "high"]
+    dealt = in_blocks(rows.withColumn("size", F.length("payload.shingles")), "size")
+    dealt = dealt.select(*by, "own", "id", "payload.*").repartition(*by).sortWithinPartitions(*by, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, by):
+            ids, own, component = (group.column(c).to_numpy() for c in ("id", "own", "component"))
+            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, bands)
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            joined, a, b = component.copy(), [], []
+            for k, near in open_pairs(group.column("key")[0].as_py(), own, component, keys, sketch, least):
+                for j in near.tolist():
+                    if joined[j] != joined[k] and similar(sets[k], sets[j], similarity):
+                        joined[joined == joined[j]] = joined[k]
+                        a.append(ids[k])
+                        b.append(ids[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar_links(distinct: DataFrame, docs: DataFrame, words: int, similarity: float, bands: int) -> DataFrame:
     """Edges (a, b) that connect the same ids as all pairs of at least that similarity do.
 
     distinct: id (the hash of a text in `docs`), keys, sketch. Texts that share a key are
     candidates. First each is held against one text, of those that share most buckets with others,
     so that a large group is linked by few pairs; then all pairs of a bucket that are not connected
-    yet are compared. Every edge is decided by the exact similarity.
+    yet are compared, first by sketches, then, where those don't tell, by the sets. Every edge is
+    decided by the exact similarity. Buckets give ids and spanning edges, never all pairs.
     """
     keyed = distinct.select("id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -387,12 +437,15 @@ def similar_links(distinct: DataFrame, docs: DataFrame, words: int, similarity:
     links = written(similar_enough(stars, sets, similarity), "links")
     labelled = members.join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    payload = F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "sketch")
-    rows = labelled.join(mixed, "key").join(distinct.select("id", "sketch"), "id").select(F.lit(0).alias("tag"), "key", "id", payload.alias("payload"))
+    own = labelled.join(mixed, "key").join(distinct.select("id", "keys", "sketch"), "id").select(F.lit(0).alias("tag"), "key", "id", "component", "keys", "sketch")
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    packed = F.concat(number("component"), number("key"), F.concat(*[number(F.col("keys")[k]) for k in range(bands)]), "sketch")
     values = bands * BAND
     least = math.floor(values * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / values)))
-    pairs = compare(in_blocks(rows), estimated_pairs(least), 8 + values)
-    return links.unionByName(similar_enough(pairs, sets, similarity))
+    left = compare(in_blocks(own.select("tag", "key", "id", packed.alias("payload"))), open_ids(bands, least), 16 + 8 * bands + values)
+    left = written(left.select(F.col("a").alias("id"), F.col("b").alias("key")).distinct(), "open")
+    rows = own.join(left, ["id", "key"]).join(sets, "id").select("tag", "key", "id", F.struct("component", "keys", "sketch", "shingles").alias("payload"))
+    return links.unionByName(similar_in_buckets(rows, bands, similarity, least))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
