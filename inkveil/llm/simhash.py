@@ -435,16 +435,21 @@ def similar_links(distinct: DataFrame, docs: DataFrame, words: int, similarity:
     stars = members.join(tops, "key").groupBy("id").agg(F.max("top").alias("top")).select(F.col("id").alias("a"), F.col("top.id").alias("b")).where("a <> b")
     sets = written(shingle_sets(docs, members, words), "sets")
     links = written(similar_enough(stars, sets, similarity), "links")
-    labelled = members.join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    found = connected_components(links)
+    labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    own = labelled.join(mixed, "key").join(distinct.select("id", "keys", "sketch"), "id").select(F.lit(0).alias("tag"), "key", "id", "component", "keys", "sketch")
+    known = written(distinct.select("id", "keys", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "known")
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     packed = F.concat(number("component"), number("key"), F.concat(*[number(F.col("keys")[k]) for k in range(bands)]), "sketch")
     values = bands * BAND
     least = math.floor(values * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / values)))
-    left = compare(in_blocks(own.select("tag", "key", "id", packed.alias("payload"))), open_ids(bands, least), 16 + 8 * bands + values)
+    dealt = in_blocks(labelled.join(mixed, "key").select(F.lit(0).alias("tag"), "key", "id", F.col("component").alias("payload")))
+    dealt = dealt.withColumnRenamed("payload", "component").join(known, "id").select("tag", "key", "low", "high", "own", "id", packed.alias("payload"))
+    left = compare(dealt, open_ids(bands, least), 16 + 8 * bands + values)
     left = written(left.select(F.col("a").alias("id"), F.col("b").alias("key")).distinct(), "open")
-    rows = own.join(left, ["id", "key"]).join(sets, "id").select("tag", "key", "id", F.struct("component", "keys", "sketch", "shingles").alias("payload"))
+    held = known.join(left.select("id").distinct(), "id", "left_semi").join(sets, "id").join(found, "id", "left")
+    payload = F.struct(F.coalesce("component", "id").alias("component"), "keys", "sketch", "shingles")
+    rows = left.join(held.select("id", payload.alias("payload")), "id").select(F.lit(0).alias("tag"), "key", "id", "payload")
     return links.unionByName(similar_in_buckets(rows, bands, similarity, least))
 
 
