@@ -351,15 +351,23 @@ def open_pairs(key: int, own: np.ndarray, component: np.ndarray, keys: np.ndarra
     as the first of the keys they share, so that a pair is compared in one bucket only.
     """
     values, sizes = np.unique(component, return_counts=True)
-    waiting, two = np.ones(len(own), bool), own.min() != own.max()
-    for k in np.flatnonzero(component != values[sizes.argmax()]).tolist():
-        waiting[k] = False
-        other = np.flatnonzero(waiting & (component != component[k]) & ((own != own[k]) if two else True))
-        near = other[np.count_nonzero(sketch[other] == sketch[k], axis=1) >= least]
-        if len(near):
-            near = near[keys[k][np.argmax(keys[near] == keys[k], axis=1)] == key]
-        if len(near):
-            yield k, near
+    largest = component == values[sizes.argmax()]
+    # Rows of the largest component come last: every row is held against those after it.
+    order = np.argsort(largest, kind="stable")
+    component, own, two = component[order], own[order], own.min() != own.max()
+    before = np.ascontiguousarray(keys[order, : np.argmax(keys[0] == key)].T)
+    sketch = np.ascontiguousarray(sketch[order].T)
+    number = np.uint8 if len(sketch) < 256 else np.uint32
+    for k in range(len(order) - int(largest.sum())):
+        fits = component[k + 1 :] != component[k]
+        if two:
+            fits &= own[k + 1 :] != own[k]
+        fits &= ~(before[:, k + 1 :] == before[:, k : k + 1]).any(0)
+        if fits.any():
+            alike = (sketch[:, k + 1 :] == sketch[:, k : k + 1]).view(np.uint8).sum(0, dtype=number)
+            near = order[k + 1 :][fits & (alike >= least)]
+            if len(near):
+                yield int(order[k]), near
 
 
 def open_ids(bands: int, least: int):
@@ -405,10 +413,22 @@ def similar_in_buckets(rows: DataFrame, bands: int, similarity: float, least: in
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, bands)
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            joined, a, b = component.copy(), [], []
+            size = np.array([len(x) for x in sets])
+            # Shingles get numbers within the group, so that a row's can be marked and looked up.
+            shingles, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            numbered = np.split(numbers.astype(np.int32), np.cumsum(size)[:-1])
+            marked, joined, a, b = np.zeros(len(shingles), np.uint8), component.copy(), [], []
             for k, near in open_pairs(group.column("key")[0].as_py(), own, component, keys, sketch, least):
-                for j in near.tolist():
-                    if joined[j] != joined[k] and similar(sets[k], sets[j], similarity):
+                near = near[joined[near] != joined[k]]
+                near = near[np.minimum(size[near], size[k]) >= similarity * np.maximum(size[near], size[k]) - 1]
+                if not len(near):
+                    continue
+                marked[numbered[k]] = 1
+                starts = np.cumsum(size[near]) - size[near]
+                shared = np.add.reduceat(marked[np.concatenate([numbered[j] for j in near.tolist()])], starts, dtype=np.int64)
+                marked[numbered[k]] = 0
+                for j in near[shared / (size[near] + size[k] - shared) >= similarity].tolist():
+                    if joined[j] != joined[k]:
                         joined[joined == joined[j]] = joined[k]
                         a.append(ids[k])
                         b.append(ids[j])
