@@ -171,7 +171,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     rows = written(scanned(docs, window, half), "scan")
     copies = rows.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("sha", "first")
     marked = rows.join(copies, "sha", "left").withColumn("gone", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
-    single = marked.where("not gone and size(hashes) > 0")
+    # The hashes are shuffled by `sha` once, and read from this table by all that follows.
+    single = written(marked.where("not gone and size(hashes) > 0").select("ord", "th", "hashes", "starts"), "single")
     halves = single.select("ord", "th", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("ord", "th", F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"))
     repeated = halves.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n")).where("first < last")
     repeated = written(repeated.select("h", "n"), "repeated")
