@@ -160,12 +160,14 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("ord", "th", "text", "starts").mapInArrow(run, "ord long, th long, n_removed long, kept_sha256 string, kept string")
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, changed).
 
     rows: doc_id, ord, th, n_words, sha and gone, for every row of `docs`; gone is true where the
     whole text is a copy of a document with a smaller doc_id, so that every word of it is covered.
     changed: ord, th, n_removed, kept_sha256, kept, one row for each other text that loses words.
+    With `whole`, rows are instead `row` (of `docs`), ord, th and positions, which is null where the
+    text holds no repeated half window, without the gone; so whole rows are shuffled once only.
     """
     half = (window + 1) // 2
     rows = written(scanned(docs, window, half), "scan")
@@ -182,8 +184,14 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     few = halves.join(F.broadcast(crowded.withColumn("hot", F.lit(True))), "h", "left")
     found = few.where("hot").select("ord", "th", "start").unionByName(few.where("hot is null").drop("hot").join(repeated.select("h"), "h").select("ord", "th", "start"))
     positions = found.groupBy("ord", "th").agg(F.collect_list("start").alias("positions"))
-    texts = _rows(docs).select("ord", "th", "text")
-    pending = written(texts.join(positions, ["ord", "th"]), "pending")
+    if whole:
+        keyed = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(text_of(docs)).alias("th"))
+        gone = marked.where("gone").select("ord", "th").distinct()
+        rest = written(keyed.join(positions, ["ord", "th"], "left").join(gone, ["ord", "th"], "left_anti"), "rest")
+        pending = rest.where("positions is not null").select("ord", "th", F.col("row.text").cast("string").alias("text"), "positions")
+    else:
+        texts = _rows(docs).select("ord", "th", "text")
+        pending = written(texts.join(positions, ["ord", "th"]), "pending")
     windows = full_windows(pending, window, half, [r["h"] for r in crowded.collect()])
     first = F.min("ord").over(Window.partitionBy("h1", "h2").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     covered = windows.where("not hot").withColumn("first", first).where("ord > first").select("ord", "th", "start")
@@ -196,7 +204,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     covered = covered.unionByName(dealt.withColumn("first", first).where("ord > first and start >= 0").select("ord", "th", "start"))
     starts = covered.groupBy("ord", "th").agg(F.collect_list("start").alias("starts"))
     changed = cut(pending.select("ord", "th", "text").join(starts, ["ord", "th"]).dropDuplicates(["ord", "th"]), window)
-    return marked.select("doc_id", "ord", "th", "n_words", "sha", "gone"), changed
+    return rest if whole else marked.select("doc_id", "ord", "th", "n_words", "sha", "gone"), changed
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -207,15 +215,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     they are; a null doc_id counts as larger than all others, rows that repeat a doc_id remove
     nothing from each other, and an empty table gives no rows.
     """
-    rows, changed = removals(docs, window)
-    gone = rows.where("gone").select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.lit(True).alias("_gone")).distinct()
-    cuts = changed.select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_ord"), F.xxhash64(text_of(docs)).alias("_th"))
-    out = keyed.join(cuts, ["_ord", "_th"], "left").join(gone, ["_ord", "_th"], "left").where("_gone is null and (_kept is null or _kept <> '')")
-    own = {"text": F.coalesce("_kept", F.col("_row.text"))}
+    rows, changed = removals(docs, window, whole=True)
+    out = rows.where("positions is not null").join(changed.select("ord", "th", "kept"), ["ord", "th"], "left").where("kept is null or kept <> ''")
+    own = {"text": F.coalesce("kept", F.col("row.text"))}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("_kept").isNull(), F.col("_row.n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+        own["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(dict(docs.dtypes)["n_chars"]))
+    same = rows.where("positions is null").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return same.union(out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
