@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from inkveil.llm import bpe, embedding_dedup, kd_shards, multiset_hash, packing, simhash, substring_dedup, token_store, toxicity, url_filter
+from inkveil.llm import bpe, embedding_dedup, hard_negatives, kd_shards, line_dedup, multiset_hash, packing, simhash, spelling, substring_dedup, token_store, toxicity, url_filter
 from inkveil.llm.common import read_table, scratch_path
 
 
@@ -70,15 +70,33 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.document_items(read_table(spark, sf_dir, "documents")), 1024)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form, root and near words of every word that all documents hold three times or more."""
+    return spelling.spelling_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines that ten documents or more share."""
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, from all vectors of another label."""
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline: toxicity, near-duplicates, repeated passages, packing."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_store, op2_toxicity, op3_simhash, op4_multiset_hash, op5_embedding_dedup, op6_best_fit, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, pipeline)
+    own = (op1_token_store, op2_toxicity, op3_simhash, op4_multiset_hash, op5_embedding_dedup, op6_best_fit, op7_substring_dedup, op8_bpe, op9_url_filter, op10_kd_shards, op11_spelling, op12_line_dedup, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_dedup": embedding_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {
+        "op5_embedding_dedup": embedding_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL, "op11_spelling": spelling.ORACLE_SQL, "op12_line_dedup": line_dedup.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+    }
