@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
 from inkveil.functions.fixed import spelled
+from inkveil.functions.skim import skimmed, spans_in
 from inkveil.functions.text import find_spans, let, occurrences, trimmed
+from inkveil.sources.scratch import written
 
 CANDIDATE = "struct<rank:int,pat:int,type:string,s:int,e:int,value:string>"
 
@@ -106,12 +108,24 @@ def has_birth_context(text: Column, at: Column) -> Column:
     return F.regexp_like(F.substring(text, start + 1, at - start), F.lit(spelled(fixed.BIRTH_WORDS)))
 
 
-def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS) -> list[Column]:
-    """All valid matches of each pattern, in order of position."""
-    return [_found(text, p) for p in patterns]
+#: With more patterns than that, a text is skimmed before they search it; that takes as long as two.
+SKIM_FROM = 3
 
 
-def _found(text: Column, p: Pattern) -> Column:
+def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS, skim: Column | None = None) -> list[Column]:
+    """All valid matches of each pattern, in order of position; found in skimmed(text) if that is given."""
+    return [_found(text, p, skim) for p in patterns]
+
+
+def searched(text: Column, patterns: list[Pattern], use: Callable[[list[Column]], Column]) -> Column:
+    """`use` of the candidates of each pattern; a text without anchors isn't searched."""
+    if len(patterns) <= SKIM_FROM:
+        return use(candidates_of(text, patterns))
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    return let(skimmed(text), lambda k: F.when(F.length(k["short"]) < 3, none).otherwise(use(candidates_of(text, patterns, k))))
+
+
+def _found(text: Column, p: Pattern, skim: Column | None = None) -> Column:
     def keep(x: Column) -> Column:
         return p.valid(x["value"]) & has_birth_context(text, x["s"]) if p.birth else p.valid(x["value"])
 
@@ -119,7 +133,8 @@ def _found(text: Column, p: Pattern) -> Column:
         kind = F.lit(p.type) if p.type else F.lit(None).cast("string")
         return F.struct(F.lit(p.rank).alias("rank"), F.lit(p.pat).alias("pat"), kind.alias("type"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"))
 
-    return F.transform(F.filter(find_spans(text, spelled(p.regex), p.group), keep), named).cast(f"array<{CANDIDATE}>")
+    spans = find_spans(text, spelled(p.regex), p.group) if skim is None else spans_in(skim, spelled(p.regex), p.group)
+    return F.transform(F.filter(spans, keep), named).cast(f"array<{CANDIDATE}>")
 
 
 def overlaps(x: Column, others: Column) -> Column:
@@ -145,20 +160,33 @@ def claimed(candidates: list[Column]) -> Column:
 def with_claims(pages: DataFrame, patterns: list[Pattern] = DETECTORS) -> DataFrame:
     """pages plus `claims`, the accepted candidates of every page; null texts have none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return pages.withColumn("claims", claimed(candidates_of(text, patterns)))
+    return pages.withColumn("claims", searched(text, patterns, claimed))
+
+
+def claims_table(pages: DataFrame, patterns: list[Pattern] = DETECTORS) -> DataFrame:
+    """(doc_id, page, claims) of all pages that have any, written to the shared folder: one search of the
+    texts for all that needs the claims."""
+    found = written(with_claims(pages.select("doc_id", "page", "text"), patterns).select("doc_id", "page", "claims"), "claims")
+    return found.where(F.size("claims") > 0)
+
+
+def claimed_rows(claims: DataFrame) -> DataFrame:
+    """(doc_id, page, rank, pat, type, s, e, value) of the claims (doc_id, page, claims) with a type."""
+    # An outer inline: for an inner one the optimizer would make the claims a second time, to filter by.
+    return claims.select("doc_id", "page", F.inline_outer("claims")).where("type is not null").withColumn("value", trimmed(F.col("value")))
 
 
 def pattern_entities(pages: DataFrame, patterns: list[Pattern] = DETECTORS) -> DataFrame:
-    """(doc_id, page, rank, pat, type, s, e, value) of every accepted candidate with a type."""
-    found = with_claims(pages.select("doc_id", "page", "text"), patterns).select("doc_id", "page", F.inline("claims"))
-    return found.where("type is not null").withColumn("value", trimmed(F.col("value")))
+    """claimed_rows() of pages (doc_id, page, text)."""
+    return claimed_rows(with_claims(pages.select("doc_id", "page", "text"), patterns).select("doc_id", "page", "claims"))
 
 
 def matches(pages: DataFrame, kinds: list[str]) -> DataFrame:
     """(doc_id, page, type, s, e, value) of the valid matches of some detectors, unclaimed."""
     own = [p for p in DETECTORS if p.type in kinds]
     text = F.coalesce(F.col("text"), F.lit(""))
-    return pages.select("doc_id", "page", F.inline(F.concat(*candidates_of(text, own)))).select("doc_id", "page", "type", "s", "e", "value")
+    found = pages.select("doc_id", "page", F.inline_outer(searched(text, own, lambda found: F.concat(*found))))
+    return found.where("type is not null").select("doc_id", "page", "type", "s", "e", "value")
 
 
 def is_claimed(value: Column, text: Column, claims: Column) -> Column:

@@ -82,15 +82,23 @@ def clean_person(value: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(1), F.array_max(big)), " ")
 
 
-def filter_entities(found: DataFrame, pages: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
+def _with_claims(rows: DataFrame, pages: DataFrame, claims: DataFrame) -> DataFrame:
+    """rows of pages with the page's text and claims; a page that isn't in `claims` has none."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    own = claims.select("doc_id", "page", F.transform("claims", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))).alias("claims"))
+    rows = rows.join(own, ["doc_id", "page"], "left").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    return rows.withColumn("claims", F.coalesce("claims", none))
+
+
+def filter_entities(found: DataFrame, pages: DataFrame, claims: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, page, type, value, score, chunk, grp) of the tagger's entities that stand.
 
-    pages: doc_id, page, text, claims. The filters are applied in a fixed order, each on what the
+    pages: doc_id, page, text; claims: doc_id, page, claims. The filters are applied in a fixed order, each on what the
     one before made of the value.
     """
     rows = found.where(F.col("tag").isNotNull() & (F.col("tag") != "") & ~F.col("tag").isin(fixed.DROPPED_TAGS))
     rows = rows.withColumn("type", map_label(F.col("tag"))).where(F.col("score") >= min_score(F.col("type"), overrides))
-    rows = rows.join(pages.select("doc_id", "page", "text", "claims"), ["doc_id", "page"])
+    rows = _with_claims(rows, pages, claims)
     text, value = F.col("text"), F.col("value")
     rows = rows.withColumn("value", snap_to_words(F.regexp_replace("word", "^##", ""), text))
     rows = rows.withColumn("value", F.when(F.col("type") == "Person", clean_person(value)).otherwise(value))
@@ -178,9 +186,9 @@ def with_reasons(entities: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("orgs", "text")
 
 
-def approve_reply(entities: DataFrame, claims: DataFrame) -> DataFrame:
+def approve_reply(entities: DataFrame, pages: DataFrame, claims: DataFrame) -> DataFrame:
     """Entities no pattern has claimed; all but Miscellaneous are approved."""
-    rows = entities.join(claims.select("doc_id", "page", "text", "claims"), ["doc_id", "page"])
+    rows = _with_claims(entities, pages, claims)
     rows = rows.where(~is_claimed(F.col("value"), F.col("text"), F.col("claims")))
     return rows.drop("text", "claims").withColumn("approved", F.col("type") != "Miscellaneous")
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import trimmed
-from inkveil.operators.detectors import DETECTORS, Pattern, pattern_entities, with_claims
+from inkveil.operators.detectors import DETECTORS, Pattern, claimed_rows, claims_table, with_claims
 from inkveil.operators.entities import first_seen, spread_surnames
 from inkveil.operators.layout import remove_image_pages
 from inkveil.operators.locate import locate
@@ -22,15 +21,14 @@ def detect(pages: DataFrame, model_entities: DataFrame | None = None, patterns:
     """Entities of every document: patterns first, then a tagger's, each value once.
 
     `model_entities` are grouped tokens; None leaves the tagger out, an empty list of patterns
-    leaves the patterns out.
+    leaves the patterns out. The pages are searched once, into a table of claims in the shared folder.
     """
-    patterns = DETECTORS if patterns is None else patterns
+    claims = claims_table(pages, DETECTORS if patterns is None else patterns)
     found = pages.select("doc_id", "page", F.lit(None).cast("string").alias("type"), F.lit("").alias("value"), F.lit(0).alias("src"), F.lit(0).alias("rank"), F.lit(0).alias("pat"), F.lit(0).alias("s")).where("false")
-    if patterns:
-        found = pattern_entities(pages, patterns).select("doc_id", "page", "type", "value", F.lit(0).alias("src"), "rank", "pat", "s")
+    if patterns is None or patterns:
+        found = claimed_rows(claims).select("doc_id", "page", "type", "value", F.lit(0).alias("src"), "rank", "pat", "s")
     if model_entities is not None:
-        claimed = with_claims(pages.select("doc_id", "page", "text"), patterns) if patterns else pages.withColumn("claims", F.expr("cast(array() as array<struct<s:int,e:int>>)"))
-        own = filter_entities(model_entities, claimed, overrides)
+        own = filter_entities(model_entities, pages, claims, overrides)
         found = found.unionByName(own.select("doc_id", "page", "type", "value", F.lit(1).alias("src"), F.col("chunk").cast("int").alias("rank"), F.lit(0).alias("pat"), F.col("grp").alias("s")))
     rows = first_seen(found, ORDER).withColumn("approved", F.lit(True)).withColumn("source", F.lit(None).cast("string")).select(*COLUMNS)
     return spread_surnames(rows) if surnames else rows
@@ -43,12 +41,11 @@ def detect_chat(pages: DataFrame, replies: DataFrame, patterns: list[Pattern] |
     salvaged up to a repeat loop, rejected for the first reason that applies, named by type and
     left out where a pattern has claimed them. Miscellaneous ones aren't approved.
     """
-    patterns = DETECTORS if patterns is None else patterns
-    claimed = with_claims(pages.select("doc_id", "page", "text"), patterns)
-    found = claimed.select("doc_id", "page", F.inline("claims")).where("type is not null")
-    found = found.select("doc_id", "page", "type", trimmed(F.col("value")).alias("value"), F.lit(True).alias("approved"), F.lit(0).alias("src"), "rank", "pat", "s")
+    claims = claims_table(pages, DETECTORS if patterns is None else patterns)
+    found = claimed_rows(claims)
+    found = found.select("doc_id", "page", "type", "value", F.lit(True).alias("approved"), F.lit(0).alias("src"), "rank", "pat", "s")
     listed = with_reasons(dedupe_reply(reply_entities(assemble_replies(replies))), pages).where("reason is null")
-    own = approve_reply(listed.withColumn("type", map_label(F.col("type"))), claimed)
+    own = approve_reply(listed.withColumn("type", map_label(F.col("type"))), pages, claims)
     own = own.select("doc_id", "page", "type", "value", "approved", F.lit(1).alias("src"), F.col("pos").alias("rank"), F.lit(0).alias("pat"), F.lit(0).alias("s"))
     rows = first_seen(found.unionByName(own), ORDER).withColumn("source", F.lit(None).cast("string")).select(*COLUMNS)
     return spread_surnames(rows) if surnames else rows

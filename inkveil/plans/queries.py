@@ -81,12 +81,16 @@ def note_entities(spark, folder):
     return detectors.pattern_entities(_notes(spark, folder))
 
 
+def _searched(spark, folder):
+    return sources.searched_pages(sources.document_pages(spark, folder), folder)
+
+
 def claimed_entities(spark, folder):
-    return detectors.pattern_entities(sources.document_pages(spark, folder))
+    return detectors.pattern_entities(_searched(spark, folder))
 
 
 def _source_entities(spark, folder):
-    return pipeline.detect(sources.source_pages(spark, folder))
+    return pipeline.detect(sources.searched_pages(sources.source_pages(spark, folder), folder))
 
 
 def first_seen_entities(spark, folder):
@@ -119,7 +123,7 @@ def category_rollup(spark, folder):
 
 def _document_spans(spark, folder):
     pages = sources.document_pages(spark, folder)
-    return redact.span_union(locate.locate(pipeline.detect(pages), pages))
+    return redact.span_union(locate.locate(pipeline.detect(_searched(spark, folder)), pages))
 
 
 def redaction_spans(spark, folder):
@@ -218,9 +222,9 @@ def grouped_tokens(spark, folder):
 
 def tagged_entities(spark, folder):
     """A tagger's entities (the people of the notes) through all filters and pattern claims."""
-    pages = detectors.with_claims(_notes(spark, folder))
+    pages = _notes(spark, folder)
     found = _sql(spark, folder, derived.PEOPLE).select("doc_id", "page", F.lit(0).alias("chunk"), F.lit(1).alias("grp"), F.lit("PERSON").alias("tag"), F.regexp_replace("value", ", Jr.$| MD$", "").alias("word"), ((40 + F.col("ord") % 6 * 10) / 100).alias("score"))
-    return model.filter_entities(found, pages).select("doc_id", "page", "type", "value")
+    return model.filter_entities(found, pages, detectors.claims_table(pages)).select("doc_id", "page", "type", "value")
 
 
 def reply_entities(spark, folder):
@@ -321,7 +325,7 @@ def _expected(spark, folder):
 
 def evaluated_documents(spark, folder):
     pages = sources.document_pages(spark, folder)
-    found = pipeline.detect(pages)
+    found = pipeline.detect(_searched(spark, folder))
     done = pipeline.redact(pages, found).select("doc_id", "page", F.col("redacted_text").alias("text"))
     return evaluate.evaluate_documents(_expected(spark, folder), found.where("approved"), pages, done)
 

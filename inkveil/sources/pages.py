@@ -10,11 +10,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A row group has about so many bytes. A table with less for each core may be a single row group, and
+#: then a single task reads it.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def spread(pages: DataFrame, path: str) -> DataFrame:
+    """The pages of a table at `path`, dealt to all cores where the table is too small to be split among
+    them; larger tables stay as they are read."""
+    spark = pages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return pages.repartition(4 * cores) if size < cores * ROW_GROUP_BYTES else pages
+
+
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one page."""
     return table(spark, folder, "documents").select("doc_id", F.lit(1).alias("page"), "text")
 
 
+def searched_pages(pages: DataFrame, folder: str, name: str = "documents") -> DataFrame:
+    """Pages of a given table that are about to be searched."""
+    return spread(pages, f"{folder}/{name}.parquet")
+
+
 def source_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every source as one document, its documents as pages that keep their doc_id as number, so
     that no row has to be counted or moved."""
