@@ -25,7 +25,7 @@ N_POSITIVES, N_NEGATIVES = 5, 3
 #: A negative's score is at least LOW and at most HIGH hundredths of the positive's.
 LOW, HIGH = 50, 95
 #: Rows of a shard, of a leaf, and children of a node.
-SHARD_ROWS, LEAF_ROWS, FANOUT = 8192, 64, 8
+SHARD_ROWS, LEAF_ROWS, FANOUT = 8192, 512, 8
 #: Components beyond this count as it, so that scores are exact in 64 bits.
 LIMIT = 1 << 24
 _OUT = "anchor_id long, label long, positive_id long, positive_score long, id long, score long"
@@ -126,9 +126,14 @@ def _wide(v: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(v, ((0, 0), (0, dims - v.shape[1]))) if v.shape[1] < dims else v
 
 
+def _fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether every sum of a @ b.T is exact in floating point."""
+    return bool(a.size and b.size) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exactly: in floating point only where every sum fits."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52:
+    """a @ b.T, exactly."""
+    if _fits(a, b):
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
     return a @ b.T
 
@@ -155,34 +160,45 @@ class Tree:
         """For each anchor, the best rows of each of its windows.
 
         A window is [low, high, k, found], found being a heap of (score, -id) of the k best so far.
-        wants(i, labels) says which rows, by their labels and ids, suit anchor i.
+        wants(i, labels, ids) says which rows, by their labels and ids, suit anchor i.
         """
-        bounds = [intervals(anchors, low, high) for low, high in self.levels]
+        bounds = [[x.tolist() for x in intervals(anchors, low, high)] for low, high in self.levels]
+        kind = np.float64 if _fits(anchors, self.v) else np.int64
+        rows_of, own, scored = self.v.astype(kind), anchors.T.astype(kind), {}
         top = len(self.levels) - 1
-        for i, own in enumerate(windows):
-            queue = [(-int(bounds[top][1][i, k]), top, k) for k in range(bounds[top][1].shape[1])]
+        for i, asked in enumerate(windows):
+            least, most = [b[0][i] for b in bounds], [b[1][i] for b in bounds]
+            queue = [(-x, top, k) for k, x in enumerate(most[top])]
             heapq.heapify(queue)
             while queue:
-                most, level, k = heapq.heappop(queue)
-                most, least = -most, int(bounds[level][0][i, k])
-                open_ = [w for w in own if most >= w[0] and least <= w[1] and not (len(w[3]) == w[2] and most < w[3][0][0])]
+                upper, level, k = heapq.heappop(queue)
+                upper, lower = -upper, least[level][k]
+                open_ = [w for w in asked if upper >= w[0] and lower <= w[1] and not (len(w[3]) == w[2] and upper < w[3][0][0])]
                 if not open_:
                     continue
                 if level:
-                    for child in range(k * FANOUT, min((k + 1) * FANOUT, bounds[level - 1][1].shape[1])):
-                        heapq.heappush(queue, (-int(bounds[level - 1][1][i, child]), level - 1, child))
+                    for child in range(k * FANOUT, min((k + 1) * FANOUT, len(most[level - 1]))):
+                        heapq.heappush(queue, (-most[level - 1][child], level - 1, child))
+                    continue
+                at = k * LEAF_ROWS
+                if k not in scored:
+                    # A leaf that one anchor opens is scored for the whole block.
+                    scored[k] = np.ascontiguousarray((rows_of[at : at + LEAF_ROWS] @ own).T)
+                scores = scored[k][i]
+                floor = min(max(w[0], w[3][0][0]) if len(w[3]) == w[2] else w[0] for w in open_)
+                near = (scores >= floor).nonzero()[0]
+                if not len(near):
                     continue
-                rows = slice(k * LEAF_ROWS, (k + 1) * LEAF_ROWS)
-                scores = _product(anchors[i : i + 1], self.v[rows])[0]
-                suits = wants(i, self.labels[rows], self.ids[rows])
-                for low, high, size, found in open_:
-                    floor = found[0][0] if len(found) == size else low
-                    for at in np.flatnonzero(suits & (scores >= max(low, floor)) & (scores <= high)).tolist():
-                        item = (int(scores[at]), -int(self.ids[rows][at]))
-                        if len(found) < size:
-                            heapq.heappush(found, item)
-                        elif item > found[0]:
-                            heapq.heapreplace(found, item)
+                ids = self.ids[at + near]
+                suits = wants(i, self.labels[at + near], ids)
+                for score, number in zip(scores[near[suits]].tolist(), ids[suits].tolist()):
+                    item = (int(score), -number)
+                    for low, high, size, found in open_:
+                        if low <= score <= high:
+                            if len(found) < size:
+                                heapq.heappush(found, item)
+                            elif item > found[0]:
+                                heapq.heapreplace(found, item)
 
 
 def _tree(row: dict, dims: int) -> Tree:
@@ -272,7 +288,7 @@ def _best(anchors: DataFrame, tree: DataFrame, negatives: bool) -> DataFrame:
     blocks = written(_blocks(anchors), "blocks")
     pairs = _possible(blocks, tree.select("shard", "dims", "low", "high"), negatives)
     both = pairs.join(blocks, "block").join(tree, "shard").select("n", "dims", "ids", "labels", "vectors", "anchors")
-    return searched(both.repartition(F.rand(7)), negatives)
+    return searched(both, negatives)
 
 
 def hard_negatives(vectors: DataFrame, every: int = ANCHOR_EVERY) -> DataFrame:
