@@ -37,13 +37,18 @@ _RUN = 256
 
 
 def running_sums(values: Column) -> Column:
-    """Running sums of an array of integers that isn't empty. Sums are made in stretches of _RUN elements, so that
-    no long array is copied for every element."""
+    """Running sums of an array of integers that isn't empty."""
+    return running(values, lambda a, b: a + b)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of `join`, which starts from 0, over an array of integers that isn't empty. They are made in
+    stretches of _RUN elements, so that no long array is copied for every element."""
     none = F.array().cast("array<int>")
 
     def sums(own: Column, base: Column) -> Column:
         start = F.struct(base.alias("at"), none.alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        step = lambda acc, x: let(join(acc["at"], x), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
         return F.aggregate(own, start, step, lambda acc: acc["out"])
 
     def of(own: Column) -> Column:

@@ -7,40 +7,55 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
 from inkveil.functions.text import value_key, words_of
+from inkveil.sources.scratch import written
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "ord", by: str = "doc_id") -> DataFrame:
+    """rows plus `name`: 1, 2, ... within each value of `by`, in order.
+
+    The rows are sorted into ranges, and counted by range; a row's number is its place in the range plus
+    what the ranges before hold. So a document with a third of all rows is numbered by many tasks.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(ranges, by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order))
+    out = ranged.withColumn("_place", place).join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return out.select(*[c for c in rows.columns if c != name], (F.col("_place") + F.col("_before")).cast("long").alias(name))
 
 
 def first_seen(entities: DataFrame, order: list[str]) -> DataFrame:
     """The first row of each value of a document, by `order`; adds value_key and ord.
 
-    Only the few columns of entities cross the shuffle, never page texts.
+    Only the few columns of entities cross the shuffle, never page texts, and of a value that is seen
+    very often each task hands on one row.
     """
     keyed = entities.withColumn("value_key", value_key(F.col("value")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "value_key").orderBy(*order))
-    kept = keyed.withColumn("_n", first).where("_n = 1").drop("_n")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")
-    return kept.withColumn("ord", place)
+    rest = [c for c in keyed.columns if c not in ("doc_id", "value_key")]
+    first = keyed.groupBy("doc_id", "value_key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x"))
+    kept = first.select(*[F.col(c) if c in ("doc_id", "value_key") else F.col(f"_x.{c}").alias(c) for c in keyed.columns])
+    return numbered(kept, order)
 
 
 def spread_surnames(entities: DataFrame) -> DataFrame:
     """Adds the surname of every person of two or more words that isn't an entity yet.
 
     entities: doc_id, type, value, value_key, page, approved, ord. The new rows follow the others,
-    and are like the first person of that surname. Each entity yields itself and at most one
-    surname; two windows over those rows settle the rest, so the entities are computed once.
+    and are like the first person of that surname. The entities are written once and read from there.
     """
+    entities = written(entities, "entities")
     words = F.filter(words_of(F.regexp_replace("value", ",", " ")), lambda w: ~F.regexp_like(w, F.lit(fixed.NAME_SUFFIXES)))
     # A trailing comma leaves an empty last word, and no surname.
     open_end = F.regexp_like("value", F.lit(r"[,\s]$"))
     last = F.when((F.col("type") == "Person") & ~open_end & (F.size(words) >= 2), F.regexp_replace(F.try_element_at(words, F.lit(-1)), r"[^\p{L}'’-]", ""))
     surname = F.when((F.length(last) >= 3) & F.regexp_like(last, F.lit(r"^\p{Lu}")), last)
-    own = F.struct(F.lit(0).alias("new"), F.col("value").alias("value"), F.col("value_key").alias("key"))
-    added = F.struct(F.lit(1).alias("new"), surname.alias("value"), value_key(surname).alias("key"))
-    rows = entities.withColumn("_x", F.explode(F.filter(F.array(own, added), lambda x: x["value"].isNotNull() | (x["new"] == 0))))
-    rows = rows.withColumns({"_new": F.col("_x.new"), "value": F.col("_x.value"), "value_key": F.col("_x.key")})
-    place = F.row_number().over(Window.partitionBy("doc_id", "value_key").orderBy("_new", "ord"))
-    rows = rows.withColumn("_place", place).where("_new = 0 or _place = 1")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_new", "ord")).cast("long")
-    before = F.sum(1 - F.col("_new")).over(Window.partitionBy("doc_id"))
-    top = F.max(F.when(F.col("_new") == 0, F.col("ord"))).over(Window.partitionBy("doc_id"))
-    rows = rows.withColumn("ord", F.when(F.col("_new") == 0, F.col("ord")).otherwise(top + order - before).cast("long"))
-    return rows.select(*entities.columns)
+    added = entities.withColumn("value", surname).where("value is not null").withColumn("value_key", value_key(F.col("value")))
+    rest = [c for c in entities.columns if c not in ("doc_id", "value_key")]
+    added = added.groupBy("doc_id", "value_key").agg(F.min_by(F.struct(*rest), "ord").alias("_x")).select("doc_id", "value_key", "_x.*")
+    added = added.join(entities.select("doc_id", "value_key"), ["doc_id", "value_key"], "left_anti").select(*entities.columns)
+    added = numbered(added, ["ord"], "_new")
+    top = entities.groupBy("doc_id").agg(F.max("ord").alias("_top"))
+    added = added.join(top, "doc_id").withColumn("ord", (F.col("_top") + F.col("_new")).cast("long"))
+    return entities.unionByName(added.select(*entities.columns))

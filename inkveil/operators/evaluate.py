@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import appears, value_key
+from inkveil.sources.scratch import written
 
 
-def whole_texts(pages: DataFrame, column: str = "text") -> DataFrame:
-    """(doc_id, whole): the document's pages in order, a line end between them."""
-    own = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce(column, F.lit("")).alias("t")))).alias("p"))
-    return own.select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("whole"))
+def _grams(value: Column) -> Column:
+    """All stretches of one to three characters of a value, each once."""
+    cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - k + 1, F.lit(1))), lambda at: F.substring(value, at, F.lit(k))) for k in (1, 2, 3)]
+    return F.array_distinct(F.concat(*cuts))
 
 
-def evaluate_documents(expected: DataFrame, detected: DataFrame, original: DataFrame, redacted: DataFrame) -> DataFrame:
-    """One row for each document of `original` or `expected` (doc_id, value).
+def _start(value: Column) -> Column:
+    return F.left(value, F.lit(3))
+
+
+def unlike(found: DataFrame, want: DataFrame) -> DataFrame:
+    """The rows of found (doc_id, d) that neither hold nor are held by any value of want (doc_id, v) of their
+    document. A value that is held shares its first three characters with what holds it, so the two meet by these."""
+    found, want = found.where("d <> ''"), want.where("v <> ''").select("doc_id", "v").distinct()
+    around = want.select("doc_id", "v", F.explode(_grams(F.col("v"))).alias("g"))
+    within = found.select("doc_id", "d", F.explode(_grams(F.col("d"))).alias("g")).join(want.withColumn("g", _start(F.col("v"))), ["doc_id", "g"]).where(F.contains("d", F.col("v")))
+    rows = found.withColumn("g", _start(F.col("d"))).alias("f")
+    held = (F.col("f.doc_id") == F.col("w.doc_id")) & (F.col("f.g") == F.col("w.g")) & F.contains(F.col("w.v"), F.col("f.d"))
+    rows = rows.join(around.alias("w"), held, "left_anti").select("f.doc_id", "f.d")
+    return rows.join(within.select("doc_id", "d").distinct(), ["doc_id", "d"], "left_anti")
+
+
+def evaluate_documents(expected: DataFrame, detected: DataFrame, redacted: DataFrame) -> DataFrame:
+    """One row for each document of `redacted` (doc_id, page, text, redacted_text) or `expected` (doc_id, value).
 
     Missed: expected values, repeats counted, that still stand in the redacted text as whole
     words. Detected: distinct approved values (doc_id, value) that stand in the original. A false
-    positive neither holds nor is held by any expected value.
+    positive neither holds nor is held by any expected value. Pages are joined by line ends. A document's
+    values meet its texts as arrays, in one row; what comes of it is written, so texts are read once.
     """
-    want = expected.where("value is not null").select("doc_id", value_key(F.col("value")).alias("v"))
-    after = want.join(whole_texts(redacted), "doc_id", "left").withColumn("missed", appears(F.col("v"), F.coalesce("whole", F.lit(""))))
-    catch = after.groupBy("doc_id").agg(F.count("*").alias("n_expected"), F.count_if("missed").alias("n_missed"))
-    found = detected.select("doc_id", value_key(F.col("value")).alias("d")).distinct().join(whole_texts(original), "doc_id").where(appears(F.col("d"), F.col("whole"))).select("doc_id", "d")
-    near = F.contains(F.col("v"), F.col("d")) | F.contains(F.col("d"), F.col("v"))
-    wrong = found.alias("f").join(want.alias("w"), (F.col("f.doc_id") == F.col("w.doc_id")) & near, "left_anti")
-    n_found = found.groupBy("doc_id").agg(F.count("*").alias("n_detected"))
+    own = expected.select("doc_id", value_key(F.col("value")).alias("v"), F.lit(None).cast("string").alias("d"))
+    own = own.unionByName(detected.select("doc_id", F.lit(None).cast("string").alias("v"), value_key(F.col("value")).alias("d")))
+    own = own.groupBy("doc_id").agg(F.collect_list("v").alias("want"), F.collect_set("d").alias("dets"))
+    pages = redacted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("redacted_text", F.lit("")).alias("r")))).alias("p"))
+    whole = pages.select("doc_id", *[F.array_join(F.transform("p", lambda x: x[c]), "\n").alias(c) for c in ("t", "r")])
+    none = F.array().cast("array<string>")
+    rows = whole.join(own, "doc_id", "full_outer").withColumns({"want": F.coalesce("want", none), "dets": F.coalesce("dets", none), "t": F.coalesce("t", F.lit("")), "r": F.coalesce("r", F.lit(""))})
+    missed = F.size(F.filter("want", lambda v: appears(v, F.col("r")))).cast("long")
+    rows = written(rows.select("doc_id", F.size("want").cast("long").alias("n_expected"), missed.alias("n_missed"), "want", F.filter("dets", lambda d: appears(d, F.col("t"))).alias("found")), "evaluated")
+    wrong = unlike(rows.select("doc_id", F.explode("found").alias("d")), rows.select("doc_id", F.explode("want").alias("v")))
     n_wrong = wrong.groupBy("doc_id").agg(F.count("*").alias("n_false"))
-    every = original.select("doc_id").unionByName(expected.select("doc_id")).distinct()
-    rows = every.join(catch, "doc_id", "left").join(n_found, "doc_id", "left").join(n_wrong, "doc_id", "left").fillna(0, ["n_expected", "n_missed", "n_detected", "n_false"])
+    rows = rows.withColumn("n_detected", F.size("found").cast("long")).join(n_wrong, "doc_id", "left").fillna(0, ["n_false"])
     return rows.select("doc_id", "n_expected", "n_missed", _ratio(F.col("n_expected") - F.col("n_missed"), F.col("n_expected")).alias("catch_rate"), "n_detected", "n_false", _ratio(F.col("n_false"), F.col("n_detected")).alias("false_positive_rate"))
 
 

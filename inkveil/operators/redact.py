@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import let
+from inkveil.functions.text import find_spans, let, running, word_pattern, words_of
 
 BLOCK = "█"
 
@@ -49,6 +49,50 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), last), stretch), ""))
 
 
+def islands(spans: Column) -> Column:
+    """The union of an array of spans (s, e): disjoint stretches in order. Spans that touch are one."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def of(own: Column) -> Column:
+        ends = running(F.transform(own, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+
+        def cut(ends: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(1), F.size(own)), lambda k: (k == 1) | (F.element_at(own, k)["s"] > F.element_at(ends, F.greatest(k - 1, F.lit(1)))))
+            last = lambda first: F.concat(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda k: k - 1), F.array(F.size(own)))
+            return let(first, lambda first: F.zip_with(first, last(first), lambda a, b: F.struct(F.element_at(own, a)["s"].alias("s"), F.element_at(ends, b).alias("e"))))
+
+        return let(ends, cut)
+
+    return F.when(F.size(spans) == 0, none).otherwise(let(F.array_sort(spans), of))
+
+
+def spans_of(values: Column, text: Column) -> Column:
+    """Where any of an array of values stands in the text as a whole word: disjoint (s, e), in order."""
+    lower = F.lower(text)
+
+    def places(v: Column) -> Column:
+        first = F.lower(F.try_element_at(words_of(v), F.lit(1)))
+        found = F.transform(find_spans(text, word_pattern(v)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        return F.when(F.coalesce(F.contains(lower, first), F.lit(False)), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+    return islands(F.flatten(F.transform(values, places)))
+
+
+def redact_values(pages: DataFrame, values: DataFrame, mask: str = "block") -> DataFrame:
+    """pages (doc_id, page, text) plus n_redacted and redacted_text: every value (doc_id, value) of the page's
+    document, wherever it stands.
+
+    The pages meet the values of their document as one array, so texts are read and moved once. This is for
+    documents of few pages; for those of many, redact_text() of what locate(by_word=True) finds.
+    """
+    own = values.where("value is not null").groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
+    rows = pages.join(own, "doc_id", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = F.when(F.col("_values").isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(spans_of(F.col("_values"), text))
+    done = let(spans, lambda x: F.struct(F.size(x).alias("n"), masked(text, x, mask).alias("t")))
+    return rows.withColumn("_done", done).select(*pages.columns, F.col("_done.n").alias("n_redacted"), F.col("_done.t").alias("redacted_text"))
+
+
 def redact_text(pages: DataFrame, spans: DataFrame, mask: str = "block") -> DataFrame:
     """pages (doc_id, page, text) plus n_redacted and redacted_text. Pages without spans stay.
 

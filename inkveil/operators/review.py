@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import trimmed, value_key
+from inkveil.operators.entities import numbered
 
 
 def group_entities(entities: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def group_entities(entities: DataFrame) -> DataFrame:
     """
     first = F.min_by(F.struct("type", "value", "approved", "source"), "ord")
     own = entities.groupBy("doc_id", "value_key").agg(first.alias("f"), F.min("page").alias("first_page"), F.min("ord").alias("ord"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_page", "ord")).cast("long")
-    return own.select("doc_id", "value_key", "f.type", "f.value", "f.approved", "f.source", "first_page", place.alias("group_order"))
+    own = numbered(own.select("doc_id", "value_key", "f.type", "f.value", "f.approved", "f.source", "first_page", "ord"), ["first_page", "ord"], "group_order")
+    return own.drop("ord")
 
 
 def review_list(groups: DataFrame, summary: DataFrame) -> DataFrame:

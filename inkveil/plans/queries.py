@@ -132,8 +132,8 @@ def redaction_spans(spark, folder):
 
 def redacted_documents(spark, folder):
     """The flagship: detect, locate everywhere, black out."""
-    pages = sources.document_pages(spark, folder)
-    return redact.redact_text(pages, _document_spans(spark, folder)).select("doc_id", "page", "n_redacted", "redacted_text")
+    pages = _searched(spark, folder)
+    return redact.redact_values(pages, pipeline.detect(pages)).select("doc_id", "page", "n_redacted", "redacted_text")
 
 
 def page_stats(spark, folder):
@@ -317,17 +317,15 @@ def reviewable_documents(spark, folder):
 
 def _expected(spark, folder):
     """What should have been found: all e-mail addresses, and every document's first word."""
-    docs = sources.table(spark, folder, "documents")
-    mails = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0))).alias("value"))
-    words = docs.select("doc_id", F.regexp_extract("text", "[A-Za-z]{2,}", 0).alias("value")).where("value <> ''")
-    return mails.unionByName(words)
+    mails = F.regexp_extract_all("text", F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0))
+    word = F.filter(F.array(F.regexp_extract("text", "[A-Za-z]{2,}", 0)), lambda w: w != "")
+    return sources.table(spark, folder, "documents").select("doc_id", F.explode(F.concat(mails, word)).alias("value"))
 
 
 def evaluated_documents(spark, folder):
-    pages = sources.document_pages(spark, folder)
-    found = pipeline.detect(_searched(spark, folder))
-    done = pipeline.redact(pages, found).select("doc_id", "page", F.col("redacted_text").alias("text"))
-    return evaluate.evaluate_documents(_expected(spark, folder), found.where("approved"), pages, done)
+    pages = _searched(spark, folder)
+    found = pipeline.detect(pages).where("approved")
+    return evaluate.evaluate_documents(_expected(spark, folder), found, redact.redact_values(pages, found))
 
 
 def evaluated_corpus(spark, folder):

@@ -135,12 +135,12 @@ def test_review(spark):
 def test_evaluation(spark):
     pages = pages_of(spark, ("d", 1, "mail x@y.com and Jane Doe"), ("e", 1, "nothing"))
     found = pipeline.detect(pages)
-    done = pipeline.redact(pages, found).select("doc_id", "page", F.col("redacted_text").alias("text"))
+    done = redact.redact_values(pages, found)
     expected = spark.createDataFrame([("d", "X@y.com"), ("d", "jane  doe"), ("e", "gone")], "doc_id string, value string")
-    rows = {r["doc_id"]: r for r in evaluate.evaluate_documents(expected, found, pages, done).collect()}
+    rows = {r["doc_id"]: r for r in evaluate.evaluate_documents(expected, found, done).collect()}
     assert (rows["d"]["n_missed"], rows["d"]["catch_rate"], rows["d"]["n_detected"], rows["d"]["n_false"]) == (1, 0.5, 1, 0)
     assert rows["e"]["n_missed"] == 0
-    total = evaluate.evaluate_corpus(evaluate.evaluate_documents(expected, found, pages, done)).first()
+    total = evaluate.evaluate_corpus(evaluate.evaluate_documents(expected, found, done)).first()
     assert (total["n_expected"], round(total["catch_rate"], 6)) == (3, round(2 / 3, 6))
 
 
