@@ -31,27 +31,65 @@ def unlike(found: DataFrame, want: DataFrame) -> DataFrame:
     return rows.join(within.select("doc_id", "d").distinct(), ["doc_id", "d"], "left_anti")
 
 
+def judged(expected: DataFrame, detected: DataFrame, redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, wrong) of each document of `redacted` (doc_id, page, text, redacted_text) or of the values.
+
+    rows: doc_id, want (v, type, missed) and found (d, type) of expected and detected (doc_id, value, type).
+    wrong: doc_id, d of the found values unlike all expected ones. A document's values meet its texts as
+    arrays, in one row; what comes of it is written, so texts are read once.
+    """
+    want = expected.where("value is not null").select("doc_id", value_key(F.col("value")).alias("v"), "type")
+    dets = detected.select("doc_id", value_key(F.col("value")).alias("d"), "type").groupBy("doc_id", "d").agg(F.min("type").alias("type"))
+    own = want.select("doc_id", F.struct("v", "type").alias("w"), F.lit(None).cast("struct<d:string,type:string>").alias("x"))
+    own = own.unionByName(dets.select("doc_id", F.lit(None).cast("struct<v:string,type:string>").alias("w"), F.struct("d", "type").alias("x")))
+    own = own.unionByName(expected.where("value is null").select("doc_id", F.lit(None).cast("struct<v:string,type:string>").alias("w"), F.lit(None).cast("struct<d:string,type:string>").alias("x")))
+    own = own.groupBy("doc_id").agg(F.collect_list("w").alias("want"), F.collect_list("x").alias("dets"))
+    pages = redacted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("redacted_text", F.lit("")).alias("r")))).alias("p"))
+    whole = pages.select("doc_id", *[F.array_join(F.transform("p", lambda x: x[c]), "\n").alias(c) for c in ("t", "r")])
+    rows = whole.join(own, "doc_id", "full_outer").withColumns({"t": F.coalesce("t", F.lit("")), "r": F.coalesce("r", F.lit(""))})
+    missed = F.transform(F.coalesce("want", F.array().cast("array<struct<v:string,type:string>>")), lambda w: F.struct(w["v"].alias("v"), w["type"].alias("type"), appears(w["v"], F.col("r")).alias("missed")))
+    found = F.filter(F.coalesce("dets", F.array().cast("array<struct<d:string,type:string>>")), lambda x: appears(x["d"], F.col("t")))
+    rows = written(rows.select("doc_id", missed.alias("want"), found.alias("found")), "judged")
+    return rows, unlike(rows.select("doc_id", F.inline("found")).select("doc_id", "d"), rows.select("doc_id", F.inline("want")).select("doc_id", "v"))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows if "type" in rows.columns else rows.withColumn("type", F.lit(None).cast("string"))
+
+
 def evaluate_documents(expected: DataFrame, detected: DataFrame, redacted: DataFrame) -> DataFrame:
     """One row for each document of `redacted` (doc_id, page, text, redacted_text) or `expected` (doc_id, value).
 
     Missed: expected values, repeats counted, that still stand in the redacted text as whole
     words. Detected: distinct approved values (doc_id, value) that stand in the original. A false
-    positive neither holds nor is held by any expected value. Pages are joined by line ends. A document's
-    values meet its texts as arrays, in one row; what comes of it is written, so texts are read once.
+    positive neither holds nor is held by any expected value. Pages are joined by line ends.
     """
-    own = expected.select("doc_id", value_key(F.col("value")).alias("v"), F.lit(None).cast("string").alias("d"))
-    own = own.unionByName(detected.select("doc_id", F.lit(None).cast("string").alias("v"), value_key(F.col("value")).alias("d")))
-    own = own.groupBy("doc_id").agg(F.collect_list("v").alias("want"), F.collect_set("d").alias("dets"))
-    pages = redacted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("redacted_text", F.lit("")).alias("r")))).alias("p"))
-    whole = pages.select("doc_id", *[F.array_join(F.transform("p", lambda x: x[c]), "\n").alias(c) for c in ("t", "r")])
-    none = F.array().cast("array<string>")
-    rows = whole.join(own, "doc_id", "full_outer").withColumns({"want": F.coalesce("want", none), "dets": F.coalesce("dets", none), "t": F.coalesce("t", F.lit("")), "r": F.coalesce("r", F.lit(""))})
-    missed = F.size(F.filter("want", lambda v: appears(v, F.col("r")))).cast("long")
-    rows = written(rows.select("doc_id", F.size("want").cast("long").alias("n_expected"), missed.alias("n_missed"), "want", F.filter("dets", lambda d: appears(d, F.col("t"))).alias("found")), "evaluated")
-    wrong = unlike(rows.select("doc_id", F.explode("found").alias("d")), rows.select("doc_id", F.explode("want").alias("v")))
+    rows, wrong = judged(_typed(expected), _typed(detected), redacted)
     n_wrong = wrong.groupBy("doc_id").agg(F.count("*").alias("n_false"))
-    rows = rows.withColumn("n_detected", F.size("found").cast("long")).join(n_wrong, "doc_id", "left").fillna(0, ["n_false"])
-    return rows.select("doc_id", "n_expected", "n_missed", _ratio(F.col("n_expected") - F.col("n_missed"), F.col("n_expected")).alias("catch_rate"), "n_detected", "n_false", _ratio(F.col("n_false"), F.col("n_detected")).alias("false_positive_rate"))
+    n = {"n_expected": F.size("want"), "n_missed": F.size(F.filter("want", lambda w: w["missed"])), "n_detected": F.size("found")}
+    rows = rows.select("doc_id", *[c.cast("long").alias(k) for k, c in n.items()]).join(n_wrong, "doc_id", "left").fillna(0, ["n_false"])
+    return rows.select("doc_id", "n_expected", "n_missed", _caught().alias("catch_rate"), "n_detected", "n_false", _ratio(F.col("n_false"), F.col("n_detected")).alias("false_positive_rate"))
+
+
+def evaluate_rollup(expected: DataFrame, detected: DataFrame, redacted: DataFrame, sources: DataFrame) -> DataFrame:
+    """Totals over grouping sets: each source and type, each source, each type, and all.
+
+    expected and detected: doc_id, value, type; sources: doc_id, source. `level` says what a row is a total over (0
+    neither, 1 types, 2 sources, 3 both), so a null source or type of its own is told from a total.
+    """
+    rows, wrong = judged(expected, detected, redacted)
+    bad = wrong.withColumn("bad", F.lit(True))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    want = rows.select("doc_id", F.inline("want")).select("doc_id", "type", one.alias("n_expected"), F.col("missed").cast("long").alias("n_missed"), none.alias("n_detected"), none.alias("n_false"))
+    found = rows.select("doc_id", F.inline("found")).join(bad, ["doc_id", "d"], "left").select("doc_id", "type", none.alias("n_expected"), none.alias("n_missed"), one.alias("n_detected"), F.coalesce("bad", F.lit(False)).cast("long").alias("n_false"))
+    own = want.unionByName(found).join(sources.select("doc_id", "source"), "doc_id", "left")
+    names = ["n_expected", "n_missed", "n_detected", "n_false"]
+    total = own.cube("source", "type").agg(F.grouping_id().cast("int").alias("level"), *[F.sum(c).alias(c) for c in names])
+    return total.select("source", "type", "level", *names, _caught().alias("catch_rate"), _ratio(F.col("n_false"), F.col("n_detected")).alias("false_positive_rate"))
+
+
+def _caught() -> Column:
+    return _ratio(F.col("n_expected") - F.col("n_missed"), F.col("n_expected"))
 
 
 def _ratio(a, b):

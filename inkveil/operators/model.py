@@ -203,21 +203,85 @@ def instruction_hits(replies: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(own, ["doc_id", "page"]).where(appears(F.col("value"), F.col("text"))).drop("text")
 
 
-def score_chunks(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], most_chars: int = fixed.MAX_PAGE_CHARS) -> DataFrame:
-    """Applies a caller's model to chunks (doc_id, page, chunk, text): `load()` gives, once for
-    each task, a function from texts to lists of {idx, tag, score, piece}."""
+#: Bytes of texts that a model gets at once.
+BATCH_BYTES = 1 << 20
+TOKENS = "array<struct<idx:int,tag:string,score:double,piece:string>>"
+
+
+def _called(model: Callable, texts: list[str]) -> list[tuple[str, str | None, list[dict]]]:
+    """(status, error, tokens) of each text. Where the model fails on all at once, each is tried by itself."""
+    try:
+        found = [list(x) for x in model(texts)]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return [("ok", None, x) for x in found]
+    except Exception as e:  # whatever a caller's model raises is that chunk's error
+        if len(texts) == 1:
+            return [("failed", f"{type(e).__name__}: {e}", [])]
+        return [r for t in texts for r in _called(model, [t])]
+
+
+def score_chunks(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], most_chars: int = fixed.MAX_PAGE_CHARS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, page, chunk, status, error, tokens) of each chunk (doc_id, page, chunk, text), one row for each.
+
+    `load()` gives, once for each task, a function from texts to lists of {idx, tag, score, piece}. It gets
+    texts of about `batch_bytes` at most at once. A chunk that it raises an error for is `failed`, with the error,
+    a longer one than `most_chars` is `skipped`, all others are `ok`; if it can't be loaded all of a task fail.
+    """
+    columns = ["doc_id", "page", "chunk", "status", "error", "tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        try:
+            model = load()
+        except Exception as e:
+            error = e
+
+            def model(texts: list[str]) -> list[list[dict]]:
+                raise error
+
         for batch in batches:
-            rows = []
-            for key, found in zip(batch[["doc_id", "page", "chunk"]].itertuples(index=False), model(batch["text"].tolist())):
-                rows += [(*key, t["idx"], t["tag"], t["score"], t["piece"]) for t in found]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "chunk", "idx", "tag", "score", "piece"])
+            keys, rows, held, size = list(batch[["doc_id", "page", "chunk"]].itertuples(index=False)), [], [], 0
+
+            def flush() -> None:
+                rows.extend((*keys[at], *r) for (at, _), r in zip(held, _called(model, [t for _, t in held])))
+                held.clear()
+
+            for at, text in enumerate(batch["text"].tolist()):
+                if text is None or len(text) > most_chars:
+                    rows.append((*keys[at], "skipped", None, []))
+                    continue
+                own = len(text.encode())
+                if held and size + own > batch_bytes:
+                    flush()
+                    size = 0
+                held.append((at, text))
+                size += own
+            if held:
+                flush()
+            yield pd.DataFrame(rows, columns=columns)
 
     kinds = dict(chunks.dtypes)
-    own = chunks.select("doc_id", "page", "chunk", "text").where(F.length("text") <= most_chars)
-    return own.mapInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, chunk {kinds['chunk']}, idx int, tag string, score double, piece string")
+    own = chunks.select("doc_id", "page", "chunk", "text")
+    return own.mapInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, chunk {kinds['chunk']}, status string, error string, tokens {TOKENS}")
+
+
+def tokens_of(scored: DataFrame) -> DataFrame:
+    """(doc_id, page, chunk, idx, tag, score, piece) of all chunks that a model has scored."""
+    return scored.select("doc_id", "page", "chunk", F.inline("tokens"))
+
+
+def model_flags(scored: DataFrame) -> DataFrame:
+    """(doc_id, chunks, failed, skipped, model_used, fell_back, error): how the model ran on each document. One that
+    failed on any chunk falls back; error is that of its first failed chunk."""
+    failed = F.col("status") == "failed"
+    own = scored.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(failed).alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.bool_or(F.col("status") == "ok").alias("any"), F.min_by(F.when(failed, F.col("error")), F.when(failed, F.struct("page", "chunk"))).alias("error"))
+    return own.select("doc_id", "chunks", "failed", "skipped", (F.col("any") & (F.col("failed") == 0)).alias("model_used"), (F.col("failed") > 0).alias("fell_back"), "error")
+
+
+def scored_or(scored: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Results of `primary`, made from what a model scored, for documents that it didn't fail on; of `secondary` for
+    all others, also those that it never got."""
+    return fallback(primary, secondary, model_flags(scored).where("not fell_back"))
 
 
 def fallback(primary: DataFrame, secondary: DataFrame, ok: DataFrame) -> DataFrame:

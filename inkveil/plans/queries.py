@@ -13,6 +13,7 @@ from inkveil.functions.text import chunk_words, clean_for_model, page_list, remo
 from inkveil.operators import detectors, entities, evaluate, hidden, layout, locate, model, redact, review
 from inkveil.plans import derived, pipeline
 from inkveil.sources import pages as sources
+from inkveil.sources import scratch
 
 #: The types looked for in HTML pages.
 TEXT_TYPES = ["Email", "IP Address", "Credit Card", "Phone"]
@@ -211,6 +212,12 @@ def stripped_pages(spark, folder):
     return sources.html_pages(spark, folder).select("doc_id", hidden.strip_hidden(F.col("html")).alias("html"))
 
 
+def stripped_forms(spark, folder):
+    """Pages with forms, attachments and alternative texts of all spellings, without them."""
+    rows = _sql(spark, folder, derived.FORMS)
+    return rows.select("doc_id", hidden.strip_hidden(F.col("html")).alias("html"), hidden.removal_report(F.col("html")).alias("kinds"))
+
+
 def html_pii(spark, folder):
     return _matches(sources.html_pages(spark, folder).withColumnRenamed("html", "text"), TEXT_TYPES)
 
@@ -232,8 +239,10 @@ def reply_entities(spark, folder):
     return model.reply_entities(rows)
 
 
-def _reply_lines(spark, folder):
+def _reply_lines(spark, folder, silent=False):
     rows = _sql(spark, folder, derived.REPLIES)
+    if silent:
+        rows = rows.withColumn("head", F.when(F.col("k") % 6 == 0, "").otherwise(F.col("head")))
     line = lambda text, done, error: F.to_json(F.struct(F.struct(text.alias("content")).alias("message"), done.alias("done"), F.when(done, "stop").alias("done_reason"), error.alias("error")))
     none = F.lit(None).cast("string")
     lines = F.array(F.struct(F.lit(0).alias("seq"), line(F.col("head"), F.lit(False), none).alias("line")), F.struct(F.lit(1).alias("seq"), line(F.lit(""), F.lit(False), F.when(F.col("k") % 3 == 0, "lost")).alias("line")), F.struct(F.lit(2).alias("seq"), line(F.col("tail"), F.lit(True), none).alias("line")))
@@ -246,7 +255,8 @@ def assembled_replies(spark, folder):
 
 
 def run_flags(spark, folder):
-    return evaluate.run_flags(assembled_replies(spark, folder))
+    """Flags of the same replies, of which every sixth fails before a word."""
+    return evaluate.run_flags(model.assemble_replies(_reply_lines(spark, folder, silent=True)))
 
 
 def repeat_loops(spark, folder):
@@ -317,9 +327,10 @@ def reviewable_documents(spark, folder):
 
 def _expected(spark, folder):
     """What should have been found: all e-mail addresses, and every document's first word."""
+    named = lambda kind: lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type"))
     mails = F.regexp_extract_all("text", F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0))
     word = F.filter(F.array(F.regexp_extract("text", "[A-Za-z]{2,}", 0)), lambda w: w != "")
-    return sources.table(spark, folder, "documents").select("doc_id", F.explode(F.concat(mails, word)).alias("value"))
+    return sources.table(spark, folder, "documents").select("doc_id", F.inline(F.concat(F.transform(mails, named("Email")), F.transform(word, named("Word")))))
 
 
 def evaluated_documents(spark, folder):
@@ -332,6 +343,13 @@ def evaluated_corpus(spark, folder):
     return evaluate.evaluate_corpus(evaluated_documents(spark, folder))
 
 
+def evaluated_rollup(spark, folder):
+    """Totals by source and type of value, by each of them, and over all."""
+    pages = _searched(spark, folder)
+    found = pipeline.detect(pages).where("approved")
+    return evaluate.evaluate_rollup(_expected(spark, folder), found, redact.redact_values(pages, found), sources.table(spark, folder, "documents"))
+
+
 def bounded_page_stats(spark, folder):
     """Image coverage where every other page has bounds of its own."""
     pages, images = _sql(spark, folder, derived.IMAGE_PAGES), _sql(spark, folder, derived.IMAGES)
@@ -339,8 +357,9 @@ def bounded_page_stats(spark, folder):
 
 
 def unlinked_pages(spark, folder):
-    """Pages without external links; pages of even number keep theirs."""
-    pages = sources.html_pages(spark, folder)
+    """Pages without external links; each page's own url is one, and pages of even number keep theirs."""
+    anchor = F.concat(F.lit('<a class="own" href="'), "url", F.lit('">this page</a>'))
+    pages = sources.table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.concat(anchor, "html", anchor).alias("html"))
     keep = hidden.link_inventory(pages).where("doc_id % 2 = 0").select("doc_id", "url")
     return hidden.unlinked(pages, keep).select("doc_id", "html")
 
@@ -364,10 +383,18 @@ def changed_by_hits(spark, folder):
 
 
 def rerun_notes(spark, folder):
-    """The notes redacted anew by what is approved after a review with an instruction's hits."""
-    notes = _notes(spark, folder)
-    rows = pipeline.reviewed(notes, _note_groups(spark, folder).where("false"), hits=instruction_hits(spark, folder))
-    return pipeline.rerun(notes, rows).select("doc_id", "page", "n_redacted", "redacted_text")
+    """The cards redacted anew after a review: what patterns found but for telephone numbers, which were decided
+    against, the word `plate`, which was added, and a name that an instruction found; without the pages whose images were
+    selected, those of every fifth card that isn't the document's only page."""
+    cards = _sql(spark, folder, derived.CARDS)
+    images = cards.where("doc_id % 5 = 0").select("doc_id", F.lit(2).alias("page"), F.lit(0).alias("idx"), F.lit("2:0").alias("id"), F.lit(True).alias("full_page"))
+    pages = cards.unionByName(cards.where("doc_id % 5 < 2").select("doc_id", F.lit(2).alias("page"), F.lit("scan of a plate").alias("text")))
+    found = pipeline.detect(cards, surnames=False).withColumn("approved", F.col("type") != "Person")
+    decisions = found.where("type = 'Phone'").select("doc_id", "value_key", F.lit(False).alias("approved"))
+    custom = cards.select("doc_id", F.lit("plate").alias("value"))
+    hits = _sql(spark, folder, derived.NAMES).where("k % 2 = 0").select(F.col("k").cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("person").alias("value"))
+    rows = pipeline.reviewed(pages, found, decisions, custom, hits)
+    return pipeline.rerun(pages, rows, images=(images, images)).select("doc_id", "page", "n_redacted", "redacted_text")
 
 
 def claimed_values(spark, folder):
@@ -401,7 +428,37 @@ def _capitals():
 def scored_chunks(spark, folder):
     """A caller's model on all chunks of the conversations: it tags words with a capital."""
     chunks = conversation_chunks(spark, folder).withColumnRenamed("chunk_text", "text")
-    return model.score_chunks(chunks, _capitals).select("doc_id", "page", "chunk", "idx", "tag", "piece")
+    return model.tokens_of(model.score_chunks(chunks, _capitals)).select("doc_id", "page", "chunk", "idx", "tag", "piece")
+
+
+def _strict():
+    """Tags words with a capital, and gives up on chunks that hold an x."""
+    tag = _capitals()
+
+    def model(texts):
+        if any("x" in t for t in texts):
+            raise ValueError("no model for x")
+        return tag(texts)
+
+    return model
+
+
+def _strictly_scored(spark, folder):
+    chunks = conversation_chunks(spark, folder).withColumnRenamed("chunk_text", "text")
+    return chunks, scratch.written(model.score_chunks(chunks, _strict), "scored")
+
+
+def model_flags(spark, folder):
+    """How a model that fails on some chunks ran on each conversation."""
+    return model.model_flags(_strictly_scored(spark, folder)[1])
+
+
+def fallback_conversations(spark, folder):
+    """What that model tags, and for the conversations that it failed on each chunk's first word instead."""
+    chunks, scored = _strictly_scored(spark, folder)
+    first = model.tokens_of(scored).select("doc_id", "page", "chunk", F.col("piece").alias("value"))
+    second = chunks.select("doc_id", "page", "chunk", F.regexp_extract("text", "^[^ ]+", 0).alias("value"))
+    return model.scored_or(scored, first, second)
 
 
 def fallback_entities(spark, folder):
@@ -416,9 +473,9 @@ _ALL = [
     detect_email, detect_ip, detect_card, detect_phone, detect_ssn, detect_iban, detect_birth, detect_labelled_ids, detect_titled, detect_ipv6, note_entities,
     claimed_entities, first_seen_entities, surnames, match_summary, group_entities, review_list, category_rollup, redaction_spans, redacted_documents,
     page_stats, any_text_docs, image_page_stats, image_only_pages, scanned_pages, image_inventory, image_page_removal, reconstructed_text, chunked_documents,
-    cleaned_documents, value_keys, conversation_chunks, conversation_stats, link_inventory, removal_reports, stripped_pages, html_pii, grouped_tokens,
+    cleaned_documents, value_keys, conversation_chunks, conversation_stats, link_inventory, removal_reports, stripped_pages, stripped_forms, html_pii, grouped_tokens,
     tagged_entities, reply_entities, assembled_replies, run_flags, repeat_loops, deduped_reply, reply_reasons, model_thresholds, decided_entities,
-    custom_entities, classified_hits, unapplied_changes, kept_links, reviewable_documents, evaluated_documents, evaluated_corpus,
+    custom_entities, classified_hits, unapplied_changes, kept_links, reviewable_documents, evaluated_documents, evaluated_corpus, evaluated_rollup, model_flags, fallback_conversations,
     bounded_page_stats, unlinked_pages, instruction_hits, merged_hits, changed_by_hits, rerun_notes, claimed_values, snapped_words, cleaned_people, chat_entities,
     scored_chunks, fallback_entities,
 ]
