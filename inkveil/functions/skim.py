@@ -52,11 +52,12 @@ def skimmed(text: Column) -> Column:
     return F.when(odd, F.struct(text.alias("short"), none.alias("cuts"))).otherwise(let(let(pieces, kept), joined)).cast(SKIMMED)
 
 
-def spans_in(skim: Column, pattern: str, group: int = 0) -> Column:
-    """find_spans() of the whole text, found in what was kept of it."""
+def moved(cuts: Column, span: Column) -> Column:
+    """A span (s, e, value) of `short` where it stands in the whole text."""
+    gone = F.aggregate(F.filter(cuts, lambda c: c["at"] < span["s"]), F.lit(0), lambda acc, c: acc + c["gone"])
+    return let(gone, lambda by: F.struct((span["s"] + by).alias("s"), (span["e"] + by).alias("e"), span["value"].alias("value")))
 
-    def moved(x: Column) -> Column:
-        gone = F.aggregate(F.filter(skim["cuts"], lambda c: c["at"] < x["s"]), F.lit(0), lambda acc, c: acc + c["gone"])
-        return let(gone, lambda by: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["value"].alias("value")))
 
-    return F.transform(find_spans(skim["short"], pattern, group), moved)
+def spans_in(skim: Column, pattern: str, group: int = 0) -> Column:
+    """find_spans() of the whole text, found in what was kept of it."""
+    return F.transform(find_spans(skim["short"], pattern, group), lambda x: moved(skim["cuts"], x))

@@ -63,6 +63,12 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return let(values, of)
 
 
+def spans_from(whole: Column, values: Column, gaps: Column) -> Column:
+    """(s, e, value) of matches, at least one, each of whose values ends its match, from the gaps before them."""
+    lengths = F.zip_with(whole, F.slice(gaps, F.lit(1), F.size(whole)), lambda m, g: F.length(m) + F.length(g))
+    return F.zip_with(values, running_sums(lengths), lambda v, e: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("value")))
+
+
 def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All matches in turn as structs (s, e, value), in code points from 0.
 
@@ -72,13 +78,8 @@ def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     value = F.regexp_extract_all(text, regex, F.lit(1)) if group else F.lit(None)
 
-    def span(value: Column, end: Column) -> Column:
-        return F.struct((end - F.length(value)).alias("s"), end.alias("e"), value.alias("value"))
-
     def spans(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, regex, -1), 1, F.size(hits["m"]))
-        lengths = F.zip_with(hits["m"], gaps, lambda m, g: F.length(m) + F.length(g))
-        found = F.zip_with(hits["v"] if group else hits["m"], running_sums(lengths), span)
+        found = spans_from(hits["m"], hits["v"] if group else hits["m"], F.split(text, regex, -1))
         return F.when(F.size(hits["m"]) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return let(F.struct(whole.alias("m"), value.alias("v")), spans)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
 from inkveil.functions.fixed import spelled
-from inkveil.functions.skim import skimmed, spans_in
-from inkveil.functions.text import find_spans, let, occurrences, trimmed
+from inkveil.functions.skim import moved, skimmed
+from inkveil.functions.text import let, occurrences, spans_from, trimmed
 from inkveil.sources.scratch import written
 
 CANDIDATE = "struct<rank:int,pat:int,type:string,s:int,e:int,value:string>"
@@ -112,12 +112,42 @@ def has_birth_context(text: Column, at: Column) -> Column:
 SKIM_FROM = 3
 
 
-def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS, skim: Column | None = None) -> list[Column]:
-    """All valid matches of each pattern, in order of position; found in skimmed(text) if that is given."""
-    return [_found(text, p, skim) for p in patterns]
+def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS, skim: Column | None = None) -> Column:
+    """An array of all valid matches for each pattern, in order of position; found in skimmed(text) if that is
+    given. Each pattern only yields its matches and gaps; all that follows is said once for all patterns."""
+    if not patterns:
+        return F.array().cast(f"array<array<{CANDIDATE}>>")
+    short = text if skim is None else skim["short"]
 
+    def hits(p: Pattern) -> Column:
+        regex = spelled(p.regex)
+        captured = F.regexp_extract_all(short, F.lit(regex), F.lit(1)) if p.group else F.lit(None).cast("array<string>")
+        found = {"rank": F.lit(p.rank), "pat": F.lit(p.pat), "type": F.lit(p.type).cast("string"), "m": F.regexp_extract_all(short, F.lit(regex), F.lit(0)), "v": captured, "g": F.split(short, regex, -1)}
+        return F.struct(*[c.alias(k) for k, c in found.items()])
 
-def searched(text: Column, patterns: list[Pattern], use: Callable[[list[Column]], Column]) -> Column:
+    def fits(x: Column) -> Column:
+        out = None
+        for p in patterns:
+            if p.valid is _any and not p.birth:
+                continue
+            rule = has_birth_context(text, x["s"]) if p.birth else p.valid(x["value"])
+            own = (x["rank"] == p.rank) & (x["pat"] == p.pat)
+            out = F.when(own, rule) if out is None else out.when(own, rule)
+        return F.lit(True) if out is None else out.otherwise(True)
+
+    def placed(h: Column) -> Column:
+        def named(x: Column) -> Column:
+            return F.struct(h["rank"].alias("rank"), h["pat"].alias("pat"), h["type"].alias("type"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"))
+
+        spans = spans_from(h["m"], F.coalesce(h["v"], h["m"]), h["g"])
+        if skim is not None:
+            spans = F.transform(spans, lambda x: moved(skim["cuts"], x))
+        return F.when(F.size(h["m"]) > 0, F.filter(F.transform(spans, named), fits)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+
+    return F.transform(F.array(*map(hits, patterns)), placed).cast(f"array<array<{CANDIDATE}>>")
+
+
+def searched(text: Column, patterns: list[Pattern], use: Callable[[Column], Column]) -> Column:
     """`use` of the candidates of each pattern; a text without anchors isn't searched."""
     if len(patterns) <= SKIM_FROM:
         return use(candidates_of(text, patterns))
@@ -125,36 +155,22 @@ def searched(text: Column, patterns: list[Pattern], use: Callable[[list[Column]]
     return let(skimmed(text), lambda k: F.when(F.length(k["short"]) < 3, none).otherwise(use(candidates_of(text, patterns, k))))
 
 
-def _found(text: Column, p: Pattern, skim: Column | None = None) -> Column:
-    def keep(x: Column) -> Column:
-        return p.valid(x["value"]) & has_birth_context(text, x["s"]) if p.birth else p.valid(x["value"])
-
-    def named(x: Column) -> Column:
-        kind = F.lit(p.type) if p.type else F.lit(None).cast("string")
-        return F.struct(F.lit(p.rank).alias("rank"), F.lit(p.pat).alias("pat"), kind.alias("type"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"))
-
-    spans = find_spans(text, spelled(p.regex), p.group) if skim is None else spans_in(skim, spelled(p.regex), p.group)
-    return F.transform(F.filter(spans, keep), named).cast(f"array<{CANDIDATE}>")
-
-
 def overlaps(x: Column, others: Column) -> Column:
     return F.exists(others, lambda a: (x["s"] < a["e"]) & (x["e"] > a["s"]))
 
 
-def claimed(candidates: list[Column]) -> Column:
+def claimed(candidates: Column) -> Column:
     """The candidates that overlap none accepted before them; the first to claim a span wins.
 
     `candidates` has an array for each pattern, in order of priority. Matches of one pattern never
     overlap, so each array is held against what the patterns before it took, whole.
     """
     none = F.array().cast(f"array<{CANDIDATE}>")
-    if not candidates:
-        return none
 
     def step(taken: Column, own: Column) -> Column:
         return F.when(F.size(own) == 0, taken).otherwise(F.concat(taken, F.filter(own, lambda c: ~overlaps(c, taken))))
 
-    return F.aggregate(F.array(*candidates), none, step)
+    return F.aggregate(candidates, none, step)
 
 
 def with_claims(pages: DataFrame, patterns: list[Pattern] = DETECTORS) -> DataFrame:
@@ -185,7 +201,7 @@ def matches(pages: DataFrame, kinds: list[str]) -> DataFrame:
     """(doc_id, page, type, s, e, value) of the valid matches of some detectors, unclaimed."""
     own = [p for p in DETECTORS if p.type in kinds]
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = pages.select("doc_id", "page", F.inline_outer(searched(text, own, lambda found: F.concat(*found))))
+    found = pages.select("doc_id", "page", F.inline_outer(searched(text, own, F.flatten)))
     return found.where("type is not null").select("doc_id", "page", "type", "s", "e", "value")
 
 
