@@ -2,42 +2,141 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from inkveil.functions.text import find_spans, word_pattern, words_of
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from inkveil.functions.text import find_spans, let, running_sums, word_pattern, words_of
+from inkveil.sources.scratch import written
 
 _RUN = r"[\p{L}\p{N}_]+"
+#: Stands for the word next to a snippet; a value that holds it is looked for in whole texts.
+_NEXT = "\ua66e"
+#: Wanted words that are told to each page as they are; more are told as bits.
+_LISTED_WORDS = 4096
+#: Bits for each wanted word, and their least and largest number.
+_BITS_A_WORD, _LEAST_BITS, _MOST_BITS = 16, 1 << 12, 1 << 20
+_SPANS = "array<struct<s:int,e:int,value:string>>"
 
 
-def _plain(text):
+def _plain(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+
+
 def locate(values: DataFrame, pages: DataFrame, by_word: bool = False) -> DataFrame:
     """(doc_id, value, page, spans, n) of each value (doc_id, value) on each page that has it.
 
-    Values of a document are distinct before the join. A page is searched for a value only if it
-    holds the value's first word in any case. `by_word` is for documents of many pages: values then
-    meet the distinct words of pages first, as ids, and only pages that hold a value's first word
-    are paired with it; else each page of a document is paired with each of its values.
+    Values of a document are distinct before the join. `by_word` is for documents of many pages: values then
+    meet an index of the places of their words in the pages, and no text moves. Else each page of a document is
+    paired with each of its values, and searched for it only if it holds the value's first word in any case.
     """
     own = values.select("doc_id", "value").distinct().withColumn("first", F.lower(F.try_element_at(words_of(F.col("value")), F.lit(1)))).where("first is not null")
     texts = pages.select("doc_id", "page", "text")
-    if by_word:
-        # A whole match holds the value's first run of letters and digits as a whole run.
-        own = own.withColumn("word", _plain(F.regexp_substr("value", F.lit(_RUN))))
-        found = F.array_distinct(F.concat(F.regexp_extract_all(_plain(F.coalesce("text", F.lit(""))), F.lit(_RUN), F.lit(0)), F.array(F.lit(""))))
-        words = texts.select("doc_id", "page", F.explode(found).alias("word"))
-        pairs = own.withColumn("word", F.coalesce("word", F.lit(""))).join(words, ["doc_id", "word"]).select("doc_id", "page", "value").distinct()
-        both = pairs.join(texts, ["doc_id", "page"])
-    else:
+    if not by_word:
         both = own.join(texts, "doc_id").where(F.contains(F.lower("text"), F.col("first")))
-    found = both.withColumn("spans", find_spans(F.col("text"), word_pattern(F.col("value"))))
+        found = both.withColumn("spans", find_spans(F.col("text"), word_pattern(F.col("value"))))
+    else:
+        own = written(own, "values")
+        odd = F.contains("value", F.lit(_NEXT)) | ~F.regexp_like("value", F.lit(_RUN))
+        phrases = own.where(~odd).select("doc_id", "value", F.transform(_runs(F.col("value")), _plain).alias("words"))
+        found = located(phrases, word_index(texts, phrases)).select("doc_id", "value", "page", "spans")
+        found = found.unionByName(locate(own.where(odd), texts).select("doc_id", "value", "page", "spans"))
     return found.where(F.size("spans") > 0).select("doc_id", "value", "page", "spans", F.size("spans").cast("long").alias("n"))
 
 
+def _wanted(words: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test that all `n` words (w) pass, and few others: a bit for each hash of a word. The bits are bounded,
+    however many words there are."""
+    bits = _LEAST_BITS
+    while bits < min(_MOST_BITS, n * _BITS_A_WORD):
+        bits *= 2
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(bits)).cast("int")
+    rows = words.select(place(F.col("w")).alias("p")).distinct().groupBy((F.col("p") / 32).cast("int").alias("k")).agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 32)).alias("x"))
+    cells = [0] * (bits // 32)
+    for r in rows.collect():
+        cells[r["k"]] = r["x"]
+    table = F.expr("array(" + ", ".join(f"{x}L" for x in cells) + ")")
+    return lambda w: let(place(w), lambda p: F.element_at(table, (p / 32).cast("int") + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p % 32)) != 0)
+
+
+def word_index(pages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, page, at) of the pages that hold words of the phrases (doc_id, value, words).
+
+    at: the places of such words in order: pos (which word of the page it is), word, raw, s (its offset), and what
+    stands between it and the words next to it, with the mark _NEXT in place of those.
+    """
+    listed = written(phrases.select(F.explode("words").alias("w")).distinct(), "words")
+    n_words = listed.count()
+    wanted = _wanted(listed, n_words)
+    text = F.coalesce("text", F.lit(""))
+    gate = F.lit(True)
+    if n_words <= _LISTED_WORDS:
+        # Few words are told to each page, and a page that holds none of them is passed over at once.
+        some = F.split(F.lit(" ".join(sorted(r["w"] for r in listed.collect()))), " ")
+        gate = let(_runs(_plain(text)), lambda folded: F.arrays_overlap(folded, some) | (F.size(folded) != F.size(_runs(text))))
+
+    def places(x: Column) -> Column:
+        words, gaps, n = x["words"], x["gaps"], F.size(x["words"])
+        kept = F.filter(F.sequence(F.lit(1), n), lambda k: wanted(_plain(F.element_at(words, k))))
+
+        def at(ends: Column) -> Callable[[Column], Column]:
+            def of(k: Column) -> Column:
+                word = F.element_at(words, k)
+                before = F.concat(F.when(k > 1, _NEXT).otherwise(""), F.element_at(gaps, k))
+                after = F.concat(F.element_at(gaps, k + 1), F.when(k < n, _NEXT).otherwise(""))
+                return F.struct(k.alias("pos"), _plain(word).alias("word"), word.alias("raw"), (F.element_at(ends, k) - F.length(word)).alias("s"), before.alias("before"), after.alias("after"), F.element_at(gaps, k + 1).alias("gap"))
+
+            return of
+
+        ends = running_sums(F.zip_with(words, F.slice(gaps, F.lit(1), n), lambda w, g: F.length(w) + F.length(g)))
+        none = F.array().cast("array<struct<pos:int,word:string,raw:string,s:int,before:string,after:string,gap:string>>")
+        return let(kept, lambda ks: F.when(F.size(ks) == 0, none).otherwise(let(ends, lambda e: F.transform(ks, at(e)))))
+
+    parts = F.struct(_runs(text).alias("words"), F.split(text, _RUN, -1).alias("gaps"))
+    own = F.when(F.regexp_like(text, F.lit(_RUN)) & gate, let(parts, places))
+    return written(pages.select("doc_id", "page", own.alias("at")), "index").where(F.size("at") > 0)
+
+
+def located(phrases: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, value, page, spans) of the phrases (doc_id, value, words) in the pages of an index.
+
+    A page is a candidate for a phrase if it holds its first word. Where the phrase's words follow each other there,
+    the value's pattern decides on them and on what stands around them, which is all that it can match.
+    """
+    words = index.select("doc_id", "page", F.explode(F.array_distinct(F.transform("at", lambda x: x["word"]))).alias("word"))
+    pairs = phrases.withColumn("word", F.element_at("words", 1)).join(words, ["doc_id", "word"]).drop("word")
+    rows = pairs.join(index, ["doc_id", "page"])
+    at, own, n = F.col("at"), F.col("words"), F.size("words")
+
+    def follows(j: Column) -> Column:
+        first = F.element_at(at, j)["pos"]
+        return F.forall(F.sequence(F.lit(0), n - 1), lambda k: (F.element_at(at, j + k)["word"] == F.element_at(own, k + 1)) & (F.element_at(at, j + k)["pos"] == first + k))
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(at) - n + 1, F.lit(1))), lambda j: (j + n - 1 <= F.size(at)) & (F.element_at(at, j)["word"] == F.element_at(own, 1)) & follows(j))
+
+    def span(j: Column) -> Column:
+        inner = F.array_join(F.transform(F.slice(at, j, n - 1), lambda x: F.concat(x["raw"], x["gap"])), "")
+        snippet = F.concat(F.element_at(at, j)["before"], inner, F.element_at(at, j + n - 1)["raw"], F.element_at(at, j + n - 1)["after"])
+
+        def matched(x: Column) -> Column:
+            place = F.element_at(at, j)["s"] - F.length(F.element_at(at, j)["before"]) + F.regexp_instr(x["shown"], x["p"]) - 1
+            value = F.regexp_substr(x["shown"], x["p"])
+            return F.struct(place.alias("s"), (place + F.length(value)).alias("e"), value.alias("value"))
+
+        return let(F.struct(snippet.alias("shown"), word_pattern(F.col("value")).alias("p")), matched)
+
+    found = F.filter(F.transform(starts, span), lambda x: x["value"].isNotNull()).cast(_SPANS)
+    # Of matches that overlap the first one stands, as in a search from left to right.
+    apart = lambda acc, x: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) > x["s"]), acc).otherwise(F.concat(acc, F.array(x)))
+    spans = F.when(n == 1, found).otherwise(F.aggregate(found, F.array().cast(_SPANS), apart))
+    return rows.select("doc_id", "value", "page", spans.alias("spans"))
+
+
 def match_summary(matches: DataFrame) -> DataFrame:
     """(doc_id, value, pages, count): pages in order, and all matches together."""
     return matches.groupBy("doc_id", "value").agg(F.sort_array(F.collect_set("page")).alias("pages"), F.sum("n").alias("count"))

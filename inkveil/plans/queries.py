@@ -90,8 +90,12 @@ def claimed_entities(spark, folder):
     return detectors.pattern_entities(_searched(spark, folder))
 
 
+def _source_pages(spark, folder):
+    return sources.searched_pages(sources.source_pages(spark, folder), folder)
+
+
 def _source_entities(spark, folder):
-    return pipeline.detect(sources.searched_pages(sources.source_pages(spark, folder), folder))
+    return pipeline.detect(_source_pages(spark, folder))
 
 
 def first_seen_entities(spark, folder):
@@ -105,7 +109,7 @@ def surnames(spark, folder):
 
 
 def match_summary(spark, folder):
-    found = locate.locate(_source_entities(spark, folder), sources.source_pages(spark, folder), by_word=True)
+    found = locate.locate(_source_entities(spark, folder), _source_pages(spark, folder), by_word=True)
     return locate.match_summary(found)
 
 
@@ -296,7 +300,7 @@ def _custom(spark, folder):
 
 def custom_entities(spark, folder):
     rows, custom = _source_entities(spark, folder), _custom(spark, folder)
-    found = locate.locate(custom, sources.source_pages(spark, folder), by_word=True)
+    found = locate.locate(custom, _source_pages(spark, folder), by_word=True)
     return review.add_custom(rows, custom, found).where("type = 'Custom'").select("doc_id", "type", "value", "page", "approved")
 
 
