@@ -127,10 +127,10 @@ grouped AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 E
 spans AS (SELECT doc_id, page, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e FROM grouped GROUP BY doc_id, page, island)"""
 
 
-def _redacted(pages: str) -> str:
+def _redacted(pages: str, mask: str = "repeat('█', sp.e - sp.s)") -> str:
     """CTEs from `spans` to `redacted`: the pages with their spans blacked out."""
     return f"""pieces AS (
-  SELECT sp.doc_id, sp.page, sp.s, sp.e, substr(d.text, coalesce(lag(sp.e) OVER w, 0) + 1, sp.s - coalesce(lag(sp.e) OVER w, 0)) || repeat('█', sp.e - sp.s) AS piece
+  SELECT sp.doc_id, sp.page, sp.s, sp.e, substr(d.text, coalesce(lag(sp.e) OVER w, 0) + 1, sp.s - coalesce(lag(sp.e) OVER w, 0)) || {mask} AS piece
   FROM spans sp JOIN ({pages}) d ON d.doc_id = sp.doc_id AND d.page = sp.page WINDOW w AS (PARTITION BY sp.doc_id, sp.page ORDER BY sp.s)),
 joined AS (SELECT doc_id, page, string_agg(piece, '' ORDER BY s) AS head, max(e) AS last, CAST(count(*) AS INTEGER) AS n FROM pieces GROUP BY doc_id, page),
 redacted AS (SELECT d.doc_id, d.page, coalesce(j.n, 0) AS n_redacted, coalesce(j.head || substr(d.text, j.last + 1), d.text) AS redacted_text FROM ({pages}) d LEFT JOIN joined j ON j.doc_id = d.doc_id AND j.page = d.page)"""
@@ -262,6 +262,10 @@ SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY lead) AS INT
 CASE WHEN bool_and(length(value) % 2 = 0) THEN 'all' WHEN NOT bool_or(length(value) % 2 = 0) THEN 'none' ELSE 'mixed' END AS state FROM ents GROUP BY doc_id, type""",
         "redaction_spans": f"{r}{_entities(DOCS)}, {_located('SELECT doc_id, value FROM ents', DOCS)}, {_ISLANDS} SELECT * FROM spans",
         "redacted_documents": f"{r}{_REDACTED} SELECT * FROM redacted",
+        "stored_redactions": f"""{r}{_entities(DOCS)}, {_located('SELECT doc_id, value FROM ents', DOCS)}, {_ISLANDS}, {_redacted(DOCS, "CASE WHEN (SELECT source FROM documents x WHERE x.doc_id = sp.doc_id) = 'src3' THEN '-' ELSE repeat('█', sp.e - sp.s) END")}
+SELECT r.doc_id, d.source, r.n_redacted, r.redacted_text FROM redacted r JOIN documents d ON d.doc_id = r.doc_id""",
+        "report_history": f"SELECT x.run, x.model, has_text, count(*) AS pages, CAST(sum(char_count) AS BIGINT) AS chars FROM ({_stats(DOCS)}) s, (VALUES ('r1', 'again'), ('r2', 'second')) x(run, model) GROUP BY 1, 2, 3",
+        "expected_values": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, value, 'person' AS type FROM ({derived.PEOPLE}) p",
         "page_stats": _stats(DOCS),
         "any_text_docs": f"SELECT doc_id FROM ({_stats(DOCS)}) s WHERE has_text",
         "image_page_stats": f"WITH {_IMAGE_STATS} SELECT doc_id, page, char_count, round(image_coverage, 9) AS image_coverage, char_count >= 20 AS has_text, char_count >= 20 AND largest >= 0.9 AS scanned FROM istats",

@@ -141,6 +141,33 @@ def redacted_documents(spark, folder):
     return redact.redact_values(pages, pipeline.detect(pages)).select("doc_id", "page", "n_redacted", "redacted_text")
 
 
+def stored_redactions(spark, folder):
+    """Redacted documents as they are read back: all were written with a dash for each value, by source, and then
+    those of all sources but one again with blocks, twice."""
+    docs = sources.table(spark, folder, "documents").select("doc_id", F.lit(1).alias("page"), "text", "source")
+    pages, path = sources.searched_pages(docs, folder), scratch.new_path(spark, "redacted")
+    found = pipeline.detect(pages)
+    sources.write_redacted(redact.redact_values(pages, found, "-"), path, ["source"])
+    for _ in range(2):
+        sources.write_redacted(redact.redact_values(pages.where("source <> 'src3'"), found), path, ["source"])
+    return spark.read.parquet(path).select("doc_id", "source", "n_redacted", "redacted_text")
+
+
+def report_history(spark, folder):
+    """Reports of two runs, the first of which was repeated, as they are read back."""
+    report, path = page_stats(spark, folder).groupBy("has_text").agg(F.count("*").alias("pages"), F.sum("char_count").alias("chars")), scratch.new_path(spark, "reports")
+    for run, name in (("r1", "first"), ("r2", "second"), ("r1", "again")):
+        sources.write_report(report, path, run, model=name)
+    return sources.read_reports(spark, path).select("run", "model", "has_text", "pages", "chars")
+
+
+def expected_values(spark, folder):
+    """People of the notes as expected values: written as a JSON file for each document, and read back."""
+    people, path = _sql(spark, folder, derived.PEOPLE), scratch.new_path(spark, "expected")
+    sources.write_expected(people.select("doc_id", "value", F.lit("person").alias("type")), path)
+    return sources.read_expected(spark, path)
+
+
 def page_stats(spark, folder):
     return layout.page_stats(sources.document_pages(spark, folder))
 
@@ -475,7 +502,7 @@ def fallback_entities(spark, folder):
 
 _ALL = [
     detect_email, detect_ip, detect_card, detect_phone, detect_ssn, detect_iban, detect_birth, detect_labelled_ids, detect_titled, detect_ipv6, note_entities,
-    claimed_entities, first_seen_entities, surnames, match_summary, group_entities, review_list, category_rollup, redaction_spans, redacted_documents,
+    claimed_entities, first_seen_entities, surnames, match_summary, group_entities, review_list, category_rollup, redaction_spans, redacted_documents, stored_redactions, report_history, expected_values,
     page_stats, any_text_docs, image_page_stats, image_only_pages, scanned_pages, image_inventory, image_page_removal, reconstructed_text, chunked_documents,
     cleaned_documents, value_keys, conversation_chunks, conversation_stats, link_inventory, removal_reports, stripped_pages, stripped_forms, html_pii, grouped_tokens,
     tagged_entities, reply_entities, assembled_replies, run_flags, repeat_loops, deduped_reply, reply_reasons, model_thresholds, decided_entities,

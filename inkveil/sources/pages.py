@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,20 @@ def read_expected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_redacted(redacted: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Writes redacted pages. With partition columns, partitions that `redacted` has rows of are replaced and all
+    others stay, so a part of the pages can be redacted anew, and a run that is repeated adds nothing."""
     out = redacted.write.mode("overwrite")
-    (out.partitionBy(*by) if by else out).parquet(path)
+    (out.option("partitionOverwriteMode", "dynamic").partitionBy(*by) if by else out).parquet(path)
+
+
+def redacted_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """What a stream hands its batches to, by foreachBatch: each is a partition named by its id, and one that is
+    delivered again replaces itself."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        write_redacted(batch.withColumn("batch", F.lit(batch_id)), path, ["batch"])
+
+    return put
 
 
 def write_report(report: DataFrame, path: str, run_id: str, **run: str) -> None:
@@ -82,3 +96,9 @@ def write_report(report: DataFrame, path: str, run_id: str, **run: str) -> None:
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """All runs' reports, with column `run`."""
     return spark.read.json(f"{path}/runs")
+
+
+def write_expected(expected: DataFrame, path: str) -> None:
+    """Expected values (doc_id, value, type) as JSON files {source, pii: [{value, type}]}, one for each document."""
+    own = expected.groupBy(F.col("doc_id").cast("string").alias("source")).agg(F.sort_array(F.collect_list(F.struct("value", "type"))).alias("pii"))
+    own.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)

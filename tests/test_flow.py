@@ -180,7 +180,7 @@ def test_model_runs_once_for_each_task(spark):
         return lambda texts: [[{"idx": 1, "tag": "B-PERSON", "score": 1.0, "piece": t[:3]}] for t in texts]
 
     chunks = spark.createDataFrame([("d", 1, 0, "Ann Lee"), ("d", 1, 1, "y" * 20_001)], "doc_id string, page int, chunk int, text string")
-    assert [r["piece"] for r in model.score_chunks(chunks, load).collect()] == ["Ann"]
+    assert [r["piece"] for r in model.tokens_of(model.score_chunks(chunks, load)).collect()] == ["Ann"]
 
 
 def test_fallback_by_document(spark):
