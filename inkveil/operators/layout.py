@@ -13,18 +13,23 @@ def page_text(lines: DataFrame, tolerance: float = fixed.ROW_TOLERANCE) -> DataF
     """(doc_id, page, text) from layout lines (doc_id, page, ord, x, y, text).
 
     In their order, lines join the first row whose anchor is within the tolerance, else start a
-    row. Rows come by anchor, their lines by x. A page is as much as one row of the result holds.
+    row. Rows come by anchor, their lines by x. A row can only take in lines of its own stretch of
+    the page, which ends where the next line is further away than the tolerance; so lines meet the
+    few anchors of their stretch, however many the page has. All steps keep one dealing by page.
     """
     clean = trimmed(F.regexp_replace("text", "�+", ""))
-    rows = lines.withColumn("text", clean).where("text <> ''")
-    own = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y", "text"))).alias("items"))
-    y = lambda v: v.cast("double")
-    anchors = F.aggregate("items", F.array().cast("array<double>"), lambda acc, i: F.when(F.exists(acc, lambda a: F.abs(a - y(i["y"])) <= tolerance), acc).otherwise(F.concat(acc, F.array(y(i["y"])))))
-    own = own.withColumn("anchors", anchors)
-    placed = F.transform("items", lambda i: F.struct(F.element_at(F.filter("anchors", lambda a: F.abs(a - y(i["y"])) <= tolerance), 1).alias("a"), i["x"].alias("x"), i["ord"].alias("ord"), i["text"].alias("text")))
-    own = own.withColumn("placed", placed)
-    row = lambda a: F.array_join(F.transform(F.array_sort(F.filter("placed", lambda p: p["a"] == a)), lambda p: p["text"]), " ")
-    return own.select("doc_id", "page", F.array_join(F.transform(F.sort_array("anchors"), row), "\n").alias("text"))
+    rows = lines.select("doc_id", "page", "ord", "x", F.col("y").cast("double").alias("y"), clean.alias("text")).where("text <> ''")
+    down = Window.partitionBy("doc_id", "page").orderBy("y")
+    starts = F.coalesce(F.col("y") - F.lag("y").over(down) > tolerance, F.lit(True)).cast("int")
+    rows = rows.withColumn("_starts", starts).withColumn("_stretch", F.sum("_starts").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = rows.groupBy("doc_id", "page", "_stretch").agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y", "text"))).alias("items"))
+    near = lambda a, i: F.abs(a - i["y"]) <= tolerance
+    anchors = F.aggregate("items", F.array().cast("array<double>"), lambda acc, i: F.when(F.exists(acc, lambda a: near(a, i)), acc).otherwise(F.concat(acc, F.array(i["y"]))))
+    placed = F.transform("items", lambda i: F.struct(F.element_at(F.filter("anchors", lambda a: near(a, i)), 1).alias("a"), i["x"].alias("x"), i["ord"].alias("ord"), i["text"].alias("text")))
+    rows = own.withColumn("anchors", anchors).select("doc_id", "page", F.inline(placed))
+    joined = lambda of, by, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*by, of))), lambda x: x[of]), sep)
+    rows = rows.groupBy("doc_id", "page", "a").agg(joined("text", ["x", "ord"], " ").alias("line"))
+    return rows.groupBy("doc_id", "page").agg(joined("line", ["a"], "\n").alias("text"))
 
 
 def letters_and_digits(text: Column) -> Column:

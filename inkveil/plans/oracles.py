@@ -336,6 +336,13 @@ SELECT coalesce(o.doc_id, i.doc_id) AS doc_id, coalesce(o.changed, false) OR i.d
         "tagged_entities": f"""{r}{_claims(derived.NOTES, ALL_KINDS)}, w AS (
   SELECT p.doc_id, p.page, regexp_replace(p.value, ', Jr.$| MD$', '') AS v, n.text FROM ({derived.PEOPLE}) p JOIN ({derived.NOTES}) n ON n.doc_id = p.doc_id AND n.page = p.page WHERE (40 + p.ord % 6 * 10) / 100 >= 0.7)
 SELECT doc_id, page, 'Person' AS type, v AS value FROM w WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.doc_id = w.doc_id AND c.page = w.page AND instr(text, v) - 1 < c.e AND instr(text, v) - 1 + length(v) > c.s)""",
+        "tagger_only": f"""WITH w AS (SELECT p.doc_id, p.page, regexp_replace(p.value, ', Jr.$| MD$', '') AS v FROM ({derived.PEOPLE}) p WHERE (40 + p.ord % 6 * 10) / 100 >= 0.7),
+f AS (SELECT doc_id, arg_min(v, page) AS value, lower(v) AS value_key, min(page) AS page FROM w GROUP BY doc_id, lower(v))
+SELECT doc_id, 'Person' AS type, value, value_key, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS ord FROM f""",
+        "bounded_image_inventory": f"""WITH sized AS (
+  SELECT i.doc_id, i.page, i.idx, greatest(i.x1 - i.x0, i.y1 - i.y0) >= 40 AS big, (i.x1 - i.x0) * (i.y1 - i.y0) >= 0.9 * (coalesce(b.x1, 612.0) * coalesce(b.y1, 792.0)) AS covers, length(replace(p.text, ' ', '')) >= 20 AS text_layer
+  FROM ({derived.IMAGES}) i JOIN ({derived.IMAGE_PAGES}) p ON p.doc_id = i.doc_id AND p.page = i.page LEFT JOIN ({derived.BOUNDS}) b ON b.doc_id = i.doc_id AND b.page = i.page)
+SELECT doc_id, page, idx, page || ':' || idx AS id, covers AND NOT text_layer AS full_page, big, covers, text_layer FROM (SELECT *, bool_or(covers AND text_layer) OVER (PARTITION BY doc_id, page) AS hid FROM sized) x WHERE big AND NOT hid""",
         "bounded_page_stats": f"""WITH {_BOUNDED} SELECT doc_id, page, char_count, round(image_coverage, 9) AS image_coverage, char_count >= 20 AS has_text, char_count >= 20 AND largest >= 0.9 AS scanned FROM istats""",
         "unlinked_pages": """SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN '<a class="own" href="' || url || '">this page</a>' || html || '<a class="own" href="' || url || '">this page</a>' ELSE 'this page' || html || 'this page' END AS html FROM pages""",
         "instruction_hits": _HITS,

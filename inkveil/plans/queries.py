@@ -199,6 +199,11 @@ def image_inventory(spark, folder):
     return layout.image_inventory(_sql(spark, folder, derived.IMAGES), _sql(spark, folder, derived.IMAGE_PAGES))
 
 
+def bounded_image_inventory(spark, folder):
+    """Images worth a review where every other page has bounds of its own."""
+    return layout.image_inventory(_sql(spark, folder, derived.IMAGES), _sql(spark, folder, derived.IMAGE_PAGES), _sql(spark, folder, derived.BOUNDS))
+
+
 def image_page_removal(spark, folder):
     pages, found = _sql(spark, folder, derived.IMAGE_PAGES), image_inventory(spark, folder)
     return layout.remove_image_pages(pages, found, found.where("doc_id % 2 = 0"))
@@ -258,11 +263,21 @@ def grouped_tokens(spark, folder):
     return rows.withColumn("score", F.round("score", 9))
 
 
+def _tagged_people(spark, folder):
+    return _sql(spark, folder, derived.PEOPLE).select("doc_id", "page", F.lit(0).alias("chunk"), F.lit(1).alias("grp"), F.lit("PERSON").alias("tag"), F.regexp_replace("value", ", Jr.$| MD$", "").alias("word"), ((40 + F.col("ord") % 6 * 10) / 100).alias("score"))
+
+
 def tagged_entities(spark, folder):
     """A tagger's entities (the people of the notes) through all filters and pattern claims."""
     pages = _notes(spark, folder)
-    found = _sql(spark, folder, derived.PEOPLE).select("doc_id", "page", F.lit(0).alias("chunk"), F.lit(1).alias("grp"), F.lit("PERSON").alias("tag"), F.regexp_replace("value", ", Jr.$| MD$", "").alias("word"), ((40 + F.col("ord") % 6 * 10) / 100).alias("score"))
-    return model.filter_entities(found, pages, detectors.claims_table(pages)).select("doc_id", "page", "type", "value")
+    found = model.filter_entities(_tagged_people(spark, folder), pages, detectors.claims_table(pages))
+    return found.select("doc_id", "page", "type", "value")
+
+
+def tagger_only(spark, folder):
+    """The notes' entities with the patterns and the surnames switched off."""
+    rows = pipeline.detect(_notes(spark, folder), _tagged_people(spark, folder), patterns=[], surnames=False)
+    return rows.select("doc_id", "type", "value", "value_key", "page", "ord")
 
 
 def reply_entities(spark, folder):
@@ -505,7 +520,7 @@ _ALL = [
     claimed_entities, first_seen_entities, surnames, match_summary, group_entities, review_list, category_rollup, redaction_spans, redacted_documents, stored_redactions, report_history, expected_values,
     page_stats, any_text_docs, image_page_stats, image_only_pages, scanned_pages, image_inventory, image_page_removal, reconstructed_text, chunked_documents,
     cleaned_documents, value_keys, conversation_chunks, conversation_stats, link_inventory, removal_reports, stripped_pages, stripped_forms, html_pii, grouped_tokens,
-    tagged_entities, reply_entities, assembled_replies, run_flags, repeat_loops, deduped_reply, reply_reasons, model_thresholds, decided_entities,
+    tagged_entities, tagger_only, bounded_image_inventory, reply_entities, assembled_replies, run_flags, repeat_loops, deduped_reply, reply_reasons, model_thresholds, decided_entities,
     custom_entities, classified_hits, unapplied_changes, kept_links, reviewable_documents, evaluated_documents, evaluated_corpus, evaluated_rollup, model_flags, fallback_conversations,
     bounded_page_stats, unlinked_pages, instruction_hits, merged_hits, changed_by_hits, rerun_notes, claimed_values, snapped_words, cleaned_people, chat_entities,
     scored_chunks, fallback_entities,

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["claimed_entities", "surnames", "redacted_documents", "image_inventory", "grouped_tokens", "link_inventory", "evaluated_documents", "chunked_documents", "tagged_entities", "merged_hits", "rerun_notes", "chat_entities", "fallback_entities", "claimed_values"]
+NAMES = ["claimed_entities", "surnames", "redacted_documents", "image_inventory", "grouped_tokens", "link_inventory", "evaluated_documents", "chunked_documents", "tagged_entities", "merged_hits", "rerun_notes", "chat_entities", "fallback_entities", "claimed_values", "stripped_forms", "unlinked_pages", "run_flags", "model_flags", "fallback_conversations", "evaluated_rollup", "stored_redactions", "report_history", "expected_values", "tagger_only", "match_summary"]
 
 
 def test_entry_returns_rows(spark):

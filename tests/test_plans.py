@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkveil.operators import entities, evaluate, locate, redact
+from inkveil.operators import entities, evaluate, layout, locate, redact
 
 
 def test_a_document_is_numbered_by_many_tasks(spark):
@@ -44,3 +44,27 @@ def test_unlike_values_hold_and_are_held_by_none(spark):
     got = evaluate.unlike(spark.createDataFrame(list(found), "doc_id long, d string"), spark.createDataFrame(want, "doc_id long, v string"))
     brute = {(i, d) for i, d in found if not any(i == j and v and (v in d or d in v) for j, v in want)}
     assert {tuple(r) for r in got.collect()} == brute and 0 < len(brute) < len(found)
+
+
+def brute_text(items, tolerance=4):
+    anchors, rows = [], {}
+    for ord_, x, y, text in sorted(items):
+        a = next((a for a in anchors if abs(a - y) <= tolerance), None)
+        if a is None:
+            a = y
+            anchors.append(a)
+        rows.setdefault(a, []).append((x, ord_, text))
+    return "\n".join(" ".join(t for _, _, t in sorted(rows[a])) for a in sorted(rows))
+
+
+def test_reading_order_of_dense_pages(spark):
+    rng = random.Random(8)
+    pages = {k: [(n, round(rng.random() * 9, 1), round(rng.random() * rng.choice([20, 200, 2000]), 1), f"t{n}") for n in range(rng.randint(1, 150))] for k in range(40)}
+    df = spark.createDataFrame([(k, 1, *i) for k, items in pages.items() for i in items], "doc_id long, page int, ord int, x double, y double, text string")
+    assert {r["doc_id"]: r["text"] for r in layout.page_text(df).collect()} == {k: brute_text(items) for k, items in pages.items()}
+
+
+def test_a_page_of_very_many_lines(spark):
+    df = spark.range(100_000).selectExpr("1L AS doc_id", "1 AS page", "id AS ord", "cast(id % 10 as double) AS x", "cast(12 * (id div 10) + id % 3 as double) AS y", "concat('w', id) AS text")
+    text = layout.page_text(df).first()["text"].split("\n")
+    assert len(text) == 10_000 and text[7] == " ".join(f"w{70 + k}" for k in range(10))
