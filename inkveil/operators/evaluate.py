@@ -24,10 +24,11 @@ def unlike(found: DataFrame, want: DataFrame) -> DataFrame:
     document. A value that is held shares its first three characters with what holds it, so the two meet by these."""
     found, want = found.where("d <> ''"), want.where("v <> ''").select("doc_id", "v").distinct()
     around = want.select("doc_id", "v", F.explode(_grams(F.col("v"))).alias("g"))
-    within = found.select("doc_id", "d", F.explode(_grams(F.col("d"))).alias("g")).join(want.withColumn("g", _start(F.col("v"))), ["doc_id", "g"]).where(F.contains("d", F.col("v")))
+    within = found.select("doc_id", "d", F.explode(_grams(F.col("d"))).alias("g")).join(want.withColumn("g", _start(F.col("v"))).hint("merge"), ["doc_id", "g"]).where(F.contains("d", F.col("v")))
     rows = found.withColumn("g", _start(F.col("d"))).alias("f")
     held = (F.col("f.doc_id") == F.col("w.doc_id")) & (F.col("f.g") == F.col("w.g")) & F.contains(F.col("w.v"), F.col("f.d"))
-    rows = rows.join(around.alias("w"), held, "left_anti").select("f.doc_id", "f.d")
+    # Merged: what is exploded is far larger than the optimizer takes it for, and must not be broadcast.
+    rows = rows.join(around.alias("w").hint("merge"), held, "left_anti").select("f.doc_id", "f.d")
     return rows.join(within.select("doc_id", "d").distinct(), ["doc_id", "d"], "left_anti")
 
 
