@@ -36,6 +36,10 @@ WEIGHTS = 1 << 17
 ROUNDS = 25
 #: Words whose marginals are worked out at once while fitting.
 FIT_WORDS = 1 << 17
+#: Characters of the texts that are scored at once; a longer text is scored in pieces of so many.
+SCORE_CHARS = 1 << 19
+#: Rows that leave Arrow's columns at once.
+SCORE_ROWS = 256
 #: Words remembered with their weights by each Python worker; beyond it the memory starts anew.
 MEMO_WORDS = 250_000
 BLOCK = 64
@@ -107,9 +111,13 @@ class Field:
         return out / out.max((1, 2), keepdims=True)
 
 
-def forward_backward(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+Pair = tuple[float, float]
+
+
+def forward_backward(steps: np.ndarray, before: Pair = (0.5, 0.5), after: Pair = (0.5, 0.5)) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward vectors of every word, each summing to 1, of all texts in a row.
 
+    `before` is the forward vector of the word before the first, `after` the backward one of the last.
     Blocks of BLOCK words are multiplied side by side, their products are chained, and then all
     blocks are filled in side by side.
     """
@@ -124,13 +132,13 @@ def forward_backward(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         product = np.stack([np.stack([a[i, 0] * m[0, j] + a[i, 1] * m[1, j] for j in (0, 1)]) for i in (0, 1)])
         product /= product.max((0, 1))
     flat = product.reshape(4, blocks).T.tolist()
-    entry, x, y = [], 0.5, 0.5
+    entry, (x, y) = [], before
     for a, b, c, d in flat:
         entry.append((x, y))
         x, y = x * a + y * c, x * b + y * d
         s = x + y
         x, y = x / s, y / s
-    leave, x, y = [], 0.5, 0.5
+    leave, (x, y) = [], after
     for a, b, c, d in reversed(flat):
         leave.append((x, y))
         x, y = a * x + b * y, c * x + d * y
@@ -162,12 +170,16 @@ def document_signs(odds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out[:, 0], out[:, 1] = 1, -16
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
-        top = np.clip(np.maximum.reduceat(odds, bounds[:-1][full]), 1e-7, 1 - 1e-7)
-        out[full, 1] = np.log(top / (1 - top))
-        out[full, 2] = np.log1p(np.add.reduceat(odds, bounds[:-1][full]))
+        out[full] = signs_of(np.maximum.reduceat(odds, bounds[:-1][full]), np.add.reduceat(odds, bounds[:-1][full]))
     return out
 
 
+def signs_of(top: np.ndarray | float, total: np.ndarray | float) -> np.ndarray:
+    """The signs of texts with words, from their largest odds and the sum of all odds."""
+    top = np.clip(top, 1e-7, 1 - 1e-7)
+    return np.stack([np.ones_like(top), np.log(top / (1 - top)), np.log1p(total)], -1)
+
+
 def _fit_curve(signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
     curve = np.zeros(3)
     for _ in range(30):
@@ -290,7 +302,34 @@ class _Known(dict):
 
 
 def score_texts(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """The score and the toxic words' (start, end) of each whole text, in characters."""
+    """The score and the toxic words' (start, end) of each whole text, in characters.
+
+    Texts are scored together up to SCORE_CHARS characters, and a longer one in pieces, so that memory
+    beside the texts doesn't follow their number or length.
+    """
+    scores, spans = np.zeros(len(texts)), []
+    at, held = 0, 0
+    for k, text in enumerate(texts):
+        if k > at and held + len(text) > SCORE_CHARS:
+            scores[at:k], found = _score_group(field, known, texts[at:k])
+            spans += found
+            at, held = k, 0
+        held += len(text)
+        if held > SCORE_CHARS:
+            scores[k], found = _score_long(field, known, text)
+            spans.append(found)
+            at, held = k + 1, 0
+    if at < len(texts):
+        scores[at:], found = _score_group(field, known, texts[at:])
+        spans += found
+    return scores, spans
+
+
+def _score(signs: np.ndarray, field: Field) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(signs @ field.curve, -30, 30)))
+
+
+def _score_group(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     known.bounded()
     words = [t.lower().split() for t in texts]
     bounds = np.cumsum([0, *map(len, words)])
@@ -304,10 +343,79 @@ def score_texts(field: Field, known: _Known, texts: list[str]) -> tuple[np.ndarr
         odds = marginals(*forward_backward(field.steps(emissions(known.filled(), ids, first), first[:n])))
         hits = np.flatnonzero(odds >= 0.5)
         for k in np.unique(np.searchsorted(bounds, hits, "right") - 1):
-            places = [m.span() for m in re.finditer(r"\S+", texts[k])]
-            spans[k] = [places[h - bounds[k]] for h in hits[(hits >= bounds[k]) & (hits < bounds[k + 1])] if h - bounds[k] < len(places)]
-    total = document_signs(odds, bounds) @ field.curve
-    return 1 / (1 + np.exp(-np.clip(total, -30, 30))), spans
+            spans[k] = _places(texts[k], hits[(hits >= bounds[k]) & (hits < bounds[k + 1])] - bounds[k])
+    return _score(document_signs(odds, bounds), field), spans
+
+
+def _places(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the words of these numbers, which ascend."""
+    wanted = iter(hits.tolist())
+    out, at = [], next(wanted, None)
+    for k, m in enumerate(re.finditer(r"\S+", text)):
+        if at is None:
+            break
+        if k == at:
+            out.append(m.span())
+            at = next(wanted, None)
+    return out
+
+
+def cut_at_blanks(text: str) -> Iterator[str]:
+    """The text in pieces of SCORE_CHARS characters and what is left of the word at their end."""
+    blank, at = re.compile(r"\s"), 0
+    while at < len(text):
+        m = blank.search(text, at + SCORE_CHARS)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _score_long(field: Field, known: _Known, text: str) -> tuple[float, list[tuple[int, int]]]:
+    """The score and spans of one text, a piece at a time; between pieces 8 bytes a word are kept.
+
+    The pieces' scores of words come first, from left to right. Then backward vectors go from
+    the last piece to the first, and forward ones with all odds from the first to the last.
+    """
+    pieces: list[np.ndarray] = []
+    onward = 0.0
+    for part in cut_at_blanks(text):
+        words = part.lower().split()
+        if not words:
+            continue
+        known.bounded()
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        own = known.filled()
+        first = np.zeros(len(ids) + 1, bool)
+        emission = emissions(own, ids, first)
+        emission[0] += onward
+        if pieces:
+            pieces[-1][-1] += own[2][ids[0]]
+        onward = own[1][ids[-1]]
+        pieces.append(emission)
+    if not pieces:
+        return float(_score(document_signs(np.zeros(0), np.array([0, 0])), field)[0]), []
+
+    def steps_of(k: int) -> np.ndarray:
+        first = np.zeros(len(pieces[k]), bool)
+        first[0] = k == 0
+        return field.steps(pieces[k], first)
+
+    after: list[Pair] = [(0.5, 0.5)] * len(pieces)
+    for k in range(len(pieces) - 1, 0, -1):
+        steps = steps_of(k)
+        beta = forward_backward(steps, after=after[k])[1][0]
+        x = steps[0] @ beta
+        after[k - 1] = tuple(x / x.sum())
+    before: Pair = (0.5, 0.5)
+    top, total, at, hits = 0.0, 0.0, 0, []
+    for k in range(len(pieces)):
+        alpha, beta = forward_backward(steps_of(k), before, after[k])
+        before = tuple(alpha[-1])
+        odds = marginals(alpha, beta)
+        top, total = max(top, float(odds.max())), total + float(odds.sum())
+        hits.append(np.flatnonzero(odds >= 0.5) + at)
+        at += len(odds)
+    return float(_score(signs_of(top, total), field)), _places(text, np.concatenate(hits))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -380,14 +488,15 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score, predicted and spans (offsets of toxic words) of every row.
 
     Scores depend on the text alone. Null and empty texts have no words: they get the score of a
-    text without toxic words. Rows without a doc_id aren't held out.
+    text without toxic words. Very long texts are scored whole, in pieces. Rows without a doc_id
+    aren't held out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(field)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SCORE_ROWS):
+                part = batch.slice(at, SCORE_ROWS)
                 score, spans = score_texts(field, known, part.column(1).to_pylist())
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 own = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
@@ -410,7 +519,7 @@ def accepted(docs: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Known(field)
         for texts in batches:
-            parts = [score_texts(field, known, texts.iloc[at : at + 256].tolist())[0] for at in range(0, len(texts), 256)]
+            parts = [score_texts(field, known, texts.iloc[at : at + SCORE_ROWS].tolist())[0] for at in range(0, len(texts), SCORE_ROWS)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.where(toxic(text_of(docs)) < threshold)
