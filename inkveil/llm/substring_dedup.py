@@ -26,12 +26,12 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Words remembered with their hashes by each Python worker; beyond it the memory starts anew.
 MEMO_WORDS = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: A half window is hot if it makes up more than this share of all selected ones, and more than so
-#: many rows. So there are at most 1 / HOT_SHARE hot ones.
-HOT_SHARE = 0.001
+#: A half window is hot if more rows hold it than HOT_LEAST and than a HOT_MOST-th of all selected
+#: ones. So there are fewer than HOT_MOST hot ones, of 8 bytes each, however large the table is, and a
+#: window that isn't hot is no larger than a task of a table that is dealt to HOT_MOST tasks. The
+#: rows of a hot one are dealt to parts of about as many rows as the limit says.
 HOT_LEAST = 1000
-#: Parts that the rows of a hot window are dealt to.
-SALTS = 64
+HOT_MOST = 1_000_000
 #: A null doc_id comes after all others.
 _LAST = (1 << 63) - 1
 
@@ -112,27 +112,32 @@ def scanned(docs: DataFrame, window: int, half: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id long, ord long, th long, n_words long, sha string, hashes array<long>, starts array<int>")
 
 
-def full_windows(pending: DataFrame, window: int, half: int, hot: list[int]) -> DataFrame:
-    """(h1, h2, ord, th, start, hot) of each full window that holds a repeated half window.
+def full_windows(pending: DataFrame, window: int, half: int, hot: pa.Table) -> DataFrame:
+    """(h1, h2, ord, th, start, parts) of each full window that holds a repeated half window.
 
-    `hot` marks windows whose own smallest half window is one of the given hashes, at most
-    1 / HOT_SHARE of them: equal windows are marked alike.
+    `hot` holds (h, parts) of fewer than HOT_MOST half windows. A window whose own smallest half
+    window is one of them has its parts, and others 0: equal windows have the same.
     """
-    crowded = np.array(sorted(hot), np.int64)
+    crowded, dealt = (hot.column(c).to_numpy() for c in ("h", "parts"))
+    order = np.argsort(crowded)
+    #: A last entry for hashes larger than all.
+    crowded, dealt = np.append(crowded[order], 0), np.append(dealt[order], 0).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for order, th, text, positions in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for own, th, text, positions in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = text.encode().split()
                 starts = covered_starts(np.array(positions, np.int64), len(words), window, half)
                 hashed = memo.of(words)
                 h1, h2 = (window_hashes(hashed, window, base)[starts] for base in _BASES)
-                least = np.lib.stride_tricks.sliding_window_view(window_hashes(hashed, half), window - half + 1)[starts].min(1)
-                columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), order, np.int64)), pa.array(np.full(len(starts), th, np.int64)), pa.array(starts.astype(np.int32)), pa.array(np.isin(least.view(np.int64), crowded))]
-                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ord", "th", "start", "hot"])
+                least = np.lib.stride_tricks.sliding_window_view(window_hashes(hashed, half), window - half + 1)[starts].min(1).view(np.int64)
+                at = np.searchsorted(crowded[:-1], least)
+                parts = np.where(crowded[at] == least, dealt[at], 0).astype(np.int32)
+                columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), own, np.int64)), pa.array(np.full(len(starts), th, np.int64)), pa.array(starts.astype(np.int32)), pa.array(parts)]
+                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ord", "th", "start", "parts"])
 
-    return pending.select("ord", "th", "text", "positions").mapInArrow(run, "h1 long, h2 int, ord long, th long, start int, hot boolean")
+    return pending.select("ord", "th", "text", "positions").mapInArrow(run, "h1 long, h2 int, ord long, th long, start int, parts int")
 
 
 def cut(texts: DataFrame, window: int) -> DataFrame:
@@ -179,9 +184,10 @@ def removals(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> tupl
     repeated = halves.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n")).where("first < last")
     repeated = written(repeated.select("h", "n"), "repeated")
     total = single.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    crowded = repeated.where(F.col("n") > max(HOT_LEAST, HOT_SHARE * total)).select("h")
-    # The few hot half windows meet their rows without moving them; all others by a shuffle.
-    few = halves.join(F.broadcast(crowded.withColumn("hot", F.lit(True))), "h", "left")
+    limit = max(HOT_LEAST, -(-total // HOT_MOST))
+    crowded = repeated.where(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    # The hot half windows, fewer than HOT_MOST, meet their rows without moving them; all others by a shuffle.
+    few = halves.join(F.broadcast(crowded.select("h", F.lit(True).alias("hot"))), "h", "left")
     found = few.where("hot").select("ord", "th", "start").unionByName(few.where("hot is null").drop("hot").join(repeated.select("h"), "h").select("ord", "th", "start"))
     positions = found.groupBy("ord", "th").agg(F.collect_list("start").alias("positions"))
     if whole:
@@ -192,14 +198,14 @@ def removals(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> tupl
     else:
         texts = _rows(docs).select("ord", "th", "text")
         pending = written(texts.join(positions, ["ord", "th"]), "pending")
-    windows = full_windows(pending, window, half, [r["h"] for r in crowded.collect()])
+    windows = full_windows(pending, window, half, crowded.toArrow())
     first = F.min("ord").over(Window.partitionBy("h1", "h2").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    covered = windows.where("not hot").withColumn("first", first).where("ord > first").select("ord", "th", "start")
-    hot = windows.where("hot")
-    firsts = hot.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    covered = windows.where("parts = 0").withColumn("first", first).where("ord > first").select("ord", "th", "start")
+    hot = windows.where("parts > 0")
+    firsts = hot.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.max("parts").alias("parts")).where("first < last")
     # A row of each hot window's first document goes to each of the parts that its rows are dealt to.
-    firsts = firsts.select("h1", "h2", F.col("first").alias("ord"), F.lit(None).cast("long").alias("th"), F.lit(-1).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = hot.select("h1", "h2", "ord", "th", "start", F.pmod(F.xxhash64("ord", "th"), F.lit(SALTS)).cast("int").alias("salt")).unionByName(firsts)
+    firsts = firsts.select("h1", "h2", F.col("first").alias("ord"), F.lit(None).cast("long").alias("th"), F.lit(-1).alias("start"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    dealt = hot.select("h1", "h2", "ord", "th", "start", F.pmod(F.xxhash64("ord", "th", "start"), F.col("parts")).cast("int").alias("salt")).unionByName(firsts)
     first = F.min("ord").over(Window.partitionBy("h1", "h2", "salt").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     covered = covered.unionByName(dealt.withColumn("first", first).where("ord > first and start >= 0").select("ord", "th", "start"))
     starts = covered.groupBy("ord", "th").agg(F.collect_list("start").alias("starts"))
