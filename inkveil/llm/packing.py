@@ -15,6 +15,8 @@ from inkveil.llm.common import text_of, written
 
 #: Items that are packed together by one task; more items make more groups, not larger ones.
 GROUP_ITEMS = 8192
+#: Items equal in all their columns that go to a group together.
+ALIKE = 64
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -65,20 +67,25 @@ def packed(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> D
     A document longer than `capacity` is cut into pieces: full ones, which fill a bin each, and a
     rest that is packed with the others. Null or negative lengths count as 0; every document has
     at least one piece. A null source or cluster conflicts with nothing. Items are dealt to groups
-    at random by row, so that no source or cluster gathers in one task; bins are the group's own.
-    Of items of equal length the one first by doc_id, piece, source and cluster is packed first.
+    by a hash of all their columns, so that no source or cluster gathers in one task, and the
+    packing is the same however the table is split; bins are the group's own. Items that are
+    equal in all columns are counted, and dealt ALIKE at a time. Of items of equal length the one
+    first by doc_id, piece, source and cluster is packed first.
     """
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
     rows = items.select(items["doc_id"].cast("long").alias("doc_id"), length.alias("length"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"))
     pieces = F.greatest(F.ceil(F.col("length") / capacity), F.lit(1)).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     rows = rows.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n_tokens", F.least(F.col("length") - F.col("start"), F.lit(capacity)).cast("int"))
-    rows = written(rows.drop("length"), "items")
-    groups = max(1, -(-rows.count() // group_items))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    item = ["doc_id", "piece", "start", "n_tokens", "source", "cluster"]
+    rows = written(rows.groupBy(*item).agg(F.count("*").alias("times")), "items")
+    groups = max(1, -(-(rows.agg(F.sum("times")).first()[0] or 0) // group_items))
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {ALIKE}"))))
+    rows = rows.withColumn("times", F.least(F.col("times") - F.col("share") * ALIKE, F.lit(ALIKE)).cast("int"))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(*item, "share"), F.lit(groups)))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "source", "cluster"], kind="stable")
+        part = part.loc[part.index.repeat(part["times"])].sort_values(["doc_id", "piece", "source", "cluster"], kind="stable", ignore_index=True)
         sources, clusters = (pd.factorize(part[c])[0].tolist() for c in ("source", "cluster"))
         bins, offsets = best_fit(part["n_tokens"].tolist(), sources, clusters, capacity)
         out = part[["doc_id", "piece", "start", "n_tokens"]].copy()
