@@ -244,7 +244,7 @@ def test_against_sql(spark, folder, name):
 def test_hot_passages_against_brute_force(spark, least, monkeypatch):
     """A passage that most documents share, others that few do, copies and partial overlaps."""
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.02)
+    monkeypatch.setattr(substring_dedup, "HOT_MOST", 50)
     rng = random.Random(12)
     shared = [f"s{k}" for k in range(70)]
     other = [f"o{k}" for k in range(60)]
