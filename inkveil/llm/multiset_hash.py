@@ -1,10 +1,11 @@
 """Operator 4: a homomorphic multiset hash of a text's paragraphs.
 
-Each paragraph (line) has a wide vector: two 64-bit hashes of the whole paragraph as four lanes,
-and 128 lanes that add, over the paragraph's pieces (every PIECE words in a row), 1 for each set bit
-of two hashes of the piece and take away 1 for each other bit. A text's fingerprint is the sum of its
-paragraphs' vectors, each lane modulo 2^32. So the order of paragraphs doesn't matter,
-and adding or removing one adds or subtracts its vector. The signed lanes of two fingerprints estimate how alike the texts' multisets of pieces are.
+Each paragraph (line) has a wide vector: two 64-bit hashes of the whole paragraph as four lanes, two
+counts, and LANES signed lanes, of which each of the paragraph's pieces (every PIECE words in a row)
+adds 1 to one or takes 1 from it, as its hash says. A text's fingerprint is the sum of its
+paragraphs' vectors, each lane modulo 2^32. So the order of paragraphs doesn't matter, and adding or
+removing one adds or subtracts its vector. The signed lanes of two fingerprints estimate how alike
+the texts' multisets of pieces are; the estimate's error falls as 0.7 / sqrt(LANES).
 """
 
 from __future__ import annotations
@@ -12,72 +13,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import shuffle_partitions, text_of, written
+from inkveil.llm.common import shuffle_partitions, text_of
 
 PIECE = 2
-#: Two counters share a long while summing: bits k and k + 32 of a piece's hash, or of its rehash.
-_LANES = [f"l{k}" for k in range(64)]
-_SUMS = ["a0", "a1", "b0", "b1", "paragraphs", "pieces", *_LANES]
-_PAIR = (1 << 32) | 1
+LANES = 2048
+#: Lanes before the signed ones: four sums of hashes, the number of paragraphs, and that of pieces.
+PLAIN = 6
 
 
-def element_hashes(text: str) -> str:
-    """SQL for the hashes of column `text`: paragraphs, the same salted, then pieces."""
-    lines = f"filter(split({text}, '\\n'), x -> x <> '')"
-    #: A line of at most PIECE words is one piece; a longer one has a piece for each start.
-    starts = f"sequence(1, greatest(size(w) - {PIECE - 1}, 1))"
+def _wrapped(x: str) -> str:
+    """A sum modulo 2^32, as a signed integer."""
+    return f"cast(pmod({x} + 2147483648L, 4294967296L) - 2147483648L as int)"
+
+
+def pieces_of(text: str) -> str:
+    """SQL for the pieces of column `text`; a line of at most PIECE words is one, others have one for each start."""
     words = rf"filter(transform(split({text}, '\\n'), x -> regexp_extract_all(x, '\\S+', 0)), w -> size(w) > 0)"
-    pieces = f"flatten(transform({words}, w -> transform({starts}, k -> array_join(slice(w, k, {PIECE}), ' '))))"
-    return f"concat(transform({lines}, x -> xxhash64(x)), transform({lines}, x -> xxhash64('paragraph', x)), transform({pieces}, x -> xxhash64(x)))"
+    starts = f"sequence(1, greatest(size(w) - {PIECE - 1}, 1))"
+    return f"flatten(transform({words}, w -> transform({starts}, k -> array_join(slice(w, k, {PIECE}), ' '))))"
 
 
-def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums every lane over each text's elements: `keys`, then the columns of _SUMS.
+def signed_lanes(pieces: str) -> str:
+    """SQL for the signed lanes of an array of pieces.
 
-    The keys must tell the rows of `texts` (keys, text) apart. No text crosses a shuffle if the
-    rows are already partitioned by some of the keys.
+    A piece's hash gives one of 2 * LANES slots: lane k is slot 2k's count less that of slot 2k + 1.
+    The slots are sorted together with one mark for the start of each, so that the places of the
+    marks give all counts in one pass.
     """
-    rows = texts.select(*keys, F.expr("size(filter(split(text, '\\n'), x -> x <> ''))").alias("lines"), F.expr(element_hashes("text")).alias("hashes"))
-    rows = rows.select(*keys, "lines", F.posexplode_outer("hashes").alias("at", "h"))
-    rows = rows.withColumn("h2", F.xxhash64("h"))
-    first, second, piece = F.col("at") < F.col("lines"), (F.col("at") >= F.col("lines")) & (F.col("at") < 2 * F.col("lines")), F.col("at") >= 2 * F.col("lines")
-    low, high = F.col("h").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("h", 32)
-    zero = F.lit(0).cast("long")
-    sums = [F.sum(F.when(first, low).otherwise(zero)), F.sum(F.when(first, high).otherwise(zero)), F.sum(F.when(second, low).otherwise(zero)), F.sum(F.when(second, high).otherwise(zero))]
-    sums += [F.sum(F.when(first, 1).otherwise(0)), F.sum(F.when(piece, 1).otherwise(0))]
-    sums += [F.sum(F.when(piece, F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_PAIR))).otherwise(zero)) for h in ("h", "h2") for k in range(32)]
-    return rows.groupBy(*keys).agg(*[s.alias(name) for s, name in zip(sums, _SUMS)])
-
-
-def packed(columns: dict[str, str]) -> Column:
-    """The lanes as one array of longs: 4 sums, the two counts, then 128 signed ones, each modulo 2^32."""
-    c = lambda name: F.col(columns.get(name, name))
-    out = [F.pmod(c(x), F.lit(1 << 32)) for x in ("a0", "a1", "b0", "b1", "paragraphs", "pieces")]
-    counts = [c(x).bitwiseAND(F.lit((1 << 32) - 1)) for x in _LANES] + [F.shiftrightunsigned(c(x), 32) for x in _LANES]
-    out += [F.pmod(2 * n - c("pieces"), F.lit(1 << 32)) for n in counts]
-    return F.array(*out)
+    slots = f"transform({pieces}, x -> cast(pmod(xxhash64(x), {2 * LANES}) as int) * 2 + 1)"
+    marked = f"sort_array(concat({slots}, sequence(0, {4 * LANES}, 2)))"
+    places = f"filter(transform({marked}, (v, i) -> if(v % 2 = 0, i, -1)), i -> i >= 0)"
+    return f"transform(array({places}), q -> transform(sequence(0, {LANES - 1}), j -> 2 * q[2 * j + 1] - q[2 * j] - q[2 * j + 2]))[0]"
+
+
+def lanes_of(text: str) -> Column:
+    """The lanes of column `text`, an array of PLAIN + LANES integers."""
+    lines = f"filter(split({text}, '\\n'), x -> x <> '')"
+    total = lambda own: _wrapped(f"aggregate(z.l, 0L, (acc, x) -> acc + {own})")
+    sums = [total(half) for h in ("xxhash64(x)", "xxhash64('paragraph', x)") for half in (f"({h} & 4294967295L)", f"shiftrightunsigned({h}, 32)")]
+    plain = f"array({', '.join(sums)}, {_wrapped('size(z.l)')}, {_wrapped('size(z.p)')})"
+    return F.expr(f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> concat({plain}, {signed_lanes('z.p')}))[0]")
 
 
 def as_text(lanes: str) -> Column:
-    """The 134 lanes as 8 hex digits each: equal just where all lanes are."""
-    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    """The lanes as decimal numbers, joined by commas: equal just where all lanes are."""
+    return F.array_join(F.col(lanes).cast("array<string>"), ",")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Twice what the texts' multisets of pieces share by what they hold, as estimated: the product
-    of the signed lanes by the mean of their squares; 0 where that is negative."""
-    signed = lambda x: f"cast(if({x} >= 2147483648, {x} - 4294967296, {x}) as double)"
-    both = f"arrays_zip(slice({a}, 7, 128), slice({b}, 7, 128))"
-    pairs = f"transform({both}, z -> named_struct('x', {signed("z['0']")}, 'y', {signed("z['1']")}))"
-    sums = f"aggregate({pairs}, named_struct('p', 0D, 'q', 0D), (acc, z) -> named_struct('p', acc.p + 2 * z.x * z.y, 'q', acc.q + z.x * z.x + z.y * z.y), acc -> if(acc.q > 0, greatest(0D, acc.p / acc.q), 0D))"
-    return F.expr(f"case when {a} = {b} then 1D else least(1D, {sums}) end")
+    """Twice the inner product of the texts' counts of pieces by the sum of the counts' squares, as
+    the signed lanes estimate it; 0 where that is negative, and 1 for equal lanes."""
+    own = lambda x: f"slice({x}, {PLAIN + 1}, {LANES})"
+    product = lambda x, y: f"aggregate(zip_with({own(x)}, {own(y)}, (s, t) -> cast(s as double) * t), 0D, (acc, s) -> acc + s)"
+    both = f"({product(a, a)} + {product(b, b)})"
+    return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b)} / nullif({both}, 0D), 0D))) end")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows with `block` (ranges of doc_id) and `rn` (place in the block), and `after`: the text of
-    the next row in ascending doc_id order, the first row's after the last.
+    """doc_id, text and `after` of every row: the text of the next row in ascending doc_id order, the
+    first row's after the last.
 
-    Rows cross one shuffle, by block. Of each block only the first row goes to another block.
+    Rows cross one shuffle, by block (a range of doc_id). Of each block only the first row goes to another block.
     """
     spark = docs.sparkSession
     text = text_of(docs)
@@ -99,24 +95,24 @@ def in_order(docs: DataFrame) -> DataFrame:
     one = Window.orderBy("block")
     #: One row for each block.
     edges = texts.select("block", F.coalesce(F.lead("text").over(one), F.first("text").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("edge"))
-    placed = rows.withColumn("rn", F.row_number().over(w)).withColumn("after", F.lead("text").over(w))
-    return placed.join(edges, "block").withColumn("after", F.coalesce("after", "edge")).drop("edge", "th")
+    placed = rows.withColumn("after", F.lead("text").over(w))
+    return placed.join(edges, "block").select("doc_id", "text", F.coalesce("after", "edge").alias("after"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every row; null texts count as empty."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return vectors(rows, ["row", "doc_id"]).withColumn("lanes", packed({})).select("doc_id", "lanes", as_text("lanes").alias("fingerprint"))
+    """doc_id, lanes and fingerprint of every row; null texts count as empty. No row moves."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return rows.select("doc_id", lanes_of("text").alias("lanes")).withColumn("fingerprint", as_text("lanes"))
 
 
 def inserted(lanes: str, more: str) -> Column:
     """The lanes after adding a paragraph's (or a text's) own lanes."""
-    return F.expr(f"transform({lanes}, (x, k) -> pmod(x + {more}[k], 4294967296L))")
+    return F.expr(f"zip_with({lanes}, {more}, (x, y) -> {_wrapped('cast(x as bigint) + y')})")
 
 
 def deleted(lanes: str, less: str) -> Column:
     """The lanes after taking a paragraph's (or a text's) own lanes away."""
-    return F.expr(f"transform({lanes}, (x, k) -> pmod(x - {less}[k], 4294967296L))")
+    return F.expr(f"zip_with({lanes}, {less}, (x, y) -> {_wrapped('cast(x as bigint) - y')})")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -125,21 +121,12 @@ def compared(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones (or
     all) of the next document. Null texts count as empty. Rows are in ascending doc_id order, null
     first; rows that repeat a doc_id are in the order of their texts' hashes, each a document. A
-    table of one row has itself as the next document.
+    table of one row has itself as the next document. All but the order is made row by row: the next
+    document's lanes are made anew from its text, so that no lanes are sorted or shuffled.
     """
     rows = in_order(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("after", F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    texts = rows.select("block", "rn", "doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
-    texts = texts.select("block", "rn", "doc_id", "n_chars", "edited_sha256", "t.which", "t.text")
-    keys = ["block", "rn", "doc_id", "n_chars", "edited_sha256"]
-    sums = vectors(texts, [*keys, "which"]).select(*keys, "which", packed({}).alias("lanes"))
-    pair = sums.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("lanes"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("lanes"))).alias("changed"))
-    pair = written(pair, "vectors")
-    one = Window.orderBy("block")
-    first = pair.where("rn = 1").select("block", "own")
-    edges = first.select("block", F.coalesce(F.lead("own").over(one), F.first("own").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("edge"))
-    following = pair.withColumn("after", F.lead("own").over(Window.partitionBy("block").orderBy("rn"))).join(edges, "block").withColumn("after", F.coalesce("after", "edge"))
-    return following.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), likeness("own", "changed").alias("near_edited"), likeness("own", "after").alias("near_next"))
+    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("after", F.lit(1), half)))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[lanes_of(c).alias(name) for c, name in (("text", "own"), ("edited", "changed"), ("after", "next"))])
+    near = [likeness("own", "changed").alias("near_edited"), likeness("own", "next").alias("near_next")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), *near)
