@@ -21,8 +21,8 @@ BINS = 512
 SLACK = 0.002
 #: A group of equal texts above this share of a shard is dealt out in parts; others stay whole.
 PART = 0.25
-#: Ordering rows within a shard takes this many tasks.
-SLOT_BUCKETS = 32
+#: Rows of a shard that are numbered together; more rows make more buckets, not larger ones.
+SLOT_ROWS = 250_000
 DIMENSIONS = ("d_source", "d_lang", "d_chars", "d_hash")
 _SPAN = float(1 << 52)
 
@@ -61,19 +61,15 @@ def units(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, float]:
     return split.drop("parts"), written(shaped, "units"), target
 
 
-def _key(dims: dict[int, str]):
-    """The coordinate along which each node is split; equal values are told apart by the hash."""
-    out = None
-    for node, dim in sorted(dims.items()):
-        exact = F.col("d_hash") if dim == "d_hash" else F.col(dim) + F.col("d_hash") * 1e-7
-        out = F.when(F.col("node") == node, exact) if out is None else out.when(F.col("node") == node, exact)
-    return out
+def _with(state: DataFrame, nodes: list[tuple], columns: list[str], how: str = "inner") -> DataFrame:
+    """Rows with their node's constants, of which there is at most one row for each shard."""
+    return state.join(F.broadcast(state.sparkSession.createDataFrame(nodes, ", ".join(["node int", *columns]))), "node", how)
 
 
-def _by_node(values: dict[int, float], default: float = 0.0):
-    """A constant for each node, looked up in a literal map of at most one entry for each shard."""
-    pairs = [x for node, v in sorted(values.items()) for x in (F.lit(node), F.lit(float(v)))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("node")), F.lit(default)) if pairs else F.lit(default)
+def _key():
+    """The coordinate along which a row's node is split (`dim`); equal values are told apart by the hash."""
+    exact = [F.col(d) if d == "d_hash" else F.col(d) + F.col("d_hash") * 1e-7 for d in DIMENSIONS]
+    return F.element_at(F.array(*exact), F.col("dim"))
 
 
 def build_tree(nodes: DataFrame, shards: int, target: float) -> DataFrame:
@@ -83,7 +79,7 @@ def build_tree(nodes: DataFrame, shards: int, target: float) -> DataFrame:
     open_nodes = {0: (0, shards)}
     while any(m > 1 for _, m in open_nodes.values()):
         wide = {n: v for n, v in open_nodes.items() if v[1] > 1}
-        busy = state.where(F.col("node").isin(list(wide)))
+        busy = _with(state, [(n,) for n in wide], []).select(state.columns)
         spread = {r["node"]: r for r in busy.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[F.min(d).alias(f"{d}_0") for d in DIMENSIONS], *[F.max(d).alias(f"{d}_1") for d in DIMENSIONS]).collect()}
         dims, low, high, goal = {}, {}, {}, {}
         for n in wide:
@@ -98,10 +94,9 @@ def build_tree(nodes: DataFrame, shards: int, target: float) -> DataFrame:
         cuts, below = {}, dict.fromkeys(dims, 0.0)
         while len(cuts) < len(dims):
             left = [n for n in dims if n not in cuts]
-            keyed = busy.where(F.col("node").isin(left)).withColumn("key", _key({n: dims[n] for n in left}))
-            width = {n: high[n] - low[n] for n in left}
-            start, step = _by_node({n: low[n] for n in left}), _by_node({n: max(width[n] / BINS, 1e-300) for n in left}, 1.0)
-            inside = keyed.withColumn("place", (F.col("key") - start) / step).where((F.col("place") >= 0) & (F.col("place") < BINS))
+            bins = [(n, DIMENSIONS.index(dims[n]) + 1, float(low[n]), float(max((high[n] - low[n]) / BINS, 1e-300))) for n in left]
+            keyed = _with(state, bins, ["dim int", "low double", "step double"]).withColumn("key", _key())
+            inside = keyed.withColumn("place", (F.col("key") - F.col("low")) / F.col("step")).where((F.col("place") >= 0) & (F.col("place") < BINS))
             inside = inside.withColumn("bin", F.floor("place").cast("int"))
             totals: dict[int, dict[int, tuple]] = {n: {} for n in left}
             for r in inside.groupBy("node", "bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).collect():
@@ -130,11 +125,10 @@ def build_tree(nodes: DataFrame, shards: int, target: float) -> DataFrame:
             grown[a], grown[b] = (first, m // 2), (first + m // 2, m - m // 2)
         open_nodes = grown
         if ids:
-            right = F.col("key") >= _by_node(cuts)
-            moved = state.withColumn("key", _key(dims)).withColumn("node", F.when(F.col("node").isin(list(ids)), F.col("node") * 2 + 1 + right.cast("int")).otherwise(F.col("node")))
-            state = written(moved.drop("key"), "nodes")
-    shard = F.element_at(F.create_map(*[x for n, (first, _) in sorted(open_nodes.items()) for x in (F.lit(n), F.lit(first))]), F.col("node"))
-    return state.select("g1", "g2", "part", shard.cast("int").alias("shard"))
+            ways = _with(state, [(n, DIMENSIONS.index(dims[n]) + 1, float(cuts[n])) for n in ids], ["dim int", "cut double"], "left")
+            lower = F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + 1 + (_key() >= F.col("cut")).cast("int"))
+            state = written(ways.withColumn("node", lower).select(state.columns), "nodes")
+    return _with(state, [(n, first) for n, (first, _) in open_nodes.items()], ["shard int"]).select("g1", "g2", "part", "shard")
 
 
 def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -148,13 +142,15 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows, parts, target = units(sized(docs), shards)
     where = build_tree(parts, shards, target)
     placed = rows.join(where, ["g1", "g2", "part"]).select("doc_id", "size", "text_crc32", "shard")
-    placed = written(placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_BUCKETS)).cast("int")), "placed")
+    placed = written(placed, "placed")
+    buckets = max(1, -(-placed.count() // (shards * SLOT_ROWS)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     #: One row for each shard and bucket.
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     bases = counts.select("shard", "bucket", before.alias("base"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")) - 1
-    out = placed.withColumn("number", number).join(F.broadcast(bases), ["shard", "bucket"])
+    out = placed.withColumn("number", number).join(bases, ["shard", "bucket"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
