@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ RULES = [("com/en/", False), ("example.com/en/7", True), ("net/de/", True), ("ex
 #: The small labelled table that the regression is trained on by default, made by rule: a host joins
 #: two words of its side, in both orders, with and without a hyphen, and comes with paths that both
 #: sides share, so that these speak for neither. The words are general ones for unwanted and for
-#: ordinary sites; none of the hosts is taken from a table of pages.
+#: ordinary sites, and names of drawn syllables; no host and no letter group is taken from a table of pages.
 _UNWANTED = "cheap pill casino bet spam link farm adult xxx ads track click popup loan payday prize winner lottery replica warez crack bonus slots viagra".split()
 _ORDINARY = "weather news garden library museum school recipe travel history music hospital city science theatre market mountain radio book family forum".split()
-_ENDINGS = "er ing tion and the on ment est ly en al is in or ed".split()
+_CONSONANTS, _VOWELS = "bcdfghklmnprstvz", "aeiou"
 _PATHS = ["/en/{}", "/fr/{}.html", "/"]
 
 
@@ -26,10 +27,10 @@ def _hosts(words: list[str]) -> list[str]:
     return [f"{words[k]}{'-' if (k + step) % 2 else ''}{words[(k + step) % n]}" for k in range(n) for step in (1, 3, 5, 7, 9, 11)]
 
 
-def _plain_names() -> list[str]:
-    """Names without meaning, of common letter groups: most hosts are of no kind that words tell."""
-    n = len(_ENDINGS)
-    return [_ENDINGS[k] + _ENDINGS[(k * 7 + step) % n] + _ENDINGS[(k + 2 * step) % n] + "o" for k in range(n) for step in range(1, 10)]
+def _plain_names(n: int = 200) -> list[str]:
+    """Names without meaning, of two to four syllables: most hosts are of no kind that words tell."""
+    letter = lambda letters, *key: letters[zlib.crc32(repr(key).encode()) % len(letters)]
+    return ["".join(letter(_CONSONANTS, k, i, 0) + letter(_VOWELS, k, i, 1) for i in range(2 + k % 3)) for k in range(n)]
 
 
 def labelled_table() -> list[tuple[str, int]]:

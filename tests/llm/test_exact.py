@@ -411,6 +411,20 @@ def test_url_model_on_hosts_left_out_of_training(spark):
     assert len(right) > 100 and np.mean(right) >= 0.9
 
 
+def test_url_model_on_words_left_out_of_training(spark):
+    """Words that training never saw: ordinary hosts stay, unwanted ones are mostly not known."""
+    held = lambda w: zlib.crc32(w.encode()) % 4 == 0
+    sides = [(url_filter._UNWANTED, 1), (url_filter._ORDINARY, 0)]
+    tables = {o: [(f"https://{h}.test{p.format(7)}", y) for ws, y in sides for h in url_filter._hosts([w for w in ws if held(w) == o]) for p in url_filter._PATHS] for o in (False, True)}
+    plain = [(f"https://{h}.test{p.format(7)}", 0) for h in url_filter._plain_names() for p in url_filter._PATHS]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(tables[True])], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judged(pages, spark.createDataFrame(tables[False] + plain, "url string, label int"), []).collect()}
+    known = [got[k] for k, (_, y) in enumerate(tables[True]) if y]
+    allowed = [not got[k] for k, (_, y) in enumerate(tables[True]) if not y]
+    print("words left out: blocked", sum(known), "of", len(known), "unwanted, allowed", sum(allowed), "of", len(allowed), "ordinary")
+    assert min(len(known), len(allowed)) > 40 and np.mean(allowed) >= 0.95
+
+
 def test_labelled_hosts_are_not_those_of_the_pages(spark, folder):
     own = {u.split("/")[2].removeprefix("www.").rsplit(".", 1)[0] for u, _ in url_filter.labelled_table()}
     hosts = {r["url"].split("/")[2] for r in spark.read.parquet(f"{folder}/pages.parquet").select("url").collect() if r["url"] and "://" in r["url"]}
