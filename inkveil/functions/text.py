@@ -63,10 +63,24 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return let(values, of)
 
 
-def spans_from(whole: Column, values: Column, gaps: Column) -> Column:
-    """(s, e, value) of matches, at least one, each of whose values ends its match, from the gaps before them."""
-    lengths = F.zip_with(whole, F.slice(gaps, F.lit(1), F.size(whole)), lambda m, g: F.length(m) + F.length(g))
-    return F.zip_with(values, running_sums(lengths), lambda v, e: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("value")))
+#: Stands around matches while a text is cut at them.
+_MARK = "\u0000"
+
+
+def cut_at(text: Column, regex: Column, group: int = 0) -> Column:
+    """[gap, match, value, gap, match, value, ..., gap] of a text and a pattern; value is the match, or the group of it
+    that ends it. One pass over the text makes them all, but for a text that holds the mark itself."""
+    marked = F.split(F.regexp_replace(text, regex, F.lit(f"{_MARK}$0{_MARK}${group}{_MARK}")), _MARK, -1)
+    m, v, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(group)), F.split(text, regex, -1)
+    single = F.concat(F.flatten(F.transform(m, lambda x, k: F.array(F.get(gaps, k), x, F.get(v, k)))), F.array(F.element_at(gaps, -1)))
+    return F.when(F.contains(text, F.lit(_MARK)), single).otherwise(marked)
+
+
+def spans_from(parts: Column) -> Column:
+    """(s, e, value) of what cut_at() gave, with one match at least."""
+    own = F.sequence(F.lit(0), F.size(parts) - 2, F.lit(3))
+    ends = running_sums(F.transform(own, lambda k: F.length(F.get(parts, k)) + F.length(F.get(parts, k + 1))))
+    return F.zip_with(own, ends, lambda k, e: let(F.get(parts, k + 2), lambda v: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("value"))))
 
 
 def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
@@ -74,15 +88,8 @@ def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
 
     `group` 1 gives the captured value instead, which must end the match.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
-    value = F.regexp_extract_all(text, regex, F.lit(1)) if group else F.lit(None)
-
-    def spans(hits: Column) -> Column:
-        found = spans_from(hits["m"], hits["v"] if group else hits["m"], F.split(text, regex, -1))
-        return F.when(F.size(hits["m"]) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    return let(F.struct(whole.alias("m"), value.alias("v")), spans)
+    parts = cut_at(text, F.lit(pattern) if isinstance(pattern, str) else pattern, group)
+    return let(parts, lambda x: F.when(F.size(x) > 1, spans_from(x)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def quoted(words: Column) -> Column:

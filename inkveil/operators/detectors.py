@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import fixed
 from inkveil.functions.fixed import spelled
 from inkveil.functions.skim import moved, skimmed
-from inkveil.functions.text import let, occurrences, spans_from, trimmed
+from inkveil.functions.text import cut_at, let, occurrences, spans_from, trimmed
 from inkveil.sources.scratch import written
 
 CANDIDATE = "struct<rank:int,pat:int,type:string,s:int,e:int,value:string>"
@@ -65,7 +65,8 @@ def is_ssn(value: Column) -> Column:
 @dataclass(frozen=True)
 class Pattern:
     """One pattern of a detector: `type` None claims its span and yields nothing; `group` 1 takes
-    the captured value; `birth` asks for a birth word within the 40 characters before."""
+    the captured value; `birth` asks for a birth word within the 40 characters before. Every match starts with
+    `lead`, which is cheap to try before all look-arounds, and holds the text `need`."""
 
     rank: int
     pat: int
@@ -74,31 +75,40 @@ class Pattern:
     valid: Callable[[Column], Column] = _any
     group: int = 0
     birth: bool = False
+    lead: str = ""
+    need: str = ""
 
+    @property
+    def java(self) -> str:
+        return (f"(?={self.lead})" if self.lead else "") + spelled(self.regex)
 
-def _labelled(rank: int, pat: int, kind: str, labels: str) -> Pattern:
-    return Pattern(rank, pat, kind, fixed.LABELLED % (labels, fixed.ID_VALUE), group=1)
 
+def _labelled(rank: int, pat: int, kind: str, labels: str, lead: str) -> Pattern:
+    return Pattern(rank, pat, kind, fixed.LABELLED % (labels, fixed.ID_VALUE), group=1, lead=lead)
+
+
+#: A digit, or the first two letters of a month.
+_DATE_LEAD = r"\d|[adfjmnosADFJMNOS][aceopuACEOPU]"
 
 DETECTORS: list[Pattern] = [
-    Pattern(1, 1, "Email", fixed.EMAIL, is_email),
-    Pattern(2, 1, "IP Address", fixed.IPV4, is_ipv4),
-    Pattern(2, 2, "IP Address", fixed.IPV6, is_ipv6),
-    Pattern(3, 1, "Credit Card", fixed.CARD, is_card),
-    Pattern(4, 1, "IBAN", fixed.IBAN, is_iban),
-    Pattern(5, 1, "SSN", fixed.SSN, is_ssn),
-    Pattern(6, 1, "Date of Birth", fixed.DATE, birth=True),
-    Pattern(6, 2, "Date of Birth", fixed.BIRTH_YEAR, group=1),
-    _labelled(7, 1, "Passport", fixed.PASSPORT_LABELS),
-    _labelled(8, 1, "Visa", fixed.VISA_LABELS),
-    _labelled(9, 1, "Case Number", fixed.CASE_LABELS),
-    Pattern(9, 2, "Case Number", fixed.COURT_CASE),
-    Pattern(9, 3, "Case Number", fixed.AGENCY_CASE),
-    _labelled(10, 1, "License Plate", fixed.PLATE_LABELS),
-    _labelled(11, 1, "ID Number", fixed.ID_LABELS),
-    Pattern(12, 1, "Person", fixed.TITLED, group=1),
-    Pattern(13, 1, None, fixed.DATE),
-    Pattern(14, 1, "Phone", r"(?<![A-Za-z0-9_+(.-])(?:" + fixed.PHONE + ")"),
+    Pattern(1, 1, "Email", fixed.EMAIL, is_email, need="@"),
+    Pattern(2, 1, "IP Address", fixed.IPV4, is_ipv4, lead=r"\d", need="."),
+    Pattern(2, 2, "IP Address", fixed.IPV6, is_ipv6, need=":"),
+    Pattern(3, 1, "Credit Card", fixed.CARD, is_card, lead=r"\d"),
+    Pattern(4, 1, "IBAN", fixed.IBAN, is_iban, lead=r"[A-Z]{2}\d"),
+    Pattern(5, 1, "SSN", fixed.SSN, is_ssn, lead=r"\d{3}"),
+    Pattern(6, 1, "Date of Birth", fixed.DATE, birth=True, lead=_DATE_LEAD),
+    Pattern(6, 2, "Date of Birth", fixed.BIRTH_YEAR, group=1, lead="[ydbYDB]"),
+    _labelled(7, 1, "Passport", fixed.PASSPORT_LABELS, "[pP][aA]"),
+    _labelled(8, 1, "Visa", fixed.VISA_LABELS, "[vV][iI]"),
+    _labelled(9, 1, "Case Number", fixed.CASE_LABELS, "[cfdmaCFDMA]"),
+    Pattern(9, 2, "Case Number", fixed.COURT_CASE, lead=r"\d", need=":"),
+    Pattern(9, 3, "Case Number", fixed.AGENCY_CASE, lead=r"\d", need="-"),
+    _labelled(10, 1, "License Plate", fixed.PLATE_LABELS, "[lpLP][ilIL]"),
+    _labelled(11, 1, "ID Number", fixed.ID_LABELS, "[sbidlSBIDL]"),
+    Pattern(12, 1, "Person", fixed.TITLED, group=1, lead="[ACDIJMOS]"),
+    Pattern(13, 1, None, fixed.DATE, lead=_DATE_LEAD),
+    Pattern(14, 1, "Phone", r"(?<![A-Za-z0-9_+(.-])(?:" + fixed.PHONE + ")", lead="[+(1-9]"),
 ]
 
 
@@ -110,20 +120,22 @@ def has_birth_context(text: Column, at: Column) -> Column:
 
 #: With more patterns than that, a text is skimmed before they search it; that takes as long as two.
 SKIM_FROM = 3
+#: A text of so many characters or less is searched as it is; to skim it takes longer.
+SKIM_CHARS = 1024
 
 
 def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS, skim: Column | None = None) -> Column:
     """An array of all valid matches for each pattern, in order of position; found in skimmed(text) if that is
-    given. Each pattern only yields its matches and gaps; all that follows is said once for all patterns."""
+    given. Each pattern only cuts the text at its matches; all that follows is said once for all patterns."""
     if not patterns:
         return F.array().cast(f"array<array<{CANDIDATE}>>")
     short = text if skim is None else skim["short"]
 
     def hits(p: Pattern) -> Column:
-        regex = spelled(p.regex)
-        captured = F.regexp_extract_all(short, F.lit(regex), F.lit(1)) if p.group else F.lit(None).cast("array<string>")
-        found = {"rank": F.lit(p.rank), "pat": F.lit(p.pat), "type": F.lit(p.type).cast("string"), "m": F.regexp_extract_all(short, F.lit(regex), F.lit(0)), "v": captured, "g": F.split(short, regex, -1)}
-        return F.struct(*[c.alias(k) for k, c in found.items()])
+        parts = cut_at(short, F.lit(p.java), p.group)
+        if p.need:
+            parts = F.when(F.contains(short, F.lit(p.need)), parts).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(p.rank).alias("rank"), F.lit(p.pat).alias("pat"), F.lit(p.type).cast("string").alias("type"), parts.alias("parts"))
 
     def fits(x: Column) -> Column:
         out = None
@@ -139,10 +151,10 @@ def candidates_of(text: Column, patterns: list[Pattern] = DETECTORS, skim: Colum
         def named(x: Column) -> Column:
             return F.struct(h["rank"].alias("rank"), h["pat"].alias("pat"), h["type"].alias("type"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"))
 
-        spans = spans_from(h["m"], F.coalesce(h["v"], h["m"]), h["g"])
+        spans = spans_from(h["parts"])
         if skim is not None:
             spans = F.transform(spans, lambda x: moved(skim["cuts"], x))
-        return F.when(F.size(h["m"]) > 0, F.filter(F.transform(spans, named), fits)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+        return F.when(F.size(h["parts"]) > 1, F.filter(F.transform(spans, named), fits)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
 
     return F.transform(F.array(*map(hits, patterns)), placed).cast(f"array<array<{CANDIDATE}>>")
 
@@ -152,7 +164,9 @@ def searched(text: Column, patterns: list[Pattern], use: Callable[[Column], Colu
     if len(patterns) <= SKIM_FROM:
         return use(candidates_of(text, patterns))
     none = F.array().cast(f"array<{CANDIDATE}>")
-    return let(skimmed(text), lambda k: F.when(F.length(k["short"]) < 3, none).otherwise(use(candidates_of(text, patterns, k))))
+    cuts = F.array().cast("array<struct<at:int,gone:int>>")
+    skim = F.when(F.length(text) <= SKIM_CHARS, F.struct(text.alias("short"), cuts.alias("cuts"))).otherwise(skimmed(text))
+    return let(skim, lambda k: F.when(F.length(k["short"]) < 3, none).otherwise(use(candidates_of(text, patterns, k))))
 
 
 def overlaps(x: Column, others: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
-from inkveil.functions.text import appears, occurrences, quoted, trimmed, words_of
+from inkveil.functions.text import appears, let, occurrences, quoted, trimmed, words_of
 from inkveil.operators.detectors import has_birth_context, is_claimed
 
 _W = r"[\p{L}\p{N}]"
@@ -74,19 +74,26 @@ def snap_to_words(word: Column, text: Column) -> Column:
 
 def clean_person(value: Column) -> Column:
     """Of several lines the longest by words, if it has more than one; no small words at the end."""
-    lines = F.filter(F.transform(F.split(value, "\n", -1), trimmed), lambda x: x != "")
     none = F.lit("")
-    longest = F.aggregate(lines, none, lambda best, x: F.when((best == "") | (F.size(words_of(x)) > F.size(words_of(best))), x).otherwise(best))
-    words = F.when(F.size(words_of(longest)) > 1, words_of(longest)).otherwise(words_of(F.array_join(lines, " ")))
-    big = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: (k == 1) | ~F.regexp_like(F.coalesce(F.try_element_at(words, k), F.lit("")), F.lit(r"^\p{Ll}")))
-    return F.array_join(F.slice(words, F.lit(1), F.array_max(big)), " ")
+    better = lambda best, x: F.when((best == "") | (F.size(words_of(x)) > F.size(words_of(best))), x).otherwise(best)
+    # The index of a word after which only small words follow.
+    end = lambda words: F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: (k == 1) | ~F.regexp_like(F.coalesce(F.try_element_at(words, k), none), F.lit(r"^\p{Ll}"))))
+    chosen = lambda lines: let(words_of(F.aggregate(lines, none, better)), lambda longest: F.when(F.size(longest) > 1, longest).otherwise(words_of(F.array_join(lines, " "))))
+    lines = F.filter(F.transform(F.split(value, "\n", -1), trimmed), lambda x: x != "")
+    return let(let(lines, chosen), lambda words: F.array_join(F.slice(words, F.lit(1), end(words)), " "))
+
+
+def _texts(pages: DataFrame) -> DataFrame:
+    """The texts of pages, to be merged: texts that are put together are far larger than the optimizer takes them for,
+    and must not be broadcast."""
+    return pages.select("doc_id", "page", "text").hint("merge")
 
 
 def _with_claims(rows: DataFrame, pages: DataFrame, claims: DataFrame) -> DataFrame:
     """rows of pages with the page's text and claims; a page that isn't in `claims` has none."""
     none = F.array().cast("array<struct<s:int,e:int>>")
     own = claims.select("doc_id", "page", F.transform("claims", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))).alias("claims"))
-    rows = rows.join(own, ["doc_id", "page"], "left").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    rows = rows.join(own.hint("merge"), ["doc_id", "page"], "left").join(_texts(pages), ["doc_id", "page"])
     return rows.withColumn("claims", F.coalesce("claims", none))
 
 
@@ -100,8 +107,9 @@ def filter_entities(found: DataFrame, pages: DataFrame, claims: DataFrame, overr
     rows = rows.withColumn("type", map_label(F.col("tag"))).where(F.col("score") >= min_score(F.col("type"), overrides))
     rows = _with_claims(rows, pages, claims)
     text, value = F.col("text"), F.col("value")
-    rows = rows.withColumn("value", snap_to_words(F.regexp_replace("word", "^##", ""), text))
-    rows = rows.withColumn("value", F.when(F.col("type") == "Person", clean_person(value)).otherwise(value))
+    named = let(snap_to_words(F.regexp_replace("word", "^##", ""), text), lambda v: F.when(F.col("type") == "Person", clean_person(v)).otherwise(v))
+    # An outer explode of one value: else the optimizer puts what makes it into each filter that follows.
+    rows = rows.select("*", F.explode_outer(F.array(named)).alias("value"))
     rows = rows.where(F.length("value") >= 3)
     rows = rows.where(~(F.col("type").isin(fixed.NAMED_TYPES) & F.regexp_like(value, F.lit(r"^\p{Ll}"))) & ~F.regexp_like(value, F.lit("^[A-Z]{2,4}$")))
     rows = rows.where((F.col("type") != "Date") | is_birth_date(value, text))
@@ -167,7 +175,7 @@ def dedupe_reply(entities: DataFrame) -> DataFrame:
 def with_reasons(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """entities plus `reason`: why a chat model's entity is rejected, null if it stands."""
     orgs = entities.where("type = 'Organization'").groupBy("doc_id", "page").agg(F.collect_set(F.lower("value")).alias("orgs"))
-    rows = entities.join(orgs, ["doc_id", "page"], "left").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    rows = entities.join(orgs, ["doc_id", "page"], "left").join(_texts(pages), ["doc_id", "page"])
     rows = rows.withColumn("orgs", F.coalesce("orgs", F.array().cast("array<string>")))
     too_long, absent, no_letters, small, long_person, short_person, digits, part = fixed.REASONS
     value, words = F.col("value"), F.size(words_of(F.col("value")))
@@ -198,7 +206,7 @@ def instruction_hits(replies: DataFrame, pages: DataFrame) -> DataFrame:
     words at most, that stand in the page; blank and over-long pages are passed over."""
     rows = replies.select("doc_id", "page", F.posexplode(F.from_json("content", "array<variant>")).alias("pos", "v"))
     rows = rows.where(F.schema_of_variant("v") == "STRING").select("doc_id", "page", "pos", trimmed(F.col("v").cast("string")).alias("value"))
-    own = pages.where((F.trim("text") != "") & (F.length("text") <= fixed.MAX_PAGE_CHARS)).select("doc_id", "page", "text")
+    own = _texts(pages.where((F.trim("text") != "") & (F.length("text") <= fixed.MAX_PAGE_CHARS)))
     rows = rows.where(F.length("value").between(2, fixed.MAX_INSTRUCTION_CHARS) & (F.size(words_of(F.col("value"))) <= fixed.MAX_INSTRUCTION_WORDS))
     return rows.join(own, ["doc_id", "page"]).where(appears(F.col("value"), F.col("text"))).drop("text")
 
