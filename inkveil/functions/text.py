@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.fixed import CAPS_RUN, CAPS_WORD, CHUNK_WORDS, NOISE, OVERLAP_WORDS, WS, spelled
@@ -18,6 +18,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows plus `name`, which is made once. Of a plain column the optimizer puts what makes it into each filter that
+    follows; it doesn't for an outer explode of one value."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, f"^{_S}+|{_S}+$", "")
 
@@ -106,8 +112,14 @@ def occurrences(value: Column, text: Column) -> Column:
 
 
 def word_pattern(value: Column) -> Column:
-    """A pattern that finds the value as a whole, whatever its case and white space."""
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(quoted(words_of(value)), f"{_S}+"), F.lit(r"(?![\p{L}\p{N}_])"))
+    """A pattern that finds the value as a whole, whatever its case and white space. Its first word is tried before the
+    look-behind, which is dear."""
+
+    def of(words: Column) -> Column:
+        first = F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(""))
+        return F.concat(F.lit("(?iu)(?="), first, F.lit(r")(?<![\p{L}\p{N}_])"), F.array_join(words, f"{_S}+"), F.lit(r"(?![\p{L}\p{N}_])"))
+
+    return let(quoted(words_of(value)), of)
 
 
 def appears(value: Column, text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import find_spans, let, running_sums, word_pattern, words_of
+from inkveil.functions.text import find_spans, let, once, running_sums, word_pattern, words_of
 from inkveil.sources.scratch import written
 
 _RUN = r"[\p{L}\p{N}_]+"
@@ -39,7 +39,7 @@ def locate(values: DataFrame, pages: DataFrame, by_word: bool = False) -> DataFr
     texts = pages.select("doc_id", "page", "text")
     if not by_word:
         both = own.join(texts, "doc_id").where(F.contains(F.lower("text"), F.col("first")))
-        found = both.withColumn("spans", find_spans(F.col("text"), word_pattern(F.col("value"))))
+        found = once(both, "spans", find_spans(F.col("text"), word_pattern(F.col("value"))))
     else:
         own = written(own, "values")
         odd = F.contains("value", F.lit(_NEXT)) | ~F.regexp_like("value", F.lit(_RUN))
@@ -134,7 +134,7 @@ def located(phrases: DataFrame, index: DataFrame) -> DataFrame:
     # Of matches that overlap the first one stands, as in a search from left to right.
     apart = lambda acc, x: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) > x["s"]), acc).otherwise(F.concat(acc, F.array(x)))
     spans = F.when(n == 1, found).otherwise(F.aggregate(found, F.array().cast(_SPANS), apart))
-    return rows.select("doc_id", "value", "page", spans.alias("spans"))
+    return once(rows, "spans", spans).select("doc_id", "value", "page", "spans")
 
 
 def match_summary(matches: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
-from inkveil.functions.text import appears, let, occurrences, quoted, trimmed, words_of
+from inkveil.functions.text import appears, let, occurrences, once, quoted, trimmed, words_of
 from inkveil.operators.detectors import has_birth_context, is_claimed
 
 _W = r"[\p{L}\p{N}]"
@@ -108,8 +108,7 @@ def filter_entities(found: DataFrame, pages: DataFrame, claims: DataFrame, overr
     rows = _with_claims(rows, pages, claims)
     text, value = F.col("text"), F.col("value")
     named = let(snap_to_words(F.regexp_replace("word", "^##", ""), text), lambda v: F.when(F.col("type") == "Person", clean_person(v)).otherwise(v))
-    # An outer explode of one value: else the optimizer puts what makes it into each filter that follows.
-    rows = rows.select("*", F.explode_outer(F.array(named)).alias("value"))
+    rows = once(rows, "value", named)
     rows = rows.where(F.length("value") >= 3)
     rows = rows.where(~(F.col("type").isin(fixed.NAMED_TYPES) & F.regexp_like(value, F.lit(r"^\p{Ll}"))) & ~F.regexp_like(value, F.lit("^[A-Z]{2,4}$")))
     rows = rows.where((F.col("type") != "Date") | is_birth_date(value, text))

@@ -68,14 +68,13 @@ def islands(spans: Column) -> Column:
 
 def spans_of(values: Column, text: Column) -> Column:
     """Where any of an array of values stands in the text as a whole word: disjoint (s, e), in order."""
-    lower = F.lower(text)
 
-    def places(v: Column) -> Column:
+    def places(v: Column, lower: Column) -> Column:
         first = F.lower(F.try_element_at(words_of(v), F.lit(1)))
         found = F.transform(find_spans(text, word_pattern(v)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
         return F.when(F.coalesce(F.contains(lower, first), F.lit(False)), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
-    return islands(F.flatten(F.transform(values, places)))
+    return let(let(F.lower(text), lambda lower: F.flatten(F.transform(values, lambda v: places(v, lower)))), islands)
 
 
 def redact_values(pages: DataFrame, values: DataFrame, mask: str = "block") -> DataFrame:

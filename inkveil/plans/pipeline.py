@@ -10,7 +10,7 @@ from inkveil.operators.entities import first_seen, spread_surnames
 from inkveil.operators.layout import remove_image_pages
 from inkveil.operators.locate import locate
 from inkveil.operators.model import approve_reply, assemble_replies, dedupe_reply, filter_entities, map_label, reply_entities, with_reasons
-from inkveil.operators.redact import masked, redact_text, span_union
+from inkveil.operators.redact import masked, redact_text, redact_values, span_union
 from inkveil.operators.review import add_custom, apply_decisions, group_entities, merge_hits
 
 ORDER = ["page", "src", "rank", "pat", "s"]
@@ -61,14 +61,16 @@ def reviewed(pages: DataFrame, entities: DataFrame, decisions: DataFrame | None
     return entities if hits is None else merge_hits(entities, hits)
 
 
-def rerun(pages: DataFrame, entities: DataFrame, mask: str = "block", images: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def rerun(pages: DataFrame, entities: DataFrame, mask: str = "block", images: tuple[DataFrame, DataFrame] | None = None, few_pages: bool = False) -> DataFrame:
     """The original pages redacted anew by what a review left approved, without the pages whose
-    selected images fill them. images: the inventory, and the selected (doc_id, id)."""
+    selected images fill them. images: the inventory, and the selected (doc_id, id). Documents of
+    few pages meet their values as one array, so that no text is repeated for each of them."""
     groups = group_entities(entities).where("approved")
+    done = redact_values(pages, groups, mask) if few_pages else redact(pages, groups, mask)
     if images is not None:
         kept = remove_image_pages(pages, *images).where("kept").select("doc_id", "page")
-        return redact(pages, groups, mask).join(kept, ["doc_id", "page"], "left_semi")
-    return redact(pages, groups, mask)
+        return done.join(kept, ["doc_id", "page"], "left_semi")
+    return done
 
 
 def redact(pages: DataFrame, entities: DataFrame, mask: str = "block") -> DataFrame:
