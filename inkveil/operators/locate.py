@@ -74,31 +74,40 @@ def word_index(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     n_words = listed.count()
     wanted = _wanted(listed, n_words)
     text = F.coalesce("text", F.lit(""))
-    gate = F.lit(True)
+    gate = lambda words: F.lit(True)
     if n_words <= _LISTED_WORDS:
         # Few words are told to each page, and a page that holds none of them is passed over at once.
         some = F.split(F.lit(" ".join(sorted(r["w"] for r in listed.collect()))), " ")
-        gate = let(_runs(_plain(text)), lambda folded: F.arrays_overlap(folded, some) | (F.size(folded) != F.size(_runs(text))))
+        gate = lambda words: let(_runs(_plain(text)), lambda folded: F.arrays_overlap(folded, some) | (F.size(folded) != F.size(words)))
 
     def places(x: Column) -> Column:
         words, gaps, n = x["words"], x["gaps"], F.size(x["words"])
         kept = F.filter(F.sequence(F.lit(1), n), lambda k: wanted(_plain(F.element_at(words, k))))
 
-        def at(ends: Column) -> Callable[[Column], Column]:
-            def of(k: Column) -> Column:
-                word = F.element_at(words, k)
-                before = F.concat(F.when(k > 1, _NEXT).otherwise(""), F.element_at(gaps, k))
-                after = F.concat(F.element_at(gaps, k + 1), F.when(k < n, _NEXT).otherwise(""))
-                return F.struct(k.alias("pos"), _plain(word).alias("word"), word.alias("raw"), (F.element_at(ends, k) - F.length(word)).alias("s"), before.alias("before"), after.alias("after"), F.element_at(gaps, k + 1).alias("gap"))
+        def at(k: Column, end: Column) -> Column:
+            word = F.element_at(words, k)
+            before = F.concat(F.when(k > 1, _NEXT).otherwise(""), F.element_at(gaps, k))
+            after = F.concat(F.element_at(gaps, k + 1), F.when(k < n, _NEXT).otherwise(""))
+            return F.struct(k.alias("pos"), _plain(word).alias("word"), word.alias("raw"), (end - F.length(word)).alias("s"), before.alias("before"), after.alias("after"), F.element_at(gaps, k + 1).alias("gap"))
 
-            return of
+        def ends(ks: Column) -> Column:
+            """Where the words ks end: lengths are added up from one of them to the next, and only these are summed on."""
+            lengths = F.zip_with(words, F.slice(gaps, F.lit(1), n), lambda w, g: F.length(w) + F.length(g))
+
+            def step(lengths: Column) -> Column:
+                def since(k: Column, i: Column) -> Column:
+                    last = F.when(i > 0, F.get(ks, i - 1)).otherwise(0)
+                    return F.aggregate(F.slice(lengths, last + 1, k - last), F.lit(0), lambda a, b: a + b)
+
+                return F.transform(ks, since)
+
+            return running_sums(let(lengths, step))
 
-        ends = running_sums(F.zip_with(words, F.slice(gaps, F.lit(1), n), lambda w, g: F.length(w) + F.length(g)))
         none = F.array().cast("array<struct<pos:int,word:string,raw:string,s:int,before:string,after:string,gap:string>>")
-        return let(kept, lambda ks: F.when(F.size(ks) == 0, none).otherwise(let(ends, lambda e: F.transform(ks, at(e)))))
+        return let(kept, lambda ks: F.when(F.size(ks) == 0, none).otherwise(F.zip_with(ks, ends(ks), at)))
 
-    parts = F.struct(_runs(text).alias("words"), F.split(text, _RUN, -1).alias("gaps"))
-    own = F.when(F.regexp_like(text, F.lit(_RUN)) & gate, let(parts, places))
+    cut = lambda words: F.when(gate(words), let(F.struct(words.alias("words"), F.split(text, _RUN, -1).alias("gaps")), places))
+    own = F.when(F.regexp_like(text, F.lit(_RUN)), let(_runs(text), cut))
     return written(pages.select("doc_id", "page", own.alias("at")), "index").where(F.size("at") > 0)
 
 
