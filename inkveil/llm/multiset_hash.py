@@ -37,13 +37,15 @@ def signed_lanes(pieces: str) -> str:
     """SQL for the signed lanes of an array of pieces.
 
     A piece's hash gives one of 2 * LANES slots: lane k is slot 2k's count less that of slot 2k + 1.
-    The slots are sorted together with one mark for the start of each, so that the places of the
-    marks give all counts in one pass.
+    The slots are sorted, so that each lane's are a run; between the runs stand as many zeros as there
+    are lanes without a slot.
     """
-    slots = f"transform({pieces}, x -> cast(pmod(xxhash64(x), {2 * LANES}) as int) * 2 + 1)"
-    marked = f"sort_array(concat({slots}, sequence(0, {4 * LANES}, 2)))"
-    places = f"filter(transform({marked}, (v, i) -> if(v % 2 = 0, i, -1)), i -> i >= 0)"
-    return f"transform(array({places}), q -> transform(sequence(0, {LANES - 1}), j -> 2 * q[2 * j + 1] - q[2 * j] - q[2 * j + 2]))[0]"
+    slots = f"sort_array(transform({pieces}, x -> cast(pmod(xxhash64(x), {2 * LANES}) as int)))"
+    starts = "filter(sequence(0, size(m) - 1), i -> i = 0 or shiftright(m[i], 1) <> shiftright(m[i - 1], 1))"
+    zeros = "array_repeat(0, shiftright(m[at], 1) - if(j = 0, 0, shiftright(m[q[j - 1]], 1) + 1))"
+    own = "aggregate(slice(m, at + 1, if(j = size(q) - 1, size(m), q[j + 1]) - at), 0, (acc, v) -> acc + 1 - 2 * (v & 1))"
+    runs = f"concat(flatten(transform(q, (at, j) -> concat({zeros}, array({own})))), array_repeat(0, {LANES - 1} - shiftright(m[size(m) - 1], 1)))"
+    return f"transform(array({slots}), m -> if(size(m) = 0, array_repeat(0, {LANES}), transform(array({starts}), q -> {runs})[0]))[0]"
 
 
 def lanes_of(text: str) -> Column:
@@ -60,13 +62,19 @@ def as_text(lanes: str) -> Column:
     return F.array_join(F.col(lanes).cast("array<string>"), ",")
 
 
-def likeness(a: str, b: str) -> Column:
+def used(lanes: str) -> str:
+    """SQL for the places of the signed lanes that aren't zero."""
+    return f"filter(sequence({PLAIN}, {PLAIN + LANES - 1}), i -> {lanes}[i] <> 0)"
+
+
+def likeness(a: str, b: str, used_a: str | None = None, used_b: str | None = None) -> Column:
     """Twice the inner product of the texts' counts of pieces by the sum of the counts' squares, as
-    the signed lanes estimate it; 0 where that is negative, and 1 for equal lanes."""
-    own = lambda x: f"slice({x}, {PLAIN + 1}, {LANES})"
-    product = lambda x, y: f"aggregate(zip_with({own(x)}, {own(y)}, (s, t) -> cast(s as double) * t), 0D, (acc, s) -> acc + s)"
-    both = f"({product(a, a)} + {product(b, b)})"
-    return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b)} / nullif({both}, 0D), 0D))) end")
+    the signed lanes estimate it; 0 where that is negative, and 1 for equal lanes. Only lanes that are used()
+    add to it; columns may have their places."""
+    used_a, used_b = used_a or used(a), used_b or used(b)
+    product = lambda x, y, at: f"aggregate({at}, 0D, (acc, i) -> acc + cast({x}[i] as double) * {y}[i])"
+    both = f"({product(a, a, used_a)} + {product(b, b, used_b)})"
+    return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b, used_a)} / nullif({both}, 0D), 0D))) end")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -128,5 +136,6 @@ def compared(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("after", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[lanes_of(c).alias(name) for c, name in (("text", "own"), ("edited", "changed"), ("after", "next"))])
-    near = [likeness("own", "changed").alias("near_edited"), likeness("own", "next").alias("near_next")]
+    rows = rows.select("*", *[F.expr(used(c)).alias(f"{c}_used") for c in ("own", "changed", "next")])
+    near = [likeness("own", c, "own_used", f"{c}_used").alias(name) for c, name in (("changed", "near_edited"), ("next", "near_next"))]
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), *near)

@@ -45,3 +45,19 @@ def test_a_name_is_taken_from_its_text_once(spark, folder):
 def test_claims_are_made_once(spark, folder):
     df = queries.claimed_values(spark, folder)
     assert "luhn" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lanes_are_the_counts_of_slots(spark):
+    from inkveil.llm import multiset_hash as m
+
+    rng = random.Random(5)
+    rows = [(k, [f"p{rng.randrange(40) if k % 2 else rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 7, 9000]))]) for k in range(12)]
+    df = spark.createDataFrame(rows, "k long, p array<string>")
+    slots = F.expr(f"transform(p, x -> cast(pmod(xxhash64(x), {2 * m.LANES}) as int))")
+    for r in df.select(slots.alias("s"), F.expr(m.signed_lanes("p")).alias("got")).collect():
+        want = [0] * m.LANES
+        for x in r["s"]:
+            want[x // 2] += 1 - 2 * (x % 2)
+        assert r["got"] == want
+    # No mark for each slot is sorted with them.
+    assert f"sequence(0, {4 * m.LANES}" not in m.signed_lanes("p")
