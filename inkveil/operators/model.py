@@ -140,7 +140,7 @@ def reply_entities(content: DataFrame) -> DataFrame:
     """(doc_id, page, pos, type, value) of the flat objects in `content` with a string type and a
     string value of two characters or more."""
     rows = content.select("doc_id", "page", F.posexplode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("pos", "raw"))
-    rows = rows.withColumn("v", F.try_parse_json("raw"))
+    rows = once(rows, "v", F.try_parse_json("raw"))
     kind = lambda k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant"))
     text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     rows = rows.where((kind("type") == "STRING") & (kind("value") == "STRING"))

@@ -12,6 +12,7 @@ from inkveil.operators.locate import locate
 from inkveil.operators.model import approve_reply, assemble_replies, dedupe_reply, filter_entities, map_label, reply_entities, with_reasons
 from inkveil.operators.redact import masked, redact_text, redact_values, span_union
 from inkveil.operators.review import add_custom, apply_decisions, group_entities, merge_hits
+from inkveil.sources.scratch import written
 
 ORDER = ["page", "src", "rank", "pat", "s"]
 COLUMNS = ["doc_id", "type", "value", "value_key", "page", "approved", "source", "ord"]
@@ -39,12 +40,14 @@ def detect_chat(pages: DataFrame, replies: DataFrame, patterns: list[Pattern] |
 
     replies: streamed lines (doc_id, page, seq, line). They are put together, their objects
     salvaged up to a repeat loop, rejected for the first reason that applies, named by type and
-    left out where a pattern has claimed them. Miscellaneous ones aren't approved.
+    left out where a pattern has claimed them. Miscellaneous ones aren't approved. What was salvaged, and
+    what is left of it, is written: each is used twice, and would be made anew each time.
     """
     claims = claims_table(pages, DETECTORS if patterns is None else patterns)
     found = claimed_rows(claims)
     found = found.select("doc_id", "page", "type", "value", F.lit(True).alias("approved"), F.lit(0).alias("src"), "rank", "pat", "s")
-    listed = with_reasons(dedupe_reply(reply_entities(assemble_replies(replies))), pages).where("reason is null")
+    salvaged = written(reply_entities(assemble_replies(replies)), "salvaged")
+    listed = with_reasons(written(dedupe_reply(salvaged), "listed"), pages).where("reason is null")
     own = approve_reply(listed.withColumn("type", map_label(F.col("type"))), pages, claims)
     own = own.select("doc_id", "page", "type", "value", "approved", F.lit(1).alias("src"), F.col("pos").alias("rank"), F.lit(0).alias("pat"), F.lit(0).alias("s"))
     rows = first_seen(found.unionByName(own), ORDER).withColumn("source", F.lit(None).cast("string")).select(*COLUMNS)
