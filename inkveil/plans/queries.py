@@ -31,6 +31,13 @@ def _sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tagged tokens. Line items are dealt by order before they are grouped, so all that follows within a document
+    happens in parts of bounded size."""
+    items = sources.dealt(sources.table(spark, folder, "lineitem"), f"{folder}/lineitem.parquet", "l_orderkey")
+    return spark.sql(derived.TOKENS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items)
+
+
 def _matches(pages: DataFrame, kinds: list[str]) -> DataFrame:
     return detectors.matches(pages, kinds)
 
@@ -261,7 +268,7 @@ def html_pii(spark, folder):
 
 
 def grouped_tokens(spark, folder):
-    rows = model.group_tokens(_sql(spark, folder, derived.TOKENS))
+    rows = model.group_tokens(_tokens(spark, folder))
     return rows.withColumn("score", F.round("score", 9))
 
 
@@ -324,7 +331,7 @@ def reply_reasons(spark, folder):
 
 def model_thresholds(spark, folder):
     """Types and, for two known taggers and any other, least scores of all tags of the tokens."""
-    rows = _sql(spark, folder, derived.TOKENS).select(F.regexp_replace("tag", "^[A-Z]-", "").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    rows = _tokens(spark, folder).select(F.regexp_replace("tag", "^[A-Z]-", "").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     rows = rows.withColumn("type", model.map_label(F.col("tag")))
     limits = [F.struct(F.lit(name).alias("model"), model.min_score(F.col("type"), model.min_scores_of(name)).alias("min_score")) for name in ("accurate", "small", "other")]
     return rows.select("tag", "n", "type", F.inline(F.array(*limits)))

@@ -17,13 +17,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 ROW_GROUP_BYTES = 128 << 20
 
 
+#: Bytes of a table's files whose rows one task gets where they are dealt by a key.
+PART_BYTES = 4 << 20
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
+def dealt(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of a table at `path`, those of a key in one part. There are as many parts as the table's size asks for,
+    so that what groups and sorts a part needs no more memory for a larger table."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-_bytes(spark, path) // PART_BYTES)), key)
+
+
 def spread(pages: DataFrame, path: str) -> DataFrame:
     """The pages of a table at `path`, dealt to all cores where the table is too small to be split among
     them; larger tables stay as they are read."""
     spark = pages.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return pages.repartition(4 * cores) if size < cores * ROW_GROUP_BYTES else pages
+    return pages.repartition(4 * cores) if _bytes(spark, path) < cores * ROW_GROUP_BYTES else pages
 
 
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
