@@ -34,7 +34,7 @@ def pieces_of(text: str) -> str:
 
 
 def signed_lanes(pieces: str) -> str:
-    """SQL for the signed lanes of an array of pieces.
+    """SQL for the signed lanes of an array of pieces, and the places in a fingerprint of those that pieces touch.
 
     A piece's hash gives one of 2 * LANES slots: lane k is slot 2k's count less that of slot 2k + 1.
     The slots are sorted, so that each lane's are a run; between the runs stand as many zeros as there
@@ -45,16 +45,25 @@ def signed_lanes(pieces: str) -> str:
     zeros = "array_repeat(0, shiftright(m[at], 1) - if(j = 0, 0, shiftright(m[q[j - 1]], 1) + 1))"
     own = "aggregate(slice(m, at + 1, if(j = size(q) - 1, size(m), q[j + 1]) - at), 0, (acc, v) -> acc + 1 - 2 * (v & 1))"
     runs = f"concat(flatten(transform(q, (at, j) -> concat({zeros}, array({own})))), array_repeat(0, {LANES - 1} - shiftright(m[size(m) - 1], 1)))"
-    return f"transform(array({slots}), m -> if(size(m) = 0, array_repeat(0, {LANES}), transform(array({starts}), q -> {runs})[0]))[0]"
+    places = f"transform(q, at -> {PLAIN} + shiftright(m[at], 1))"
+    none = f"named_struct('lanes', array_repeat(0, {LANES}), 'at', cast(array() as array<int>))"
+    return f"transform(array({slots}), m -> if(size(m) = 0, {none}, transform(array({starts}), q -> named_struct('lanes', {runs}, 'at', {places}))[0]))[0]"
 
 
-def lanes_of(text: str) -> Column:
-    """The lanes of column `text`, an array of PLAIN + LANES integers."""
+def placed_lanes_of(text: str) -> Column:
+    """struct(lanes, at) of column `text`: its lanes, an array of PLAIN + LANES integers, and the places of the signed
+    ones that may differ from zero."""
     lines = f"filter(split({text}, '\\n'), x -> x <> '')"
     total = lambda own: _wrapped(f"aggregate(z.l, 0L, (acc, x) -> acc + {own})")
     sums = [total(half) for h in ("xxhash64(x)", "xxhash64('paragraph', x)") for half in (f"({h} & 4294967295L)", f"shiftrightunsigned({h}, 32)")]
     plain = f"array({', '.join(sums)}, {_wrapped('size(z.l)')}, {_wrapped('size(z.p)')})"
-    return F.expr(f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> concat({plain}, {signed_lanes('z.p')}))[0]")
+    whole = f"transform(array({signed_lanes('z.p')}), y -> named_struct('lanes', concat({plain}, y.lanes), 'at', y.at))[0]"
+    return F.expr(f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> {whole})[0]")
+
+
+def lanes_of(text: str) -> Column:
+    """The lanes of column `text`, an array of PLAIN + LANES integers."""
+    return placed_lanes_of(text)["lanes"]
 
 
 def as_text(lanes: str) -> Column:
@@ -67,14 +76,18 @@ def used(lanes: str) -> str:
     return f"filter(sequence({PLAIN}, {PLAIN + LANES - 1}), i -> {lanes}[i] <> 0)"
 
 
-def likeness(a: str, b: str, used_a: str | None = None, used_b: str | None = None) -> Column:
+def product(a: str, b: str, at: str) -> str:
+    """SQL for the inner product of two texts' lanes over the places `at`."""
+    return f"aggregate({at}, 0D, (acc, i) -> acc + cast({a}[i] as double) * {b}[i])"
+
+
+def likeness(a: str, b: str, used_a: str | None = None, squares: str | None = None) -> Column:
     """Twice the inner product of the texts' counts of pieces by the sum of the counts' squares, as
     the signed lanes estimate it; 0 where that is negative, and 1 for equal lanes. Only lanes that are used()
-    add to it; columns may have their places."""
-    used_a, used_b = used_a or used(a), used_b or used(b)
-    product = lambda x, y, at: f"aggregate({at}, 0D, (acc, i) -> acc + cast({x}[i] as double) * {y}[i])"
-    both = f"({product(a, a, used_a)} + {product(b, b, used_b)})"
-    return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b, used_a)} / nullif({both}, 0D), 0D))) end")
+    add to it; columns may have the places of `a`, and the sum of the squares of both."""
+    used_a = used_a or used(a)
+    squares = squares or f"({product(a, a, used_a)} + {product(b, b, used(b))})"
+    return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b, used_a)} / nullif({squares}, 0D), 0D))) end")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -135,7 +148,7 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = in_order(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("after", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[lanes_of(c).alias(name) for c, name in (("text", "own"), ("edited", "changed"), ("after", "next"))])
-    rows = rows.select("*", *[F.expr(used(c)).alias(f"{c}_used") for c in ("own", "changed", "next")])
-    near = [likeness("own", c, "own_used", f"{c}_used").alias(name) for c, name in (("changed", "near_edited"), ("next", "near_next"))]
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), *near)
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[placed_lanes_of(c).alias(name) for c, name in (("text", "own"), ("edited", "changed"), ("after", "next"))])
+    rows = rows.select("*", *[F.expr(product(f"{c}.lanes", f"{c}.lanes", f"{c}.at")).alias(f"{c}_squares") for c in ("own", "changed", "next")])
+    near = [likeness("own.lanes", f"{c}.lanes", "own.at", f"(own_squares + {c}_squares)").alias(name) for c, name in (("changed", "near_edited"), ("next", "near_next"))]
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own.lanes").alias("fingerprint"), as_text("changed.lanes").alias("edited_fingerprint"), *near)
