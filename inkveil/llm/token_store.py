@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -285,44 +285,53 @@ def write_store(tokens: DataFrame, path: str, vocab_size: int) -> None:
     ordered.mapInArrow(blocks, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
-def read_store(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), ids (little-endian
-    unsigned 32-bit integers). Blocks are decoded independently of each other."""
+def _decoded(spark: SparkSession, path: str, vocab_size: int, shown: Callable[[np.ndarray, np.ndarray], list[pa.Array]], columns: dict[str, str]) -> DataFrame:
+    """doc_id, start and `columns` of every document in the store: what `shown` makes of the ids of consecutive
+    documents and of where each of them ends. Blocks are decoded independently of each other."""
     lengths = np.zeros(vocab_size, np.uint8)
     for row in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect():
         lengths[row["id"]] = row["bits"]
+    names = ["doc_id", "start", *columns]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:
             for base, row in zip(batch.column(0).to_pylist(), batch.select(["first_token", "n_tokens", "doc_ids", "counts", "offsets", "bits"]).to_pylist()):
-                ids = unpack(row["bits"], np.array(row["offsets"], np.int64), row["n_tokens"], table)
+                ids = unpack(row["bits"], np.array(row["offsets"], np.int64), row["n_tokens"], table).astype("<u4")
                 counts = np.array(row["counts"], np.int64)
                 ends = np.cumsum(counts)
-                raw, starts = ids.astype("<u4").tobytes(), (base + row["first_token"] + ends - counts).tolist()
+                starts = base + row["first_token"] + ends - counts
                 for at in range(0, len(counts), 512):
                     cut = slice(at, at + 512)
-                    own = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends[cut].tolist(), counts[cut].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][cut], pa.int64()), pa.array(starts[cut], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
+                    first = ends[at] - counts[at]
+                    own = shown(ids[first : ends[cut][-1]], ends[cut] - first)
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][cut], pa.int64()), pa.array(starts[cut]), *own], names)
 
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     #: One row per written file: no more than the partitions of the write.
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     rows = blocks.join(F.broadcast(bases), "part").select("base", "first_token", "n_tokens", "doc_ids", "counts", "offsets", "bits")
-    return rows.mapInArrow(decode, "doc_id long, start long, ids binary")
+    return rows.mapInArrow(decode, ", ".join(f"{k} {v}" for k, v in {"doc_id": "long", "start": "long", **columns}.items()))
+
+
+def read_store(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
+    """One row per document: doc_id, start (ids of all documents before it), ids (little-endian
+    unsigned 32-bit integers)."""
+
+    def shown(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        return [pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())]
+
+    return _decoded(spark, path, vocab_size, shown, {"ids": "binary"})
 
 
 def store_digest(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the store."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the store, made where its ids are decoded."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            columns = [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+    def shown(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.diff(ends, prepend=0)), pa.array([zlib.crc32(x) for x in np.split(ids, ends[:-1])], pa.int64())]
 
-    return read_store(spark, path, vocab_size).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _decoded(spark, path, vocab_size, shown, {"n_tokens": "long", "ids_crc32": "long"})
 
 
 def store_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocab_size: int) -> None:
