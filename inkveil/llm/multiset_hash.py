@@ -29,36 +29,56 @@ def _wrapped(x: str) -> str:
 def pieces_of(text: str) -> str:
     """SQL for the pieces of column `text`; a line of at most PIECE words is one, others have one for each start."""
     words = rf"filter(transform(split({text}, '\\n'), x -> regexp_extract_all(x, '\\S+', 0)), w -> size(w) > 0)"
-    starts = f"sequence(1, greatest(size(w) - {PIECE - 1}, 1))"
-    return f"flatten(transform({words}, w -> transform({starts}, k -> array_join(slice(w, k, {PIECE}), ' '))))"
+    piece = "concat(" + ", ' ', ".join(["x", *[f"w[k + {j}]" for j in range(1, PIECE)]]) + ")"
+    return f"flatten(transform({words}, w -> if(size(w) < {PIECE}, array(array_join(w, ' ')), transform(slice(w, 1, size(w) - {PIECE - 1}), (x, k) -> {piece}))))"
 
 
 def signed_lanes(pieces: str) -> str:
-    """SQL for the signed lanes of an array of pieces, and the places in a fingerprint of those that pieces touch.
+    """SQL for the signed lanes that an array of pieces touches: struct(at, v), their numbers in order and values.
 
     A piece's hash gives one of 2 * LANES slots: lane k is slot 2k's count less that of slot 2k + 1.
-    The slots are sorted, so that each lane's are a run; between the runs stand as many zeros as there
-    are lanes without a slot.
+    The slots are sorted, so that each lane's are a run, mostly of one slot.
     """
     slots = f"sort_array(transform({pieces}, x -> cast(pmod(xxhash64(x), {2 * LANES}) as int)))"
     starts = "filter(sequence(0, size(m) - 1), i -> i = 0 or shiftright(m[i], 1) <> shiftright(m[i - 1], 1))"
-    zeros = "array_repeat(0, shiftright(m[at], 1) - if(j = 0, 0, shiftright(m[q[j - 1]], 1) + 1))"
-    own = "aggregate(slice(m, at + 1, if(j = size(q) - 1, size(m), q[j + 1]) - at), 0, (acc, v) -> acc + 1 - 2 * (v & 1))"
-    runs = f"concat(flatten(transform(q, (at, j) -> concat({zeros}, array({own})))), array_repeat(0, {LANES - 1} - shiftright(m[size(m) - 1], 1)))"
-    places = f"transform(q, at -> {PLAIN} + shiftright(m[at], 1))"
-    none = f"named_struct('lanes', array_repeat(0, {LANES}), 'at', cast(array() as array<int>))"
-    return f"transform(array({slots}), m -> if(size(m) = 0, {none}, transform(array({starts}), q -> named_struct('lanes', {runs}, 'at', {places}))[0]))[0]"
+    own = "if(till - i = 1, 1 - 2 * (m[i] & 1), aggregate(slice(m, i + 1, till - i), 0, (acc, x) -> acc + 1 - 2 * (x & 1)))"
+    runs = f"named_struct('at', transform(q, i -> shiftright(m[i], 1)), 'v', zip_with(q, concat(slice(q, 2, size(q)), array(size(m))), (i, till) -> {own}))"
+    none = "named_struct('at', cast(array() as array<int>), 'v', cast(array() as array<int>))"
+    return f"transform(array({slots}), m -> if(size(m) = 0, {none}, transform(array({starts}), q -> {runs})[0]))[0]"
 
 
-def placed_lanes_of(text: str) -> Column:
-    """struct(lanes, at) of column `text`: its lanes, an array of PLAIN + LANES integers, and the places of the signed
-    ones that may differ from zero."""
+def touched_lanes_of(text: str) -> str:
+    """SQL for struct(plain, s) of column `text`: the PLAIN lanes, and struct(at, v) of the signed ones that pieces touch."""
     lines = f"filter(split({text}, '\\n'), x -> x <> '')"
     total = lambda own: _wrapped(f"aggregate(z.l, 0L, (acc, x) -> acc + {own})")
     sums = [total(half) for h in ("xxhash64(x)", "xxhash64('paragraph', x)") for half in (f"({h} & 4294967295L)", f"shiftrightunsigned({h}, 32)")]
     plain = f"array({', '.join(sums)}, {_wrapped('size(z.l)')}, {_wrapped('size(z.p)')})"
-    whole = f"transform(array({signed_lanes('z.p')}), y -> named_struct('lanes', concat({plain}, y.lanes), 'at', y.at))[0]"
-    return F.expr(f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> {whole})[0]")
+    return f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> named_struct('plain', {plain}, 's', {signed_lanes('z.p')}))[0]"
+
+
+#: SQL for the lanes without a piece between the lane k, the j-th of s.at, and the one before it, and for those after the last.
+_GAP = "k - if(j = 0, 0, s.at[j - 1] + 1)"
+_REST = f"{LANES - 1} - s.at[size(s.at) - 1]"
+
+
+def signed_array(touched: str) -> str:
+    """SQL for all signed lanes as an array, from struct(at, v) of those that pieces touch."""
+    runs = f"concat(flatten(transform(s.at, (k, j) -> concat(array_repeat(0, {_GAP}), array(s.v[j])))), array_repeat(0, {_REST}))"
+    return f"transform(array({touched}), s -> if(size(s.at) = 0, array_repeat(0, {LANES}), {runs}))[0]"
+
+
+def touched_as_text(touched: str) -> Column:
+    """What as_text() says of all lanes, from struct(plain, s) of touched_lanes_of(), without making an array of them."""
+    runs = f"concat(array_join(transform(s.at, (k, j) -> concat(repeat('0,', {_GAP}), s.v[j])), ','), repeat(',0', {_REST}))"
+    signed = f"transform(array({touched}.s), s -> if(size(s.at) = 0, concat('0', repeat(',0', {LANES - 1})), {runs}))[0]"
+    return F.expr(f"concat(array_join(cast({touched}.plain as array<string>), ','), ',', {signed})")
+
+
+def placed_lanes_of(text: str) -> Column:
+    """struct(lanes, at) of column `text`: its lanes, an array of PLAIN + LANES integers, and the places of the signed
+    ones that may differ from zero."""
+    placed = f"named_struct('lanes', concat(o.plain, {signed_array('o.s')}), 'at', transform(o.s.at, k -> {PLAIN} + k))"
+    return F.expr(f"transform(array({touched_lanes_of(text)}), o -> {placed})[0]")
 
 
 def lanes_of(text: str) -> Column:
@@ -81,15 +101,24 @@ def product(a: str, b: str, at: str) -> str:
     return f"aggregate({at}, 0D, (acc, i) -> acc + cast({a}[i] as double) * {b}[i])"
 
 
-def likeness(a: str, b: str, used_a: str | None = None, squares: str | None = None) -> Column:
+def likeness(a: str, b: str) -> Column:
     """Twice the inner product of the texts' counts of pieces by the sum of the counts' squares, as
     the signed lanes estimate it; 0 where that is negative, and 1 for equal lanes. Only lanes that are used()
-    add to it; columns may have the places of `a`, and the sum of the squares of both."""
-    used_a = used_a or used(a)
-    squares = squares or f"({product(a, a, used_a)} + {product(b, b, used(b))})"
+    add to it."""
+    used_a = used(a)
+    squares = f"({product(a, a, used_a)} + {product(b, b, used(b))})"
     return F.expr(f"case when {a} = {b} then 1D else least(1D, greatest(0D, coalesce(2 * {product(a, b, used_a)} / nullif({squares}, 0D), 0D))) end")
 
 
+def touched_likeness(a: str, b: str, lanes: str) -> Column:
+    """likeness() of struct(plain, s) columns with their `_squares`; `lanes` has all signed lanes of `a`.
+
+    Texts of equal hash sums and numbers of paragraphs have equal paragraphs, and so equal lanes.
+    """
+    both = f"aggregate(zip_with({b}.s.at, {b}.s.v, (k, x) -> cast({lanes}[k] as double) * x), 0D, (acc, y) -> acc + y)"
+    return F.expr(f"case when {a}.plain = {b}.plain then 1D else least(1D, greatest(0D, coalesce(2 * {both} / nullif({a}_squares + {b}_squares, 0D), 0D))) end")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text and `after` of every row: the text of the next row in ascending doc_id order, the
     first row's after the last.
@@ -148,7 +177,9 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = in_order(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("after", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[placed_lanes_of(c).alias(name) for c, name in (("text", "own"), ("edited", "changed"), ("after", "next"))])
-    rows = rows.select("*", *[F.expr(product(f"{c}.lanes", f"{c}.lanes", f"{c}.at")).alias(f"{c}_squares") for c in ("own", "changed", "next")])
-    near = [likeness("own.lanes", f"{c}.lanes", "own.at", f"(own_squares + {c}_squares)").alias(name) for c, name in (("changed", "near_edited"), ("next", "near_next"))]
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own.lanes").alias("fingerprint"), as_text("changed.lanes").alias("edited_fingerprint"), *near)
+    kinds = (("text", "own"), ("edited", "changed"), ("after", "next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[F.expr(touched_lanes_of(c)).alias(name) for c, name in kinds])
+    squares = [F.expr(f"aggregate({name}.s.v, 0D, (acc, x) -> acc + cast(x as double) * x)").alias(f"{name}_squares") for _, name in kinds]
+    rows = rows.select("*", F.expr(signed_array("own.s")).alias("lanes"), *squares)
+    near = [touched_likeness("own", name, "lanes").alias(f"near_{kind}") for name, kind in (("changed", "edited"), ("next", "next"))]
+    return rows.select("doc_id", "n_chars", "edited_sha256", touched_as_text("own").alias("fingerprint"), touched_as_text("changed").alias("edited_fingerprint"), *near)
