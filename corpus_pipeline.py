@@ -23,11 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of texts alike in 0.8 or more of 5-word shingles.
+    """Keeps the smallest doc_id of each group of near-duplicates.
 
-    Texts without words, null ones too, are one group; a null doc_id comes last.
+    Operator 3 links texts whose SimHash fingerprints of 3-word shingles differ in 2 bits or fewer, by the
+    generalised pigeonhole principle. Those that are alike in 0.8 or more of 5-word shingles are linked
+    too, as fingerprints tell many of these apart. Texts without words, null ones too, are one group; a
+    null doc_id comes last.
     """
-    return simhash.one_of_each(docs, words=5, similarity=0.8)
+    return simhash.one_of_each(docs, words=5, similarity=0.8, tau=2, print_words=3)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,24 +287,28 @@ def sketch(own: np.ndarray, bands: int) -> np.ndarray:
     return least
 
 
-def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """(doc_id, th, fp, keys, sketch) of every text; null texts count as empty.
+def sketches(docs: DataFrame, words: int, bands: int, print_words: int) -> DataFrame:
+    """(doc_id, th, fp, keys, sketch, print, word) of every text; null texts count as empty.
 
-    `fp` is a 128-bit hash of the set of shingles, `sketch` a byte of each of the sketch's values.
+    `fp` is a 128-bit hash of the set of shingles, `sketch` a byte of each of the sketch's values; `print` and
+    `word` are the fingerprint of shingles of `print_words` words, as bytes and as a signed number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
+                texts = part.column(2).to_pylist()
+                sets = [shingle_set(t, words) for t in texts]
                 least = [sketch(x, bands) for x in sets]
+                prints = [fingerprint(t, print_words) for t in texts]
                 keys = [[xxhash.xxh64_intdigest(x[k * BAND : k * BAND + BAND].tobytes(), k) - (1 << 63) for k in range(bands)] if len(own) else [] for x, own in zip(least, sets)]
                 columns = [part.column(0), part.column(1), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())], ["doc_id", "th", "fp", "keys", "sketch"])
+                columns += [pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(prints, pa.binary()), pa.array(np.frombuffer(b"".join(prints), "<i8"))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp", "keys", "sketch", "print", "word"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, sketch binary, print binary, word long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -473,20 +477,36 @@ def similar_links(distinct: DataFrame, docs: DataFrame, words: int, similarity:
     return links.unionByName(similar_in_buckets(rows, bands, similarity, least))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(rows: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
+    """Edges (a, b) that connect the same ids as all pairs of fingerprints of at most `tau` differing bits do.
+
+    rows: fp, print, word of every text; distinct: fp and id of every set of shingles, of which texts of
+    several fingerprints may have the same.
+    """
+    named = written(rows.select("fp", "print", "word").distinct().join(distinct.select("fp", "id"), "fp").select("id", "print", "word"), "prints")
+    prints = written(named.groupBy("word", F.col("print").alias("fp")).agg(F.min("id").alias("least")), "words")
+    same = named.join(prints, "word").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
+    ends = [prints.select(F.col("word").alias(c), F.col("least").alias(f"to_{c}")) for c in "ab"]
+    near = link_within(prints, tau).join(ends[0], "a").join(ends[1], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    return same.unionByName(near)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, tau: int | None = None, print_words: int = 3) -> DataFrame:
     """The rows of `docs`, one of each group of near-duplicates: the smallest doc_id's.
 
     Two texts are near-duplicates if the Jaccard similarity of their distinct shingles is
-    `similarity` or more, and groups are what such pairs connect. Equal texts always are; so are
-    all texts without words. A null doc_id comes last; rows that repeat a doc_id come in the order
+    `similarity` or more, or, where `tau` is given, if near_duplicates() links them: their fingerprints of
+    shingles of `print_words` words differ in at most `tau` bits. Groups are what such pairs connect. Equal
+    texts always are; so are all texts without words. A null doc_id comes last; rows that repeat a doc_id come in the order
     of their texts' hashes.
     """
     bands = bands_for(similarity)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "keys", "sketch")
-    rows = written(sketches(docs, words, bands), "sketches")
-    distinct = rows.groupBy("fp").agg(F.min(order).alias("first")).select("first", F.col("first.th").alias("id"), F.col("first.keys").alias("keys"), F.col("first.sketch").alias("sketch"))
+    rows = written(sketches(docs, words, bands, print_words), "sketches")
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("first")).select("fp", "first", F.col("first.th").alias("id"), F.col("first.keys").alias("keys"), F.col("first.sketch").alias("sketch"))
     distinct = written(distinct, "distinct")
-    found = connected_components(similar_links(distinct, docs, words, similarity, bands))
+    links = similar_links(distinct, docs, words, similarity, bands)
+    found = connected_components(links if tau is None else links.unionByName(fingerprint_links(rows, distinct, tau)))
     named = distinct.select("id", F.struct("first.last", "first.doc_id", "first.th").alias("first")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_row_id"), F.xxhash64(text_of(docs)).alias("_row_th"))
