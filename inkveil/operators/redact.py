@@ -77,19 +77,27 @@ def spans_of(values: Column, text: Column) -> Column:
     return let(let(F.lower(text), lambda lower: F.flatten(F.transform(values, lambda v: places(v, lower)))), islands)
 
 
-def redact_values(pages: DataFrame, values: DataFrame, mask: str = "block") -> DataFrame:
-    """pages (doc_id, page, text) plus n_redacted and redacted_text: every value (doc_id, value) of the page's
-    document, wherever it stands.
+def spans_in(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """pages (doc_id, page, text) plus _spans: where any value (doc_id, value) of the page's document stands.
 
     The pages meet the values of their document as one array, so texts are read and moved once. This is for
     documents of few pages; for those of many, redact_text() of what locate(by_word=True) finds.
     """
     own = values.where("value is not null").groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
-    rows = pages.join(own, "doc_id", "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spans = F.when(F.col("_values").isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(spans_of(F.col("_values"), text))
-    done = let(spans, lambda x: F.struct(F.size(x).alias("n"), masked(text, x, mask).alias("t")))
-    return rows.withColumn("_done", done).select(*pages.columns, F.col("_done.n").alias("n_redacted"), F.col("_done.t").alias("redacted_text"))
+    spans = F.when(F.col("_values").isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(spans_of(F.col("_values"), F.coalesce(F.col("text"), F.lit(""))))
+    return pages.join(own, "doc_id", "left").select(*pages.columns, spans.alias("_spans"))
+
+
+def redact_spans(pages: DataFrame, mask: str = "block") -> DataFrame:
+    """pages of spans_in() plus n_redacted and redacted_text, without _spans. Works row by row."""
+    done = let(F.col("_spans"), lambda x: F.struct(F.size(x).alias("n"), masked(F.coalesce(F.col("text"), F.lit("")), x, mask).alias("t")))
+    return pages.withColumn("_done", done).select(*[c for c in pages.columns if c != "_spans"], F.col("_done.n").alias("n_redacted"), F.col("_done.t").alias("redacted_text"))
+
+
+def redact_values(pages: DataFrame, values: DataFrame, mask: str = "block") -> DataFrame:
+    """pages (doc_id, page, text) plus n_redacted and redacted_text: every value (doc_id, value) of the page's
+    document, wherever it stands. For documents of few pages, see spans_in()."""
+    return redact_spans(spans_in(pages, values), mask)
 
 
 def redact_text(pages: DataFrame, spans: DataFrame, mask: str = "block") -> DataFrame:

@@ -152,13 +152,18 @@ def redacted_documents(spark, folder):
 
 def stored_redactions(spark, folder):
     """Redacted documents as they are read back: all were written with a dash for each value, by source, and then
-    those of all sources but one again with blocks, twice."""
+    those of all sources but one again with blocks, twice. Values are located once, texts meet them once, and no
+    original text goes where redacted ones are stored."""
     docs = sources.table(spark, folder, "documents").select("doc_id", F.lit(1).alias("page"), "text", "source")
-    pages, path = sources.searched_pages(docs, folder), scratch.new_path(spark, "redacted")
-    found = pipeline.detect(pages)
-    sources.write_redacted(redact.redact_values(pages, found, "-"), path, ["source"])
+    path = scratch.new_path(spark, "redacted")
+    found = scratch.written(redact.spans_in(docs, pipeline.detect(sources.searched_pages(docs, folder))), "spans")
+
+    def store(pages, mask):
+        sources.write_redacted(redact.redact_spans(pages, mask).select("doc_id", "page", "source", "n_redacted", "redacted_text"), path, ["source"])
+
+    store(found, "-")
     for _ in range(2):
-        sources.write_redacted(redact.redact_values(pages.where("source <> 'src3'"), found), path, ["source"])
+        store(found.where("source <> 'src3'"), "block")
     return spark.read.parquet(path).select("doc_id", "source", "n_redacted", "redacted_text")
 
 

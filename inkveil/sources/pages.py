@@ -85,7 +85,7 @@ def read_expected(spark: SparkSession, path: str) -> DataFrame:
 def write_redacted(redacted: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Writes redacted pages. With partition columns, partitions that `redacted` has rows of are replaced and all
     others stay, so a part of the pages can be redacted anew, and a run that is repeated adds nothing."""
-    out = redacted.write.mode("overwrite")
+    out = redacted.write.mode("overwrite").option("compression", "zstd")
     (out.option("partitionOverwriteMode", "dynamic").partitionBy(*by) if by else out).parquet(path)
 
 
