@@ -127,7 +127,10 @@ def group_entities(spark, folder):
 
 
 def review_list(spark, folder):
-    return review.review_list(review.group_entities(_source_entities(spark, folder)), match_summary(spark, folder))
+    """The texts are searched for entities once; groups and matches are both made of these."""
+    rows = _source_entities(spark, folder)
+    found = locate.locate(rows, _source_pages(spark, folder), by_word=True)
+    return review.review_list(review.group_entities(rows), locate.match_summary(found))
 
 
 def category_rollup(spark, folder):
