@@ -33,7 +33,7 @@ def pieces_of(text: str) -> str:
     return f"flatten(transform({words}, w -> if(size(w) < {PIECE}, array(array_join(w, ' ')), transform(slice(w, 1, size(w) - {PIECE - 1}), (x, k) -> {piece}))))"
 
 
-def signed_lanes(pieces: str) -> str:
+def touched_lanes(pieces: str) -> str:
     """SQL for the signed lanes that an array of pieces touches: struct(at, v), their numbers in order and values.
 
     A piece's hash gives one of 2 * LANES slots: lane k is slot 2k's count less that of slot 2k + 1.
@@ -53,7 +53,7 @@ def touched_lanes_of(text: str) -> str:
     total = lambda own: _wrapped(f"aggregate(z.l, 0L, (acc, x) -> acc + {own})")
     sums = [total(half) for h in ("xxhash64(x)", "xxhash64('paragraph', x)") for half in (f"({h} & 4294967295L)", f"shiftrightunsigned({h}, 32)")]
     plain = f"array({', '.join(sums)}, {_wrapped('size(z.l)')}, {_wrapped('size(z.p)')})"
-    return f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> named_struct('plain', {plain}, 's', {signed_lanes('z.p')}))[0]"
+    return f"transform(array(named_struct('l', {lines}, 'p', {pieces_of(text)})), z -> named_struct('plain', {plain}, 's', {touched_lanes('z.p')}))[0]"
 
 
 #: SQL for the lanes without a piece between the lane k, the j-th of s.at, and the one before it, and for those after the last.
@@ -67,6 +67,11 @@ def signed_array(touched: str) -> str:
     return f"transform(array({touched}), s -> if(size(s.at) = 0, array_repeat(0, {LANES}), {runs}))[0]"
 
 
+def signed_lanes(pieces: str) -> str:
+    """SQL for all signed lanes of an array of pieces."""
+    return signed_array(touched_lanes(pieces))
+
+
 def touched_as_text(touched: str) -> Column:
     """What as_text() says of all lanes, from struct(plain, s) of touched_lanes_of(), without making an array of them."""
     runs = f"concat(array_join(transform(s.at, (k, j) -> concat(repeat('0,', {_GAP}), s.v[j])), ','), repeat(',0', {_REST}))"
